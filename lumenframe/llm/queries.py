@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import storage, token_files
+from lumenframe.llm import decontamination, storage, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write(table(spark, sf_dir, "documents"), storage.new_folder(spark, "tokens"))
     return token_files.read(spark, manifest)
 
 
 def queries() -> dict:
-    return {"op2_token_files": op2_token_files}
+    return {"op1_decontamination": op1_decontamination, "op2_token_files": op2_token_files}
 
 
 def oracle_sql() -> dict[str, str]:

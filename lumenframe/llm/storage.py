@@ -6,8 +6,11 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +56,15 @@ def put(uri: str, data) -> None:
         for piece in [data] if isinstance(data, (bytes, bytearray, memoryview)) else data:
             out.write(piece)
     store.move(part, path)
+
+
+def by_size(batch: pa.RecordBatch, column: str, size: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of about ``size`` bytes in ``column``, which bounds what a task holds as Python objects."""
+    at = total = 0
+    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        total += n or 0
+        if total >= size:
+            yield batch.slice(at, k + 1 - at)
+            at, total = k + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
