@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontamination, quality_rules, simhash, storage, token_files
+from lumenframe.llm import decontamination, packing, quality_rules, simhash, storage, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +28,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "source", "host_rate", "host_rejected")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_token_files": op2_token_files,
         "op6_simhash": op6_simhash,
         "op8_quality_rules": op8_quality_rules,
+        "op10_packing": op10_packing,
     }
 
 
