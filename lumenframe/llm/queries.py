@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontamination, packing, quality_rules, simhash, storage, token_files
+from lumenframe.llm import decontamination, line_dedup, packing, quality_rules, simhash, storage, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "source", "host_rate", "host_rejected")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated(table(spark, sf_dir, "documents"), count_column="n_lines_removed").select("doc_id", "text", "n_lines_removed")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -38,9 +42,10 @@ def queries() -> dict:
         "op2_token_files": op2_token_files,
         "op6_simhash": op6_simhash,
         "op8_quality_rules": op8_quality_rules,
+        "op9_line_dedup": op9_line_dedup,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": line_dedup.SQL}

@@ -68,3 +68,10 @@ def by_size(batch: pa.RecordBatch, column: str, size: int = 500_000) -> Iterator
             at, total = k + 1, 0
     if at < batch.num_rows:
         yield batch.slice(at)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for what is wide or read more than once."""
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
