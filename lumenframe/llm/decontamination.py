@@ -148,7 +148,7 @@ def _index(uri: str, keep: int = 2) -> WindowIndex:
         while len(_loaded) >= keep:
             _loaded.pop(next(iter(_loaded)))
         store, path = storage.open_store(uri)
-        with store.open_input_stream(path) as source:
+        with store.open_input_stream(path, compression=None) as source:
             _loaded[uri] = pickle.loads(source.read())
     return _loaded[uri]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontamination, line_dedup, packing, quality_rules, simhash, storage, token_files
+from lumenframe.llm import decontamination, line_dedup, packing, quality_rules, simhash, storage, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, manifest)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(table(spark, sf_dir, "pages"), storage.new_folder(spark, "warc"))
+    return warc.read(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -40,6 +45,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_token_files": op2_token_files,
+        "op4_warc": op4_warc,
         "op6_simhash": op6_simhash,
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,

@@ -52,7 +52,7 @@ def put(uri: str, data) -> None:
     store, path = open_store(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         for piece in [data] if isinstance(data, (bytes, bytearray, memoryview)) else data:
             out.write(piece)
     store.move(part, path)
