@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import storage
 
-#: Rows of two long columns (3.2 MB) up to which a side of a join is broadcast; beyond, both sides are shuffled.
+#: Rows of a few short columns (some MB) up to which a side of a join is broadcast; beyond, both sides are shuffled.
 FEW = 200_000
 
 
@@ -27,9 +27,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     A large star ties each node's higher neighbours to its lowest one, a small star its lower ones;
     both keep components whole and end with stars. Edges are stored after each round, and the loop
-    ends when none changes; only counts reach the driver. Null ends and loops are ignored.
+    ends when none changes; only counts reach the driver. Nodes are of any one ordered type. Null ends
+    and loops are ignored; a node of loops only is in no component.
     """
-    u, v = F.col("u").cast("long"), F.col("v").cast("long")
+    u, v = F.col("u"), F.col("v")
     now = storage.cut(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u is not null and v is not null and u != v").distinct())
     mark = None
     for _ in range(rounds):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontamination, line_dedup, packing, quality_rules, simhash, storage, token_files, warc
+from lumenframe.llm import decontamination, line_dedup, packing, quality_rules, simhash, storage, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -46,6 +50,7 @@ def queries() -> dict:
         "op1_decontamination": op1_decontamination,
         "op2_token_files": op2_token_files,
         "op4_warc": op4_warc,
+        "op5_url_filter": op5_url_filter,
         "op6_simhash": op6_simhash,
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
