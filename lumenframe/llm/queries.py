@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import decontamination, line_dedup, packing, quality_rules, simhash, storage, token_files, url_filter, warc
+from lumenframe.llm import decontamination, language_id, line_dedup, packing, quality_rules, simhash, storage, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, manifest)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write(table(spark, sf_dir, "pages"), storage.new_folder(spark, "warc"))
     return warc.read(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -49,6 +53,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_token_files": op2_token_files,
+        "op3_language_id": op3_language_id,
         "op4_warc": op4_warc,
         "op5_url_filter": op5_url_filter,
         "op6_simhash": op6_simhash,
