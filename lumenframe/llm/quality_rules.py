@@ -9,7 +9,7 @@ it passes its own rules and its host isn't rejected.
 
 Null texts have no words and fail. A null host is a host of its own that is never rejected: such
 documents share no origin. Repeated rows are measured and counted row by row. An empty table has no
-hosts. Further columns of ``docs`` stay as they are unless they are named like a measure.
+hosts. Further columns of ``docs`` stay as they are unless they are named like a measure or verdict.
 """
 
 from __future__ import annotations
@@ -124,10 +124,10 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataF
     shuffled or stored. The hosts' sums are written out first; only rejected hosts are looked up,
     by broadcast while they are few, else by a join.
     """
-    measured = measure(docs)
+    measured = measure(docs.drop("host_rate", "host_rejected", "kept"))
     hosts = host_verdicts(measure(docs.select("text", host)), host, max_rate)
     few = hosts.count() <= 200_000
-    right = hosts.select(F.col("host").alias("__host"), "host_rate", "host_rejected")
-    found = measured.join(F.broadcast(right) if few else right, F.col(host) == F.col("__host"), "left").drop("__host")
+    right = hosts.select(F.col("host").alias("__lf_host"), "host_rate", "host_rejected")
+    found = measured.join(F.broadcast(right) if few else right, F.col(host) == F.col("__lf_host"), "left").drop("__lf_host")
     rejected = F.coalesce(F.col("host_rejected"), F.lit(False))
     return found.withColumn("host_rejected", rejected).withColumn("kept", ~F.col("base_failed") & ~rejected)

@@ -122,13 +122,14 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the smallest doc_id.
 
-    Rows without a doc_id stay. Of rows that repeat a doc_id, one stays.
+    Rows without a doc_id stay. Rows that share a doc_id are one document, of which one row stays, or none if any of
+    them has a near duplicate of a smaller doc_id.
     """
     found = storage.cut(near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    gone = storage.cut(found.where("component_id < doc_id").select(F.col("doc_id").alias("__id")))
-    kept = docs.join(small(gone), docs["doc_id"] == F.col("__id"), "left_anti")
-    twice = storage.cut(found.where("n > 1 and component_id = doc_id").select(F.col("doc_id").alias("__id")))
+    gone = storage.cut(found.where("component_id < doc_id").select(F.col("doc_id").alias("__lf_id")))
+    kept = docs.join(small(gone), docs["doc_id"] == F.col("__lf_id"), "left_anti")
+    twice = storage.cut(found.where("n > 1 and component_id = doc_id").select(F.col("doc_id").alias("__lf_id")))
     if twice.isEmpty():
         return kept
-    same = kept["doc_id"] == F.col("__id")
+    same = kept["doc_id"] == F.col("__lf_id")
     return kept.join(small(twice), same, "left_anti").unionByName(kept.join(small(twice), same, "left_semi").dropDuplicates(["doc_id"]))
