@@ -21,12 +21,12 @@ def content_id(content: Column) -> Column:
 
 def image_point_id(media_id: Column) -> Column:
     """The first 8 bytes of the id, big-endian, low 63 bits."""
-    return _masked(F.hex(F.substring(media_id.cast("string"), 1, 8)))
+    return _masked(F.hex(F.substring(media_id.cast("string").cast("binary"), 1, 8)))
 
 
 def keyframe_point_id(media_id: Column, shot: Column, frame: Column) -> Column:
     """The first 6 bytes of the id, then a byte each of shot and frame number; low 63 bits."""
-    head = F.conv(F.hex(F.substring(media_id.cast("string"), 1, 6)), 16, 10).cast("long")
+    head = F.conv(F.hex(F.substring(media_id.cast("string").cast("binary"), 1, 6)), 16, 10).cast("long")
     tail = F.shiftleft(shot.cast("long").bitwiseAND(F.lit(255)), 8).bitwiseOR(frame.cast("long").bitwiseAND(F.lit(255)))
     return F.shiftleft(head, 16).bitwiseOR(tail).bitwiseAND(F.lit(9223372036854775807))
 

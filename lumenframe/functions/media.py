@@ -47,7 +47,7 @@ def duration_seconds(token: Column) -> Column:
     token = F.regexp_replace(F.lower(F.trim(token)), "/min$", "")
     value = F.regexp_extract(token, r"^([0-9]+(?:\.[0-9]+)?)(ms|s|m|h)$", 1).try_cast("double")
     unit = F.regexp_extract(token, r"(ms|s|m|h)$", 1)
-    return value * F.when(unit == "ms", 0.001).when(unit == "s", 1.0).when(unit == "m", 60.0).otherwise(3600.0)
+    return F.when(unit == "ms", value / 1000).when(unit == "s", value).when(unit == "m", value * 60).otherwise(value * 3600)
 
 
 def size_band(kind: Column, size: Column) -> Column:

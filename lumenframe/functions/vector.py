@@ -29,5 +29,5 @@ def normalised(a: Column) -> Column:
 
 def same_face(a: Column, b: Column, threshold: float = 0.6) -> Column:
     """struct(similarity cut to 0..1, match); 0 and false where vectors can't be compared."""
-    s = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b))), F.lit(0.0))
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine(a, b), F.lit(0.0))))  # least and greatest pass over nulls
     return F.struct(s.alias("similarity"), (s >= threshold).alias("match"))
