@@ -54,8 +54,7 @@ def search(collection: DataFrame, queries: DataFrame, k: int, digits: int = 6, m
             if best_id.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_id.shape[1])), pa.array(best_id.ravel()), pa.array(best_score.ravel())], names=["query_id", "id", "score"])
 
-        rows = collection.where(F.col("id").isNotNull() & (F.size("vector") == matrix.shape[1]) & ~F.exists("vector", F.isnull)).select(F.col("id").cast("long").alias("id"), "vector")
-        found = rows.mapInArrow(work, HITS)
+        found = _comparable(collection, matrix.shape[1]).mapInArrow(work, HITS)
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         hits = collection.sparkSession.createDataFrame([], HITS)
@@ -65,6 +64,32 @@ def search(collection: DataFrame, queries: DataFrame, k: int, digits: int = 6, m
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def within(collection: DataFrame, queries: DataFrame, min_score: float, digits: int = 6) -> DataFrame:
+    """query_id, id, score of every vector whose score for a query is at least ``min_score``; vectors as for ``search``."""
+    hits = None
+    for block in _blocks(queries.where("id is not null and vector is not null").select("id", "vector")):
+        ids, matrix = np.array([r["id"] for r in block], np.int64), _unit([r["vector"] for r in block])
+        shipped = collection.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def work(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shipped.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    part = batch.slice(at, 2000)
+                    rows = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1])
+                    score = np.round(matrix @ _unit(rows).T, digits)
+                    q, r = np.nonzero(score >= min_score)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(part.column("id").to_numpy()[r]), pa.array(score[q, r])], names=["query_id", "id", "score"])
+
+        found = _comparable(collection, matrix.shape[1]).mapInArrow(work, HITS)
+        hits = found if hits is None else hits.unionByName(found)
+    return collection.sparkSession.createDataFrame([], HITS) if hits is None else hits
+
+
+def _comparable(collection: DataFrame, size: int) -> DataFrame:
+    return collection.where(F.col("id").isNotNull() & (F.size("vector") == size) & ~F.exists("vector", F.isnull)).select(F.col("id").cast("long").alias("id"), "vector")
+
+
 def _blocks(asked: DataFrame) -> Iterator[list]:
     block: list = []
     for row in asked.toLocalIterator():

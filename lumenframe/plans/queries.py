@@ -517,6 +517,129 @@ def size_texts(c: Catalogue) -> DataFrame:
     return c.table("orders").where((price < 1000000) & (F.abs(price / 1024 * 10 % 1 - 0.5) > 0.001)).select(F.col("o_orderkey").alias("id"), size_text(price).alias("size"))
 
 
+# --- more of tables, ingest and export ------------------------------------------------------------
+
+
+@query(with_roles("media_tags") + " SELECT tag, count(*) AS n FROM (SELECT media_id, tag FROM media_tags UNION SELECT o_orderkey, 'NEW ' || o_orderstatus FROM orders) GROUP BY tag")
+def tags_added(c: Catalogue) -> DataFrame:
+    pairs = c.media_tags().withColumnRenamed("tag", "name")
+    new = c.table("orders").select(F.col("o_orderkey").alias("media_id"), F.concat(F.lit("NEW "), "o_orderstatus").alias("name"))
+    _, bridge = tables.add_tags(pairs.select("name").distinct(), pairs, new.unionByName(new))
+    return bridge.groupBy(F.col("name").alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey AS video_id, CAST(CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE count(*) END AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey")
+def shots_replaced(c: Catalogue) -> DataFrame:
+    old = c.table("lineitem").select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("shot_index"))
+    new = old.where("video_id % 10 = 0").select("video_id", F.lit(0).alias("shot_index")).distinct()
+    return tables.replace_groups(old, new, ["video_id"]).groupBy("video_id").agg(F.count("*").alias("n"))
+
+
+@query(with_roles("faces") + " SELECT 'faces' AS name, count(*) AS n FROM faces WHERE media_id % 7 <> 0 UNION ALL SELECT 'tags', count(*) FROM (SELECT DISTINCT l_orderkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 7 <> 0)")
+def cascade_delete(c: Catalogue) -> DataFrame:
+    gone = c.media().where("media_id % 7 = 0").select("media_id")
+    left = tables.cascade({"faces": c.faces(), "tags": c.media_tags()}, gone, "media_id")
+    return left["faces"].agg(F.lit("faces").alias("name"), F.count("*").alias("n")).unionByName(left["tags"].agg(F.lit("tags").alias("name"), F.count("*").alias("n")))
+
+
+@query("SELECT s_suppkey AS point_id, CASE WHEN c_custkey IS NOT NULL THEN c_name ELSE s_name END AS name, s_acctbal AS balance FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON s_suppkey = c_custkey")
+def payload_patch(c: Catalogue) -> DataFrame:
+    points = c.table("supplier").select(F.col("s_suppkey").alias("point_id"), F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")).alias("payload"))
+    patch = c.table("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("point_id"), F.col("c_name").alias("name"))
+    return tables.patch_payload(points, patch).select("point_id", "payload.name", "payload.balance")
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS point_id, CASE WHEN vec_id % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM embeddings WHERE vec_id % 9 <> 0 OR vec_id % 4 = 0")
+def index_upsert_and_delete(c: Catalogue) -> DataFrame:
+    points = c.table("embeddings").select(F.col("vec_id").cast("long").alias("point_id"), F.lit("old").alias("version"))
+    left = cdc.remove_points(points, points.where("point_id % 9 = 0"))
+    return cdc.upsert_points(left, points.where("point_id % 4 = 0").withColumn("version", F.lit("new")))
+
+
+@query(with_roles("media", "faces", "people") + " SELECT face_id, m.path, name AS person_name, ts_utc AS date FROM faces f JOIN media m USING (media_id) LEFT JOIN people p ON p.person_id = f.person_id WHERE deleted = 0 AND f.media_id % 10 = 1")
+def face_export_rows(c: Catalogue) -> DataFrame:
+    vectors = c.faces().select("face_id", F.array().cast("array<float>").alias("embedding"), (F.col("media_id") % 10).alias("updated_seq"))
+    points = cdc.face_points(c.media(), c.faces(), c.people(), vectors.where("updated_seq = 1"), 0)
+    return points.select("face_id", "payload.path", "payload.person_name", "payload.date")
+
+
+@query(with_roles("media", "faces", "people", "media_tags") + """, f AS (SELECT l_orderkey AS media_id, l_linenumber, min(l_partkey) AS keyframe_id, min(l_suppkey) AS s FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)
+SELECT f.media_id, f.l_linenumber AS kf, CASE WHEN s % 2 = 0 THEN 'own' ELSE (SELECT string_agg(tag, '|' ORDER BY tag) FROM media_tags t WHERE t.media_id = f.media_id) END AS tags, m.place,
+coalesce((SELECT string_agg(DISTINCT name, '|' ORDER BY name) FROM faces a JOIN people USING (person_id) WHERE a.media_id = f.media_id), '') AS people FROM f JOIN media m USING (media_id) WHERE deleted = 0""")
+def frame_export_rows(c: Catalogue) -> DataFrame:
+    rows = c.table("lineitem").where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    frames = rows.select(key.alias("keyframe_id"), F.col("l_orderkey").alias("video_id"), F.lit(0).alias("shot_index"), F.col("l_linenumber").alias("kf_index"), F.lit(0.0).alias("timestamp"), F.lit(0.0).alias("shot_start"), F.lit(1.0).alias("shot_end"), F.when(F.col("s") % 2 == 0, '["own"]').otherwise("[]").alias("tags"), F.lit("").alias("place"))
+    vectors = frames.select("keyframe_id", F.array().cast("array<float>").alias("embedding"), F.lit(1).alias("updated_seq"))
+    named = c.faces().join(F.broadcast(c.people()), "person_id").select("media_id", "name")
+    points = cdc.frame_points(c.media(), frames, vectors, c.media_tags(), named)
+    return points.select("media_id", F.split("keyframe_id", "-")[1].cast("int").alias("kf"), F.array_join("payload.tags", "|").alias("tags"), "payload.place", F.array_join("payload.people", "|").alias("people"))
+
+
+@query(with_roles("media", "faces") + """, gone AS (SELECT media_id FROM media WHERE deleted = 1 AND updated_seq > 40)
+SELECT 'image' AS collection, count(*) AS n FROM gone UNION ALL SELECT 'face', count(*) FROM faces WHERE media_id IN (SELECT media_id FROM gone) UNION ALL SELECT 'video', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT media_id FROM gone))""")
+def delta_tombstones(c: Catalogue) -> DataFrame:
+    media = c.media().withColumn("deleted_seq", F.col("updated_seq"))
+    frames = c.table("lineitem").select(F.col("l_orderkey").alias("video_id"), F.lit(0).alias("shot_index"), F.col("l_linenumber").alias("kf_index")).distinct()
+    return cdc.tombstoned_points(media, c.faces(), frames, 40).groupBy("collection").agg(F.count("*").alias("n"))
+
+
+@query(SCAN + """, d AS (SELECT o.media_id AS old, s.media_id AS new, o.size_bytes = s.size_bytes AND o.mtime_ns = s.mtime_ns AS hit, m.media_id IS NOT NULL AS known, m.deleted, h.media_id AS canon
+FROM snapshot s LEFT JOIN state o USING (source_name, rel_path) LEFT JOIN med m ON m.media_id = s.media_id LEFT JOIN snapshot h ON h.source_name = m.p.s AND h.rel_path = m.p.r)
+SELECT count(*) FILTER (hit) AS hit, count(*) FILTER (NOT coalesce(hit, false) AND old = new) AS refreshed, count(*) FILTER (NOT coalesce(hit, false) AND old IS DISTINCT FROM new AND NOT known) AS new,
+count(*) FILTER (NOT coalesce(hit, false)) AS hashed, count(*) FILTER (NOT coalesce(hit, false) AND old <> new) AS changed FROM d""")
+def scan_counters(c: Catalogue) -> DataFrame:
+    return ingest.counters(ingest.classify(*_scan(c))).select("hit", "refreshed", "new", "hashed", "changed")
+
+
+@query(SCAN + ", lost AS (SELECT DISTINCT o.media_id FROM snapshot s JOIN state o USING (source_name, rel_path) WHERE o.media_id <> s.media_id AND NOT (o.size_bytes = s.size_bytes AND o.mtime_ns = s.mtime_ns)) SELECT media_id FROM lost JOIN med USING (media_id) WHERE deleted = 0 AND media_id NOT IN (SELECT CASE WHEN o.size_bytes = s.size_bytes AND o.mtime_ns = s.mtime_ns THEN o.media_id ELSE s.media_id END FROM snapshot s LEFT JOIN state o USING (source_name, rel_path))")
+def superseded_media(c: Catalogue) -> DataFrame:
+    snapshot, state, media = _scan(c)
+    return ingest.superseded(ingest.classify(snapshot, state, media), media)
+
+
+@query(with_roles("media") + """ SELECT media_id, CAST(mime LIKE 'image/%' AND (media_id % 3 = 0 OR media_id % 4 <> 0) AS BOOLEAN) AS needs_embedding, media_id % 5 = 0 AS needs_faces, mime NOT LIKE 'image/%' AND (media_id % 4 = 0 OR media_id % 3 < media_id % 4) AS needs_frames FROM media WHERE deleted = 0""")
+def work_needed(c: Catalogue) -> DataFrame:
+    k = F.col("media_id")
+    flags = {"has_embedding": k % 3 != 0, "embeddings_version": F.when(k % 4 == 0, "v2").otherwise("v1"), "face_detection_done": (k % 5 != 0).cast("int"), "object_detection_done": F.lit(1), "n_frames": (k % 4).cast("int"), "n_frame_vectors": (k % 3).cast("int")}
+    return ingest.work_needed(c.media().withColumns(flags), "v2").select("media_id", "needs_embedding", "needs_faces", "needs_frames")
+
+
+@query(with_roles("files") + " SELECT rel_path, (row_number() OVER (PARTITION BY source_name ORDER BY rel_path) - 1) // 20 AS batch FROM files WHERE source_name IS NOT NULL")
+def commit_groups(c: Catalogue) -> DataFrame:
+    return ingest.commit_groups(c.files().where("source_name is not null"), 20).select("rel_path", "batch")
+
+
+@query("""WITH g AS (SELECT n_name AS name, (n_nationkey * 7) % 120 - 60 + 0.37 AS plat, (n_nationkey * 29) % 360 - 180 + 0.53 AS plon FROM nation), p AS (SELECT c_custkey AS id, (c_custkey * 13) % 120 - 60 + 0.11 AS lat, (c_custkey * 31) % 360 - 180 + 0.29 AS lon FROM customer),
+j AS (SELECT id, name || ', x, yy' AS place, round(2 * 6371.0 * asin(sqrt(power(sin(radians(plat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * power(sin(radians(plon - lon) / 2), 2))), 6) AS km
+FROM p JOIN g ON abs(floor(plat / 20) - floor(lat / 20)) <= 1 AND (abs(floor(plon / 20) - floor(lon / 20)) <= 1 OR abs(floor(plon / 20) - floor(lon / 20)) = 17))
+SELECT p.id, (SELECT place FROM j WHERE j.id = p.id ORDER BY km, place LIMIT 1) AS place FROM p""")
+def nearest_place(c: Catalogue) -> DataFrame:
+    at = lambda k, a, b, o, d: ((F.col(k) * a) % b - o + d).cast("double")
+    gazetteer = c.table("nation").select(F.col("n_name").alias("name"), F.lit("x").alias("admin1"), F.lit("yy").alias("cc"), at("n_nationkey", 7, 120, 60, 0.37).alias("lat"), at("n_nationkey", 29, 360, 180, 0.53).alias("lon"))
+    points = c.table("customer").select(F.col("c_custkey").alias("id"), at("c_custkey", 13, 120, 60, 0.11).alias("lat"), at("c_custkey", 31, 360, 180, 0.29).alias("lon"))
+    return tracks.nearest_place(points, gazetteer, 20.0).select("id", "place")
+
+
+@query("SELECT o_orderkey AS id, round(sum(o_totalprice) OVER w / count(*) OVER w * (100000 - count(*) OVER w), 2) AS eta FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w <= 3")
+def running_eta(c: Catalogue) -> DataFrame:
+    steps = c.table("orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority", "o_totalprice", F.lit(100000).alias("total"))
+    first = steps.withColumn("n", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("id"))).where("n <= 3")
+    return reports.running_eta(first, ["o_orderpriority"], "id", "o_totalprice", "total").select("id", F.round("eta", 2).alias("eta"))
+
+
+@query(with_roles("media") + " SELECT count(*) FILTER (mime LIKE 'image/%') AS images, count(*) FILTER (mime LIKE 'video/%') AS videos, round(count(*) FILTER (mime LIKE 'image/%') + greatest(count(*) FILTER (mime LIKE 'video/%') * 30.0, sum(duration) FILTER (mime LIKE 'video/%') / 60 * 5.0), 2) AS seconds FROM media")
+def dryrun_estimate(c: Catalogue) -> DataFrame:
+    return reports.time_estimate(c.media())
+
+
+@query(with_roles("vectors") + """, pairs AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.vector, b.vector), 6) AS s FROM vectors a, vectors b WHERE a.id % 20 = 0 AND a.id <> b.id)
+SELECT a AS query_id, b AS id, s AS score FROM pairs WHERE s >= 0.3""")
+def similarity_pairs_over_threshold(c: Catalogue) -> DataFrame:
+    v = c.vectors()
+    return knn.within(v, v.where("id % 20 = 0"), 0.3).where("query_id != id")
+
+
 @query()
 def learned_rerank(c: Catalogue) -> DataFrame:
     """A model's order of each query's neighbours; no SQL, the model is a Python function."""
@@ -529,3 +652,13 @@ def learned_rerank(c: Catalogue) -> DataFrame:
 def vector_components(c: Catalogue) -> DataFrame:
     """Projections on two principal components; no SQL, an eigenproblem."""
     return knn.principal_components(c.vectors(), 2)
+
+
+@query()
+def text_search(c: Catalogue) -> DataFrame:
+    """Documents nearest to a text by the default text model; no SQL, the model is a Python function."""
+    from lumenframe.functions.models import text_vectors
+
+    docs = c.table("documents").where("text is not null").select(F.col("doc_id").alias("id"), text_vectors(F.col("text")).alias("vector"))
+    asked = c.spark.createDataFrame([(0, "licensed under the apache license")], "id long, q string").select("id", text_vectors(F.col("q")).alias("vector"))
+    return knn.search(docs, asked, 10)

@@ -70,6 +70,7 @@ def test_knn_ties_nulls_and_zero_vectors(spark):
     q = v.where("id in (1, 4)")
     got = [tuple(r) for r in knn.search(v, q, 3).orderBy("rank").select("query_id", "id", "score").collect()]
     assert got == [(1, 1, 1.0), (1, 2, 1.0), (1, 3, 0.0)]
+    assert sorted(map(tuple, knn.within(v, q, 0.0).collect())) == [(1, 1, 1.0), (1, 2, 1.0), (1, 3, 0.0)]
     assert knn.search(v, q.limit(0), 3).count() == 0 and knn.search(v.limit(0), q, 3).count() == 0
     assert [r["id"] for r in knn.missing_queries(spark.createDataFrame([(1,), (4,), (9,)], "id long"), v).orderBy("id").collect()] == [4, 9]
 
