@@ -9,10 +9,11 @@ bits of their lines' hashes); windows that match overlap, which extends each mat
 ways. Every window but the first of its content, by (doc_id, line), is deleted.
 
 A large group of copies of a passage costs a row per window and copy: each is compared with the
-first only. Occurrences may overlap. Null texts stay null, texts without a long enough run stay as
+first only, and the joins' right sides are stored, so that Spark can split a large key. What repeats
+grows with the corpus, so nothing is broadcast by hand, and texts are shuffled once. Occurrences may overlap. Null texts stay null, texts without a long enough run stay as
 they are, and a text may become empty, but no row goes. Rows without a doc_id come last in the
 order. Rows with equal doc_id and text are one document and get the same result. ``n_chars``, where
-there is one, follows the new text; all other columns stay.
+there is one, follows the new text; all other columns stay. Names with __lf_ are the operator's own.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm import storage
-from lumenframe.llm.components import small
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,21 +29,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def _keyed(docs: DataFrame) -> DataFrame:
     last = F.lit(9223372036854775807)
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), last), "__text": F.xxhash64("text")})
+    return docs.withColumns({"__lf_id": F.coalesce(F.col("doc_id").cast("long"), last), "__lf_text": F.xxhash64("text")})
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per complete window: id, text_hash, first and last line, fingerprint and its line, content (two hashes)."""
-    lines = _keyed(docs.select("doc_id", "text")).select("__id", "__text", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
+    lines = _keyed(docs.select("doc_id", "text")).select("__lf_id", "__lf_text", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     # lines of repeated rows fall together here, where the windows need them
-    coded = lines.select("__id", "__text", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), F.regexp_count("words", F.lit(WORD)).cast("long").alias("n"))
-    coded = coded.where("n > 0").repartition("__id", "__text").groupBy("__id", "__text", "line").agg(F.first("h").alias("h"), F.first("g").alias("g"), F.first("n").alias("n"))
-    own = Window.partitionBy("__id", "__text")
+    coded = lines.select("__lf_id", "__lf_text", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), F.regexp_count("words", F.lit(WORD)).cast("long").alias("n"))
+    coded = coded.where("n > 0").repartition("__lf_id", "__lf_text").groupBy("__lf_id", "__lf_text", "line").agg(F.first("h").alias("h"), F.first("g").alias("g"), F.first("n").alias("n"))
+    own = Window.partitionBy("__lf_id", "__lf_text")
     placed = coded.withColumn("before", F.sum("n").over(own.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     ahead = own.orderBy("before").rangeBetween(0, min_words - 1)
     found = placed.select(
-        "__id",
-        "__text",
+        "__lf_id",
+        "__lf_text",
         F.col("line").alias("first"),
         F.max("line").over(ahead).alias("last"),
         F.sum("n").over(ahead).alias("words"),
@@ -51,36 +51,36 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.xxhash64(F.collect_list("h").over(ahead)).alias("w1"),
         F.xxhash64(F.collect_list("g").over(ahead)).alias("w2"),
     )
-    return found.where(F.col("words") >= min_words).select("__id", "__text", "first", "last", F.col("low.h").alias("fingerprint"), F.col("low.line").alias("at"), "w1", "w2")
+    return found.where(F.col("words") >= min_words).select("__lf_id", "__lf_text", "first", "last", F.col("low.h").alias("fingerprint"), F.col("low.line").alias("at"), "w1", "w2")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(__id, __text, runs): the line ranges of each document that repeat an earlier run; disjoint, in order."""
+    """(__lf_id, __lf_text, __lf_runs): the line ranges of each document that repeat an earlier run; disjoint, in order."""
     every = storage.written(windows(docs, min_words))
-    place = F.struct("__id", "__text", "at")
+    place = F.struct("__lf_id", "__lf_text", "at")
     again = every.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fingerprint")
-    near = every.join(small(storage.cut(again)), "fingerprint", "left_semi")
-    spot = F.struct("__id", "__text", "first")
+    near = every.join(storage.cut(again), "fingerprint", "left_semi")
+    spot = F.struct("__lf_id", "__lf_text", "first")
     firsts = near.groupBy("w1", "w2").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a != b").select("w1", "w2", "a")
-    later = near.join(small(storage.cut(firsts)), ["w1", "w2"]).where(spot != F.col("a"))
-    own = Window.partitionBy("__id", "__text").orderBy("first")
+    later = near.join(storage.cut(firsts), ["w1", "w2"]).where(spot != F.col("a"))
+    own = Window.partitionBy("__lf_id", "__lf_text").orderBy("first")
     reach = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    marked = later.select("__id", "__text", "first", "last", F.coalesce((F.col("first") > reach).cast("int"), F.lit(0)).alias("opens"))
-    runs = marked.withColumn("run", F.sum("opens").over(own)).groupBy("__id", "__text", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return runs.groupBy("__id", "__text").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    marked = later.select("__lf_id", "__lf_text", "first", "last", F.coalesce((F.col("first") > reach).cast("int"), F.lit(0)).alias("opens"))
+    runs = marked.withColumn("run", F.sum("opens").over(own)).groupBy("__lf_id", "__lf_text", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy("__lf_id", "__lf_text").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("__lf_runs"))
 
 
 def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, count_column: str | None = None) -> DataFrame:
     """``docs`` with repeated runs deleted from ``text``; ``count_column``: also say how many lines went."""
     runs = storage.cut(repeated_runs(docs, min_words))
-    joined = _keyed(docs).join(small(runs), ["__id", "__text"], "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT exists(runs, r -> i BETWEEN r.first AND r.last)), '\\n')")
-    new = F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept)
+    joined = _keyed(docs).join(runs, ["__lf_id", "__lf_text"], "left")
+    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT exists(__lf_runs, r -> i BETWEEN r.first AND r.last)), '\\n')")
+    new = F.when(F.col("__lf_runs").isNull(), F.col("text")).otherwise(kept)
     columns = {"text": new}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("runs").isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("__lf_runs").isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
     if count_column:
-        columns[count_column] = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0))
+        columns[count_column] = F.coalesce(F.aggregate("__lf_runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0))
     return joined.withColumns(columns).select(*docs.columns, *([count_column] if count_column else []))
 
 
