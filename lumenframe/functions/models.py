@@ -19,7 +19,7 @@ ImageModel = Callable[[list[bytes]], np.ndarray]
 FACES = "array<struct<x:double,y:double,w:double,h:double,confidence:double,embedding:array<float>,gender:string,age:int>>"
 
 
-def hashing_text_model(size: int = 64) -> TextModel:
+def hashing_text_model(size: int = 256) -> TextModel:
     """Unit vectors of word hashes; a text without words is the zero vector."""
     import xxhash
 
