@@ -123,7 +123,7 @@ def count_words(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
         some = np.flatnonzero(total[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["word", "n"])
 
-    sums = docs.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    sums = storage.in_small_batches(docs.select("text")).mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     names = list(coded)
     return {names[r["word"]]: r["n"] for r in sums}
 
@@ -210,7 +210,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: i
             for part in storage.by_size(batch, "text"):
                 yield _results(part, blocks)
 
-    return source.mapInArrow(work, HITS)
+    return storage.in_small_batches(source).mapInArrow(work, HITS)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -229,4 +229,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 clean = [not s for s in _results(part, blocks).column("spans").to_pylist()]
                 yield part.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return storage.in_small_batches(docs).mapInArrow(work, docs.schema)

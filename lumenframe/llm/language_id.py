@@ -193,7 +193,7 @@ def predict(docs: DataFrame, trained: tuple[dict[str, str], dict[str, int]]) ->
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(work, RESULT)
+    return storage.in_small_batches(docs.select(doc_id.alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")).mapInArrow(work, RESULT)
 
 
 def identify(docs: DataFrame, sample_docs: int = 64, sample_chars: int = 2000) -> DataFrame:

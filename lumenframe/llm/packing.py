@@ -141,7 +141,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, shard_tokens: int =
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(parts, F.xxhash64("doc_id", "text"))
-    return dealt.sortWithinPartitions("doc_id", "text").mapInArrow(work, PIECES)
+    return storage.in_small_batches(dealt.sortWithinPartitions("doc_id", "text")).mapInArrow(work, PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

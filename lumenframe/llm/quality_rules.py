@@ -88,7 +88,7 @@ def measure(docs: DataFrame, min_words: int = 20, max_repeated: int = 30) -> Dat
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(got[m]) for m in MEASURES), pa.array(failed)], names=[*kept, *names])
 
     schema = T.StructType([*docs.select(*kept).schema, *(T.StructField(m, T.LongType()) for m in MEASURES), T.StructField("base_failed", T.BooleanType())])
-    return docs.select(*kept).mapInArrow(work, schema)
+    return storage.in_small_batches(docs.select(*kept)).mapInArrow(work, schema)
 
 
 def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:

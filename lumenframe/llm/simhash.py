@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 found = fingerprints_of(part.column("text").cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, fp long")
+    return storage.in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(work, "doc_id long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:

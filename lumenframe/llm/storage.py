@@ -58,6 +58,15 @@ def put(uri: str, data) -> None:
     store.move(part, path)
 
 
+def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, for a function over Arrow batches. The session's batches are set to at most ``rows`` rows from here on, so
+    that a Python worker holds some MB of texts at a time; results don't depend on it."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def by_size(batch: pa.RecordBatch, column: str, size: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``size`` bytes in ``column``, which bounds what a task holds as Python objects."""
     at = total = 0
@@ -68,6 +77,7 @@ def by_size(batch: pa.RecordBatch, column: str, size: int = 500_000) -> Iterator
             at, total = k + 1, 0
     if at < batch.num_rows:
         yield batch.slice(at)
+    pa.default_memory_pool().release_unused()
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, token
     SCHEMA = pa.schema([("path", pa.string()), ("part", pa.int32()), ("file", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ordered.mapInArrow(work, MANIFEST).collect()
+    rows = storage.in_small_batches(ordered).mapInArrow(work, MANIFEST).collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: (r["part"], r["file"]))]
 
 

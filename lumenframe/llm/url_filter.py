@@ -94,4 +94,3 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: Dat
     found = found.join(small(blocked), found["url"] == F.col("__lf_url"), "left")
     spread = F.when(F.col("__lf_blocked"), "block").otherwise("allow")
     return found.withColumns({"rule": F.col("__lf_rule.rule"), "verdict": F.coalesce(F.col("__lf_rule.verdict"), spread)}).drop("__lf_rule", "__lf_url", "__lf_blocked")
-

@@ -170,7 +170,8 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, sample: int = 500,
             yield flush()
 
     joined = source.join(small(winners), (source["sha1"] == winners["sha1"]) & large, "left")
-    out = joined.select("page_id", "url", F.col("html").cast("binary").alias("html"), "winner").mapInArrow(work, "path string, records long")
+    rows = joined.select("page_id", "url", F.col("html").cast("binary").alias("html"), "winner")
+    out = storage.in_small_batches(rows).mapInArrow(work, "path string, records long")
     return [r.asDict() for r in out.collect()]
 
 
