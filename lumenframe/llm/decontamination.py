@@ -230,3 +230,27 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 yield part.filter(pa.array(clean, pa.bool_()))
 
     return storage.in_small_batches(docs).mapInArrow(work, docs.schema)
+
+
+#: The same as ``digest(hits(documents, benchmark))`` by comparing all windows as texts; one row a doc_id and item_id.
+SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), starts AS (
+    SELECT item, w, least(len(w), 10) AS n, unnest(generate_series(1, greatest(1, len(w) - 9))) AS a FROM items WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT item, n, array_to_string(w[a : a + n - 1], ' ') AS s FROM starts
+), stretches AS (
+    SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS a FROM words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+), found AS (
+    SELECT doc_id, a, t.n, item FROM (SELECT doc_id, a, n, array_to_string(w[a : a + n - 1], ' ') AS s FROM stretches) t JOIN windows USING (n, s)
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(a, a + n - 1)) AS p FROM found) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM found GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

@@ -131,3 +131,36 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataF
     found = measured.join(F.broadcast(right) if few else right, F.col(host) == F.col("__lf_host"), "left").drop("__lf_host")
     rejected = F.coalesce(F.col("host_rejected"), F.lit(False))
     return found.withColumn("host_rejected", rejected).withColumn("kept", ~F.col("base_failed") & ~rejected)
+
+
+#: The same as ``judge(documents)`` by comparing all windows as texts; one row a doc_id.
+SQL = r"""
+WITH parts AS (
+    SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), stretches AS (
+    SELECT doc_id, a, array_to_string(w[a : a + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS a FROM parts WHERE len(w) >= 8)
+), again AS (
+    SELECT doc_id, a FROM (SELECT doc_id, a, count(*) OVER (PARTITION BY doc_id, s) AS k FROM stretches) WHERE k > 1
+), repeated AS (
+    SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(a, a + 7)) AS p FROM again) GROUP BY doc_id
+), measured AS (
+    SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM parts LEFT JOIN repeated r USING (doc_id)
+), failed AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured
+), hosts AS (
+    SELECT source AS host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS x FROM failed WHERE source IS NOT NULL GROUP BY source
+), sums AS (
+    SELECT sum(n) AS n, sum(x) AS x, sum(n * n) AS nn, sum(x * x / n) AS xx, count(*) AS h, sum(x) / sum(n) AS m FROM hosts
+), spread AS (
+    SELECT m, m * (1 - m) AS c, CASE WHEN n - nn / n > 0 THEN (xx - n * m * m - (h - 1) * m * (1 - m)) / (n - nn / n) ELSE 0 END AS b FROM sums
+), prior AS (
+    SELECT m, CASE WHEN b > 0 THEN least(1e6, greatest(1, c / b - 1)) ELSE 1e6 END AS w FROM spread
+), rates AS (
+    SELECT host, n, w, (x + m * w) / (n + w) AS rate FROM hosts, prior
+), verdicts AS (
+    SELECT host, rate, rate - 2 * sqrt(rate * (1 - rate) / (n + w + 1)) > 0.5 AS rejected FROM rates
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept, source, round(rate, 6) AS host_rate, coalesce(rejected, false) AS host_rejected
+FROM failed LEFT JOIN verdicts ON source = host
+"""

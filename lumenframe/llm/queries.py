@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenframe.llm import decontamination, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, storage, token_files, url_filter, warc
 
@@ -42,7 +43,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "source", "host_rate", "host_rejected")
+    found = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "source", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op5_url_filter": url_filter.SQL, "op8_quality_rules": quality_rules.SQL, "op9_line_dedup": line_dedup.SQL}

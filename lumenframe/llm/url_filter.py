@@ -94,3 +94,30 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: Dat
     found = found.join(small(blocked), found["url"] == F.col("__lf_url"), "left")
     spread = F.when(F.col("__lf_blocked"), "block").otherwise("allow")
     return found.withColumns({"rule": F.col("__lf_rule.rule"), "verdict": F.coalesce(F.col("__lf_rule.verdict"), spread)}).drop("__lf_rule", "__lf_url", "__lf_blocked")
+
+
+
+#: The same as ``judge(pages)``: blocks spread over edges from blocked urls; one row a page_id.
+SQL = r"""
+WITH RECURSIVE links AS (
+    SELECT url AS u, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''>\s]*)', 1),
+        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''>\s]*)', 1)]) AS link FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+), plain AS (
+    SELECT u, replace(trim(link), '&amp;', '&') AS l, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_extract(u, '://[^/?#]*((?:/[^?#]*)?/)', 1) AS folder FROM links WHERE trim(link) <> ''
+), edges AS (
+    SELECT u, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l WHEN starts_with(l, '//') THEN regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) || l WHEN starts_with(l, '/') THEN root || l WHEN folder = '' THEN root || '/' || l ELSE root || folder || l END AS v FROM plain
+), both_ways AS (
+    SELECT u, v FROM edges WHERE u <> v AND regexp_matches(v, '^[Hh][Tt][Tt][Pp][Ss]?://') UNION SELECT v, u FROM edges WHERE u <> v AND regexp_matches(v, '^[Hh][Tt][Tt][Pp][Ss]?://')
+), urls AS (
+    SELECT url, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
+    FROM (SELECT url FROM pages UNION SELECT u FROM both_ways)
+), rules(verdict, rule, rhost, start) AS (
+    VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
+), own AS (
+    SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM urls JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, start) GROUP BY url
+), blocked(url) AS (
+    SELECT url FROM own WHERE verdict = 'block' UNION SELECT v FROM blocked JOIN both_ways ON url = u
+)
+SELECT page_id, host, path, rule, coalesce(own.verdict, CASE WHEN p.url IN (SELECT url FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p LEFT JOIN urls ON urls.url IS NOT DISTINCT FROM p.url LEFT JOIN own ON own.url = p.url
+"""

@@ -196,3 +196,18 @@ def read(spark: SparkSession, files: list[dict], payloads: bool = True) -> DataF
 
     names = spark.createDataFrame([(f["path"],) for f in files], "path string")
     return names.repartition(max(1, len(files))).mapInArrow(work, RECORDS)
+
+
+#: What ``read`` tells of the archives of ``pages``, from the pages themselves; one row a page_id.
+SQL = """
+WITH digests AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''),
+        lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM pages
+), named AS (
+    SELECT page_id, payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(generate_series(1, 5),
+        lambda j: CASE WHEN substr(bits, CAST(5 * i + j AS INTEGER), 1) = '1' THEN 1 << CAST(5 - j AS INTEGER) ELSE 0 END))::INTEGER, 1)), '') AS payload_digest FROM digests
+), last AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS winner FROM named
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> winner THEN winner END AS refers_to FROM last
+"""

@@ -2,6 +2,9 @@ import base64
 import hashlib
 import random
 
+import duckdb
+import pandas as pd
+
 from lumenframe.llm import line_dedup as N
 from lumenframe.llm import storage
 from lumenframe.llm import url_filter as U
@@ -126,3 +129,16 @@ def test_rules_and_aliases(spark):
     hosts = {r["page_id"]: (r["host"], r["path"]) for r in U.judge(pages).collect()}
     assert hosts[10] == ("sub.example.net", "/en/p") and hosts[12] == ("net", "") and hosts[9] == hosts[7] == ("", "")
     assert U.judge(pages.limit(0)).count() == 0 and U.judge(pages, rules=[]).where("verdict = 'block'").count() == 0
+
+
+def test_sql_of_pages_equals_the_operators(spark):
+    link = '<html><link href="%s" rel="canonical"></html>'
+    rows = [(1, "http://a.net/x", ""), (2, "http://b.org/y?q#f", link % "http://a.net/x"), (3, "http://c.org/z/", link % "../k"), (4, "http://d.org/fr/1", link % "//a.net/x"), (5, None, link % "x"), (6, "http://e.com/k", link % "http://f.net/gone"), (7, "http://e.com", link % "k"), (8, "é", "é" * 30), (9, "http://a.net/x", None), (10, "x", "é" * 30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    ours = U.judge(pages).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, ours)) == sorted(con.sql(U.SQL).fetchall())
+    assert {r["page_id"] for r in ours if r["verdict"] == "block"} == {1, 2, 6, 7, 9}
+    read = W.read(spark, W.write(pages, storage.new_folder(spark, "w"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, read)) == sorted(con.sql(W.SQL).fetchall())
