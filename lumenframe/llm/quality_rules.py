@@ -75,19 +75,20 @@ def measures_of(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     return out
 
 
-def measure(docs: DataFrame, min_words: int = 20, max_repeated: int = 30) -> DataFrame:
-    """``docs`` with ``MEASURES`` and base_failed added; whole texts, row by row."""
+def measure(docs: DataFrame, min_words: int = 20, max_repeated: int = 30, with_text: bool = True) -> DataFrame:
+    """``docs`` with ``MEASURES`` and base_failed added, and without their text if not ``with_text``; row by row."""
     names = [*MEASURES, "base_failed"]
     kept = [c for c in docs.columns if c not in names]
+    out = kept if with_text else [c for c in kept if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in storage.by_size(batch, "text"):
                 got = measures_of(part.column("text").cast(pa.binary()).to_pylist())
                 failed = (got["n_words"] < min_words) | (100 * got["n_repeat_words"] > max_repeated * got["n_words"])
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(got[m]) for m in MEASURES), pa.array(failed)], names=[*kept, *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in out), *(pa.array(got[m]) for m in MEASURES), pa.array(failed)], names=[*out, *names])
 
-    schema = T.StructType([*docs.select(*kept).schema, *(T.StructField(m, T.LongType()) for m in MEASURES), T.StructField("base_failed", T.BooleanType())])
+    schema = T.StructType([*docs.select(*out).schema, *(T.StructField(m, T.LongType()) for m in MEASURES), T.StructField("base_failed", T.BooleanType())])
     return storage.in_small_batches(docs.select(*kept)).mapInArrow(work, schema)
 
 
@@ -117,15 +118,16 @@ def beta_prior(n: float | None, x: float, nn: float, xx: float, hosts: int) -> t
     return mean, min(1e6, max(1.0, chance / between - 1)) if between > 0 else 1e6
 
 
-def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5, with_text: bool = True) -> DataFrame:
     """``docs`` with measures, base_failed, host_rate, host_rejected and kept.
 
-    Documents are measured twice, once to sum up the hosts and once for the result, rather than
-    shuffled or stored. The hosts' sums are written out first; only rejected hosts are looked up,
-    by broadcast while they are few, else by a join.
+    With their texts, documents are measured twice, once to sum up the hosts and once for the
+    result, rather than shuffled or stored; without, the measures are stored and read twice. Hosts
+    are looked up by broadcast while they are few, else by a join.
     """
-    measured = measure(docs.drop("host_rate", "host_rejected", "kept"))
-    hosts = host_verdicts(measure(docs.select("text", host)), host, max_rate)
+    plain = docs.drop("host_rate", "host_rejected", "kept")
+    measured = measure(plain) if with_text else storage.written(measure(plain, with_text=False))
+    hosts = host_verdicts(measure(docs.select("text", host), with_text=False) if with_text else measured, host, max_rate)
     few = hosts.count() <= 200_000
     right = hosts.select(F.col("host").alias("__lf_host"), "host_rate", "host_rejected")
     found = measured.join(F.broadcast(right) if few else right, F.col(host) == F.col("__lf_host"), "left").drop("__lf_host")

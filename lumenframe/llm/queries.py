@@ -43,8 +43,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.judge(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "source", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality_rules.judge(docs, with_text=False).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "source", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,11 +31,14 @@ def texts():
 def test_measures_equal_brute_force(spark):
     rows = [(k, t, "s", "q", 1.0, 2) for k, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept string, host_rate double, n_words int")
-    got = {r["doc_id"]: r for r in R.judge(docs).collect()}
-    for k, t, *_ in rows:
-        m = measures(t)
-        failed = m[0] < 20 or 100 * m[4] > 30 * m[0]
-        assert [got[k][c] for c in R.MEASURES] == m and got[k]["base_failed"] == failed and (failed <= (not got[k]["kept"]))
+    for with_text in (True, False):
+        judged = R.judge(docs, with_text=with_text)
+        assert ("text" in judged.columns) == with_text
+        got = {r["doc_id"]: r for r in judged.collect()}
+        for k, t, *_ in rows:
+            m = measures(t)
+            failed = m[0] < 20 or 100 * m[4] > 30 * m[0]
+            assert [got[k][c] for c in R.MEASURES] == m and got[k]["base_failed"] == failed and (failed <= (not got[k]["kept"]))
 
 
 def test_hosts(spark):
