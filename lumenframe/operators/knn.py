@@ -121,6 +121,7 @@ def suggestions(hits: DataFrame, people: DataFrame, top: int = 5, digits: int =
 
     ``hits``: query_id, score, person_id (null: nobody); ``people``: person_id, name.
     """
-    groups = hits.where("person_id is not null").groupBy("query_id", "person_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), digits).alias("mean_score"))
+    millionths = F.sum(F.round(F.col("score") * 1000000).cast("long"))  # whole numbers add up alike in any order
+    groups = hits.where("person_id is not null").groupBy("query_id", "person_id").agg(F.count("*").alias("n"), F.round(millionths / F.count("*") / 1000000, digits).alias("mean_score"))
     ranked = groups.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("mean_score"), "person_id")))
     return ranked.where(F.col("rank") <= top).join(people, "person_id", "left")

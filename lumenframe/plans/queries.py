@@ -192,7 +192,7 @@ def knn_top20(c: Catalogue) -> DataFrame:
     return knn.search(v, v.where("id = 0"), 20).select("id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-SUGGEST = """, groups AS (SELECT query_id, person_id, count(*) AS n, round(avg(score), 4) AS mean_score FROM ranked WHERE rank <= 50 AND person_id IS NOT NULL GROUP BY ALL)
+SUGGEST = """, groups AS (SELECT query_id, person_id, count(*) AS n, round(CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000, 4) AS mean_score FROM ranked WHERE rank <= 50 AND person_id IS NOT NULL GROUP BY ALL)
 SELECT query_id, person_id, n, mean_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, mean_score DESC, person_id) AS rank FROM groups) WHERE rank <= 5"""
 
 
