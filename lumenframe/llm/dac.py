@@ -25,16 +25,16 @@ LEVEL = struct.Struct("<QQ")  # offset in the file, entries
 
 def pack(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
     """The file of some documents: their ids, where each ends among ``ids``, and the token ids."""
-    levels, rest = [], ids.astype(np.uint32)
+    levels, rest = [], ids.view(np.uint32) if ids.itemsize == 4 else ids.astype(np.uint32)
     while True:
-        more = rest >> CHUNK_BITS
-        goes_on = more > 0
+        codes = rest.astype(np.uint8).tobytes()  # the lowest chunk
+        goes_on = rest >= 1 << CHUNK_BITS
         bits = np.packbits(goes_on, bitorder="little")
         bits = np.concatenate([bits, np.zeros(-len(bits) % (RANK_BLOCK // 8), np.uint8)])
         ones = np.bitwise_count(bits.view(np.uint64)).reshape(-1, RANK_BLOCK // 64).sum(axis=1)
         directory = np.concatenate([[0], np.cumsum(ones)]).astype(np.uint64)
-        levels.append((len(rest), (rest & ((1 << CHUNK_BITS) - 1)).astype(np.uint8).tobytes() + bits.tobytes() + directory.tobytes()))
-        rest = more[goes_on]
+        levels.append((len(rest), [codes, bits.tobytes(), directory.tobytes()]))
+        rest = rest[goes_on] >> np.uint32(CHUNK_BITS)
         if not len(rest):
             break
     known = np.array([d is not None for d in doc_ids], np.uint8)
@@ -43,8 +43,8 @@ def pack(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
     at, table = len(head) + LEVEL.size * len(levels) + len(docs), b""
     for n, data in levels:
         table += LEVEL.pack(at, n)
-        at += len(data)
-    return b"".join([head, table, docs, *(data for _, data in levels)])
+        at += sum(map(len, data))
+    return b"".join([head, table, docs, *(part for _, data in levels for part in data)])
 
 
 class Reader:
@@ -91,10 +91,9 @@ class Reader:
 
     def all(self) -> np.ndarray:
         """Every id, as unsigned 32-bit integers."""
-        out, where = np.zeros(self.n_ids, np.uint32), slice(None)
+        out, there = np.zeros(self.n_ids, np.uint32), np.ones(self.n_ids, bool)
         for k in range(len(self.levels)):
             n, codes, bitmap, directory = self._parts(k)
-            out[where] |= np.frombuffer(self._read(codes, n), np.uint8).astype(np.uint32) << np.uint32(CHUNK_BITS * k)
-            bits = np.unpackbits(np.frombuffer(self._read(bitmap, directory - bitmap), np.uint8), count=n, bitorder="little")
-            where = (np.arange(self.n_ids) if k == 0 else where)[bits.astype(bool)]
+            out[there] |= np.frombuffer(self._read(codes, n), np.uint8).astype(np.uint32) << np.uint32(CHUNK_BITS * k)
+            there[there] = np.unpackbits(np.frombuffer(self._read(bitmap, directory - bitmap), np.uint8), count=n, bitorder="little").view(bool)
         return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -58,6 +59,14 @@ def put(uri: str, data) -> None:
     store.move(part, path)
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, for a function over Arrow batches. The session's batches are set to at most ``rows`` rows from here on, so
     that a Python worker holds some MB of texts at a time; results don't depend on it."""
@@ -77,7 +86,7 @@ def by_size(batch: pa.RecordBatch, column: str, size: int = 500_000) -> Iterator
             at, total = k + 1, 0
     if at < batch.num_rows:
         yield batch.slice(at)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -39,10 +39,13 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, token
         def flush():
             nonlocal made, names, ids, lengths
             uri = f"{folder}/ids-{part:06d}-{made:06d}.dac"
-            every = np.concatenate(ids)
-            storage.put(uri, dac.pack(names, np.cumsum(np.concatenate(lengths)), every))
+            every, ends = np.concatenate(ids), np.cumsum(np.concatenate(lengths))
+            ids, lengths = [], []
+            storage.put(uri, dac.pack(names, ends, every))
             row = pa.RecordBatch.from_pylist([{"path": uri, "part": part, "file": made, "n_docs": len(names), "n_tokens": len(every)}], SCHEMA)
-            made, names, ids, lengths = made + 1, [], [], []
+            made, names = made + 1, []
+            del every
+            storage.give_back()
             return row
 
         encoder, held = tokens.tokenizer(path), 0
@@ -62,7 +65,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, token
 
     SCHEMA = pa.schema([("path", pa.string()), ("part", pa.int32()), ("file", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     rows = storage.in_small_batches(ordered).mapInArrow(work, MANIFEST).collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: (r["part"], r["file"]))]
 
@@ -85,6 +88,8 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(first + starts), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                del data
+                storage.give_back()
 
     files = spark.createDataFrame(rows, "path string, start long")
     return files.repartition(max(1, len(rows))).mapInArrow(work, READ)

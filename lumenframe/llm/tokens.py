@@ -82,7 +82,7 @@ class BatchTokenizer:
     which bounds memory and changes no result.
     """
 
-    def __init__(self, tokenizer_path: str, max_words: int = 1_000_000):
+    def __init__(self, tokenizer_path: str, max_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
