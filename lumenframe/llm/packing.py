@@ -59,6 +59,16 @@ class Index:
         return np.bincount(self.posting[at], self.weight[at], self.n)
 
 
+def _best(pieces: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` of some ascending pieces by falling score, ties in order; no more fit, as each has a token."""
+    if len(pieces) > n:
+        least = -np.partition(-score, n - 1)[n - 1]
+        above, equal = np.flatnonzero(score > least), np.flatnonzero(score == least)
+        some = np.concatenate([above, equal[: n - len(above)]])
+        pieces, score = pieces[some], score[some]
+    return pieces[np.lexsort((pieces, -score))]
+
+
 class _Packer:
     """The sequences of one partition, shard after shard."""
 
@@ -96,7 +106,7 @@ class _Packer:
             score = index.scores(seed)
             open_ = np.flatnonzero(left)
             open_ = open_[open_ != seed]
-            ranked = open_[np.lexsort((open_, -score[open_]))]
+            ranked = _best(open_, score[open_], WINDOW - int(left[seed]))
             for k in [seed, *ranked.tolist()]:
                 doc, start, ids, n = rest[k]
                 take = min(room, len(ids))

@@ -79,3 +79,20 @@ def test_neighbours_share_terms():
     a, b, c = np.array([1, 2, 3, 4]), np.array([3, 4, 5, 3]), np.array([7, 8])
     scores = packing.Index([a, b, c]).scores(0)
     assert scores[0] > scores[1] > scores[2] == 0
+
+
+def test_best_pieces_equal_a_full_sort():
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 5, 50, 400):
+        pieces = np.sort(rng.choice(1000, size, replace=False))
+        score = rng.integers(0, 4, size).astype(float)
+        for n in (1, 3, 100):
+            assert packing._best(pieces, score, n).tolist() == pieces[np.lexsort((pieces, -score))][:n].tolist()
+
+
+def test_many_tiny_documents_pack_fast():
+    packer = packing._Packer(0)
+    for k in range(30_000):
+        packer.add(k, np.array([k % 500 + 2, 1], np.int32))
+    packer.pack(True)
+    assert sum(r[2] for r in packer.rows) == 60_000 and packer.sequence == 30
