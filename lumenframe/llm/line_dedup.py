@@ -8,6 +8,11 @@ The positions of a fingerprint that occurs again are joined by the windows that
 bits of their lines' hashes); windows that match overlap, which extends each match line by line both
 ways. Every window but the first of its content, by (doc_id, line), is deleted.
 
+Windows look forward, so the last lines of a repeated run stay if too few words follow for a window
+of their own. With ``whole`` the windows that look back from each line count too. A line of a run of
+``min_words`` words lies in a window of one of the two kinds inside the run, and equal contents have
+equal windows, so this deletes each run that stood before up to both of its ends.
+
 A large group of copies of a passage costs a row per window and copy: each is compared with the
 first only, and the joins' right sides are stored, so that Spark can split a large key. What repeats
 grows with the corpus, so nothing is broadcast by hand, and texts are shuffled once. Occurrences may overlap. Null texts stay null, texts without a long enough run stay as
@@ -18,7 +23,7 @@ there is one, follows the new text; all other columns stay. Names with __lf_ are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lumenframe.llm import storage
@@ -32,8 +37,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__lf_id": F.coalesce(F.col("doc_id").cast("long"), last), "__lf_text": F.xxhash64("text")})
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per complete window: id, text_hash, first and last line, fingerprint and its line, content (two hashes)."""
+def windows(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """A row per complete window: id, text_hash, first and last line, fingerprint and its line, content (two hashes).
+
+    ``whole``: also those that end at a line and are as short as that allows, unless they are of the other kind too.
+    """
     lines = _keyed(docs.select("doc_id", "text")).select("__lf_id", "__lf_text", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     # lines of repeated rows fall together here, where the windows need them
     coded = lines.select("__lf_id", "__lf_text", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), F.regexp_count("words", F.lit(WORD)).cast("long").alias("n"))
@@ -41,22 +49,27 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     own = Window.partitionBy("__lf_id", "__lf_text")
     placed = coded.withColumn("before", F.sum("n").over(own.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     ahead = own.orderBy("before").rangeBetween(0, min_words - 1)
-    found = placed.select(
-        "__lf_id",
-        "__lf_text",
-        F.col("line").alias("first"),
-        F.max("line").over(ahead).alias("last"),
-        F.sum("n").over(ahead).alias("words"),
-        F.min(F.struct("h", "line")).over(ahead).alias("low"),
-        F.xxhash64(F.collect_list("h").over(ahead)).alias("w1"),
-        F.xxhash64(F.collect_list("g").over(ahead)).alias("w2"),
-    )
+    line = F.col("line")
+
+    def over(span: WindowSpec, first: Column, last: Column) -> list[Column]:
+        low = F.min(F.struct("h", "line")).over(span)
+        codes = [F.xxhash64(F.collect_list(c).over(span)).alias(w) for c, w in (("h", "w1"), ("g", "w2"))]
+        return [first.alias("first"), last.alias("last"), F.sum("n").over(span).alias("words"), low.alias("low"), *codes]
+
+    if whole:
+        behind = own.orderBy("upto").rangeBetween(1 - min_words, 0)
+        both = placed.withColumn("upto", F.col("before") + F.col("n")).select("__lf_id", "__lf_text", "n", F.struct(*over(ahead, line, F.max("line").over(ahead))).alias("fore"), F.struct(*over(behind, F.min("line").over(behind), line)).alias("back"))
+        # less than enough without its last line: the window of its first line
+        other = F.when(F.col("back.words") - F.col("n") >= min_words, F.col("back"))
+        found = both.select("__lf_id", "__lf_text", F.explode(F.array("fore", other)).alias("w")).where("w is not null").select("__lf_id", "__lf_text", "w.*")
+    else:
+        found = placed.select("__lf_id", "__lf_text", *over(ahead, line, F.max("line").over(ahead)))
     return found.where(F.col("words") >= min_words).select("__lf_id", "__lf_text", "first", "last", F.col("low.h").alias("fingerprint"), F.col("low.line").alias("at"), "w1", "w2")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """(__lf_id, __lf_text, __lf_runs): the line ranges of each document that repeat an earlier run; disjoint, in order."""
-    every = storage.written(windows(docs, min_words))
+    every = storage.written(windows(docs, min_words, whole))
     place = F.struct("__lf_id", "__lf_text", "at")
     again = every.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fingerprint")
     near = every.join(storage.cut(again), "fingerprint", "left_semi")
@@ -70,9 +83,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.groupBy("__lf_id", "__lf_text").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("__lf_runs"))
 
 
-def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, count_column: str | None = None) -> DataFrame:
-    """``docs`` with repeated runs deleted from ``text``; ``count_column``: also say how many lines went."""
-    runs = storage.cut(repeated_runs(docs, min_words))
+def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, count_column: str | None = None, whole: bool = False) -> DataFrame:
+    """``docs`` with repeated runs deleted from ``text``; ``count_column``: also say how many lines went; ``whole``: to both ends of each run."""
+    runs = storage.cut(repeated_runs(docs, min_words, whole))
     joined = _keyed(docs).join(runs, ["__lf_id", "__lf_text"], "left")
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT exists(__lf_runs, r -> i BETWEEN r.first AND r.last)), '\\n')")
     new = F.when(F.col("__lf_runs").isNull(), F.col("text")).otherwise(kept)
@@ -107,3 +120,14 @@ WITH lines AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(new.text, '') END AS text, coalesce(went.n, 0) AS n_lines_removed
 FROM documents d LEFT JOIN new ON d.doc_id = new.doc_id LEFT JOIN went ON d.doc_id = went.doc_id
 """
+
+#: The result with ``whole``: windows from each line on and back from each line.
+SQL_WHOLE = SQL.replace(
+    "), later AS (",
+    """), behind AS (
+    SELECT doc_id, min(pos) OVER w AS a, pos AS b, sum(n) OVER w AS words, list(line) OVER w AS content FROM (SELECT *, before + n AS upto FROM placed)
+    WINDOW w AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), runs AS (
+    SELECT * FROM windows WHERE words >= 50 UNION SELECT * FROM behind WHERE words >= 50
+), later AS (""",
+).replace("FROM windows WHERE words >= 50) WHERE k > 1", "FROM runs) WHERE k > 1")

@@ -51,6 +51,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated(table(spark, sf_dir, "documents"), count_column="n_lines_removed").select("doc_id", "text", "n_lines_removed")
 
 
+def op9_whole_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated(table(spark, sf_dir, "documents"), count_column="n_lines_removed", whole=True).select("doc_id", "text", "n_lines_removed")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -66,9 +70,10 @@ def queries() -> dict:
         "op7_quality_classifier": op7_quality_classifier,
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
+        "op9_whole_runs": op9_whole_runs,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL, "op5_url_filter": url_filter.SQL, "op8_quality_rules": quality_rules.SQL, "op9_line_dedup": line_dedup.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op5_url_filter": url_filter.SQL, "op8_quality_rules": quality_rules.SQL, "op9_line_dedup": line_dedup.SQL, "op9_whole_runs": line_dedup.SQL_WHOLE}

@@ -59,6 +59,45 @@ def test_repeated_runs(spark):
     assert sum(new != t for (_, t), new in zip(docs, want, strict=True)) > 20
 
 
+def whole_runs(docs, least=50):
+    """docs: (id, text), in order; the texts without any run of ``least`` words that stood before, every run compared."""
+    seen, out = set(), []
+    for _, text in docs:
+        rows = text.split("\n")
+        full = [i for i, x in enumerate(rows) if x.split()]
+        gone = set()
+        for a in range(len(full)):
+            for b in range(a, len(full)):
+                run = tuple(rows[i] for i in full[a : b + 1])
+                if sum(len(x.split()) for x in run) >= least:
+                    if run in seen:
+                        gone |= set(range(full[a], full[b] + 1))
+                    seen.add(run)
+        out.append("\n".join(x for i, x in enumerate(rows) if i not in gone))
+    return out
+
+
+def test_whole_runs_go_to_both_ends(spark):
+    rng = random.Random(10)
+    long, short = lines(rng, 1, 60, 60), lines(rng, 1, 30, 30)
+    passages = [lines(rng, rng.randint(1, 9)) for _ in range(6)] + [long + short, short + long, ["short one"] * 40]
+    docs = [(1, "\n".join(["intro a", *long, *short, "end a"])), (2, "\n".join(["intro b", *long, "", *short, "end b"]))]
+    for k in range(3, 50):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            parts += rng.choice(passages) if rng.random() < 0.6 else lines(rng, rng.randint(1, 5))
+            parts += [""] * rng.randint(0, 2)
+        docs.append((k, "\n".join(parts)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, N.remove_repeated(frame, count_column="gone", whole=True).collect()))
+    want = whole_runs(docs)
+    assert [(d, t) for d, t, _ in got] == [(d, new) for (d, _), new in zip(docs, want, strict=True)]
+    assert got[1][1:] == ("intro b\nend b", 3) and sum(x != y for x, y in zip(want, brute(docs), strict=True)) > 5
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    assert got == sorted(con.sql(N.SQL_WHOLE).fetchall())
+
+
 def test_repeated_rows_and_missing_ids(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(1, text), (1, text), (None, text), (2, "intro line\n" + text + "\nlast")]
