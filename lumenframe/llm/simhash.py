@@ -119,13 +119,14 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, that of the smallest doc_id.
+def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest doc_id. ``found``: the groups (doc_id, component_id), if other than by fingerprints.
 
     Rows without a doc_id stay. Rows that share a doc_id are one document, of which one row stays, or none if any of
     them has a near duplicate of a smaller doc_id.
     """
-    found = storage.cut(near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
+    found = near_duplicates(docs) if found is None else found
+    found = storage.cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
     gone = storage.cut(found.where("component_id < doc_id").select(F.col("doc_id").alias("__lf_id")))
     kept = docs.join(small(gone), docs["doc_id"] == F.col("__lf_id"), "left_anti")
     twice = storage.cut(found.where("n > 1 and component_id = doc_id").select(F.col("doc_id").alias("__lf_id")))
