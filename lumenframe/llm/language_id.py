@@ -1,28 +1,38 @@
 """Language of a text by cross-parsing entropy.
 
-For each language a suffix automaton of some labelled text accepts exactly that text's substrings. A
-text is parsed greedily into longest matches: a phrase goes on while the automaton has a transition,
-and the next one starts at the letter that had none. The fewer phrases, weighted by the bits that
-name a place in the language's text, the better it predicts the text; the language with the fewest
-bits wins, ties by more training rows, then by name.
-
-Parsing starts anew every ``BLOCK`` letters, so that a task parses many blocks of all texts at once;
-every letter of a text is parsed. Texts are lower-cased, and each run of other characters than
-letters counts as one space.
-
-Automata are built from a bounded sample: of each language ``sample_docs`` documents (of lowest
-hash) with ``sample_chars`` characters of each, and of those ``TRAIN_CHARS`` letters. Null texts and
-texts without a letter are ``und`` with score 0; without training rows so are all. Repeated rows each
-get their result, further columns are ignored.
+For each language a suffix automaton of some labelled texts, joined by spaces, accepts exactly the
+substrings of that. A text is parsed greedily into longest matches: a phrase goes on while the automaton has a transition, and
+the next one starts at the letter that had none. A letter that the language's text lacks, which no
+phrase can hold, counts as two phrases. The fewer phrases, weighted by the bits that name a
+place in the language's text, the better it predicts the text; the language with the fewest bits
+wins, ties by more training rows, then by name.
+
+Texts are lower-cased, and each run of other characters than letters and the marks on them counts as
+one space; letters are their code points, of any script. Many texts are parsed at once. A long text
+is parsed from the start of each ``BLOCK`` letters too: as a parse depends only on where a phrase
+starts, each block's parse is followed into the next block until both start a phrase at one letter,
+and from there on the next block's own parse counts. The result is that of one parse from the text's
+first letter to its last.
+
+Automata are built in tasks, a language each, from a bounded sample of labelled rows: of each language
+the ``sample_docs`` different texts of lowest hash, whole; a language with fewer texts gives all, so
+each labelled language is learned. Transitions lie in one array a language (row displacement), 8
+bytes for each and about as many for the gaps: 32 texts of 2.5 KB take about 2 MB, so 200 such
+languages take 0.4 GB in each Python worker, in proportion to ``sample_docs``.
+
+Null texts and texts without a letter are ``und`` with score 0; without training rows so are all.
+Repeated rows each get their result, further columns are ignored, an empty table gives no rows. A
+very long text is a slice of its own, of some 40 bytes a letter.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import pickle
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +40,11 @@ from pyspark.sql import functions as F
 from lumenframe.llm import storage
 
 BLOCK = 512
-TRAIN_CHARS = 32_000
-ALPHABET = 64  # 0 space, 1 to 62 the commonest letters of the training texts, 63 any other
-OTHER = ALPHABET - 1
+SPACE = 32
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def automaton(codes: list[int]) -> tuple[list[dict[int, int]], list[int]]:
+def automaton(codes: list[int]) -> list[dict[int, int]]:
     """The suffix automaton of ``codes``: each state's transitions; state 0 is the root."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -63,83 +71,181 @@ def automaton(codes: list[int]) -> tuple[list[dict[int, int]], list[int]]:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    return moves, length
+    return moves
 
 
-class Parser:
-    """Phrase counts of many texts against all languages at once.
+class Letters:
+    """Which code points are letters, and which are letters or marks; made once a process."""
+
+    _plane: tuple[np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def plane(cls) -> tuple[np.ndarray, np.ndarray]:
+        if cls._plane is None:
+            letter = np.array([chr(c).isalpha() for c in range(65536)])
+            marked = letter | np.array([unicodedata.category(chr(c))[0] == "M" for c in range(65536)])
+            cls._plane = letter, marked
+        return cls._plane
+
+
+def encode(text: str) -> tuple[np.ndarray, bool]:
+    """Code points of a text's letters and single spaces, and whether it has a letter."""
+    letter, marked = Letters.plane()
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    low = np.minimum(points, 65535)
+    keep, some = marked[low], bool(letter[low[points < 65536]].any())
+    far = np.flatnonzero(points > 65535)
+    if len(far):
+        known = {c: (chr(c).isalpha(), unicodedata.category(chr(c))[0] == "M") for c in np.unique(points[far]).tolist()}
+        keep[far] = [any(known[c]) for c in points[far].tolist()]
+        some = some or any(k[0] for k in known.values())
+    codes = np.where(keep, points, SPACE)
+    stay = keep.copy()
+    stay[1:] |= keep[:-1]
+    return codes[stay], some
 
-    ``table`` holds, for each state and letter, twice the next state's place in it plus 1 if a
-    phrase starts there: where a state has no transition, the root's stands in.
+
+class Automaton:
+    """A language's transitions in one array: that of state s (its base) with letter c stands at s + c.
+
+    An entry holds the base of the state that owns it and of the one it leads to. The root's are a
+    list of their own: from there each letter starts a phrase, as does one without a transition.
     """
 
-    def __init__(self, texts: dict[str, str], rows: dict[str, int]):
-        self.languages = sorted(texts, key=lambda x: (-rows[x], x))
-        common = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))][: OTHER - 1]
-        self.codes = np.zeros(65536, np.uint8)
-        self.codes[[c for c in range(65536) if chr(c).isalpha()]] = OTHER
-        for k, c in enumerate(letters):
-            if ord(c) < 65536:
-                self.codes[ord(c)] = k + 1
-        parts, self.roots, bits, at = [], [], [], 0
-        for name in self.languages:
-            own = self.encode(texts[name])[:TRAIN_CHARS]
-            moves, _ = automaton(own.tolist())
-            part = np.full((len(moves), ALPHABET), -1, np.int64)
-            for s, m in enumerate(moves):
-                for c, to in m.items():
-                    part[s, c] = 2 * (at + to * ALPHABET)
-            part[0] = np.where(part[0] < 0, 2 * at, part[0]) + 1
-            parts.append(np.where(part < 0, part[0], part).astype(np.int32).ravel())
-            self.roots.append(at)
-            bits.append(np.log2(len(own) + 2))
-            at += len(parts[-1])
-        self.table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.bits = np.array(bits)
-
-    def encode(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(points) and points.max() > 65535:
-            far = {int(c): OTHER if chr(c).isalpha() else 0 for c in np.unique(points[points > 65535])}
-            codes = self.codes[np.minimum(points, 65535)]
-            codes[points > 65535] = [far[int(c)] for c in points[points > 65535]]
-        else:
-            codes = self.codes[points]
-        keep = codes > 0
-        keep[1:] |= codes[:-1] > 0
-        return codes[keep]
+    def __init__(self, codes: np.ndarray):
+        moves = automaton(codes.tolist())
+        self.letters = len(codes)
+        self.top = int(codes.max(initial=SPACE)) + 1  # stands for every letter beyond
+        base, entries = [0] * len(moves), {}
+        used, first, taken = bytearray(1 << 16), {}, set()
+        for s in sorted(range(1, len(moves)), key=lambda s: -len(moves[s])):
+            own = sorted(moves[s])
+            if not own:
+                continue
+            low, n = own[0], len(own)
+            gaps = [c - low for c in own]
+            at = used.find(0, max(first.get(n, 0), low))
+            while True:
+                while at < 0 or at + gaps[-1] >= len(used):
+                    used += bytes(len(used))
+                    at = used.find(0, max(first.get(n, 0), low) if at < 0 else at)
+                if at - low not in taken and not any(used[at + g] for g in gaps):
+                    break
+                at = used.find(0, at + 1)
+            base[s] = at - low
+            taken.add(base[s])
+            for c in own:
+                used[base[s] + c] = 1
+                entries[base[s] + c] = s, moves[s][c]
+            first[n] = at
+        size = max(entries, default=0) + 1
+        self.root = size  # a base without entries
+        ends = size
+        for s in range(1, len(moves)):
+            if not moves[s]:
+                ends += 1
+                base[s] = ends
+        base[0] = self.root
+        own, to = np.full(ends + self.top + 2, -1, np.int32), np.zeros(ends + self.top + 2, np.int32)
+        for k, (s, t) in entries.items():
+            own[k], to[k] = base[s], base[t]
+        self.own, self.to = own, to
+        self.start = np.full(self.top + 1, self.root, np.int32)
+        for c, t in moves[0].items():
+            self.start[c] = base[t]
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether each letter starts a phrase."""
+        at = state + codes
+        new = self.own[at] != state
+        return np.where(new, self.start[codes], self.to[at]), new
+
+
+class Blocks:
+    """Encoded texts laid out in blocks: each text's blocks follow one another, its letters without a gap."""
+
+    def __init__(self, coded: list[np.ndarray]):
+        sizes = np.array([len(c) for c in coded], np.int64)
+        self.blocks = -(-sizes // BLOCK)
+        self.n = int(self.blocks.sum())
+        self.flat = np.full(self.n * BLOCK, SPACE, np.int32)
+        self.first = (np.cumsum(self.blocks) - self.blocks) * BLOCK
+        for k, c in enumerate(coded):
+            self.flat[self.first[k] : self.first[k] + len(c)] = c
+        self.ends = self.first + sizes
+        self.owner = np.repeat(np.arange(len(coded)), self.blocks)
+        filled = np.minimum(self.ends[self.owner] - np.arange(self.n) * BLOCK, BLOCK)
+        self.order = np.argsort(-filled, kind="stable")
+        self.active = np.searchsorted(-filled[self.order], -np.arange(BLOCK), "left")  # blocks longer than t
+        self.last = np.ones(self.n, bool)  # of its text
+        self.last[:-1] = self.owner[1:] != self.owner[:-1]
+
+    def phrases(self, a: Automaton) -> np.ndarray:
+        """How many phrases each text has, letters that the automaton lacks counted twice."""
+        flat = np.minimum(self.flat, a.top)
+        columns = np.ascontiguousarray(flat.reshape(self.n, BLOCK)[self.order].T)
+        state, starts = np.full(self.n, a.root, np.int32), np.zeros((BLOCK, self.n), bool)
+        for t in range(BLOCK):
+            m = self.active[t]
+            if not m:
+                break
+            state[:m], starts[t, :m] = a.step(state[:m], columns[t, :m])
+        back = np.empty_like(self.order)
+        back[self.order] = np.arange(self.n)
+        starts = np.ascontiguousarray(starts.T)[back].ravel()
+        seen = np.concatenate([[0], np.cumsum(starts)])  # starts before each place
+        out = np.bincount(self.owner, seen[BLOCK::BLOCK] - seen[:-1:BLOCK], len(self.blocks)).astype(np.int64)
+        lacks = np.concatenate([[0], np.cumsum(a.start[flat] == a.root)])
+        twice = lacks[self.ends] - lacks[self.first]
+        run = np.flatnonzero(~self.last)
+        if not len(run):
+            return out + twice
+        # each block's parse goes on in the next until both start a phrase at one letter, or the text ends
+        meet, more = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        at, end, now = (run + 1) * BLOCK, self.ends[self.owner[run]], state[back[run]]
+        while len(run):
+            now, new = a.step(now, flat[at])
+            met = new & starts[at]
+            more[run] += new & ~met
+            at = at + ~met
+            done = met | (at >= end)
+            meet[run[done]] = at[done]
+            run, at, end, now = (x[~done] for x in (run, at, end, now))
+        block = np.flatnonzero(~self.last)
+        near = meet[block] <= (block + 2) * BLOCK
+        for k in np.unique(self.owner[block[~near]]).tolist():  # a phrase longer than a block: follow the parse
+            b, total = int(self.first[k]) // BLOCK, 0
+            place, end = int(self.first[k]), int(self.ends[k])
+            while place < end:
+                upto = (place // BLOCK + 1) * BLOCK
+                b = place // BLOCK
+                total += int(seen[min(upto, self.n * BLOCK)] - seen[place])
+                if self.last[b]:
+                    break
+                total += int(more[b])
+                place = int(meet[b])
+            out[k] = total
+        usual = block[near & ~np.isin(self.owner[block], self.owner[block[~near]])]
+        own = more[usual] - (seen[meet[usual]] - seen[(usual + 1) * BLOCK])
+        return out + twice + np.bincount(self.owner[usual], own, len(self.blocks)).astype(np.int64)
+
+
+class Parser:
+    """Automata of all languages; languages with more training rows first."""
+
+    def __init__(self, languages: list[str], automata: list[Automaton]):
+        self.languages, self.automata = languages, automata
+        self.bits = np.array([np.log2(a.letters + 2) for a in automata])
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) phrases, and whether each text has a letter."""
-        coded = [self.encode(t or "") for t in texts]
-        letters = np.array([bool(c.any()) for c in coded])
-        sizes = np.array([len(c) for c in coded])
-        blocks = -(-sizes // BLOCK)
+        coded = [encode(t or "") for t in texts]
+        letters = np.array([some for _, some in coded], bool)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        n = int(blocks.sum())
-        if not n or not self.languages:
-            return out, letters
-        padded = np.zeros(n * BLOCK, np.uint8)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        first = (np.cumsum(blocks) - blocks) * BLOCK
-        for k, c in enumerate(coded):
-            padded[first[k] : first[k] + len(c)] = c
-        filled = np.full(n, BLOCK)
-        filled[(np.cumsum(blocks) - 1)[blocks > 0]] = (sizes - (blocks - 1) * BLOCK)[blocks > 0]
-        order = np.argsort(-filled, kind="stable")
-        columns = np.ascontiguousarray(padded.reshape(n, BLOCK)[order].T).astype(np.int32)
-        active = np.searchsorted(-filled[order], -np.arange(BLOCK), "left")  # blocks longer than t
-        for k, root in enumerate(self.roots):
-            state, count = np.full(n, root, np.int32), np.zeros(n, np.int32)
-            for t in range(BLOCK):
-                m = active[t]
-                if not m:
-                    break
-                step = self.table[state[:m] + columns[t, :m]]
-                count[:m] += step & 1
-                state[:m] = step >> 1
-            out[:, k] = np.bincount(owner[order], count, len(texts))
+        blocks = Blocks([c for c, _ in coded])
+        if blocks.n:
+            for k, a in enumerate(self.automata):
+                out[:, k] = blocks.phrases(a)
         return out, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -160,33 +266,59 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, sample_docs: int = 64, sample_chars: int = 2000) -> tuple[dict[str, str], dict[str, int]]:
-    """Training text of each language, and its training rows. About twice ``sample_docs`` texts of each reach the driver, four times at most in all."""
+def sample(docs: DataFrame, sample_docs: int = 32) -> tuple[DataFrame, dict[str, int]]:
+    """Training texts (lang, h, t) of each language, and its training rows.
+
+    Equal texts are one text of the sample. All texts up to a hash that about twice ``sample_docs``
+    of a language have are picked, and that of its lowest hash in any case; a row a language
+    reaches the driver.
+    """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    hashed = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
-    share = F.lit(None)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit((2**63 - 1) * min(n, 2 * sample_docs) // n)).otherwise(share)
-    picked = rows.where(hashed <= share).select("lang", hashed.alias("h"), F.substring("text", 1, sample_chars).alias("t")).limit(4 * sample_docs * len(counts)).collect() if counts else []
-    texts: dict[str, list] = {}
-    for r in sorted(picked, key=lambda r: (r["h"], r["t"])):
-        texts.setdefault(r["lang"], []).append(r["t"])
-    return {k: " ".join(v[:sample_docs]) for k, v in texts.items()}, counts
+    rows = rows.select("lang", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"), F.col("text").alias("t"))
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"), F.min("h").alias("low")).collect()
+    share = F.lit(-1)
+    for r in sums:
+        limit = (2**63 - 1) if r["texts"] <= 2 * sample_docs else max(r["low"], (2**63 - 1) // r["texts"] * 2 * sample_docs)
+        share = F.when(F.col("lang") == r["lang"], F.lit(limit)).otherwise(share)
+    return rows.where(F.col("h") <= share).groupBy("lang", "h").agg(F.min("t").alias("t")), {r["lang"]: r["n"] for r in sums}
+
+
+def learn(docs: DataFrame, sample_docs: int = 32) -> tuple[str, dict[str, int]]:
+    """The stored automata of all languages, and the languages' training rows. A task builds a language's from its sample."""
+    texts, rows = sample(docs, sample_docs)
+    folder = storage.new_folder(docs.sparkSession, "languages")
+
+    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        some = group.sort_values(["h", "t"])["t"].tolist()[:sample_docs]
+        storage.put(f"{folder}/{key[0].encode().hex()}", pickle.dumps(Automaton(encode(" ".join(some))[0])))
+        return pd.DataFrame({"lang": [key[0]]})
+
+    known = {r["lang"] for r in texts.groupBy("lang").applyInPandas(build, "lang string").collect()} if rows else set()
+    return folder, {k: n for k, n in rows.items() if k in known}
+
+
+_parsers: dict[str, Parser] = {}
 
 
-_parsers: dict[int, Parser] = {}
+def _parser(folder: str, rows: dict[str, int]) -> Parser:
+    """One parser for each worker process, read from the shared folder."""
+    if folder not in _parsers:
+        _parsers.clear()
+        names, automata = sorted(rows, key=lambda x: (-rows[x], x)), []
+        for name in names:
+            store, path = storage.open_store(f"{folder}/{name.encode().hex()}")
+            with store.open_input_stream(path, compression=None) as source:
+                automata.append(pickle.loads(source.read()))
+        _parsers[folder] = Parser(names, automata)
+    return _parsers[folder]
 
 
-def predict(docs: DataFrame, trained: tuple[dict[str, str], dict[str, int]]) -> DataFrame:
+def predict(docs: DataFrame, learned: tuple[str, dict[str, int]]) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs``, from its text alone."""
-    key = zlib.crc32(repr(sorted(trained[0].items())).encode())
+    folder, rows = learned
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = Parser(*trained)
-        parser = _parsers[key]
+        parser = _parser(folder, rows)
         for batch in batches:
             for part in storage.by_size(batch, "text", 2_000_000):
                 names, scores = parser.predict(part.column("text").to_pylist())
@@ -196,6 +328,6 @@ def predict(docs: DataFrame, trained: tuple[dict[str, str], dict[str, int]]) ->
     return storage.in_small_batches(docs.select(doc_id.alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")).mapInArrow(work, RESULT)
 
 
-def identify(docs: DataFrame, sample_docs: int = 64, sample_chars: int = 2000) -> DataFrame:
+def identify(docs: DataFrame, sample_docs: int = 32) -> DataFrame:
     """Learn from the training rows of ``docs`` and predict every row."""
-    return predict(docs, sample(docs, sample_docs, sample_chars))
+    return predict(docs, learn(docs, sample_docs))

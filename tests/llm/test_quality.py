@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -85,23 +86,71 @@ def test_languages(spark):
     assert L.identify(docs.drop("lang").selectExpr("*", "cast(null as string) lang")).where("lang_pred != 'und'").count() == 0
 
 
+def phrases(codes, known):
+    """Greedy longest matches of ``codes`` in ``known``, letter by letter; a letter that isn't there counts twice."""
+    text, i, n = "".join(map(chr, codes)), 0, 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in known:
+            j += 1
+        n += 1 if text[i] in known else 2
+        i = max(i + 1, j - 1)
+    return n
+
+
 def test_phrases_are_longest_matches():
-    parser = L.Parser(TONGUES, dict.fromkeys(TONGUES, 1))
-    texts = ["lorem fuchs", "x" * 1200, "der braune dolor " * 100, "ž", "", "ipsum! LOREM", "q\U00010400\U0001f600"]
+    rng = random.Random(1)
+    known = [L.encode(t)[0] for t in [*TONGUES.values(), "".join(rng.choice("abcd ") for _ in range(2000)) + " " + "q" * 1500, "".join(map(chr, range(0x4E00, 0x5200)))]]
+    parser = L.Parser([str(k) for k in range(len(known))], [L.Automaton(k) for k in known])
+    texts = ["lorem fuchs", "x" * 1200, "der braune dolor " * 100, "ž", "", None, "ipsum! LOREM", "q\U00010400\U0001f600", "q" * 1400, "q" * 4000 + "a", "a" * 512, "a" * 513, "漢字" * 700, "".join(map(chr, range(0x4E80, 0x5100)))]
+    texts += ["".join(rng.choice("abcde ") for _ in range(rng.randint(0, 3000))) for _ in range(12)]
     found, letters = parser.phrases(texts)
-    for k, name in enumerate(parser.languages):
-        known = bytes(parser.encode(TONGUES[name]).tolist())
-        for row, text in enumerate(texts):
-            codes, n = bytes(parser.encode(text).tolist()), 0
-            for b in range(0, len(codes), L.BLOCK):
-                block, i = codes[b : b + L.BLOCK], 0
-                while i < len(block):
-                    j = i + 1
-                    while j <= len(block) and block[i:j] in known:
-                        j += 1
-                    i, n = max(i + 1, j - 1), n + 1
-            assert found[row, k] == n
-    assert letters.tolist() == [True, True, True, True, False, True, True]
+    for k, codes in enumerate(known):
+        text = "".join(map(chr, codes))
+        assert found[:, k].tolist() == [phrases(L.encode(t or "")[0], text) for t in texts]
+    assert letters.tolist()[:8] == [True, True, True, True, False, False, True, True]
+
+
+def test_predictions_equal_brute_force(spark):
+    rows = [(d, t, lang) for d, t, lang, _ in tongue_rows()][:90] + [(900, "lorem fuchs kůň", None), (901, "x" * 700 + " der dolor", None)]
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    trained = [(d, t, lang) for d, t, lang in rows if lang and zlib.crc32(str(d).encode()) % 4 != 2]
+    folder, counts = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    known = {}
+    for name in TONGUES:
+        texts = {t for _, t, lang in trained if lang == name}
+        assert counts[name] == sum(lang == name for *_, lang in trained) and len(texts) <= 32
+        order = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "shiftrightunsigned(xxhash64(t), 1) h").orderBy("h").collect()
+        known[name] = "".join(map(chr, L.encode(" ".join(r["t"] for r in order))[0]))
+    for d, text, _ in rows:
+        codes = L.encode(text)[0]
+        cost = sorted((phrases(codes, k) * math.log2(len(k) + 2), -counts[n], n) for n, k in known.items())
+        assert got[d] == (cost[0][2], round(1 - cost[0][0] / cost[1][0], 9))
+
+
+def test_no_language_is_lost(spark):
+    rows = [(k, f"salve amice {k} carissime", "la") for k in range(300)] + [(1000 + k, "der schnelle braune fuchs", "de") for k in range(2000)] + [(9000, "ένα δύο τρία", "el"), (9001, "ένα δύο τρία", "el")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, counts = L.learn(docs, sample_docs=4)
+    assert set(counts) == {"la", "de", "el"}
+    got = L.identify(docs, sample_docs=4).groupBy("lang_pred").count().collect()
+    assert {tuple(r) for r in got} == {("la", 300), ("de", 2000), ("el", 2)}
+
+
+def test_large_alphabets_stay_apart(spark):
+    rng = random.Random(7)
+    sets = {"one": range(0x4E00, 0x53DC), "two": range(0x6000, 0x65DC)}  # 1,500 letters each
+    rows = [(k, "".join(chr(rng.choice(sets[("one", "two")[k % 2]])) for _ in range(60)), ("one", "two")[k % 2]) for k in range(400)]
+    found = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    by = {d: lang for d, _, lang in rows}
+    assert sum(r["lang_pred"] == by[r["doc_id"]] for r in found) >= 395
+
+
+def test_whole_texts_decide(spark):
+    rows = [(k, t, lang) for k, t, lang, _ in tongue_rows()]
+    long = "lorem ipsum dolor " * 30 + "der schnelle braune fuchs springt " * 60_000  # 2 MB
+    got = L.identify(spark.createDataFrame([*rows, (5000, long, None)], "doc_id long, text string, lang string")).where("doc_id = 5000").first()
+    assert got["lang_pred"] == "bb"
 
 
 def test_classifier_on_held_out_rows(spark):
