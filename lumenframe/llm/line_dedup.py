@@ -1,24 +1,25 @@
 """Repeated runs of lines, found by winnowing over line hashes; DataFrame functions only.
 
 A window is a run of consecutive lines of at least ``min_words`` words, as short as that allows from
-where it starts; lines without words belong to no window. Winnowing selects the lowest line hash of
-each window as its fingerprint, so two texts that share a run of ``min_words`` words in whole lines
-share a fingerprint, and only selected lines, most of which occur once, are counted over the corpus.
-The positions of a fingerprint that occurs again are joined by the windows that selected it (128
-bits of their lines' hashes); windows that match overlap, which extends each match line by line both
-ways. Every window but the first of its content, by (doc_id, line), is deleted.
-
-Windows look forward, so the last lines of a repeated run stay if too few words follow for a window
-of their own. With ``whole`` the windows that look back from each line count too. A line of a run of
-``min_words`` words lies in a window of one of the two kinds inside the run, and equal contents have
-equal windows, so this deletes each run that stood before up to both of its ends.
+where it starts, or back from where it ends; lines without words belong to no window. Winnowing
+selects the lowest line hash of each window as its fingerprint, so two texts that share a run of
+``min_words`` words in whole lines share a fingerprint, and only the positions of selected lines, most
+of which occur once, are counted over the corpus. The positions of a fingerprint that occurs again are
+joined by what stands around them, the windows that selected them (128 bits of their lines' hashes):
+a fingerprint's positions may be of several passages, so comparing each with the first only would lose
+runs, and with all others grows with the square. Matches extend both ways: a line of a repeated run
+lies in a window of one of the two kinds inside the run, and equal contents have equal windows, so the
+windows that stood before, by (doc_id, line), cover each repeated run up to both of its ends. The
+lines of all but the first occurrence are deleted.
 
 A large group of copies of a passage costs a row per window and copy: each is compared with the
 first only, and the joins' right sides are stored, so that Spark can split a large key. What repeats
-grows with the corpus, so nothing is broadcast by hand, and texts are shuffled once. Occurrences may overlap. Null texts stay null, texts without a long enough run stay as
-they are, and a text may become empty, but no row goes. Rows without a doc_id come last in the
-order. Rows with equal doc_id and text are one document and get the same result. ``n_chars``, where
-there is one, follows the new text; all other columns stay. Names with __lf_ are the operator's own.
+grows with the corpus, so nothing is broadcast by hand, and texts are shuffled once. Occurrences may
+overlap. Null texts stay null, texts without a long enough run stay as they are, and a text may become
+empty, but no row goes; an empty table stays empty. Rows without a doc_id come last in the order. Rows
+with equal doc_id and text are one document and get the same result. ``n_chars``, where there is one,
+follows the new text; all other columns stay, whatever they are named. A very long text is one row, and
+its lines are one window's partition, which Spark spills.
 """
 
 from __future__ import annotations
@@ -37,11 +38,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__lf_id": F.coalesce(F.col("doc_id").cast("long"), last), "__lf_text": F.xxhash64("text")})
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
-    """A row per complete window: id, text_hash, first and last line, fingerprint and its line, content (two hashes).
-
-    ``whole``: also those that end at a line and are as short as that allows, unless they are of the other kind too.
-    """
+def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row per complete window: id, text_hash, first and last line, fingerprint and its line, content (two hashes)."""
     lines = _keyed(docs.select("doc_id", "text")).select("__lf_id", "__lf_text", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     # lines of repeated rows fall together here, where the windows need them
     coded = lines.select("__lf_id", "__lf_text", "line", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), F.regexp_count("words", F.lit(WORD)).cast("long").alias("n"))
@@ -56,20 +54,17 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) ->
         codes = [F.xxhash64(F.collect_list(c).over(span)).alias(w) for c, w in (("h", "w1"), ("g", "w2"))]
         return [first.alias("first"), last.alias("last"), F.sum("n").over(span).alias("words"), low.alias("low"), *codes]
 
-    if whole:
-        behind = own.orderBy("upto").rangeBetween(1 - min_words, 0)
-        both = placed.withColumn("upto", F.col("before") + F.col("n")).select("__lf_id", "__lf_text", "n", F.struct(*over(ahead, line, F.max("line").over(ahead))).alias("fore"), F.struct(*over(behind, F.min("line").over(behind), line)).alias("back"))
-        # less than enough without its last line: the window of its first line
-        other = F.when(F.col("back.words") - F.col("n") >= min_words, F.col("back"))
-        found = both.select("__lf_id", "__lf_text", F.explode(F.array("fore", other)).alias("w")).where("w is not null").select("__lf_id", "__lf_text", "w.*")
-    else:
-        found = placed.select("__lf_id", "__lf_text", *over(ahead, line, F.max("line").over(ahead)))
+    behind = own.orderBy("upto").rangeBetween(1 - min_words, 0)
+    both = placed.withColumn("upto", F.col("before") + F.col("n")).select("__lf_id", "__lf_text", "n", F.struct(*over(ahead, line, F.max("line").over(ahead))).alias("fore"), F.struct(*over(behind, F.min("line").over(behind), line)).alias("back"))
+    # a window back that has enough words without its last line is the window of its first line
+    other = F.when(F.col("back.words") - F.col("n") >= min_words, F.col("back"))
+    found = both.select("__lf_id", "__lf_text", F.explode(F.array("fore", other)).alias("w")).where("w is not null").select("__lf_id", "__lf_text", "w.*")
     return found.where(F.col("words") >= min_words).select("__lf_id", "__lf_text", "first", "last", F.col("low.h").alias("fingerprint"), F.col("low.line").alias("at"), "w1", "w2")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(__lf_id, __lf_text, __lf_runs): the line ranges of each document that repeat an earlier run; disjoint, in order."""
-    every = storage.written(windows(docs, min_words, whole))
+    every = storage.written(windows(docs, min_words))
     place = F.struct("__lf_id", "__lf_text", "at")
     again = every.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fingerprint")
     near = every.join(storage.cut(again), "fingerprint", "left_semi")
@@ -83,21 +78,25 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = Fal
     return runs.groupBy("__lf_id", "__lf_text").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("__lf_runs"))
 
 
-def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, count_column: str | None = None, whole: bool = False) -> DataFrame:
-    """``docs`` with repeated runs deleted from ``text``; ``count_column``: also say how many lines went; ``whole``: to both ends of each run."""
-    runs = storage.cut(repeated_runs(docs, min_words, whole))
-    joined = _keyed(docs).join(runs, ["__lf_id", "__lf_text"], "left")
+def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, count_column: str | None = None) -> DataFrame:
+    """``docs`` with repeated runs deleted from ``text``; ``count_column``: also say how many lines went."""
+    runs = storage.cut(repeated_runs(docs, min_words))
+    packed = _keyed(docs.select("doc_id", "text", F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("__lf_row")))
+    joined = packed.drop("doc_id").join(runs, ["__lf_id", "__lf_text"], "left")
+    none = F.col("__lf_runs").isNull()
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT exists(__lf_runs, r -> i BETWEEN r.first AND r.last)), '\\n')")
-    new = F.when(F.col("__lf_runs").isNull(), F.col("text")).otherwise(kept)
-    columns = {"text": new}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("__lf_runs").isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
-    if count_column:
-        columns[count_column] = F.coalesce(F.aggregate("__lf_runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0))
-    return joined.withColumns(columns).select(*docs.columns, *([count_column] if count_column else []))
+    columns = {c: F.col("__lf_row")[c] for c in docs.columns if c != "text"} | {"text": F.when(none, F.col("text")).otherwise(kept)}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(none, columns["n_chars"]).otherwise(F.length(columns["text"])).cast(docs.schema["n_chars"].dataType)
+    went = F.coalesce(F.aggregate("__lf_runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0))
+    return joined.select(*(columns[c].alias(c) for c in docs.columns), *([went.alias(count_column)] if count_column else []))
+
+
+def sql(min_words: int = MIN_WORDS) -> str:
+    """The same result by comparing all windows as texts; one row a doc_id."""
+    return SQL.replace("50", str(min_words)).replace("49", str(min_words - 1))
 
 
-#: The same result by comparing all windows as texts.
 SQL = r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
@@ -105,11 +104,16 @@ WITH lines AS (
     SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines
 ), placed AS (
     SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS before FROM worded WHERE n > 0
-), windows AS (
+), fore AS (
     SELECT doc_id, pos AS a, max(pos) OVER w AS b, sum(n) OVER w AS words, list(line) OVER w AS content FROM placed
     WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), back AS (
+    SELECT doc_id, min(pos) OVER w AS a, pos AS b, sum(n) OVER w AS words, list(line) OVER w AS content FROM (SELECT *, before + n AS upto FROM placed)
+    WINDOW w AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), runs AS (
+    SELECT * FROM fore WHERE words >= 50 UNION SELECT * FROM back WHERE words >= 50
 ), later AS (
-    SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS k FROM windows WHERE words >= 50) WHERE k > 1
+    SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS k FROM runs) WHERE k > 1
 ), gone AS (
     SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS pos FROM later
 ), new AS (
@@ -120,14 +124,3 @@ WITH lines AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(new.text, '') END AS text, coalesce(went.n, 0) AS n_lines_removed
 FROM documents d LEFT JOIN new ON d.doc_id = new.doc_id LEFT JOIN went ON d.doc_id = went.doc_id
 """
-
-#: The result with ``whole``: windows from each line on and back from each line.
-SQL_WHOLE = SQL.replace(
-    "), later AS (",
-    """), behind AS (
-    SELECT doc_id, min(pos) OVER w AS a, pos AS b, sum(n) OVER w AS words, list(line) OVER w AS content FROM (SELECT *, before + n AS upto FROM placed)
-    WINDOW w AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
-), runs AS (
-    SELECT * FROM windows WHERE words >= 50 UNION SELECT * FROM behind WHERE words >= 50
-), later AS (""",
-).replace("FROM windows WHERE words >= 50) WHERE k > 1", "FROM runs) WHERE k > 1")

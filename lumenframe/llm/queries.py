@@ -47,12 +47,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, with_text=False).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "source", F.round("host_rate", 6).alias("host_rate"), "host_rejected")
 
 
+def op8_host_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of which some fall: the short texts of a language are a host of their own."""
+    host = F.concat(F.coalesce("lang", F.lit("")), F.when(F.col("n_chars") < 160, "/short").otherwise("/long"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", host.alias("source"))
+    return quality_rules.host_verdicts(quality_rules.measure(docs, with_text=False)).withColumn("host_rate", F.round("host_rate", 6)).drop("host_rule")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated(table(spark, sf_dir, "documents"), count_column="n_lines_removed").select("doc_id", "text", "n_lines_removed")
 
 
-def op9_whole_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeated(table(spark, sf_dir, "documents"), count_column="n_lines_removed", whole=True).select("doc_id", "text", "n_lines_removed")
+def op9_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With shorter runs: 30 words."""
+    return line_dedup.remove_repeated(table(spark, sf_dir, "documents"), 30, "n_lines_removed").select("doc_id", "text", "n_lines_removed")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +77,12 @@ def queries() -> dict:
         "op6_simhash": op6_simhash,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_quality_rules": op8_quality_rules,
+        "op8_host_verdicts": op8_host_verdicts,
         "op9_line_dedup": op9_line_dedup,
-        "op9_whole_runs": op9_whole_runs,
+        "op9_short_runs": op9_short_runs,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL, "op5_url_filter": url_filter.SQL, "op8_quality_rules": quality_rules.SQL, "op9_line_dedup": line_dedup.SQL, "op9_whole_runs": line_dedup.SQL_WHOLE}
+    return {"op1_decontamination": decontamination.SQL, "op5_url_filter": url_filter.SQL, "op8_quality_rules": quality_rules.SQL_DOCUMENTS, "op8_host_verdicts": quality_rules.SQL_HOSTS, "op9_line_dedup": line_dedup.sql(), "op9_short_runs": line_dedup.sql(30)}

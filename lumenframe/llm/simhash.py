@@ -13,7 +13,8 @@ bucket gives 33 rows a member however large it is, and loses no link.
 
 Null and empty texts have fingerprint zero and are linked like any other. A null doc_id gets its
 fingerprint and component too; a component of such rows only has a null name. Repeated rows each get
-their result; further columns are ignored.
+their result; further columns are ignored. An empty table gives no rows. A very long text is a slice
+of its own, of some 80 bytes a word.
 """
 
 from __future__ import annotations
@@ -64,15 +65,15 @@ def fingerprints_of(texts: list[bytes | None]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row, from whole texts."""
+    """(doc_id, text_hash, fp) of each row, from whole texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in storage.by_size(batch, "text", 1_000_000):
                 found = fingerprints_of(part.column("text").cast(pa.binary()).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(found)], names=["doc_id", "text_hash", "fp"])
 
-    return storage.in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(work, "doc_id long, fp long")
+    return storage.in_small_batches(storage.hashed(docs)).mapInArrow(work, "doc_id long, text_hash long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -104,15 +105,19 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most 2 bits."""
+    """(doc_id, text_hash, fp, component, component_id) of each row.
+
+    component is the lowest fingerprint reachable over links of at most 2 bits, component_id the smallest doc_id that has
+    one of those fingerprints.
+    """
     prints = storage.cut(fingerprints(docs))
     groups = storage.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(links(groups.select("fp"))).withColumnRenamed("node", "fp")
     joined = groups.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     joined = storage.cut(joined)
     first = storage.cut(joined.groupBy("component").agg(F.min("first").alias("component_id")))
-    names = storage.cut(joined.join(first, "component").select("fp", "component_id"))
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = storage.cut(joined.join(first, "component").select("fp", "component", "component_id"))
+    return prints.join(names, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -120,17 +125,22 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, that of the smallest doc_id. ``found``: the groups (doc_id, component_id), if other than by fingerprints.
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, of several such texts the one of lowest hash.
 
-    Rows without a doc_id stay. Rows that share a doc_id are one document, of which one row stays, or none if any of
-    them has a near duplicate of a smaller doc_id.
+    ``found``: the groups (doc_id, text_hash, component), if other than by fingerprints. Rows without a doc_id stay. Rows
+    that share a doc_id but are of different groups are documents of their own; of rows that repeat the one to keep, one
+    stays, that of the lowest hash of its columns.
     """
     found = near_duplicates(docs) if found is None else found
-    found = storage.cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    gone = storage.cut(found.where("component_id < doc_id").select(F.col("doc_id").alias("__lf_id")))
-    kept = docs.join(small(gone), docs["doc_id"] == F.col("__lf_id"), "left_anti")
-    twice = storage.cut(found.where("n > 1 and component_id = doc_id").select(F.col("doc_id").alias("__lf_id")))
-    if twice.isEmpty():
-        return kept
-    same = kept["doc_id"] == F.col("__lf_id")
-    return kept.join(small(twice), same, "left_anti").unionByName(kept.join(small(twice), same, "left_semi").dropDuplicates(["doc_id"]))
+    rows = storage.cut(found.where("doc_id is not null").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    first = storage.cut(rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.sum("n").alias("n")).where("n > 1").select("component", "first"))
+    named = storage.cut(rows.join(first, "component").select(F.col("doc_id").alias("__lf_id"), F.col("text_hash").alias("__lf_hash"), "n", (F.struct("doc_id", "text_hash") == F.col("first")).alias("stays")))
+    gone, twice = (storage.cut(named.where(x).select("__lf_id", "__lf_hash")) for x in ("not stays", "stays and n > 1"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("__lf_doc"), F.xxhash64("text").alias("__lf_text"), F.struct(*docs.columns).alias("__lf_row"))
+    same = (F.col("__lf_doc") == F.col("__lf_id")) & (F.col("__lf_text") == F.col("__lf_hash"))
+    kept = whole.join(small(gone), same, "left_anti")
+    if not twice.isEmpty():
+        plain = [f"__lf_row.`{f.name}`" for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+        one = kept.join(small(twice), same, "left_semi").groupBy("__lf_doc", "__lf_text").agg(F.min_by("__lf_row", F.xxhash64(*plain)).alias("__lf_row"))
+        kept = kept.join(small(twice), same, "left_anti").select("__lf_row").unionByName(one.select("__lf_row"))
+    return kept.select(*(F.col("__lf_row")[c].alias(c) for c in docs.columns))

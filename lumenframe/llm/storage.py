@@ -14,12 +14,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder where none is set (local tests)."""
+    """The session's ``spark.checkpoint.dir``. Where none is set, a temporary folder on a local master; on a cluster that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -33,6 +36,17 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared store, of whatever scheme Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): with the id, the hash names a row's text where the text itself isn't carried along."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)
@@ -40,12 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system behind ``uri`` (file:, hdfs:, s3: and the like) and the path in it."""
+    """The file system behind ``uri`` (file:, hdfs:, s3: or Spark's s3a: and the like) and the path in it."""
     if re.match(r"file:/+", uri):
         return pafs.LocalFileSystem(), "/" + urlsplit(uri).path.lstrip("/")
     if uri.startswith("/"):
         return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def put(uri: str, data) -> None:

@@ -16,7 +16,7 @@ def lines(rng, n, lo=4, hi=30):
 
 
 def brute(docs, least=50):
-    """docs: (id, text), in order; the texts without later windows."""
+    """docs: (id, text), in order; the texts without any run of ``least`` words that stood before, every run compared."""
     seen, out = set(), []
     for _, text in docs:
         if text is None:
@@ -26,15 +26,12 @@ def brute(docs, least=50):
         full = [i for i, x in enumerate(rows) if x.split()]
         gone = set()
         for a in range(len(full)):
-            n = 0
             for b in range(a, len(full)):
-                n += len(rows[full[b]].split())
-                if n >= least:
-                    window = tuple(rows[i] for i in full[a : b + 1])
-                    if window in seen:
+                run = tuple(rows[i] for i in full[a : b + 1])
+                if sum(len(x.split()) for x in run) >= least:
+                    if run in seen:
                         gone |= set(range(full[a], full[b] + 1))
-                    seen.add(window)
-                    break
+                    seen.add(run)
         out.append("\n".join(x for i, x in enumerate(rows) if i not in gone))
     return out
 
@@ -50,7 +47,7 @@ def test_repeated_runs(spark):
             parts += [""] * rng.randint(0, 2)
         docs.append((k, "\n".join(parts)))
     docs += [(100, None), (101, ""), (102, "\n\n"), (103, docs[3][1])]
-    frame = spark.createDataFrame([(d, t, len(t or ""), "x", "y") for d, t in docs], "doc_id long, text string, n_chars long, line string, runs string")
+    frame = spark.createDataFrame([(d, t, len(t or ""), "x", "y", 1) for d, t in docs], "doc_id long, text string, n_chars long, line string, __lf_runs string, __lf_id int")
     got = {r["doc_id"]: r for r in N.remove_repeated(frame, count_column="gone").collect()}
     want = brute(docs)
     for (d, t), new in zip(docs, want, strict=True):
@@ -59,24 +56,6 @@ def test_repeated_runs(spark):
     assert sum(new != t for (_, t), new in zip(docs, want, strict=True)) > 20
 
 
-def whole_runs(docs, least=50):
-    """docs: (id, text), in order; the texts without any run of ``least`` words that stood before, every run compared."""
-    seen, out = set(), []
-    for _, text in docs:
-        rows = text.split("\n")
-        full = [i for i, x in enumerate(rows) if x.split()]
-        gone = set()
-        for a in range(len(full)):
-            for b in range(a, len(full)):
-                run = tuple(rows[i] for i in full[a : b + 1])
-                if sum(len(x.split()) for x in run) >= least:
-                    if run in seen:
-                        gone |= set(range(full[a], full[b] + 1))
-                    seen.add(run)
-        out.append("\n".join(x for i, x in enumerate(rows) if i not in gone))
-    return out
-
-
 def test_whole_runs_go_to_both_ends(spark):
     rng = random.Random(10)
     long, short = lines(rng, 1, 60, 60), lines(rng, 1, 30, 30)
@@ -89,13 +68,13 @@ def test_whole_runs_go_to_both_ends(spark):
             parts += [""] * rng.randint(0, 2)
         docs.append((k, "\n".join(parts)))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted(map(tuple, N.remove_repeated(frame, count_column="gone", whole=True).collect()))
-    want = whole_runs(docs)
+    got = sorted(map(tuple, N.remove_repeated(frame, count_column="gone").collect()))
+    want = brute(docs)
     assert [(d, t) for d, t, _ in got] == [(d, new) for (d, _), new in zip(docs, want, strict=True)]
-    assert got[1][1:] == ("intro b\nend b", 3) and sum(x != y for x, y in zip(want, brute(docs), strict=True)) > 5
+    assert got[1][1:] == ("intro b\nend b", 3)
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
-    assert got == sorted(con.sql(N.SQL_WHOLE).fetchall())
+    assert got == sorted(con.sql(N.sql()).fetchall())
 
 
 def test_repeated_rows_and_missing_ids(spark):

@@ -67,14 +67,14 @@ def test_links_of_clusters(spark, monkeypatch, bucket):
 
 def test_near_duplicates_and_survivors(spark):
     base = " ".join(f"w{k}" for k in range(400))
-    rows = [(9, base), (4, base + " tail"), (7, base), (7, base), (1, "other text entirely here"), (None, base), (20, None), (21, ""), (22, " "), (30, "x"), (31, "X"), (40, "lone"), (40, "lone")]
+    rows = [(9, base), (4, base + " tail"), (7, base), (7, base), (1, "other text entirely here"), (None, base), (20, None), (21, ""), (22, " "), (30, "x"), (31, "X"), (40, "lone"), (40, "lone"), (50, "first of two texts"), (50, "second one, of other words")]
     docs = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, fp string")
     near = (fingerprint(base) ^ fingerprint(base + " tail")).bit_count() <= 2
     got = {(r["doc_id"], r["component_id"]) for r in S.near_duplicates(docs).collect()}
     first = 4 if near else 7
-    assert got == {(9, first), (7, first), (4, 4), (None, first), (1, 1), (20, 20), (21, 20), (22, 20), (30, 30), (31, 30), (40, 40)}
+    assert got == {(9, first), (7, first), (4, 4), (None, first), (1, 1), (20, 20), (21, 20), (22, 20), (30, 30), (31, 30), (40, 40), (50, 50)}
     kept = sorted(str(r["doc_id"]) for r in S.keep_first(docs).collect())
-    assert kept == sorted(["1", "4", "20", "30", "40", "None"] + ([] if near else ["7"]))
+    assert kept == sorted(["1", "4", "20", "30", "40", "50", "50", "None"] + ([] if near else ["7"]))
     assert S.keep_first(docs).columns == docs.columns
     assert S.near_duplicates(docs.limit(0)).count() == 0 and S.keep_first(docs.limit(0)).count() == 0
 
