@@ -5,7 +5,9 @@ window). The join asks for containment 1, so of the words of a window, ordered b
 corpus, a prefix of one is necessary: a document that holds the window holds its rarest word. The
 steps:
 
-1. count, over all documents, how often each benchmark word occurs (its rarity);
+1. count, in one pass over all documents, how often words occur (their rarity), in a table of
+   ``2**BITS`` places by a hash of the word; words that share a place share a count, which changes
+   the order of words and no result, and bounds the table whatever the vocabulary;
 2. index each distinct window under its rarest word, with that word's offset in it (the positional
    bound: the window can start only so many words before) and its number of words (the length
    bound: it must end inside the document);
@@ -13,10 +15,12 @@ steps:
    offset gives with the window, exactly.
 
 The index is cut into blocks of benchmark items, each of about ``block_chars`` characters of item
-text, which tasks load from the shared folder one after another; nothing that grows with the
-documents is shipped.
+text (100 MB of memory), which tasks build and write to the shared folder; no item passes through
+the driver. A worker keeps ``keep`` blocks. If there are more, it takes ``buffer_words`` words of
+documents at a time through all blocks, so that a block is loaded once for each such buffer.
+Nothing that grows with the documents is shipped.
 
-Null texts have no words. Items without an id or without words are ignored; rows with equal
+Null texts have no words. A very long text is a slice or buffer of its own. Items without an id or without words are ignored; rows with equal
 ``item_id`` are one item. Documents are taken row by row, so repeated rows each get their result,
 and further columns of either table are ignored. An empty benchmark hits nothing.
 """
@@ -24,10 +28,14 @@ and further columns of either table are ignored. An empty benchmark hits nothing
 from __future__ import annotations
 
 import pickle
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +43,7 @@ from lumenframe.llm import storage
 
 #: Bytes of UTF-8 text after lower-casing A-Z: 0-9, a-z and everything past ASCII are parts of words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+BITS = 20
 HITS = "doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
 
 
@@ -42,15 +51,19 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split() if text else []
 
 
+def place_of(word: bytes) -> int:
+    return zlib.crc32(word) & ((1 << BITS) - 1)
+
+
 class WindowIndex:
     """Distinct windows of some items, grouped by (number of words, offset of the rarest word)."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, counts: dict[bytes, int]):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, rarity: np.ndarray):
         self.vocabulary: dict[bytes, int] = {}
         for _, found in items:
             for w in found:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
-        names = {k: w for w, k in self.vocabulary.items()}
+        often = [int(rarity[place_of(w)]) for w in self.vocabulary]
         owners: dict[tuple[int, ...], set[str]] = {}
         for item, found in items:
             ids = [self.vocabulary[w] for w in found]
@@ -59,7 +72,7 @@ class WindowIndex:
         self.owners: list[list[str]] = []
         groups: dict[tuple[int, int], list] = {}
         for seq in sorted(owners):
-            at = min(range(len(seq)), key=lambda k: (counts.get(names[seq[k]], 0), seq[k], k))
+            at = min(range(len(seq)), key=lambda k: (often[seq[k]], seq[k], k))
             groups.setdefault((len(seq), at), []).append((seq, len(self.owners)))
             self.owners.append(sorted(owners[seq]))
         #: (words, offset) -> which words are prefixes; sorted codes of the windows, the windows, their numbers
@@ -100,49 +113,28 @@ class WindowIndex:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _coded(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The word numbers of all texts (unknown: the last number), and how many each text has."""
-    every, counts = [], []
-    for t in texts:
-        found = words(t)
-        counts.append(len(found))
-        every += found
-    unknown, get = len(vocabulary), vocabulary.get
-    return np.fromiter((get(w, unknown) for w in every), np.int64, len(every)), np.array(counts, np.int64)
-
-
-def count_words(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """How often each word of ``vocabulary`` occurs in all of ``docs``; tasks send a sum each."""
-    coded = {w: k for k, w in enumerate(sorted(vocabulary))}
+def rarity(docs: DataFrame) -> np.ndarray:
+    """How often words occur in all of ``docs``, by ``place_of``; tasks send the places they met, at most ``2**BITS``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(coded) + 1, np.int64)
+        total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             for part in storage.by_size(batch, "text"):
-                total += np.bincount(_coded(part.column("text").to_pylist(), coded)[0], minlength=len(total))
-        some = np.flatnonzero(total[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["word", "n"])
-
-    sums = storage.in_small_batches(docs.select("text")).mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    names = list(coded)
-    return {names[r["word"]]: r["n"] for r in sums}
+                counts = Counter(w for t in part.column("text").to_pylist() for w in words(t))
+                np.add.at(total, [place_of(w) for w in counts], list(counts.values()))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "n"])
 
-
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of about ``block_chars`` characters of text each."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("item_text")).where("item is not null and item_text is not null")
-    total = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    n = -(-total // block_chars)
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()
-        found = [(r["item"], words(r["item_text"])) for r in rows]
-        yield [(i, w) for i, w in found if w]
+    sums = storage.in_small_batches(docs.select("text")).mapInArrow(work, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BITS, np.int64)
+    out[sums.column("place").to_numpy()] = sums.column("n").to_numpy()
+    return out
 
 
 _loaded: dict[str, WindowIndex] = {}
 
 
-def _index(uri: str, keep: int = 2) -> WindowIndex:
+def _index(uri: str, keep: int) -> WindowIndex:
     """An index block from the shared folder; a worker keeps the last few."""
     if uri not in _loaded:
         while len(_loaded) >= keep:
@@ -153,7 +145,7 @@ def _index(uri: str, keep: int = 2) -> WindowIndex:
     return _loaded[uri]
 
 
-def _results(batch: pa.RecordBatch, blocks: list[str]) -> pa.RecordBatch:
+def _results(batch: pa.RecordBatch, blocks: list[str], keep: int) -> pa.RecordBatch:
     found = [words(t) for t in batch.column("text").to_pylist()]
     n = np.array([len(f) for f in found], np.int64)
     every = [w for f in found for w in f]
@@ -162,7 +154,7 @@ def _results(batch: pa.RecordBatch, blocks: list[str]) -> pa.RecordBatch:
     change = np.zeros(len(every) + 1, np.int64)
     items: dict[int, set[str]] = {}
     for uri in blocks:
-        index = _index(uri)
+        index = _index(uri, keep)
         unknown, get = len(index.vocabulary), index.vocabulary.get
         ids = np.fromiter((get(w, unknown) for w in every), np.int64, len(every))
         start, size, window = index.find(ids, left, right)
@@ -188,15 +180,47 @@ def _results(batch: pa.RecordBatch, blocks: list[str]) -> pa.RecordBatch:
 
 
 def _write_index(docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int) -> list[str]:
-    folder, blocks = storage.new_folder(docs.sparkSession, "windows"), []
-    for items in _blocks(benchmark, block_chars):
-        counts = count_words(docs, {w for _, found in items for w in found})
-        blocks.append(f"{folder}/{len(blocks)}.pickle")
-        storage.put(blocks[-1], pickle.dumps(WindowIndex(items, window, counts)))
-    return blocks
+    """The blocks' files. Items are dealt to blocks by a hash; a task gathers and writes one block."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("item_text")).where("item is not null and item_text is not null")
+    total = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    n = -(-total // block_chars)
+    if not n:
+        return []
+    folder, often = storage.new_folder(docs.sparkSession, "windows"), rarity(docs)
+    shipped = docs.sparkSession.sparkContext.broadcast(often)  # 8 MB
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple[str, list[bytes]]] = []
+        for batch in batches:
+            own += [(i, w) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (w := words(t))]
+        if own:
+            uri = f"{folder}/{TaskContext.get().partitionId()}.pickle"
+            storage.put(uri, pickle.dumps(WindowIndex(sorted(own), window, shipped.value)))
+            yield pa.RecordBatch.from_arrays([pa.array([uri])], names=["path"])
+
+    made = items.repartition(n, "item").mapInArrow(build, "path string").collect()
+    return sorted(r["path"] for r in made)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8_000_000) -> DataFrame:
+def _parts(batches: Iterator[pa.RecordBatch], blocks: list[str], keep: int, buffer_words: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a task's rows: small ones while the worker holds all blocks, else as large as ``buffer_words`` allows."""
+    if len(blocks) <= keep:
+        for batch in batches:
+            yield from storage.by_size(batch, "text")
+        return
+    held, size = [], 0
+    for batch in batches:
+        for part in storage.by_size(batch, "text"):
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if size >= 6 * buffer_words:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8_000_000, keep: int = 2, buffer_words: int = 2_000_000) -> DataFrame:
     """For each document row: doc_id, n_words, the spans of words that windows cover, and the items that occur.
 
     ``spans`` are disjoint word ranges (start included, stop not) in order; ``items`` are ids as
@@ -206,9 +230,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: i
     blocks = _write_index(source, benchmark, window, block_chars)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in storage.by_size(batch, "text"):
-                yield _results(part, blocks)
+        for part in _parts(batches, blocks, keep, buffer_words):
+            yield _results(part, blocks, keep)
 
     return storage.in_small_batches(source).mapInArrow(work, HITS)
 
@@ -219,15 +242,14 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (covered > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8_000_000) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8_000_000, keep: int = 2, buffer_words: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, all columns kept; rows don't leave their partition."""
     blocks = _write_index(docs, benchmark, window, block_chars)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in storage.by_size(batch, "text"):
-                clean = [not s for s in _results(part, blocks).column("spans").to_pylist()]
-                yield part.filter(pa.array(clean, pa.bool_()))
+        for part in _parts(batches, blocks, keep, buffer_words):
+            clean = [not s for s in _results(part, blocks, keep).column("spans").to_pylist()]
+            yield part.filter(pa.array(clean, pa.bool_()))
 
     return storage.in_small_batches(docs).mapInArrow(work, docs.schema)
 

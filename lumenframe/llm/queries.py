@@ -34,6 +34,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of redirects, each page but every fifth to the next one by id, over which blocks spread."""
+    pages = table(spark, sf_dir, "pages")
+    numbered = pages.select("page_id", "url").where("page_id % 5 != 4").withColumn("next", F.col("page_id") + 1)
+    moved = numbered.join(pages.select(F.col("page_id").alias("next"), F.col("url").alias("target")), "next").select("url", "target")
+    return url_filter.judge(pages, redirects=moved).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -74,6 +82,7 @@ def queries() -> dict:
         "op3_language_id": op3_language_id,
         "op4_warc": op4_warc,
         "op5_url_filter": op5_url_filter,
+        "op5_redirects": op5_redirects,
         "op6_simhash": op6_simhash,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_quality_rules": op8_quality_rules,
@@ -85,4 +94,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL, "op5_url_filter": url_filter.SQL, "op8_quality_rules": quality_rules.SQL_DOCUMENTS, "op8_host_verdicts": quality_rules.SQL_HOSTS, "op9_line_dedup": line_dedup.sql(), "op9_short_runs": line_dedup.sql(30)}
+    return {"op1_decontamination": decontamination.SQL, "op4_warc": warc.SQL, "op5_url_filter": url_filter.SQL, "op5_redirects": url_filter.SQL_REDIRECTS, "op8_quality_rules": quality_rules.SQL_DOCUMENTS, "op8_host_verdicts": quality_rules.SQL_HOSTS, "op9_line_dedup": line_dedup.sql(), "op9_short_runs": line_dedup.sql(30)}

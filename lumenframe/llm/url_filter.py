@@ -2,12 +2,13 @@
 
 A rule names a host and the start of a path (``example.net/en/``) and fits that host and its
 subdomains; of those that fit, the longest counts. Redirects (a table, or ``meta refresh`` in a
-page) and canonical links make two urls aliases. Aliases form connected components of the graph of
-such edges. If a rule blocks one member, every member is blocked that no rule of its own allows: an
+page) and canonical links make two urls aliases. Urls are one node if they differ in the case of
+scheme or host, a default port, a fragment, or a missing first slash (``node_of``). Aliases form
+connected components of the graph of such edges. If a rule blocks one member, every member is blocked that no rule of its own allows: an
 explicit allow goes before what an alias passes on. Urls that nothing blocks are allowed.
 
 Rules are a list of up to some thousands in the driver's hands. Only urls with an edge enter the
-graph. A null url has no host, path or rule and is allowed. Links without a url, or to other schemes
+graph. An empty table gives no rows. A null url has no host, path or rule and is allowed. Links without a url, or to other schemes
 than http(s), are ignored. Repeated rows each get their verdict; all columns of the input stay but
 those named host, path, rule and verdict.
 """
@@ -38,6 +39,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
+def node_of(url: Column) -> Column:
+    """The url under the name that its equivalents share."""
+    at = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+    scheme, host = F.lower(F.regexp_extract(url, at, 1)), F.lower(F.regexp_extract(url, at, 2))
+    bare = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    path = F.regexp_extract(url, at, 3)
+    return F.when(scheme == "", url).otherwise(F.concat(scheme, F.lit("://"), bare, F.when(path == "", "/").otherwise(path), F.regexp_extract(url, at, 4)))
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """struct(size, rule, verdict) of the longest rule that fits, else null. Equally long ones: the last by name."""
     by_host: dict[str, list] = {}
@@ -78,7 +88,8 @@ def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
     edges = told.select(F.col("url").alias("u"), F.explode(F.array(canonical, refresh)).alias("link")).select("u", _absolute(F.col("u"), F.col("link")).alias("v"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(F.col("url").alias("u"), _absolute(F.col("url"), F.col("target")).alias("v")))
-    return edges.where("u is not null and u != v").where(F.col("v").rlike("^[Hh][Tt][Tt][Pp][Ss]?://"))
+    edges = edges.where("u is not null").where(F.col("v").rlike("^[Hh][Tt][Tt][Pp][Ss]?://"))
+    return edges.select(node_of(F.col("u")).alias("u"), node_of(F.col("v")).alias("v")).where("u != v")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -91,7 +102,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: Dat
     names = ["host", "path", "rule", "verdict"]
     found = pages.select(*(c for c in pages.columns if c not in names), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     found = found.withColumn("__lf_rule", rule_of(F.col("host"), F.col("path"), rules))
-    found = found.join(small(blocked), found["url"] == F.col("__lf_url"), "left")
+    found = found.join(small(blocked), node_of(F.col("url")) == F.col("__lf_url"), "left")
     spread = F.when(F.col("__lf_blocked"), "block").otherwise("allow")
     return found.withColumns({"rule": F.col("__lf_rule.rule"), "verdict": F.coalesce(F.col("__lf_rule.verdict"), spread)}).drop("__lf_rule", "__lf_url", "__lf_blocked")
 
@@ -106,18 +117,32 @@ WITH RECURSIVE links AS (
     SELECT u, replace(trim(link), '&amp;', '&') AS l, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_extract(u, '://[^/?#]*((?:/[^?#]*)?/)', 1) AS folder FROM links WHERE trim(link) <> ''
 ), edges AS (
     SELECT u, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l WHEN starts_with(l, '//') THEN regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) || l WHEN starts_with(l, '/') THEN root || l WHEN folder = '' THEN root || '/' || l ELSE root || folder || l END AS v FROM plain
+), named AS (
+    SELECT CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(u, '://([^/?#]*)', 1)), CASE lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '') || CASE regexp_extract(u, '://[^/?#]*([^?#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(u, '://[^/?#]*([^?#]*)', 1) END || regexp_extract(u, '://[^/?#]*[^?#]*([?][^#]*)', 1) ELSE u END AS u, CASE WHEN regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract(v, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(v, '://([^/?#]*)', 1)), CASE lower(regexp_extract(v, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '') || CASE regexp_extract(v, '://[^/?#]*([^?#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(v, '://[^/?#]*([^?#]*)', 1) END || regexp_extract(v, '://[^/?#]*[^?#]*([?][^#]*)', 1) ELSE v END AS v FROM edges WHERE regexp_matches(v, '^[Hh][Tt][Tt][Pp][Ss]?://')
 ), both_ways AS (
-    SELECT u, v FROM edges WHERE u <> v AND regexp_matches(v, '^[Hh][Tt][Tt][Pp][Ss]?://') UNION SELECT v, u FROM edges WHERE u <> v AND regexp_matches(v, '^[Hh][Tt][Tt][Pp][Ss]?://')
+    SELECT u, v FROM named WHERE u <> v UNION SELECT v, u FROM named WHERE u <> v
 ), urls AS (
-    SELECT url, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
+    SELECT url, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), CASE lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '') || CASE regexp_extract(url, '://[^/?#]*([^?#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(url, '://[^/?#]*([^?#]*)', 1) END || regexp_extract(url, '://[^/?#]*[^?#]*([?][^#]*)', 1) ELSE url END AS node, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
     FROM (SELECT url FROM pages UNION SELECT u FROM both_ways)
 ), rules(verdict, rule, rhost, start) AS (
     VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
 ), own AS (
     SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM urls JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, start) GROUP BY url
 ), blocked(url) AS (
-    SELECT url FROM own WHERE verdict = 'block' UNION SELECT v FROM blocked JOIN both_ways ON url = u
+    SELECT u FROM both_ways JOIN own ON own.url = u WHERE verdict = 'block' UNION SELECT v FROM blocked JOIN both_ways ON url = u
 )
-SELECT page_id, host, path, rule, coalesce(own.verdict, CASE WHEN p.url IN (SELECT url FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(own.verdict, CASE WHEN urls.node IN (SELECT url FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM pages p LEFT JOIN urls ON urls.url IS NOT DISTINCT FROM p.url LEFT JOIN own ON own.url = p.url
 """
+
+#: The same with further redirects: every page but each fifth to the next one, by id.
+SQL_REDIRECTS = SQL.replace(
+    "), plain AS (",
+    """), moved AS (
+    SELECT url, lead(url) OVER (ORDER BY page_id) AS target, page_id FROM pages
+), plain AS (""",
+).replace(
+    "), named AS (",
+    """ UNION ALL SELECT url, target FROM moved WHERE page_id % 5 <> 4 AND url IS NOT NULL AND regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:')
+), named AS (""",
+)

@@ -1,15 +1,18 @@
 """WARC archives of pages, each record compressed on its own with a Zstandard dictionary.
 
 A file starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself a
-Zstandard frame; every record is one further frame, so any record can be read by its offset. The
-dictionary is trained on a bounded sample of the records that are archived: the ``sample`` pages of
+Zstandard frame; every record is one further frame, so any record can be read by its offset. A file's
+first record is its warcinfo; each page is an HTTP response, of which a revisit has the headers only.
+The dictionary is trained on a bounded sample of the records that are archived: the ``sample`` pages of
 lowest hash, and of each the first ``SAMPLE_BYTES``, which bounds the driver's part and decides
 nothing but the compression. Too few records to train on serve as a raw dictionary.
 
 Of the records of equal payloads of at least ``min_bytes`` bytes, the one of the largest page_id is
 a response, the others revisit it. Rows that repeat the largest page_id are responses all. Null html
 is an empty payload. Records with a null page_id count as lower than any; if no other has the
-payload, all are responses. Further columns are ignored. An empty table makes no files.
+payload, all are responses. Further columns are ignored. An empty table makes no files. A very long
+page is one record. Pages have no time of their own: ``captured`` is every record's date, so that a
+task that runs again writes the same bytes.
 """
 
 from __future__ import annotations
@@ -58,35 +61,55 @@ def dictionary_frame(dictionary: bytes) -> bytes:
     return SKIPPABLE.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """The bytes of one WARC/1.1 record; a revisit carries no payload."""
-    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A") or "about:blank"
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {uri}')}>",
-        "WARC-Date: 2024-01-01T00:00:00Z",
-        f"WARC-Target-URI: {uri}",
-        f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
-        "Content-Type: text/html; charset=utf-8",
-        f"X-Payload-Length: {len(payload)}",
-    ]
+def record_id(page_id: int | None, uri: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {uri} {digest}')}>"
+
+
+def uri_of(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A") or "about:blank"
+
+
+def _record(fields: dict[str, str], body: bytes) -> bytes:
+    head = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items()), f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def info(name: str, captured: str) -> bytes:
+    """A file's first record."""
+    fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(None, name, ""), "WARC-Date": captured, "WARC-Filename": name, "Content-Type": "application/warc-fields"}
+    return _record(fields, b"software: lumenframe\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: tuple[int, str | None] | None, captured: str) -> bytes:
+    """The bytes of one WARC/1.1 record; ``refers_to``: page_id and url of the response that a revisit names."""
+    uri = uri_of(url)
+    fields = {
+        "WARC-Type": "response" if refers_to is None else "revisit",
+        "WARC-Record-ID": record_id(page_id, uri, digest),
+        "WARC-Date": captured,
+        "WARC-Target-URI": uri,
+        "WARC-Payload-Digest": f"sha1:{digest}",
+        "Content-Type": "application/http; msgtype=response",
+        "X-Payload-Length": str(len(payload)),
+    }
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        fields["X-Page-ID"] = str(page_id)
     if url is None:
-        head.append("X-No-URL: 1")
-    body = payload
+        fields["X-No-URL"] = "1"
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
-        body = b""
-    head.append(f"Content-Length: {len(body)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        other, target = refers_to
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(other, uri_of(target), digest), "WARC-Refers-To-Target-URI": uri_of(target), "WARC-Refers-To-Date": captured, "X-Refers-To-Page-ID": str(other)}
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    return _record(fields, http + payload if refers_to is None else http)
 
 
-def parse(data: bytes) -> dict:
+def parse(data: bytes) -> dict | None:
+    """A page's record as a row; None for a warcinfo."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    body = rest[: int(fields["Content-Length"])]
+    if fields["WARC-Type"] == "warcinfo":
+        return None
+    _, _, body = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
     revisit = fields["WARC-Type"] == "revisit"
     number = lambda name: int(fields[name]) if name in fields else None
     return {
@@ -101,7 +124,7 @@ def parse(data: bytes) -> dict:
 
 
 def records_of(source) -> Iterator[dict]:
-    """Every record of an open archive, one after another."""
+    """Every page's record of an open archive, one after another."""
     import zstandard
 
     magic, size = int.from_bytes(source.read(4), "little"), int.from_bytes(source.read(4), "little")
@@ -118,7 +141,9 @@ def records_of(source) -> Iterator[dict]:
                 return
             out.append(frame.decompress(rest))
             rest = frame.unused_data if frame.eof else b""
-        yield parse(b"".join(out))
+        row = parse(b"".join(out))
+        if row:
+            yield row
 
 
 def _sample(source: DataFrame, size: int) -> list[bytes]:
@@ -130,7 +155,7 @@ def _sample(source: DataFrame, size: int) -> list[bytes]:
     return [r["t"].encode()[:SAMPLE_BYTES] for r in sorted(rows, key=lambda r: (r["h"], r["t"]))[:size]]
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0, sample: int = 500, file_bytes: int = 256 << 20) -> list[dict]:
+def write(pages: DataFrame, folder: str, min_bytes: int = 0, sample: int = 500, file_bytes: int = 256 << 20, captured: str = "2024-01-01T00:00:00Z") -> list[dict]:
     """Archive ``pages`` (page_id, url, html) below ``folder``; a row per file: path, records.
 
     First the digests of payloads that occur more than once are found, from digests alone. The
@@ -141,10 +166,10 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, sample: int = 500,
 
     html = F.coalesce("html", F.lit(""))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.unhex(F.sha1(html)).alias("sha1"))
-    known = F.struct(F.col("page_id").isNotNull(), "page_id")
+    known = F.struct(F.col("page_id").isNotNull(), "page_id", "url")
     large = F.octet_length("html") >= min_bytes
     repeated = source.where(large).groupBy("sha1").agg(F.max(known).alias("last"), F.count("*").alias("n")).where("n > 1")
-    winners = storage.cut(repeated.select("sha1", F.col("last.page_id").alias("winner")))
+    winners = storage.cut(repeated.select("sha1", F.col("last.page_id").alias("winner"), F.col("last.url").alias("winner_url")))
     dictionary = train(_sample(source, sample)).as_bytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +178,17 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, sample: int = 500,
 
         def flush():
             nonlocal made, parts, size
-            uri = f"{folder}/pages-{part:06d}-{made:06d}.warc.zst"
-            storage.put(uri, [dictionary_frame(dictionary), *parts])
+            name = f"pages-{part:06d}-{made:06d}.warc.zst"
+            uri = f"{folder}/{name}"
+            storage.put(uri, [dictionary_frame(dictionary), packer.compress(info(name, captured)), *parts])
             row = pa.RecordBatch.from_pylist([{"path": uri, "records": len(parts)}], pa.schema([("path", pa.string()), ("records", pa.int64())]))
             made, parts, size = made + 1, [], 0
             return row
 
         for batch in batches:
             for some in storage.by_size(batch, "html", 4_000_000):
-                for page, url, text, winner in zip(*(some.column(k).to_pylist() for k in range(4)), strict=True):
-                    parts.append(packer.compress(record(page, url, text, None if winner is None or winner == page else winner)))
+                for page, url, text, sha1, winner, target in zip(*(some.column(k).to_pylist() for k in range(6)), strict=True):
+                    parts.append(packer.compress(record(page, url, text, base64.b32encode(sha1).decode(), None if winner is None or winner == page else (winner, target), captured)))
                     size += len(parts[-1])
                 if size >= file_bytes:
                     yield flush()
@@ -170,7 +196,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, sample: int = 500,
             yield flush()
 
     joined = source.join(small(winners), (source["sha1"] == winners["sha1"]) & large, "left")
-    rows = joined.select("page_id", "url", F.col("html").cast("binary").alias("html"), "winner")
+    rows = joined.select("page_id", "url", F.col("html").cast("binary").alias("html"), source["sha1"].alias("sha1"), "winner", "winner_url")
     out = storage.in_small_batches(rows).mapInArrow(work, "path string, records long")
     return [r.asDict() for r in out.collect()]
 

@@ -36,15 +36,16 @@ CASES = [
     (1, f"x {PASSAGE.upper()}, y"), (2, PASSAGE.replace("six", "6")), (3, None), (4, ""), (5, "!!! ..."), (6, "é été ünder é"), (7, f"{PASSAGE} {PASSAGE}"),
     (7, f"{PASSAGE} {PASSAGE}"), (None, "Short item"), (8, "short-item here"), (9, "a a a a a a a a a a a a"), (10, "word " * 5000 + PASSAGE), (11, "one two three four five six seven eight nine ten"), (12, "two three four five six seven eight nine ten"),
 ]
-BENCH = [(1, PASSAGE), (2, "short item"), (10, "É été"), (3, None), (4, ""), (None, "word"), (5, "a a a a a a a a a a a"), (5, "ünder"), (6, PASSAGE), (2, "short item")]
+BENCH = [(1, PASSAGE), (2, "short item"), (10, "É été"), (3, None), (4, ""), (None, "word"), (5, "a a a a a a a a a a a"), (5, "ünder"), (6, PASSAGE), (2, "short item"), *((100 + k, f"filler {k}") for k in range(9))]
 
 
 def test_against_brute_force(spark):
     docs = spark.createDataFrame([(*c, "x", "y") for c in CASES], DOCS)
     items = spark.createDataFrame([(*b, "z") for b in BENCH], ITEMS)
-    for chars in (8_000_000, 60):  # in one block, and in several
-        got = sorted(map(tuple, D.digest(D.hits(docs, items, block_chars=chars)).collect()), key=str)
+    for chars, keep in ((8_000_000, 2), (60, 9), (25, 1)):  # in one block, in several, and in more than a worker keeps
+        got = sorted(map(tuple, D.digest(D.hits(docs, items, block_chars=chars, keep=keep, buffer_words=2000)).collect()), key=str)
         assert got == brute(CASES, BENCH)
+    assert len(D._write_index(docs, items, 10, 25)) >= 5
 
 
 def test_spans_and_removal(spark):

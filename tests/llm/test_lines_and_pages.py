@@ -129,6 +129,18 @@ def test_dictionary_frame_is_skippable(spark):
     assert int.from_bytes(data[:4], "little") == 0x184D2A5D
     size = int.from_bytes(data[4:8], "little")
     assert data[8 + size : 12 + size] == zstandard.FRAME_HEADER
+    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size])))
+    first = reader.decompressobj()
+    told = first.decompress(data[8 + size :])
+    assert b"WARC-Type: warcinfo" in told and W.parse(told) is None
+    page = reader.decompressobj().decompress(first.unused_data)
+    assert b"Content-Type: application/http; msgtype=response" in page and b"\r\n\r\nHTTP/1.1 200 OK\r\n" in page and W.parse(page)["payload"] == b"x" * 500
+
+
+def test_revisits_name_the_response():
+    first, again = (W.record(k, "http://a/é", b"same", W.digest_of(b"same"), None if k == 9 else (9, "http://a/é"), "2024-01-01T00:00:00Z").decode() for k in (9, 3))
+    name = first.split("WARC-Record-ID: ")[1].split("\r\n")[0]
+    assert f"WARC-Refers-To: {name}\r\n" in again and again.endswith("Content-Length: 4\r\n\r\n\r\n\r\n")
 
 
 def test_rules_and_aliases(spark):
@@ -151,12 +163,12 @@ def test_rules_and_aliases(spark):
 
 def test_sql_of_pages_equals_the_operators(spark):
     link = '<html><link href="%s" rel="canonical"></html>'
-    rows = [(1, "http://a.net/x", ""), (2, "http://b.org/y?q#f", link % "http://a.net/x"), (3, "http://c.org/z/", link % "../k"), (4, "http://d.org/fr/1", link % "//a.net/x"), (5, None, link % "x"), (6, "http://e.com/k", link % "http://f.net/gone"), (7, "http://e.com", link % "k"), (8, "é", "é" * 30), (9, "http://a.net/x", None), (10, "x", "é" * 30)]
+    rows = [(1, "http://a.net/x", ""), (2, "http://b.org/y?q#f", link % "http://a.net/x"), (3, "http://c.org/z/", link % "../k"), (4, "http://d.org/fr/1", link % "//a.net/x"), (5, None, link % "x"), (6, "http://e.com/k", link % "http://f.net/gone"), (7, "http://e.com", link % "k"), (8, "é", "é" * 30), (9, "http://a.net/x", None), (10, "x", "é" * 30), (11, "http://g.com/a#top", link % "HTTP://H.com:80"), (12, "http://h.com/#f", ""), (13, "https://H.com:443/z?q=1#f", link % "https://g.com/b"), (14, "http://G.com:80/a", link % "http://f.net/gone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     con = duckdb.connect()
     con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
     ours = U.judge(pages).select("page_id", "host", "path", "rule", "verdict").collect()
     assert sorted(map(tuple, ours)) == sorted(con.sql(U.SQL).fetchall())
-    assert {r["page_id"] for r in ours if r["verdict"] == "block"} == {1, 2, 6, 7, 9}
+    assert {r["page_id"] for r in ours if r["verdict"] == "block"} == {1, 2, 6, 7, 9, 11, 12, 14}
     read = W.read(spark, W.write(pages, storage.new_folder(spark, "w"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(tuple, read)) == sorted(con.sql(W.SQL).fetchall())
