@@ -1,6 +1,6 @@
 """Packing of documents into sequences of ``WINDOW`` tokens by lexical retrieval.
 
-Documents are dealt over partitions by a hash; each partition, ordered by doc_id, is cut into shards
+Documents are dealt over partitions by a hash of the row; each partition, ordered by doc_id, is cut into shards
 of about ``shard_tokens`` tokens, and each shard gets a BM25 inverted index over its token ids. Whole
 windows of long documents are sequences of their own. What is left of each document waits in the
 index: the longest waiting piece seeds a window, and the waiting pieces that score best for it fill
@@ -8,8 +8,10 @@ the window one after another, in order of score. The last is cut where the windo
 pieces that share no term with the seed come last, by doc_id. What can't fill a window any more
 passes into the next shard, so only the last sequence of a partition has padding.
 
-A task holds one shard at a time. Null texts are empty documents (the end id alone). Rows that
-repeat a doc_id are documents of their own. A null doc_id is kept. Further columns are ignored.
+A task holds one shard at a time, of ``shard_tokens`` tokens or one document, whichever is more. Null
+texts are empty documents (the end id alone). Rows that repeat a doc_id are documents of their own, and
+however many they are, they are dealt over tasks. A null doc_id is kept. Further columns are ignored. An
+empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -149,9 +151,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, shard_tokens: int =
         packer.pack(True)
         yield packer.flush()
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(parts, F.xxhash64("doc_id", "text"))
-    return storage.in_small_batches(dealt.sortWithinPartitions("doc_id", "text")).mapInArrow(work, PIECES)
+    dealt = storage.numbered(docs).repartition(storage.parts_for(docs), F.xxhash64("doc_id", "row_no"))
+    ordered = dealt.sortWithinPartitions("doc_id", "text_hash", "row_no").select("doc_id", "text")
+    return storage.in_small_batches(ordered).mapInArrow(work, PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ densities (Mahalanobis distances by cached Cholesky factors, and log determinant
 Null and empty texts have the statistics of no words and get a score too. Without any training row
 every score is 0.5, with one class only it is that class's (0 or 1). A document with several labels
 counts as often; labels without a document, or null, don't count. Repeated rows each get their
-result. Further columns are ignored.
+result. Further columns are ignored. An empty table gives no rows. A very long text is a slice of its
+own, of some 60 bytes a word.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm import storage
 
 STATISTICS = ["words", "word_length", "letters", "capitals", "symbols", "shouts", "stops", "distinct", "again", "line_again", "commonest", "line_words"]
+DIGITS = 4
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))  # and digits
 STOPS, SHOUTS = b".,;:'\"()-", b"!?"
@@ -64,7 +66,7 @@ def measure(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in storage.by_size(batch, "text", 2_000_000):
-                x = np.log(np.array([statistics_of(t) for t in part.column("text").cast(pa.binary()).to_pylist()]))
+                x = np.round(np.log(np.array([statistics_of(t) for t in part.column("text").cast(pa.binary()).to_pylist()])), DIGITS)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), flat], names=["doc_id", "x"])
 
@@ -72,25 +74,26 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 class Discriminant:
-    """Two Gaussian classes from their counts, sums and sums of products."""
+    """Two Gaussian classes from their counts, sums and sums of products, in whole units of 10 to the minus ``DIGITS``."""
 
     def __init__(self, sums: dict[int, tuple[int, np.ndarray, np.ndarray]], shrinkage: float):
         self.classes = sorted(k for k, s in sums.items() if s[0] > 0)
-        total = sum(sums[k][0] for k in self.classes)
-        covs = {}
-        self.mean, self.factor, self.log_det, self.log_prior = {}, {}, {}, {}
+        total, unit = sum(sums[k][0] for k in self.classes), 10**DIGITS
+        self.mean, self.inverse, self.log_det, self.log_prior, covs = {}, {}, {}, {}, {}
         for k in self.classes:
             n, x, xx = sums[k]
-            self.mean[k] = x / n
-            covs[k] = xx / n - np.outer(self.mean[k], self.mean[k])
+            self.mean[k] = np.array([int(v) / (n * unit) for v in x])
+            exact = n * xx - np.outer(x, x)  # Python's whole numbers
+            covs[k] = np.array([[int(v) / (n * n * unit * unit) for v in row] for row in exact])
             self.log_prior[k] = np.log(n / total)
         self.unit = np.sqrt(np.maximum(sum(sums[k][0] * np.diag(covs[k]) for k in self.classes) / total, 1e-9)) if self.classes else None
         for k in self.classes:
             c = covs[k] / np.outer(self.unit, self.unit)
             d = len(c)
             c = (1 - shrinkage) * c + (shrinkage * max(np.trace(c) / d, 1e-3) + 1e-6) * np.eye(d)
-            self.factor[k] = np.linalg.cholesky(c)
-            self.log_det[k] = 2 * np.log(np.diag(self.factor[k])).sum()
+            factor = np.linalg.cholesky(c)
+            self.inverse[k] = np.tril(np.linalg.inv(factor))
+            self.log_det[k] = 2 * np.log(np.diag(factor)).sum()
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The chance of class 1 for each row of ``x``."""
@@ -98,8 +101,8 @@ class Discriminant:
             return np.full(len(x), float(self.classes[0]) if self.classes else 0.5)
         log = {}
         for k in self.classes:
-            z = np.linalg.solve(self.factor[k], ((x - self.mean[k]) / self.unit).T)
-            log[k] = self.log_prior[k] - 0.5 * ((z * z).sum(axis=0) + self.log_det[k])
+            z = ((x - self.mean[k]) / self.unit) @ self.inverse[k].T
+            log[k] = self.log_prior[k] - 0.5 * ((z * z).sum(axis=1) + self.log_det[k])
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
@@ -109,25 +112,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", shrinkage: float = 0.05) -> Discriminant:
-    """Class sums over all training rows; tasks add up theirs, and a row for each task and class is summed here."""
+    """Class sums over all training rows: tasks add up theirs (whole numbers that fit for 6e8 rows each), Spark adds those."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     rows = measured.join(known, "doc_id").select("label", "x")
     d = len(STATISTICS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: np.zeros(1 + d + d * d) for k in (0, 1)}
+        sums = {k: np.zeros(1 + d + d * d, np.int64) for k in (0, 1)}
         for batch in batches:
             label = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy().reshape(-1, d)
+            x = np.rint(batch.column(1).flatten().to_numpy().reshape(-1, d) * 10**DIGITS).astype(np.int64)
             for k in sums:
                 own = x[label == k]
                 sums[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
-        yield pa.RecordBatch.from_pylist([{"label": k, "at": i, "v": v} for k, s in sums.items() for i, v in enumerate(s.tolist())], pa.schema([("label", pa.int32()), ("at", pa.int32()), ("v", pa.float64())]))
+        yield pa.RecordBatch.from_pylist([{"label": k, "at": i, "v": v} for k, s in sums.items() for i, v in enumerate(s.tolist())], pa.schema([("label", pa.int32()), ("at", pa.int32()), ("v", pa.int64())]))
 
-    found = rows.mapInArrow(add, "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v")).collect()
-    sums = {k: np.zeros(1 + d + d * d) for k in (0, 1)}
+    found = rows.mapInArrow(add, "label int, at int, v long").groupBy("label", "at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()
+    sums = {k: np.zeros(1 + d + d * d, object) for k in (0, 1)}
     for r in found:
-        sums[r["label"]][r["at"]] = r["v"]
+        sums[r["label"]][r["at"]] = int(r["v"])
     return Discriminant({k: (s[0], s[1 : d + 1], s[d + 1 :].reshape(d, d)) for k, s in sums.items()}, shrinkage)
 
 

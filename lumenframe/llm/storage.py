@@ -73,6 +73,18 @@ def put(uri: str, data) -> None:
     store.move(part, path)
 
 
+def parts_for(df: DataFrame, part_bytes: int = 128 << 20) -> int:
+    """Partitions for a shuffle of ``df``: as many as the session asks for, and more where its files make parts of over ``part_bytes``."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >= 1 << 60 else max(least, -(-size // part_bytes))  # unknown sizes count as endless
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash, row_no): what deals rows out evenly, however many share an id or a text."""
+    return hashed(docs).withColumn("row_no", F.monotonically_increasing_id())
+
+
 def give_back() -> None:
     """Returns freed memory of a Python worker to the system, where the C library can."""
     pa.default_memory_pool().release_unused()

@@ -2,8 +2,9 @@
 
 ``write`` tokenizes in Spark tasks, one range of ``doc_id`` each, and returns a manifest; ``read``
 opens the files in tasks. Null texts are empty documents (the end id alone). A null ``doc_id`` sorts
-first. Rows with equal ``doc_id`` follow one another, ordered by text. Further columns are ignored.
-An empty table makes no files.
+first. Rows with equal ``doc_id`` follow one another, ordered by a hash of their text; however many
+they are, they are dealt over tasks. Further columns are ignored. An empty table makes no files. A
+very long text is tokenized as one; its ids are one stretch of a file, which no limit cuts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumenframe.llm import dac, storage, tokens
 
@@ -64,8 +64,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, token
             yield flush()
 
     SCHEMA = pa.schema([("path", pa.string()), ("part", pa.int32()), ("file", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    key = ["doc_id", "text_hash", "row_no"]
+    ordered = storage.numbered(docs).repartitionByRange(storage.parts_for(docs), *key).sortWithinPartitions(*key).select("doc_id", "text")
     rows = storage.in_small_batches(ordered).mapInArrow(work, MANIFEST).collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: (r["part"], r["file"]))]
 

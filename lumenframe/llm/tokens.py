@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -15,6 +16,9 @@ PLAIN = bytes([9, 10, 13, *range(32, 127), *(c for c in range(0xC0, 0x100) if c
 #: Contractions are pre-tokens of their own where no punctuation stands before them (fixed values of the vocabulary's
 #: pre-tokenizer); one byte stands for each.
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
+#: The normalizer and pre-tokenizer that splitting words here stands for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 CONTRACTION = re.compile(rb"(?<![!-/:-@\[-`{-~])'(?:s|t|re|ve|m|ll|d)")
 AS_BYTE = {c.encode(): bytes([32, k + 1, 32]) for k, c in enumerate(CONTRACTIONS)}
 LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else 32 if c in (9, 10, 13) else c for c in range(256))
@@ -77,8 +81,8 @@ class BatchTokenizer:
 
     The vocabulary splits lower-cased text at word borders before its merges, so equal pre-tokens
     have equal ids wherever they stand. Texts of plain Latin-1 characters are split here, and each
-    distinct pre-token goes to the library once; any other text, and any vocabulary with another
-    pre-tokenizer, goes to the library whole. The table of known words is emptied at ``max_words``,
+    distinct pre-token goes to the library once; any other text, and any vocabulary whose file names
+    another normalizer or pre-tokenizer, goes to the library whole. The table of known words is emptied at ``max_words``,
     which bounds memory and changes no result.
     """
 
@@ -87,7 +91,10 @@ class BatchTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_path)
-        self.by_word = os.path.basename(tokenizer_path) == WORD_BPE
+        told = json.loads(self.library.to_str())
+        splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        bytes_only = len(splits) == 2 and splits[1].get("type") == "ByteLevel" and not splits[1].get("add_prefix_space") and not splits[1].get("use_regex")
+        self.by_word = told["normalizer"] == NORMALIZER and splits[0] == SPLIT and bytes_only and told["model"].get("end_of_word_suffix") == "</w>"
         self.max_words = max_words
         if self.by_word:
             vocab = self.library.get_vocab(with_added_tokens=True)

@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from lumenframe.llm import language_id as L
@@ -173,3 +174,25 @@ def test_classifier_on_held_out_rows(spark):
     assert sum(r["predicted"] == known[r["doc_id"]] for r in held) / len(held) > 0.9
     assert {r["score"] for r in C.score(docs, marks.limit(0)).collect()} == {0.5}
     assert C.score(docs.limit(0), marks).count() == 0
+
+
+def test_scores_equal_the_densities(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(("w%d" % rng.randint(0, 30) + "#" * (k % 2 * rng.randint(0, 3))) for _ in range(rng.randint(30, 90)))) for k in range(160)]
+    labels = [(k, 1 - k % 2) for k, _ in rows if k % 4 < 3] + [(3, 1)]  # a document with two labels counts twice
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in C.score(docs, marks, shrinkage=0.1).collect()}
+    x = {k: np.round(np.log(C.statistics_of(t.encode())), C.DIGITS) for k, t in rows}
+    train = {c: np.array([x[k] for k, q in labels if q == c and zlib.crc32(str(k).encode()) % 5]) for c in (0, 1)}
+    total = sum(map(len, train.values()))
+    cov = {c: np.cov(t.T, bias=True) for c, t in train.items()}
+    unit = np.sqrt(np.maximum(sum(len(t) * np.diag(cov[c]) for c, t in train.items()) / total, 1e-9))
+    for k, t in rows:
+        log = {}
+        for c, own in train.items():
+            s = cov[c] / np.outer(unit, unit)
+            s = 0.9 * s + (0.1 * np.trace(s) / len(s) + 1e-6) * np.eye(len(s))
+            z = (x[k] - own.mean(axis=0)) / unit
+            log[c] = math.log(len(own) / total) - 0.5 * (z @ np.linalg.solve(s, z) + np.linalg.slogdet(s)[1])
+        assert got[k] == pytest.approx(1 / (1 + math.exp(log[0] - log[1])), abs=1e-9)
+    assert got == {r["doc_id"]: r["score"] for r in C.score(docs.repartition(7), marks.repartition(3), shrinkage=0.1).collect()}

@@ -40,7 +40,8 @@ def test_files_round_trip(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, start long")
     manifest = token_files.write(docs, storage.new_folder(spark, "t"), tokens_per_file=1000)
     got = token_files.read(spark, manifest).orderBy("start").collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    code = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, code[r[1]]))
     at = 0
     for r, (doc, text, _) in zip(got, order, strict=True):
         ids = library([text])[0]
@@ -75,6 +76,67 @@ def test_packing_loses_nothing(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_other_vocabularies_go_whole_to_the_library(tmp_path):
+    import json
+
+    told = json.load(open(tokens.default_path()))
+    told["normalizer"]["normalizers"].pop()  # no lower case
+    path = tmp_path / tokens.WORD_BPE
+    path.write_text(json.dumps(told))
+    encoder = tokens.BatchTokenizer(str(path))
+    assert not encoder.by_word and tokens.BatchTokenizer(tokens.default_path()).by_word
+    want = encoder.library.encode("A dog's 2 Houses", add_special_tokens=False).ids
+    assert encoder.encode(["A dog's 2 Houses"])[0].tolist() == [*want, 1]
+
+
+def test_repeats_of_a_row_are_dealt_out(spark):
+    docs = spark.createDataFrame([(7, "the same few words", "x")] * 4000, "doc_id long, text string, sequence_id string")
+    manifest = token_files.write(docs, storage.new_folder(spark, "t"))
+    assert len({m["part"] for m in manifest}) > 2 and sum(m["n_docs"] for m in manifest) == 4000
+    pieces = packing.pack(docs)
+    assert pieces.selectExpr("sequence_id >> 40 part").distinct().count() > 2 and pieces.agg({"length": "sum"}).first()[0] == 4000 * len(library(["the same few words"])[0])
+
+
+def test_windows_fill_with_the_best_neighbours():
+    """Each window against BM25 scores of its seed taken term by term."""
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(2, 60, int(rng.integers(40, 900))).astype(np.int32) for _ in range(60)]
+    packer = packing._Packer(0)
+    for k, d in enumerate(docs):
+        packer.add(k, d)
+    packer.pack(True)
+    got = {}
+    for doc, start, length, _, _, seq, offset, _ in packer.rows:
+        got.setdefault(seq, []).append((offset, doc, start, length))
+    mean, n = np.mean([len(d) for d in docs]), len(docs)
+    df = {t: sum(t in d for d in docs) for t in range(60)}
+
+    def bm25(seed, other):
+        out = 0.0
+        for t in set(seed.tolist()):
+            tf = int((other == t).sum())
+            out += np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(other) / mean)) if tf else 0.0
+        return out
+
+    left = {k: len(d) for k, d in enumerate(docs)}
+    first = {k: rank for rank, k in enumerate(sorted(left, key=lambda k: (-left[k], k)))}
+    for seq in sorted(got):
+        pieces = sorted(got[seq])
+        seed = min((k for k in left if left[k]), key=first.get)
+        assert pieces[0][1] == seed
+        order = sorted((k for k in left if left[k] and k != seed), key=lambda k: (-round(bm25(docs[seed], docs[k]), 9), k))
+        want, room = [seed], packing.WINDOW - left[seed]
+        for k in order:
+            if room <= 0:
+                break
+            want.append(k)
+            room -= left[k]
+        assert [p[1] for p in pieces] == want
+        for _, k, _, length in pieces:
+            left[k] -= length
+    assert not any(left.values())
+
+
 def test_neighbours_share_terms():
     a, b, c = np.array([1, 2, 3, 4]), np.array([3, 4, 5, 3]), np.array([7, 8])
     scores = packing.Index([a, b, c]).scores(0)
