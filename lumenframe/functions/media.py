@@ -33,9 +33,14 @@ def short_id(value: Column) -> Column:
 
 
 def size_text(size: Column) -> Column:
-    unit = F.when(size < 1024, F.lit("B")).when(size < 1024**2, "KB").when(size < 1024**3, "MB").otherwise("GB")
-    scaled = F.when(size < 1024, size / 1).when(size < 1024**2, size / 1024).when(size < 1024**3, size / 1024**2).otherwise(size / 1024**3)
-    return F.when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", scaled), F.lit(" "), unit))
+    """Bytes as B, or with one decimal, rounded half up, as KB, MB or GB."""
+    size = size.cast("long")
+    out = F.concat(size.cast("string"), F.lit(" B"))
+    for power, unit in ((1024, "KB"), (1024**2, "MB"), (1024**3, "GB")):
+        tenths = F.floor((size * 10 + power // 2) / F.lit(power)).cast("long")
+        text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+        out = F.when(size >= power, text).otherwise(out)
+    return out
 
 
 def duration_text(seconds: Column) -> Column:

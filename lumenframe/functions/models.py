@@ -72,6 +72,18 @@ def detected_faces(media: DataFrame, build: Callable[[], Callable[[bytes], list[
     return rows.select("media_id", F.concat(F.col("media_id").cast("string"), F.lit(":f"), F.col("k").cast("string")).alias("face_id"), "f.*")
 
 
+def detected_shots(media: DataFrame, build: Callable[[], Callable[[bytes], list[tuple[float, float]]]]) -> DataFrame:
+    """A row per shot of (media_id, content): video_id, shot_index, t_start, t_end. Spans that don't last are left out."""
+
+    @F.pandas_udf("array<struct<t_start:double,t_end:double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = build()
+        for batch in batches:
+            yield pd.Series([sorted((float(a), float(b)) for a, b in model(content) if b > a) for content in batch])
+
+    return media.select(F.col("media_id").alias("video_id"), F.posexplode(run("content")).alias("shot_index", "s")).select("video_id", "shot_index", "s.t_start", "s.t_end")
+
+
 def stored_vector(blob: Column) -> Column:
     """A float32 vector from its little-endian bytes."""
 

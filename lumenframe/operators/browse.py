@@ -11,7 +11,7 @@ from lumenframe.operators.filters import kind_by_mime, live
 def with_people(media: DataFrame, faces: DataFrame, people: DataFrame, names: list[str], mode: str = "any") -> DataFrame:
     """Media by the people on them: any or all of ``names``, or only (all of them and no other named person)."""
     names = list(dict.fromkeys(names))
-    named = faces.join(F.broadcast(people.where("name is not null")), "person_id").groupBy("media_id")
+    named = faces.join(people.where("name is not null"), "person_id").groupBy("media_id")
     counts = named.agg(F.count_distinct(F.when(F.col("name").isin(names), F.col("name"))).alias("hit"), F.count_distinct("name").alias("every"))
     k = len(names)
     keep = {"all": F.col("hit") == k, "only": (F.col("hit") == k) & (F.col("every") == k)}.get(mode, F.col("hit") >= 1)
@@ -62,10 +62,11 @@ def shots_nested(shots: DataFrame, frames: DataFrame) -> DataFrame:
     return shots.withColumn("duration", F.col("t_end") - F.col("t_start")).join(nested, ["video_id", "shot_index"], "left").withColumn("frames", F.coalesce("frames", F.array().cast("array<struct<kf_index:int,timestamp:double>>")))
 
 
-def media_faces(faces: DataFrame, people: DataFrame, media_id) -> DataFrame:
-    """A medium's faces, the surest first; deleted media have theirs too."""
-    found = faces.where(F.col("media_id") == media_id).join(people, "person_id", "left")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("confidence"), "face_id")))
+def media_faces(faces: DataFrame, people: DataFrame, media_id=None, labeled_first: bool = False) -> DataFrame:
+    """A medium's faces (every medium's, if none is named), the surest first, or those with a person before; deleted media have theirs too."""
+    own = faces if media_id is None else faces.where(F.col("media_id") == media_id)
+    order = [F.col("person_id").isNull()] if labeled_first else []
+    return own.join(people, "person_id", "left").withColumn("rank", F.row_number().over(Window.partitionBy("media_id").orderBy(*order, F.desc("confidence"), "face_id")))
 
 
 def best_faces(faces: DataFrame, keys: list[str]) -> DataFrame:

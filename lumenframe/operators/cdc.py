@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.ids import face_point_id, image_point_id, keyframe_point_id
+from lumenframe.functions.media import VIDEO_FILES, extension
 
 
 def stamp(embeddings: DataFrame, changed: DataFrame, key: str, seq: int) -> DataFrame:
@@ -54,12 +55,15 @@ def is_dirty(watermark: int, *tables: DataFrame) -> bool:
     return any(not changed_since(t, watermark).limit(1).isEmpty() for t in tables)
 
 
-def image_points(media: DataFrame, embeddings: DataFrame, since: int | None = None) -> DataFrame:
-    """Points of live images (not videos by name), all or those stamped after ``since``."""
+def image_points(media: DataFrame, embeddings: DataFrame, media_tags: DataFrame, since: int | None = None) -> DataFrame:
+    """Points of live images with their tags, all or those stamped after ``since``. A file without a kind counts unless it is a video by name."""
     rows = embeddings if since is None else changed_since(embeddings, since)
-    images = media.where("deleted = 0 and (mime is null or mime like 'image/%')")
-    joined = rows.join(images, "media_id")
-    return joined.select(image_point_id(F.col("media_id").cast("string")).alias("point_id"), "media_id", "embedding", F.struct("path", "place", F.coalesce("ts_utc", "added_at").alias("timestamp")).alias("payload"))
+    video = F.coalesce(extension(F.col("path")).isin(VIDEO_FILES), F.lit(False))
+    images = media.where("deleted = 0 and (mime is null or mime like 'image/%')").where(~video)
+    tags = media_tags.groupBy("media_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    joined = rows.join(images, "media_id").join(tags, "media_id", "left")
+    payload = F.struct("path", "place", F.coalesce("ts_utc", "added_at").alias("timestamp"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    return joined.select(image_point_id(F.col("media_id").cast("string")).alias("point_id"), "media_id", "embedding", payload.alias("payload"))
 
 
 def frame_points(media: DataFrame, frames: DataFrame, embeddings: DataFrame, media_tags: DataFrame, named_faces: DataFrame, since: int | None = None) -> DataFrame:
@@ -106,14 +110,14 @@ def export_mode(forced: bool, changed: bool, dirty: bool, exported: int | None,
     return "delta" if exported is not None and exported >= migrated and not created and not forced else "full"
 
 
-def export(steps: list[Callable[[], int]], advance: Callable[[], None]) -> bool:
-    """All steps (images, videos, faces, deletions) in order; the watermark advances only if none raised."""
-    ok = True
-    for step in steps:
+def export(steps: dict[str, Callable[[], int]], advance: Callable[[], None]) -> dict[str, int | Exception]:
+    """All steps (images, videos, faces, deletions) in order: what each returned or raised. The watermark advances only if none raised."""
+    found: dict[str, int | Exception] = {}
+    for name, step in steps.items():
         try:
-            step()
-        except Exception:  # the others still run; the watermark stays
-            ok = False
-    if ok:
+            found[name] = step()
+        except Exception as error:  # the others still run; the watermark stays
+            found[name] = error
+    if not any(isinstance(x, Exception) for x in found.values()):
         advance()
-    return ok
+    return found

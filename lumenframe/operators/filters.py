@@ -43,21 +43,21 @@ def in_place(columns: list[Column], terms: list[str]) -> Column:
 
 
 def video_only(kind: Column, timestamp: Column, start: Column, end: Column, span: tuple[float, float] | None = None, shortest: float | None = None, longest: float | None = None) -> Column:
-    """Time span and shot length, asked of videos only; a limit of 0 is none."""
+    """Time span and shot length, asked of videos only, and of those that know theirs; a limit of 0 is none."""
     ok, length = F.lit(True), end - start
     if span:
-        ok = ok & timestamp.between(*span)
+        ok = ok & F.coalesce(timestamp.between(*span), F.lit(True))
     if shortest:
-        ok = ok & (length >= shortest)
+        ok = ok & F.coalesce(length >= shortest, F.lit(True))
     if longest:
-        ok = ok & (length <= longest)
-    return F.when(kind == "video", F.coalesce(ok, F.lit(False))).otherwise(True)
+        ok = ok & F.coalesce(length <= longest, F.lit(True))
+    return (F.coalesce(kind, F.lit("")) != "video") | ok
 
 
 def without_deleted(candidates: DataFrame, media: DataFrame, key: str = "id") -> DataFrame:
     """Drops what is known to be deleted; unknown ids stay."""
     gone = media.where("deleted = 1").select(F.col("media_id").alias("__gone"))
-    return candidates.join(gone, candidates[key] == F.col("__gone"), "left_anti")
+    return candidates.join(gone, F.col(key) == F.col("__gone"), "left_anti")
 
 
 def live(media: DataFrame) -> DataFrame:

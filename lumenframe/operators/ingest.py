@@ -68,7 +68,7 @@ def swept(state: DataFrame, scan_id: int | Column, sources: DataFrame | None = N
     stale = F.col("last_seen_scan_id") < scan
     rows = state
     if sources is not None:
-        rows = state.join(F.broadcast(sources.select("source_name", F.lit(True).alias("__ok"))), "source_name", "left")
+        rows = state.join(sources.select("source_name", F.lit(True).alias("__ok")), "source_name", "left")
         stale = stale & F.coalesce("__ok", F.lit(False))
     action = F.when(~F.coalesce(stale, F.lit(False)), "keep").when(F.col("missing_since_scan_id").isNull(), "grace").otherwise("delete")
     return rows.withColumn("action", action).drop("__ok")
@@ -91,6 +91,18 @@ def may_sweep(enabled: bool, stopped: bool, filtered: bool) -> bool:
     return enabled and not stopped and not filtered
 
 
+def processing_flags(media: DataFrame, image_vectors: DataFrame, shots: DataFrame, frames: DataFrame, frame_vectors: DataFrame) -> DataFrame:
+    """Live media with what is stored of them: has_embedding, has_shots, n_frames, n_frame_vectors.
+
+    ``image_vectors``: media_id; ``shots``: video_id; ``frames``: keyframe_id, video_id; ``frame_vectors``: keyframe_id.
+    """
+    there = lambda rows, key, flag: rows.select(F.col(key).alias("media_id"), F.lit(True).alias(flag)).distinct()
+    done = frames.join(frame_vectors.select("keyframe_id", F.lit(1).alias("done")).distinct(), "keyframe_id", "left")
+    counts = done.groupBy(F.col("video_id").alias("media_id")).agg(F.count("*").alias("n_frames"), F.count("done").alias("n_frame_vectors"))
+    rows = media.where("coalesce(deleted, 0) = 0").join(there(image_vectors, "media_id", "has_embedding"), "media_id", "left").join(there(shots, "video_id", "has_shots"), "media_id", "left").join(counts, "media_id", "left")
+    return rows.fillna(False, ["has_embedding", "has_shots"]).fillna(0, ["n_frames", "n_frame_vectors"])
+
+
 def work_needed(media: DataFrame, model_version: str) -> DataFrame:
     """Which steps each live medium still needs. ``media`` has the flags and the counts of what is stored.
 
@@ -107,10 +119,51 @@ def work_needed(media: DataFrame, model_version: str) -> DataFrame:
     )
 
 
-def counters(decisions: DataFrame) -> DataFrame:
-    """One row: how many files fell under each decision."""
+def free_skips(files: DataFrame, needs: DataFrame) -> DataFrame:
+    """Files of a scan whose print matches (``known_id`` of ``needs_hash``) and whose live medium needs no step: they cost nothing."""
+    idle = needs.where("not (needs_embedding or needs_faces or needs_objects or needs_frames)").select(F.col("media_id").alias("known_id"))
+    return files.where("known_id is not null").join(idle, "known_id", "left_semi")
+
+
+def counters(decisions: DataFrame, superseded_media: DataFrame | None = None, tombstoned_media: DataFrame | None = None) -> DataFrame:
+    """One row: how many files fell under each decision, and how many media were superseded and tombstoned where those are given."""
     kinds = ["hit", "refreshed", "new", "copy", "move", "resurrected"]
-    return decisions.agg(*(F.count_if(F.col("decision") == k).alias(k) for k in kinds), F.count_if(F.col("decision") != "hit").alias("hashed"), F.count_if("replaced").alias("changed"))
+    row = decisions.agg(*(F.count_if(F.col("decision") == k).alias(k) for k in kinds), F.count_if(F.col("decision") != "hit").alias("hashed"), F.count_if("replaced").alias("changed"))
+    for name, rows in (("superseded", superseded_media), ("tombstoned", tombstoned_media)):
+        if rows is not None:
+            row = row.join(rows.agg(F.count("*").alias(name)))
+    return row
+
+
+def apply_scan(snapshot: DataFrame, state: DataFrame, media: DataFrame, scan_id: int, sources: DataFrame | None = None, verify: bool = False, sweep: bool = True) -> dict[str, DataFrame]:
+    """The tables after a completed scan: decisions, state (prints), media and counters; the inputs are those of ``classify``.
+
+    Prints that the scan saw are refreshed; unseen ones fall into grace, and out at the second scan
+    (of ``sources`` only, if given; none without ``sweep``). A medium that the scan saw is live, at its
+    place if a print there holds it still, else at its first one; one that no print holds is deleted.
+    """
+    decisions = classify(snapshot, state, media, verify)
+    now = decisions.select(*PLACE, F.struct("size_bytes", "mtime_ns", "media_id").alias("now"))
+    joined = state.join(now, PLACE, "full")
+    seen = F.col("now").isNotNull()
+    fields = [F.coalesce(F.col("now")[c], F.col(c)).alias(c) for c in ("size_bytes", "mtime_ns", "media_id")]
+    prints = joined.select(*PLACE, *fields, F.when(seen, F.lit(scan_id)).otherwise(F.col("last_seen_scan_id")).cast("long").alias("last_seen_scan_id"), F.when(~seen, F.col("missing_since_scan_id")).alias("missing_since_scan_id"))
+    marked = swept(prints, scan_id, sources) if sweep else prints.withColumn("action", F.lit("keep"))
+    after = marked.where("action != 'delete'").withColumn("missing_since_scan_id", F.when(F.col("action") == "grace", F.lit(scan_id)).otherwise(F.col("missing_since_scan_id")).cast("long")).drop("action")
+    place = F.struct(*PLACE)
+    held = after.groupBy("media_id").agg(F.min(place).alias("first"), F.max((F.col("last_seen_scan_id") == scan_id).cast("int")).alias("seen"))
+    still = after.select("media_id", *PLACE, F.lit(1).alias("still"))
+    known = media.withColumn("known", F.lit(True)).join(still, ["media_id", *PLACE], "left").join(held, "media_id", "full")
+    at = F.when(F.col("known").isNull() | (F.col("still").isNull() & F.col("first").isNotNull()), F.col("first")).otherwise(place)
+    deleted = F.when(F.col("first").isNull(), 1).when(F.col("seen") == 1, 0).otherwise(F.coalesce("deleted", F.lit(0)))
+    changed = known.select("media_id", at.alias("at"), deleted.alias("deleted"), F.when(F.col("first").isNotNull() & (F.col("seen") == 0), F.coalesce("missing_since_scan_id", F.lit(scan_id))).cast("long").alias("missing_since_scan_id"))
+    result = changed.select("media_id", "at.source_name", "at.rel_path", "deleted", "missing_since_scan_id")
+    return {"decisions": decisions, "state": after, "media": result, "counters": counters(decisions, superseded(decisions, media), tombstoned(marked, media))}
+
+
+def scan_run(scan_id: int, started_at: str, completed_at: str | None, found: DataFrame) -> DataFrame:
+    """A ledger row of a scan with its counters; one without an end was stopped."""
+    return found.select(F.lit(scan_id).cast("long").alias("scan_id"), F.lit(started_at).alias("started_at"), F.lit(completed_at).alias("completed_at"), F.to_json(F.struct("*")).alias("counters_json"))
 
 
 def commit_groups(files: DataFrame, every: int = 200) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -31,22 +31,24 @@ def merge(hits: DataFrame, fill: list[str] = (), partition: list[str] = ()) -> D
     return merged.withColumn("raw_similarity_score", F.col("score"))
 
 
-def append_missing(candidates: DataFrame, extra: DataFrame, key: str = "id") -> DataFrame:
+def append_missing(candidates: DataFrame, extra: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """``extra`` rows whose key no candidate has, below the candidates; columns that one side lacks are null."""
-    new = extra.join(candidates.select(key).distinct(), key, "left_anti")
+    keys = [key] if isinstance(key, str) else key
+    new = extra.join(candidates.select(*keys).distinct(), keys, "left_anti")
     return candidates.unionByName(new, allowMissingColumns=True)
 
 
 def expand_people(media: DataFrame, faces: DataFrame, people: DataFrame, names: list[str], first: str | None = None, last: str | None = None, limit: int = 100) -> DataFrame:
-    """Live media that show one of ``names`` (any case), the latest first: id, ts_utc, people; score 0."""
+    """Live media that show one of ``names`` (any case), the latest first, then the last added: id, ts_utc, people; score 0."""
     wanted = people.where(F.lower("name").isin([n.lower() for n in names])).select("person_id")
-    shown = faces.join(F.broadcast(wanted), "person_id", "left_semi").select("media_id").distinct()
+    shown = faces.join(wanted, "person_id", "left_semi").select("media_id").distinct()
     rows = media.where("deleted = 0").join(shown, "media_id", "left_semi")
     if first:
         rows = rows.where(F.col("ts_utc") >= first)
     if last:
         rows = rows.where(F.col("ts_utc") <= last)
-    page = rows.orderBy(F.desc("ts_utc"), "media_id").limit(limit)
+    added = [F.desc("added_at")] if "added_at" in media.columns else []
+    page = rows.orderBy(F.desc("ts_utc"), *added, "media_id").limit(limit)
     named = faces.join(page.select("media_id"), "media_id", "left_semi").join(people, "person_id").groupBy("media_id").agg(F.array_sort(F.collect_set("name")).alias("people"))
     return page.join(named, "media_id", "left").select(F.col("media_id").alias("id"), "ts_utc", "people", F.lit(0.0).alias("score"), F.lit("person_expand").alias("source"))
 
@@ -60,6 +62,8 @@ def score_breakdown(raw: Column, faces: Column, asked: Column, expanded: Column)
     person = 1.0 + 0.25 * hits
     expansion = F.when((raw > 0) & expanded, 1.5).otherwise(1.0)
     return F.struct(
+        raw.alias("raw_similarity_score"),
+        F.lit(0.0).alias("expansion_base_score"),
         raw.alias("similarity_score"),
         (raw * (person - 1.0)).alias("person_boost"),
         person.alias("person_multiplier"),
@@ -69,59 +73,74 @@ def score_breakdown(raw: Column, faces: Column, asked: Column, expanded: Column)
     )
 
 
-def ranked(candidates: DataFrame, asked: list[str], limit: int = 50, digits: int = 6) -> DataFrame:
-    """The ``limit`` best by total score; ties by id. ``candidates``: id, score, source_scores, faces (text), source."""
+PARTS = ["raw_similarity_score", "expansion_base_score", "similarity_score", "person_boost", "person_multiplier", "expansion_boost", "expansion_multiplier", "total_score"]
+
+
+def ranked(candidates: DataFrame, asked: list[str], limit: int = 50, digits: int = 6, partition: list[str] = ()) -> DataFrame:
+    """The ``limit`` best by total score, of each query if ``partition`` names one; ties by id. ``candidates``: id, score, source_scores, people (names), source."""
     names = F.array(*(F.lit(a.strip().lower()) for a in asked)).cast("array<string>")
     expanded = (F.col("source") == "person_expand") | F.coalesce(F.map_contains_key("source_scores", "person_expand"), F.lit(False))
-    parts = score_breakdown(F.col("score"), face_names(F.col("faces")), names, expanded)
+    on = F.transform(F.coalesce("people", F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))) if "people" in candidates.columns else face_names(F.col("faces"))
+    parts = score_breakdown(F.col("score"), on, names, expanded)
     scored = candidates.withColumn("parts", parts).withColumn("total_score", F.round("parts.total_score", digits))
-    return scored.orderBy(F.desc("total_score"), "id").limit(limit)
+    if not partition:
+        return scored.orderBy(F.desc("total_score"), "id").limit(limit)
+    place = F.row_number().over(Window.partitionBy(*partition).orderBy(F.desc("total_score"), "id"))
+    return scored.withColumn("__place", place).where(F.col("__place") <= limit).drop("__place")
 
 
-def cluster_in_time(frames: DataFrame, window: float = 5.0, max_rows: int = 100_000) -> DataFrame:
-    """The best frame of each greedy cluster of one path: path, timestamp, score, id.
+def cluster_in_time(frames: DataFrame, window: float = 5.0, keys: list[str] = ("path",), carry: list[str] = ()) -> DataFrame:
+    """The best frame of each greedy cluster of one path: ``keys``, timestamp, score, id and the ``carry`` columns.
 
     In order of time, a frame joins the latest cluster if it is within ``window`` of its frame, and
     takes its place if it scores strictly more (so the cluster moves with it), else opens another.
-    A missing time counts as 0. Paths of up to ``max_rows`` frames fold in the JVM; longer ones are
-    folded row by row in a task, in order, one path after another, holding one cluster each.
+    A missing time counts as 0; a null path is one path. Where two successive frames lie more than
+    ``window`` apart no cluster goes on, so each such stretch folds on its own, in chunks of
+    ``CHUNK`` frames: a fold's cost is in proportion to its frames.
     """
-    clean = frames.select("path", F.coalesce("timestamp", F.lit(0.0)).alias("timestamp"), "score", F.col("id").cast("long").alias("id"))
-    sized = clean.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > max_rows).select("path")
-    return _fold(clean.join(sized, "path", "left_anti"), window).unionByName(_stream(clean.join(sized, "path", "left_semi"), window))
+    keys = list(keys)
+    clean = frames.select(*keys, F.coalesce("timestamp", F.lit(0.0)).alias("timestamp"), (-F.col("score")).alias("minus"), "id", *carry)
+    order = Window.partitionBy(*keys).orderBy("timestamp", "minus", "id")
+    opens = F.coalesce((F.col("timestamp") - F.lag("timestamp").over(order) > window).cast("int"), F.lit(0))
+    stretches = clean.withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(order))
+    rows = stretches.groupBy(*keys, "stretch").agg(F.array_sort(F.collect_list(F.struct("timestamp", "minus", "id", *carry))).alias("rows"))
+    kind = rows.schema["rows"].dataType.elementType
+    kept = rows.select(*keys, F.explode(_folded(F.col("rows"), window, kind)).alias("r"))
+    return kept.select(*keys, "r.timestamp", (-F.col("r.minus")).alias("score"), "r.id", *(f"r.{c}" for c in carry))
+
 
+CHUNK = 256
 
-def _fold(frames: DataFrame, window: float) -> DataFrame:
-    ordered = frames.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("timestamp", (-F.col("score")).alias("minus"), "id"))).alias("rows"))
-    none = F.array().cast("array<struct<timestamp:double,minus:double,id:bigint>>")
 
-    def step(kept: Column, row: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
+def _folded(rows: Column, window: float, kind: T.DataType) -> Column:
+    """The clusters' frames of sorted ``rows`` (timestamp, minus, id, ...) of type ``kind``."""
+    none, empty = F.lit(None).cast(kind), F.array().cast(T.ArrayType(kind))
+
+    def step(state: Column, row: Column) -> Column:
+        last = state["last"]
         joins = F.abs(row["timestamp"] - last["timestamp"]) <= window
-        better = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(row))
-        return F.when((F.size(kept) > 0) & joins, F.when(row["minus"] < last["minus"], better).otherwise(kept)).otherwise(F.concat(kept, F.array(row)))
-
-    kept = ordered.select("path", F.explode(F.aggregate("rows", none, step)).alias("r"))
-    return kept.select("path", "r.timestamp", (-F.col("r.minus")).alias("score"), "r.id")
-
-
-def _stream(frames: DataFrame, window: float) -> DataFrame:
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple | None = None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False, name=None):
-                if last and row[0] == last[0] and abs(row[1] - last[1]) <= window:
-                    last = row if row[2] > last[2] else last
-                else:
-                    out += [last] if last else []
-                    last = row
-            yield pd.DataFrame(out, columns=batch.columns)
-        if last:
-            yield pd.DataFrame([last], columns=["path", "timestamp", "score", "id"])
-
-    ordered = frames.repartition("path").sortWithinPartitions("path", "timestamp", F.desc("score"), "id")
-    return ordered.mapInPandas(work, frames.schema)
+        new = F.struct(row.alias("last"), F.when(last.isNull(), state["kept"]).otherwise(F.concat(state["kept"], F.array(last))).alias("kept"))
+        return F.when(joins, F.struct(F.when(row["minus"] < last["minus"], row).otherwise(last).alias("last"), state["kept"].alias("kept"))).otherwise(new)
+
+    def chunk(state: Column, some: Column) -> Column:
+        return F.aggregate(some, F.struct(state["last"].alias("last"), empty.alias("kept")), step, lambda s: F.struct(s["last"].alias("last"), F.concat(state["kept"], s["kept"]).alias("kept")))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda k: F.slice(rows, k * CHUNK + 1, F.lit(CHUNK)))
+    return F.aggregate(chunks, F.struct(none.alias("last"), empty.alias("kept")), chunk, lambda s: F.concat(s["kept"], F.array(s["last"])))
+
+
+def features(results: DataFrame, people: list[str] = (), tokens: list[str] = (), first: str | None = None, last: str | None = None, place: str | None = None, today: str | None = None) -> DataFrame:
+    """Results with a reranker's features, f_<name>: the scores, how far people, tags, date and place meet the query, and age in years.
+
+    What the query doesn't ask for, or the result doesn't know, is 0.
+    """
+    lower = lambda xs: F.transform(F.coalesce(xs, F.array().cast("array<string>")), F.lower)
+    share = lambda xs, wanted: F.size(F.array_intersect(lower(xs), F.array(*(F.lit(w.lower()) for w in wanted)))) / len(wanted) if wanted else F.lit(0.0)
+    inside = F.coalesce((F.col("date") >= (first or "")) & (F.col("date") <= (last or "9999")), F.lit(False)) if first or last else F.lit(False)
+    near = F.coalesce(F.contains(F.lower("place"), F.lit(place.lower())), F.lit(False)) if place else F.lit(False)
+    age = F.datediff(F.lit(today), F.substring("date", 1, 10).try_cast("date")) / 365.25 if today else F.lit(0.0)
+    new = {"similarity": F.col("similarity_score"), "total": F.col("total_score"), "people": share(F.col("people"), people), "tags": share(F.col("tags"), tokens), "in_dates": inside.cast("double"), "in_place": near.cast("double"), "age": F.coalesce(age, F.lit(0.0))}
+    return results.withColumns({f"f_{name}": c.cast("double") for name, c in new.items()})
 
 
 def learned_rerank(candidates: DataFrame, model: Callable[[pd.DataFrame], np.ndarray], features: list[str], context: list[str] = ()) -> DataFrame:

@@ -36,17 +36,30 @@ def time_estimate(media: DataFrame, per_image: float = 1.0, per_video: float = 3
     return media.agg(images.alias("images"), videos.alias("videos"), F.round(images * per_image + F.greatest(videos * per_video, minutes * per_minute), 2).alias("seconds"))
 
 
+BINS = 1024
+
+
 def latency(values: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """n, p50 (element n div 2), p95 (element floor(0.95 n), at most the last) and max, from 0 in ascending order.
+    """n, p50 (element n div 2), p95 (element floor(0.95 n), at most the last) and max, from 0 in ascending order; exact.
 
-    Ranks come from a window, so a group isn't gathered in one value.
+    Values are counted in ``BINS`` bins between a group's ends, and only those of the bins that hold
+    a wanted place are ranked, so a group isn't sorted in one task. A group is named by non-null
+    ``groups``.
     """
-    own = Window.partitionBy(*groups)
-    k, n = F.row_number().over(own.orderBy(value)) - 1, F.count("*").over(own)
-    rows = values.where(F.col(value).isNotNull()).withColumns({"k": k, "n": n})
-    at = lambda place: F.max(F.when(F.col("k") == place, F.col(value)))
-    last = F.least(F.col("n") - 1, F.floor(F.col("n") * 95 / 100))
-    return rows.groupBy(*groups).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(last).alias("p95"), F.max(value).alias("longest"))
+    rows = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("v"))
+    ends = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    bin_of = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("low")) * BINS / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)).cast("int"))
+    binned = rows.join(ends, groups).withColumn("bin", bin_of)
+    order = Window.partitionBy(*groups).orderBy("bin")
+    counts = binned.groupBy(*groups, "bin").agg(F.count("*").alias("here"), F.first("n").alias("n"))
+    counts = counts.withColumn("before", F.sum("here").over(order) - F.col("here"))
+    places = {"p50": F.floor(F.col("n") / 2), "p95": F.least(F.col("n") - 1, F.floor(F.col("n") * 95 / 100))}
+    inside = {k: (p >= F.col("before")) & (p < F.col("before") + F.col("here")) for k, p in places.items()}
+    some = binned.drop("n", "low", "high").join(counts.where(inside["p50"] | inside["p95"]), [*groups, "bin"])
+    own = Window.partitionBy(*groups, "bin").orderBy("v")
+    ranked = some.withColumn("k", F.row_number().over(own) - 1 + F.col("before"))
+    found = ranked.groupBy(*groups).agg(*(F.max(F.when(F.col("k") == p, F.col("v"))).alias(k) for k, p in places.items()))
+    return ends.join(found, groups).select(*groups, "n", "p50", "p95", F.col("high").alias("longest"))
 
 
 def gaps(events: DataFrame, groups: list[str], t: str) -> DataFrame:
@@ -65,6 +78,16 @@ def missing_vectors(rows: DataFrame, embeddings: DataFrame, key: str) -> DataFra
     return rows.join(embeddings.select(key), key, "left_anti")
 
 
+def vector_gaps(rows: DataFrame, embeddings: DataFrame, key: str, samples: int = 10) -> DataFrame:
+    """missing (rows without a vector) and orphan (vectors without a row): kind, n, and the first ``samples`` keys."""
+    out = None
+    for kind, gap in (("missing", missing_vectors(rows, embeddings, key)), ("orphan", missing_vectors(embeddings, rows, key))):
+        first = gap.select(F.col(key).cast("string").alias("k")).orderBy("k").limit(samples).agg(F.array_sort(F.collect_list("k")).alias("samples"))
+        row = gap.agg(F.lit(kind).alias("kind"), F.count("*").alias("n")).join(first)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def copies(files: DataFrame) -> DataFrame:
     """Content that lies in more than one place: media_id, n, first place."""
     by = files.groupBy("media_id").agg(F.count("*").alias("n"), F.min(F.struct("source_name", "rel_path")).alias("first"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VALUES = ["gps_lat", "gps_lon", "gps_alt", "gps_datetime_utc", "gps_fix"]
 
 
-def sample_at(targets: DataFrame, samples: DataFrame, nearest: float = 1.0, between: float = 2.0) -> DataFrame:
+def sample_at(targets: DataFrame, samples: DataFrame, nearest: float = 1.0, between: float = 2.0, piece: float = 3600.0) -> DataFrame:
     """Targets (track, target_id, t) with the position there, from samples (track, t, VALUES).
 
     Between two samples at most ``between`` apart the position is interpolated (altitude if both
@@ -16,16 +16,21 @@ def sample_at(targets: DataFrame, samples: DataFrame, nearest: float = 1.0, betw
     it is within ``nearest``, as does the first or last one for targets outside the track. A target
     on a sample lies at the end of the stretch before it. gps_source says which way; null: none.
 
-    Samples and targets are sorted together by track, once; no pair of them is made.
+    Tracks are cut into pieces of ``piece`` seconds, each sorted once each way; the last sample
+    before a piece and the first after it are carried over from a row a piece, so a long track isn't
+    one task's, and no pair of samples and targets is made.
     """
     empty = [F.lit(None).cast(samples.schema[c].dataType).alias(c) for c in VALUES]
     both = samples.select("track", F.lit(None).cast(targets.schema["target_id"].dataType).alias("target_id"), "t", F.lit(1).alias("is_sample"), *VALUES)
-    both = both.unionByName(targets.select("track", "target_id", "t", F.lit(0).alias("is_sample"), *empty))
-    line = Window.partitionBy("track").orderBy("t", "is_sample", "target_id")
+    both = both.unionByName(targets.select("track", "target_id", "t", F.lit(0).alias("is_sample"), *empty)).withColumn("piece", F.floor(F.col("t") / piece))
     point = F.when(F.col("is_sample") == 1, F.struct("t", *VALUES))
-    before = F.last(point, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(point, ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
-    near = both.withColumns({"p": before, "n": after}).where("is_sample = 0").select("track", "target_id", "t", "p", "n")
+    pieces = both.groupBy("track", "piece").agg(F.min(point).alias("low"), F.max(point).alias("high"))
+    past = Window.partitionBy("track").rowsBetween(Window.unboundedPreceding, -1)
+    ends = pieces.select("track", "piece", F.last("high", ignorenulls=True).over(past.orderBy("piece")).alias("earlier"), F.last("low", ignorenulls=True).over(past.orderBy(F.desc("piece"))).alias("later"))
+    line = Window.partitionBy("track", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    order = ["t", "is_sample", "target_id", *VALUES]
+    near = both.withColumns({"p": F.last(point, ignorenulls=True).over(line.orderBy(*order)), "n": F.last(point, ignorenulls=True).over(line.orderBy(*(F.desc(c) for c in order)))}).where("is_sample = 0")
+    near = near.join(ends, ["track", "piece"]).select("track", "target_id", "t", F.coalesce("p", "earlier").alias("p"), F.coalesce("n", "later").alias("n"))
     to_p, to_n, gap = F.abs(F.col("t") - F.col("p.t")), F.abs(F.col("n.t") - F.col("t")), F.col("n.t") - F.col("p.t")
     inside = F.col("p").isNotNull() & F.col("n").isNotNull()
     smooth = inside & (gap > 0) & (gap <= between)
@@ -45,23 +50,39 @@ def sample_at(targets: DataFrame, samples: DataFrame, nearest: float = 1.0, betw
     )
 
 
-def nearest_place(points: DataFrame, gazetteer: DataFrame, cell: float = 1.0) -> DataFrame:
-    """Points (id, lat, lon) with the nearest place (name, admin1, cc, lat, lon) as 'name, admin1, cc'.
+LEVELS = 12  # grids around the unit sphere; cells of 4 at level 0, half as wide at each further one
 
-    Points that agree to 3 decimals are looked up once. Places are joined by grid cells of ``cell``
-    degrees, the point's and the eight around it; a place beyond those is too far to name.
+
+def _on_sphere(lat: Column, lon: Column) -> Column:
+    a, o = F.radians(lat), F.radians(lon)
+    return F.array(F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a))
+
+
+def _cell(point: Column, level: Column) -> Column:
+    return F.struct(*(F.floor((point[k] + 1) * F.pow(F.lit(2.0), level) / 4).alias(f"c{k}") for k in range(3)))
+
+
+def nearest_place(points: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Points (id, lat, lon) with the nearest place (name, admin1, cc, lat, lon) as 'name, admin1, cc', however far; ties by that text.
+
+    Points that agree to 3 decimals are looked up once. Each looks for the finest grid on which its
+    own cell holds a place; that one is within a cell's diagonal, so the 27 cells around the point on
+    the next coarser grid hold the nearest. Grids are cut in the space around the sphere, so poles
+    and the date line are like any other place. Points without a position have no place.
     """
     lat, lon = F.round("lat", 3), F.round("lon", 3)
-    cells = lambda a, o: (F.floor(a / cell), F.floor(o / cell))
-    spots = points.where("lat is not null and lon is not null").select(lat.alias("a"), lon.alias("o")).distinct()
-    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))"))
-    row, column = cells(F.col("a"), F.col("o"))
-    turn = int(round(360 / cell))
-    probes = spots.select("a", "o", around.alias("d"), row.alias("r"), column.alias("c")).select("a", "o", (F.col("r") + F.col("d.i")).alias("r"), F.pmod(F.col("c") + F.col("d.j") + turn // 2, F.lit(turn)).alias("c"))
-    row, column = cells(F.col("lat"), F.col("lon"))
-    places = gazetteer.select(F.concat_ws(", ", "name", "admin1", "cc").alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), row.alias("r"), F.pmod(column + turn // 2, F.lit(turn)).alias("c"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    spots = points.where("lat is not null and lon is not null").select(lat.alias("a"), lon.alias("o")).distinct().withColumn("at", _on_sphere(F.col("a"), F.col("o")))
+    places = gazetteer.where("lat is not null and lon is not null").select(F.concat_ws(", ", "name", "admin1", "cc").alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), _on_sphere(F.col("lat"), F.col("lon")).alias("at"))
+    placed = places.select("place", "plat", "plon", "at", levels.alias("level")).withColumn("cell", _cell(F.col("at"), F.col("level"))).drop("at")
+    own = spots.select("a", "o", "at", levels.alias("level")).withColumn("cell", _cell(F.col("at"), F.col("level")))
+    held = own.join(placed.select("level", "cell").distinct(), ["level", "cell"], "left_semi").groupBy("a", "o").agg(F.max("level").alias("finest"), F.first("at").alias("at"))
+    found = held.withColumn("level", F.greatest(F.lit(0), F.col("finest") - 1)).withColumn("cell", _cell(F.col("at"), F.col("level")))
+    near = "flatten(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> transform(sequence(-1, 1), k -> named_struct('c0', cell.c0 + i, 'c1', cell.c1 + j, 'c2', cell.c2 + k))))))"
+    probes = found.select("a", "o", "level", F.explode(F.expr(near)).alias("cell"))
     angle = F.pow(F.sin(F.radians(F.col("plat") - F.col("a")) / 2), 2) + F.cos(F.radians("a")) * F.cos(F.radians("plat")) * F.pow(F.sin(F.radians(F.col("plon") - F.col("o")) / 2), 2)
-    named = probes.join(places, ["r", "c"]).groupBy("a", "o").agg(F.min_by("place", F.struct(F.round(2 * 6371.0 * F.asin(F.sqrt(angle)), 6).alias("km"), "place")).alias("place"))
+    km = F.round(2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), angle))), 6)
+    named = probes.join(placed, ["level", "cell"]).groupBy("a", "o").agg(F.min_by("place", F.struct(km.alias("km"), "place")).alias("place"))
     return points.join(named, (lat == F.col("a")) & (lon == F.col("o")), "left").drop("a", "o")
 
 

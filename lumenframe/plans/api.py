@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -19,27 +20,35 @@ class Library:
     def __init__(self, tables_: dict[str, DataFrame], collections: dict[str, DataFrame] | None = None):
         self.t, self.collections = tables_, collections or {}
 
-    def known_people(self) -> list[str]:
-        """Names that aren't blank, in order of any case. One row a person reaches the driver."""
-        names = self.t["people"].where(F.trim("name") != "").select("name").distinct()
-        return [r["name"] for r in names.orderBy(F.lower("name"), "name").collect()]
+    def known_people(self) -> DataFrame:
+        """Names that aren't blank, in order of any case."""
+        return self.t["people"].where(F.trim("name") != "").select("name").distinct().orderBy(F.lower("name"), "name")
 
     def understand(self, text: str, today: date, given: plan.Request | None = None) -> tuple[str, plan.Request]:
-        """The words to look for, and the request: what the caller gave goes before what the text says."""
+        """The words to look for, and the request: what the caller gave goes before what the text says.
+
+        Names are looked for in the tasks; only those that the text holds reach the driver.
+        """
         spark = self.t["media"].sparkSession
+        asked = spark.createDataFrame([(text,)], "q string").select(query_text.date_intent(F.col("q"), today).alias("d")).select("d", F.col("d.visual_query").alias("q"))
+        row = asked.first()
+        held = self.t["people"].where(F.trim("name") != "").select("name").distinct().where(F.regexp_like(F.lit(row["q"]), F.concat(F.lit(r"(?i)\b\Q"), F.trim("name"), F.lit(r"\E\b"))))
+        names = F.array(*(F.lit(r["name"]) for r in held.orderBy(F.lower("name"), "name").collect())).cast("array<string>")
+        parts = asked.select(query_text.decompose(F.col("q"), names).alias("p")).first()["p"]
         given = given or plan.Request()
-        names = F.array(*(F.lit(n) for n in self.known_people())).cast("array<string>")
-        row = spark.createDataFrame([(text,)], "q string").select(query_text.date_intent(F.col("q"), today).alias("d")).select("d", query_text.decompose(F.col("d.visual_query"), names).alias("p")).first()
-        people = list(dict.fromkeys([*row["p"]["people"], *given.people]))
-        asked = plan.Request(people, given.date_from or row["d"]["date_from"], given.date_to or row["d"]["date_to"], given.places, given.tags, given.kind, given.retrieve, given.keep)
-        return row["p"]["visual_query"] or row["d"]["visual_query"] or text, asked
+        people = parts["people"] + [n for n in given.people if n not in parts["people"]]
+        found = plan.with_defaults(given, date_from=row["d"]["date_from"], date_to=row["d"]["date_to"])
+        return parts["visual_query"] or row["q"] or text, replace(found, people=people)
 
     def search(self, text: str, today: date, given: plan.Request | None = None) -> DataFrame:
+        """The ranked media for a text, positions, places and dates filled in from the catalogue."""
         words, asked = self.understand(text, today, given)
         vector = self.t["media"].sparkSession.createDataFrame([(0, words)], "id long, q string").select("id", text_vectors(F.col("q")).alias("vector"))
-        on = self.t["faces"].join(self.t["people"], "person_id").groupBy("media_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("faces"))
-        more = ranking.expand_people(self.t["media"], self.t["faces"], self.t["people"], asked.people, asked.date_from, asked.date_to, max(2 * asked.keep, 50)) if asked.people else None
-        return plan.search(self.collections, vector, self.t["media"], on, asked, more)
+        more = None
+        if asked.people:
+            more = ranking.expand_people(self.t["media"], self.t["faces"], self.t["people"], asked.people, asked.date_from, asked.date_to, max(2 * asked.keep, 50)).withColumn("query_id", F.lit(0).cast("long"))
+        found = plan.search(self.collections, vector, self.t["media"], self.t["faces"], self.t["people"], asked, more)
+        return plan.backfilled(found.drop("query_id"), self.t["media"], asked.keep).orderBy("rank")
 
     def media(self, kind: str | None = None, date_from: str | None = None, date_to: str | None = None, place: str | None = None, people: list[str] = (), people_mode: str = "any", tags: list[str] = (), sort_by: str = "date", order: str = "desc", limit: int = 48, offset: int = 0) -> tuple[DataFrame, DataFrame]:
         """A page with its tags, and the total."""
@@ -84,6 +93,21 @@ class Library:
         self.t["faces"], changed = tables.label_faces(self.t["faces"], labels)
         return changed
 
+    def unlabel(self, face_ids: DataFrame) -> DataFrame:
+        """Clears the labels of faces (face_id); those that changed."""
+        kind = self.t["faces"].schema["person_id"].dataType
+        return self.label(face_ids.select("face_id", F.lit(None).cast(kind).alias("person_id")))
+
+    def create_people(self, new: DataFrame) -> None:
+        self.t["people"] = tables.create_people(self.t["people"], new)
+
+    def rename(self, person_id, name: str) -> None:
+        self.t["people"] = tables.rename_person(self.t["people"], person_id, name)
+
+    def points(self, collection: str, ids: DataFrame) -> DataFrame:
+        """A collection's points by id (id)."""
+        return knn.retrieved(self.collections[collection], ids)
+
     def merge(self, source, target) -> None:
         self.t["people"], self.t["faces"] = tables.merge_people(self.t["people"], self.t["faces"], source, target)
 

@@ -218,36 +218,98 @@ def vector_norms(c: Catalogue) -> DataFrame:
 
 # --- search -------------------------------------------------------------------------------------
 
-TWO_SOURCES = with_roles("vectors") + """, q AS (SELECT vector FROM vectors WHERE id = 3),
-scored AS (SELECT v.id // 8 AS media_id, v.id % 2 AS source_order, round(list_cosine_similarity(q.vector, v.vector), 6) AS score, v.id FROM vectors v, q),
-hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_order ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 100) """
+POINTS = with_roles("vectors") + """, q AS (SELECT id AS query_id, vector FROM vectors WHERE id % 20 = 0),
+pts AS (SELECT id, id // 8 AS media_id, id % 2 AS o, CASE WHEN id % 2 = 1 THEN 'video' END AS kind, CASE WHEN id % 2 = 1 THEN CAST(id * 7 % 40 AS DOUBLE) END AS timestamp, 't' || (id % 3) AS tag, vector FROM vectors),
+"""
+HIT_ROWS = """hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, o ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 100) """
+SCORED = "scored AS (SELECT query_id, p.* EXCLUDE (vector), round(list_cosine_similarity(q.vector, p.vector), 6) AS score FROM pts p, q), "
 
 
 def _collections(c: Catalogue) -> dict[str, DataFrame]:
-    v = c.vectors().select("id", "vector", F.expr("id div 8").alias("media_id"), F.array(F.concat(F.lit("t"), (F.col("id") % 3).cast("string"))).alias("tags"))
+    """Images and frames of videos, eight to a medium."""
+    video = F.col("id") % 2 == 1
+    v = c.vectors().select("id", "vector", F.expr("id div 8").alias("media_id"), F.when(video, "video").alias("kind"), F.when(video, (F.col("id") * 7 % 40).cast("double")).alias("timestamp"), F.array(F.concat(F.lit("t"), (F.col("id") % 3).cast("string"))).alias("tags"))
     return {"image": v.where("id % 2 = 0"), "video": v.where("id % 2 = 1")}
 
 
-def _one(c: Catalogue) -> DataFrame:
-    return c.vectors().where("id = 3").select("id", "vector")
+def _asked(c: Catalogue) -> DataFrame:
+    return c.vectors().where("id % 20 = 0").select("id", "vector")
 
 
-@query(TWO_SOURCES + """SELECT media_id AS id, max(score) AS score, CASE WHEN max(CASE WHEN source_order = 0 THEN score END) >= coalesce(max(CASE WHEN source_order = 1 THEN score END), -2) THEN 'image' ELSE 'video' END AS source,
-max(CASE WHEN source_order = 0 THEN score END) AS image_score, max(CASE WHEN source_order = 1 THEN score END) AS video_score FROM hits GROUP BY media_id""")
+@query(POINTS + SCORED + HIT_ROWS + """SELECT query_id, media_id AS id, max(score) AS score, CASE WHEN max(CASE WHEN o = 0 THEN score END) >= coalesce(max(CASE WHEN o = 1 THEN score END), -2) THEN 'image' ELSE 'video' END AS source,
+max(CASE WHEN o = 0 THEN score END) AS image_score, max(CASE WHEN o = 1 THEN score END) AS video_score FROM hits GROUP BY ALL""")
 def merge_sources(c: Catalogue) -> DataFrame:
-    merged = ranking.merge(search_plan.retrieve(_collections(c), _one(c), search_plan.Request(retrieve=100)))
+    merged = ranking.merge(search_plan.retrieve(_collections(c), _asked(c), search_plan.Request(retrieve=100))[0], partition=["query_id"])
     by = lambda s: F.try_element_at("source_scores", F.lit(s)).alias(f"{s}_score")
-    return merged.select("id", "score", "source", by("image"), by("video"))
+    return merged.select("query_id", "id", "score", "source", by("image"), by("video"))
 
 
-@query(TWO_SOURCES + ", " + with_roles("media", "faces", "people").removeprefix("WITH ") + """, m AS (SELECT media_id AS id, max(score) AS score, arg_min(source_order, (-score, source_order, rank)) AS o FROM hits GROUP BY media_id),
-names AS (SELECT DISTINCT media_id AS id, lower(name) AS name FROM faces JOIN people USING (person_id)), asked AS (SELECT lower(name) AS name FROM people WHERE person_id IN (1, 2)),
-k AS (SELECT m.*, (SELECT count(*) FROM names n WHERE n.id = m.id AND n.name IN (SELECT name FROM asked)) AS hit FROM m),
-r AS (SELECT id, CASE o WHEN 0 THEN 'image' ELSE 'video' END AS source, score, round(score * (1 + 0.25 * hit), 6) AS total_score FROM k WHERE id NOT IN (SELECT media_id FROM media WHERE deleted = 1))
-SELECT r.id, source, score, total_score, path, place, ts_utc AS date, 'similarity ' || printf('%.3f', score) AS why FROM (SELECT * FROM r ORDER BY total_score DESC, id LIMIT 50) r LEFT JOIN media ON media_id = r.id""")
+SEARCHED = POINTS + SCORED.replace("FROM pts p, q", "FROM pts p, q WHERE id % 3 < 2") + HIT_ROWS + ", " + with_roles("media", "faces", "people").removeprefix("WITH ") + """, m AS (SELECT query_id, media_id AS id, max(score) AS score, arg_min(o, (-score, o, rank)) AS o, arg_min(kind, (o, rank)) FILTER (kind IS NOT NULL) AS kind, arg_min(timestamp, (o, rank)) FILTER (timestamp IS NOT NULL) AS timestamp, arg_min(tag, (o, rank)) AS tag FROM hits GROUP BY query_id, media_id),
+names AS (SELECT DISTINCT media_id AS id, name FROM faces JOIN people USING (person_id)), asked AS (SELECT name FROM people WHERE person_id IN (1, 2)),
+r AS (SELECT m.*, '/v/' || (id // 3) || '.mp4' AS path, place, ts_utc AS date, (SELECT count(*) FROM names n WHERE n.id = m.id AND n.name IN (SELECT name FROM asked)) AS hit,
+    coalesce((SELECT string_agg(name, '|' ORDER BY name) FROM names n WHERE n.id = m.id), '') AS people FROM m JOIN media ON media_id = id WHERE deleted = 0 AND ts_utc >= '1992-06-01' AND (contains(lower(place), 'asia') OR contains(lower(place), 'america'))),
+f AS (SELECT *, round(score * (1 + 0.25 * hit), 6) AS total_score FROM r WHERE id IN (SELECT id FROM names JOIN people USING (name) WHERE person_id <= 70)),
+top AS (SELECT *, CASE WHEN kind = 'video' THEN path ELSE '=' || id END AS p, coalesce(timestamp, 0) AS t FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, id) <= 50),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, p ORDER BY t, total_score DESC, id) AS k FROM top),
+walk AS (
+    WITH RECURSIVE w AS (
+        SELECT query_id, p, k, id AS best, t, total_score AS s, 1 AS cluster FROM n WHERE k = 1
+        UNION ALL
+        SELECT n.query_id, n.p, n.k, CASE WHEN abs(n.t - w.t) <= 5 AND n.total_score <= w.s THEN w.best ELSE n.id END, CASE WHEN abs(n.t - w.t) <= 5 AND n.total_score <= w.s THEN w.t ELSE n.t END,
+            CASE WHEN abs(n.t - w.t) <= 5 AND n.total_score <= w.s THEN w.s ELSE n.total_score END, CASE WHEN abs(n.t - w.t) <= 5 THEN w.cluster ELSE w.cluster + 1 END
+        FROM w JOIN n ON n.query_id = w.query_id AND n.p = w.p AND n.k = w.k + 1)
+    SELECT * FROM w),
+best AS (SELECT query_id, arg_max(best, k) AS id FROM walk GROUP BY query_id, p, cluster)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, id) AS rank, id, CASE o WHEN 0 THEN 'image' ELSE 'video' END AS source, score, total_score, round(score * 0.25 * hit, 6) + 0.0 AS person_boost, path, place, date, timestamp, tag AS tags, people, 'similarity ' || printf('%.3f', score) AS why
+FROM best JOIN top USING (query_id, id)"""
+
+
+def _search(c: Catalogue, asked: DataFrame) -> DataFrame:
+    media = c.media().withColumn("path", F.concat(F.lit("/v/"), F.floor(F.col("media_id") / 3).cast("string"), F.lit(".mp4")))
+    only = [r["name"] for r in c.people().where("person_id <= 70").collect()]
+    request = search_plan.Request(people=_two(c), only_people=only, tags=["t0", "t1"], places=["Asia", "america"], date_from="1992-06-01", retrieve=100)
+    found = search_plan.search(_collections(c), asked, media, c.faces(), c.people(), request)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "source", "score", "total_score", F.round("person_boost", 6).alias("person_boost"), "path", "place", "date", "timestamp", F.array_join("tags", "|").alias("tags"), F.array_join("people", "|").alias("people"), "why")
+
+
+@query(SEARCHED)
 def search_end_to_end(c: Catalogue) -> DataFrame:
-    faces = c.faces().join(F.broadcast(c.people()), "person_id").groupBy("media_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("faces"))
-    return search_plan.search(_collections(c), _one(c), c.media(), faces, search_plan.Request(people=_two(c), retrieve=100))
+    """Every vector whose id is divisible by 20 against all: tags, people, dates and places as filters, people as a boost, frames of a video in clusters."""
+    return _search(c, _asked(c))
+
+
+@query(SEARCHED.replace("WHERE id % 20 = 0", "WHERE id = 3"))
+def search_one(c: Catalogue) -> DataFrame:
+    """The same for one vector, as a user's search has it."""
+    return _search(c, c.vectors().where("id = 3").select("id", "vector"))
+
+
+@query(POINTS + """p AS (SELECT *, CASE WHEN id % 4 = 0 THEN id END AS m FROM pts)
+SELECT CAST(id AS BIGINT) AS id, CAST(coalesce(m, id) AS VARCHAR) AS hit_id, CASE WHEN kind = 'video' THEN timestamp END AS timestamp, CASE WHEN kind IS NULL THEN '2024-01-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0') END AS date,
+CASE WHEN id % 5 = 0 THEN 'f' ELSE 'p' END AS faces FROM p""")
+def hit_facts(c: Catalogue) -> DataFrame:
+    points = c.vectors().select("id", F.when(F.col("id") % 4 == 0, F.col("id")).alias("media_id"), F.when(F.col("id") % 2 == 1, "video").alias("kind"), F.when(F.col("id") % 2 == 1, (F.col("id") * 7 % 40).cast("string")).otherwise(F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0"))).alias("timestamp"), F.when(F.col("id") % 5 == 0, F.array(F.lit("f"))).alias("faces"), F.array(F.lit("p")).alias("people"))
+    return search_plan.hit_facts(points).select("id", "hit_id", "timestamp", "date", F.array_join("faces", "|").alias("faces"))
+
+
+@query(with_roles("media") + " SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'known' ELSE m.place END AS place, coalesce(CASE WHEN event_id % 3 = 0 THEN 'early' END, ts_utc) AS date FROM events LEFT JOIN media m ON media_id = event_id")
+def results_backfilled(c: Catalogue) -> DataFrame:
+    results = c.table("events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, "known").alias("place"), F.when(F.col("event_id") % 3 == 0, "early").otherwise("").alias("date"))
+    return search_plan.backfilled(results, c.media(), 10**9)
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS id FROM embeddings WHERE label = 1 AND vec_id > 40 ORDER BY vec_id LIMIT 25")
+def points_scrolled(c: Catalogue) -> DataFrame:
+    points = c.table("embeddings").select(F.col("vec_id").cast("long").alias("id"), F.struct("label").alias("payload"))
+    return knn.scrolled(points, {"label": 1}, 40, 25).select("id")
+
+
+@query("SELECT 'retrieved' AS what, count(DISTINCT vec_id) AS n FROM embeddings WHERE vec_id IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'counted', count(*) FROM embeddings WHERE label = 1 UNION ALL SELECT 'missing', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT vec_id FROM embeddings)")
+def points_by_id(c: Catalogue) -> DataFrame:
+    points = c.table("embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), F.struct("label").alias("payload"))
+    ids = c.table("orders").select(F.col("o_orderkey").alias("id"))
+    named = lambda what, rows: rows.select(F.lit(what).alias("what"), "n")
+    return named("retrieved", knn.counted(knn.retrieved(points, ids.unionByName(ids)))).unionByName(named("counted", knn.counted(points, {"label": 1}))).unionByName(named("missing", knn.missing_queries(ids, points).agg(F.count("*").alias("n"))))
 
 
 @query("""SELECT l_orderkey AS id, l_linenumber AS n, l_suppkey AS s, l_partkey AS p, round(l_discount * (1 + 0.25 * (CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END)), 6) AS boosted,
@@ -274,9 +336,21 @@ def temporal_dedup(c: Catalogue) -> DataFrame:
 
 
 @query(with_roles("media", "faces", "people") + """, ids AS (SELECT DISTINCT media_id FROM faces WHERE person_id IN (SELECT person_id FROM people WHERE person_id IN (1, 2)))
-SELECT media_id AS id, ts_utc, (SELECT string_agg(DISTINCT name, '|' ORDER BY name) FROM faces f JOIN people USING (person_id) WHERE f.media_id = m.media_id) AS people FROM media m WHERE deleted = 0 AND media_id IN (SELECT media_id FROM ids) ORDER BY ts_utc DESC, media_id LIMIT 100""")
+SELECT media_id AS id, ts_utc, (SELECT string_agg(DISTINCT name, '|' ORDER BY name) FROM faces f JOIN people USING (person_id) WHERE f.media_id = m.media_id) AS people FROM media m WHERE deleted = 0 AND media_id IN (SELECT media_id FROM ids) ORDER BY ts_utc DESC, updated_seq DESC, media_id LIMIT 100""")
 def person_expansion(c: Catalogue) -> DataFrame:
-    return ranking.expand_people(c.media(), c.faces(), c.people(), [n.upper() for n in _two(c)]).select("id", "ts_utc", F.array_join("people", "|").alias("people"))
+    media = c.media().withColumn("added_at", F.col("updated_seq"))
+    return ranking.expand_people(media, c.faces(), c.people(), [n.upper() for n in _two(c)]).select("id", "ts_utc", F.array_join("people", "|").alias("people"))
+
+
+@query(with_roles("media", "faces", "people") + """, n AS (SELECT media_id, count(DISTINCT name) FILTER (person_id <= 20) AS hit FROM faces JOIN people USING (person_id) GROUP BY media_id)
+SELECT media_id AS id, round(0.1 * (media_id % 7), 6) AS f_total, round(coalesce(hit, 0) / 20, 6) AS f_people, CASE WHEN ts_utc >= '1995-01-01' AND ts_utc <= '1996-12-31' THEN 1.0::DOUBLE ELSE 0.0 END AS f_in_dates,
+CASE WHEN contains(lower(place), 'asia') THEN 1.0::DOUBLE ELSE 0.0 END AS f_in_place, round(date_diff('day', CAST(substr(ts_utc, 1, 10) AS DATE), DATE '2000-01-01') / 365.25, 4) AS f_age FROM media LEFT JOIN n USING (media_id)""")
+def rerank_features(c: Catalogue) -> DataFrame:
+    people = c.faces().join(c.people(), "person_id").groupBy("media_id").agg(F.collect_set("name").alias("people"))
+    wanted = [r["name"] for r in c.people().where("person_id <= 20").collect()]
+    rows = c.media().join(people, "media_id", "left").select(F.col("media_id").alias("id"), (F.col("media_id") % 7 * 0.1).alias("total_score"), F.lit(0.0).alias("similarity_score"), "people", F.array().cast("array<string>").alias("tags"), F.col("ts_utc").alias("date"), "place")
+    found = ranking.features(rows, wanted + [f"nobody {k}" for k in range(20 - len(wanted))], [], "1995-01-01", "1996-12-31", "ASIA", "2000-01-01")
+    return found.select("id", *(F.round(x, 6).alias(x) for x in ("f_total", "f_people")), "f_in_dates", "f_in_place", F.round("f_age", 4).alias("f_age"))
 
 
 TEXTS = ["beach photos from 2016", "Rajeev in Hawaii last year", "trip 10 years ago with John", "2015 or 2016", "", "walking on beach with John", "John Smith in Hawaii", "Rajeev", "  the of  ", "john's dog 1999"]
@@ -414,10 +488,24 @@ def legacy_orphans(c: Catalogue) -> DataFrame:
     return ingest.legacy_orphans(media, snapshot, 2)
 
 
-@query(with_roles("media") + " SELECT media_id, path FROM media WHERE deleted = 0 AND mime LIKE 'image/%' AND updated_seq > 30")
+EXPORTED = with_roles("media", "media_tags") + " SELECT media_id, path, coalesce((SELECT string_agg(tag, '|' ORDER BY tag) FROM media_tags t WHERE t.media_id = m.media_id), '') AS tags FROM media m WHERE deleted = 0 AND (media_id % 11 = 0 OR mime LIKE 'image/%') AND NOT ends_with(path, '.mp4')"
+
+
+def _image_points(c: Catalogue, since: int | None) -> DataFrame:
+    """Points of the images, where every eleventh medium's kind is unknown."""
+    media = c.media().withColumns({"mime": F.when(F.col("media_id") % 11 != 0, F.col("mime")), "added_at": F.lit("")})
+    vectors = media.select("media_id", F.array().cast("array<float>").alias("embedding"), "updated_seq")
+    return cdc.image_points(media.drop("updated_seq"), vectors, c.media_tags(), since).select("media_id", "payload.path", F.array_join("payload.tags", "|").alias("tags"))
+
+
+@query(EXPORTED + " AND updated_seq > 30")
 def delta_export_rows(c: Catalogue) -> DataFrame:
-    media = c.media()
-    return cdc.changed_since(media, 30).where("deleted = 0 and mime like 'image/%'").select("media_id", "path")
+    return _image_points(c, 30)
+
+
+@query(EXPORTED)
+def image_export_rows(c: Catalogue) -> DataFrame:
+    return _image_points(c, None)
 
 
 @query(with_roles("media") + ", e AS (SELECT media_id, updated_seq FROM media), f AS (SELECT l_orderkey + l_linenumber AS updated_seq FROM lineitem) SELECT greatest((SELECT max(updated_seq) FROM e), (SELECT max(updated_seq) FROM f)) AS n")
@@ -433,6 +521,26 @@ def stamp_propagation(c: Catalogue) -> DataFrame:
     return keys["face"].join(faces.select("face_id", "media_id"), "face_id").join(keys["frame"], F.col("media_id") == F.col("keyframe_id"), "left_semi")
 
 
+@query(with_roles("faces") + " SELECT 'media' AS rule, 'face' AS kind, count(*) AS n FROM faces WHERE media_id % 9 = 0 UNION ALL SELECT 'media', 'frame', count(*) FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT 'media', 'media', count(*) FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT 'frames', 'frame', count(*) FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 'faces', 'face', count(DISTINCT face_id) FROM faces WHERE media_id % 5 = 0 UNION ALL SELECT 'faces', 'frame', count(DISTINCT media_id) FROM faces WHERE media_id % 5 = 0")
+def stamp_rules(c: Catalogue) -> DataFrame:
+    faces = c.faces()
+    frames = c.table("orders").select(F.col("o_orderkey").alias("video_id"), F.col("o_orderkey").alias("keyframe_id"))
+    changed = {"media": c.media().where("media_id % 9 = 0").select("media_id"), "frames": frames.where("keyframe_id % 4 = 0").select("keyframe_id"), "faces": faces.where("media_id % 5 = 0").select("face_id")}
+    out = None
+    for rule, kinds in (("media", ["face", "frame", "media"]), ("frames", ["frame"]), ("faces", ["face", "frame"])):
+        keys = cdc.stamped_keys(rule, changed[rule], faces, frames)
+        for kind in kinds:
+            row = keys[kind].agg(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), F.count("*").alias("n"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN greatest(vec_id % 40, 25) ELSE vec_id % 40 END AS updated_seq FROM embeddings")
+def stamps_raised(c: Catalogue) -> DataFrame:
+    rows = c.table("embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 40).alias("updated_seq"))
+    return cdc.stamp(rows, rows.where("id % 3 = 0"), "id", 25)
+
+
 @query("SELECT doc_id, CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT % 9223372036854775808::UBIGINT AS BIGINT) AS point_id FROM documents")
 def face_point_ids(c: Catalogue) -> DataFrame:
     return c.table("documents").select("doc_id", ids.face_point_id(F.col("doc_id")).alias("point_id"))
@@ -493,10 +601,10 @@ def ledger_join(c: Catalogue) -> DataFrame:
     return tables.opened(shown, opens).select("search_id", "media_id", "position", "was_opened")
 
 
-@query("SELECT coalesce(s.s_suppkey, n.k) AS person_id, CASE WHEN n.k IS NOT NULL THEN n.name ELSE s.s_name END AS name, s.s_acctbal AS balance FROM supplier s FULL JOIN (SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey <= 20) n ON s.s_suppkey = n.k")
+@query("SELECT coalesce(s.s_suppkey, n.k) AS person_id, CASE WHEN n.k IS NOT NULL THEN n.name ELSE s.s_name END AS name, s.s_acctbal AS balance FROM supplier s FULL JOIN (SELECT c_custkey AS k, c_name AS name FROM customer) n ON s.s_suppkey = n.k")
 def keyed_upsert(c: Catalogue) -> DataFrame:
     table = c.table("supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    rows = c.table("customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"))
+    rows = c.table("customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"))
     return tables.upsert(table, rows, ["person_id"])
 
 
@@ -511,10 +619,13 @@ def scalar_parsers(c: Catalogue) -> DataFrame:
     return rows.select("s", extension(s).alias("ext"), file_kind(s).alias("kind"), exif_time(s).alias("taken"), F.round(duration_seconds(s), 6).alias("seconds"), iso6709(s)["lat"].alias("lat"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_totalprice < 1024 THEN CAST(trunc(o_totalprice) AS BIGINT) || ' B' ELSE printf('%.1f', o_totalprice / 1024) || ' KB' END AS size FROM orders WHERE o_totalprice < 1000000 AND abs(o_totalprice / 1024 * 10 % 1 - 0.5) > 0.001")
+@query(with_roles("media") + """, b AS (SELECT media_id AS id, CASE WHEN media_id % 3 = 0 THEN size_bytes // 100000 WHEN media_id % 3 = 1 THEN size_bytes ELSE size_bytes * 100 END AS b FROM media),
+t AS (SELECT *, CASE WHEN b < 1048576 THEN 1024 WHEN b < 1073741824 THEN 1048576 ELSE 1073741824 END AS u FROM b)
+SELECT id, CASE WHEN b < 1024 THEN b || ' B' ELSE (b * 10 + u // 2) // u // 10 || '.' || (b * 10 + u // 2) // u % 10 || CASE u WHEN 1024 THEN ' KB' WHEN 1048576 THEN ' MB' ELSE ' GB' END END AS size FROM t""")
 def size_texts(c: Catalogue) -> DataFrame:
-    price = F.col("o_totalprice")
-    return c.table("orders").where((price < 1000000) & (F.abs(price / 1024 * 10 % 1 - 0.5) > 0.001)).select(F.col("o_orderkey").alias("id"), size_text(price).alias("size"))
+    size = F.col("size_bytes")
+    size = F.when(F.col("media_id") % 3 == 0, F.floor(size / 100000)).when(F.col("media_id") % 3 == 1, size).otherwise(size * 100)
+    return c.media().select(F.col("media_id").alias("id"), size_text(size).alias("size"))
 
 
 # --- more of tables, ingest and export ------------------------------------------------------------
@@ -556,22 +667,22 @@ def index_upsert_and_delete(c: Catalogue) -> DataFrame:
     return cdc.upsert_points(left, points.where("point_id % 4 = 0").withColumn("version", F.lit("new")))
 
 
-@query(with_roles("media", "faces", "people") + " SELECT face_id, m.path, name AS person_name, ts_utc AS date FROM faces f JOIN media m USING (media_id) LEFT JOIN people p ON p.person_id = f.person_id WHERE deleted = 0 AND f.media_id % 10 = 1")
+@query(with_roles("media", "faces", "people") + " SELECT face_id, m.path, name AS person_name, ts_utc AS date FROM faces f JOIN media m USING (media_id) LEFT JOIN people p ON p.person_id = f.person_id WHERE deleted = 0 AND f.media_id % 10 > 4")
 def face_export_rows(c: Catalogue) -> DataFrame:
     vectors = c.faces().select("face_id", F.array().cast("array<float>").alias("embedding"), (F.col("media_id") % 10).alias("updated_seq"))
-    points = cdc.face_points(c.media(), c.faces(), c.people(), vectors.where("updated_seq = 1"), 0)
+    points = cdc.face_points(c.media(), c.faces(), c.people(), vectors, 4)
     return points.select("face_id", "payload.path", "payload.person_name", "payload.date")
 
 
-@query(with_roles("media", "faces", "people", "media_tags") + """, f AS (SELECT l_orderkey AS media_id, l_linenumber, min(l_partkey) AS keyframe_id, min(l_suppkey) AS s FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)
+@query(with_roles("media", "faces", "people", "media_tags") + """, f AS (SELECT l_orderkey AS media_id, l_linenumber, min(l_partkey) AS keyframe_id, min(l_suppkey) AS s FROM lineitem GROUP BY ALL)
 SELECT f.media_id, f.l_linenumber AS kf, CASE WHEN s % 2 = 0 THEN 'own' ELSE (SELECT string_agg(tag, '|' ORDER BY tag) FROM media_tags t WHERE t.media_id = f.media_id) END AS tags, m.place,
 coalesce((SELECT string_agg(DISTINCT name, '|' ORDER BY name) FROM faces a JOIN people USING (person_id) WHERE a.media_id = f.media_id), '') AS people FROM f JOIN media m USING (media_id) WHERE deleted = 0""")
 def frame_export_rows(c: Catalogue) -> DataFrame:
-    rows = c.table("lineitem").where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
+    rows = c.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
     key = F.concat_ws("-", "l_orderkey", "l_linenumber")
     frames = rows.select(key.alias("keyframe_id"), F.col("l_orderkey").alias("video_id"), F.lit(0).alias("shot_index"), F.col("l_linenumber").alias("kf_index"), F.lit(0.0).alias("timestamp"), F.lit(0.0).alias("shot_start"), F.lit(1.0).alias("shot_end"), F.when(F.col("s") % 2 == 0, '["own"]').otherwise("[]").alias("tags"), F.lit("").alias("place"))
     vectors = frames.select("keyframe_id", F.array().cast("array<float>").alias("embedding"), F.lit(1).alias("updated_seq"))
-    named = c.faces().join(F.broadcast(c.people()), "person_id").select("media_id", "name")
+    named = c.faces().join(c.people(), "person_id").select("media_id", "name")
     points = cdc.frame_points(c.media(), frames, vectors, c.media_tags(), named)
     return points.select("media_id", F.split("keyframe_id", "-")[1].cast("int").alias("kf"), F.array_join("payload.tags", "|").alias("tags"), "payload.place", F.array_join("payload.people", "|").alias("people"))
 
@@ -584,12 +695,48 @@ def delta_tombstones(c: Catalogue) -> DataFrame:
     return cdc.tombstoned_points(media, c.faces(), frames, 40).groupBy("collection").agg(F.count("*").alias("n"))
 
 
-@query(SCAN + """, d AS (SELECT o.media_id AS old, s.media_id AS new, o.size_bytes = s.size_bytes AND o.mtime_ns = s.mtime_ns AS hit, m.media_id IS NOT NULL AS known, m.deleted, h.media_id AS canon
-FROM snapshot s LEFT JOIN state o USING (source_name, rel_path) LEFT JOIN med m ON m.media_id = s.media_id LEFT JOIN snapshot h ON h.source_name = m.p.s AND h.rel_path = m.p.r)
-SELECT count(*) FILTER (hit) AS hit, count(*) FILTER (NOT coalesce(hit, false) AND old = new) AS refreshed, count(*) FILTER (NOT coalesce(hit, false) AND old IS DISTINCT FROM new AND NOT known) AS new,
-count(*) FILTER (NOT coalesce(hit, false)) AS hashed, count(*) FILTER (NOT coalesce(hit, false) AND old <> new) AS changed FROM d""")
+DECIDED = SCAN + """, d AS (SELECT s.*, o.media_id AS old, o.size_bytes = s.size_bytes AND o.mtime_ns = s.mtime_ns AS same, CASE WHEN o.size_bytes = s.size_bytes AND o.mtime_ns = s.mtime_ns THEN 'hit' WHEN o.media_id = s.media_id THEN 'refreshed' WHEN m.media_id IS NULL THEN 'new' WHEN m.deleted = 1 THEN 'resurrected'
+WHEN h.media_id = s.media_id THEN 'copy' ELSE 'move' END AS decision FROM snapshot s LEFT JOIN state o USING (source_name, rel_path) LEFT JOIN med m ON m.media_id = s.media_id LEFT JOIN snapshot h ON h.source_name = m.p.s AND h.rel_path = m.p.r),
+after AS (SELECT source_name, rel_path, CASE WHEN same THEN old ELSE media_id END AS media_id, 1 AS seen FROM d UNION ALL SELECT source_name, rel_path, media_id, 0 FROM state WHERE missing IS NULL AND (source_name, rel_path) NOT IN (SELECT (source_name, rel_path) FROM snapshot))"""
+
+
+@query(DECIDED + """, lost AS (SELECT DISTINCT old FROM d WHERE NOT coalesce(same, false) AND old <> media_id)
+SELECT count(*) FILTER (decision = 'hit') AS hit, count(*) FILTER (decision = 'refreshed') AS refreshed, count(*) FILTER (decision = 'new') AS new, count(*) FILTER (decision = 'copy') AS copy, count(*) FILTER (decision = 'move') AS move, count(*) FILTER (decision = 'resurrected') AS resurrected,
+count(*) FILTER (decision <> 'hit') AS hashed, count(*) FILTER (NOT coalesce(same, false) AND old <> media_id) AS changed,
+(SELECT count(*) FROM lost JOIN med ON media_id = old WHERE deleted = 0 AND old NOT IN (SELECT media_id FROM after WHERE seen = 1)) AS superseded,
+(SELECT count(*) FROM med WHERE deleted = 0 AND media_id IN (SELECT media_id FROM state WHERE missing IS NOT NULL AND (source_name, rel_path) NOT IN (SELECT (source_name, rel_path) FROM snapshot)) AND media_id NOT IN (SELECT media_id FROM after)) AS tombstoned FROM d""")
 def scan_counters(c: Catalogue) -> DataFrame:
-    return ingest.counters(ingest.classify(*_scan(c))).select("hit", "refreshed", "new", "hashed", "changed")
+    return ingest.apply_scan(*_scan(c), 2)["counters"]
+
+
+@query(DECIDED + """, held AS (SELECT media_id, min({'s': source_name, 'r': rel_path}).r AS first, max(seen) AS seen FROM after GROUP BY media_id),
+still AS (SELECT DISTINCT m.media_id FROM med m JOIN after a ON a.media_id = m.media_id AND a.source_name = m.p.s AND a.rel_path = m.p.r)
+SELECT coalesce(m.media_id, h.media_id) AS media_id, CASE WHEN m.media_id IS NULL OR h.media_id IS NOT NULL AND m.media_id NOT IN (SELECT media_id FROM still) THEN h.first ELSE m.p.r END AS rel_path,
+CASE WHEN h.media_id IS NULL THEN 1 WHEN h.seen = 1 THEN 0 ELSE m.deleted END AS deleted FROM med m FULL JOIN held h ON h.media_id = m.media_id""")
+def scan_applied(c: Catalogue) -> DataFrame:
+    return ingest.apply_scan(*_scan(c), 2)["media"].select("media_id", "rel_path", "deleted")
+
+
+@query(DECIDED + " SELECT rel_path, media_id, seen FROM after")
+def scan_prints(c: Catalogue) -> DataFrame:
+    return ingest.apply_scan(*_scan(c), 2)["state"].select("rel_path", "media_id", (F.col("last_seen_scan_id") == 2).cast("int").alias("seen"))
+
+
+@query("""WITH k AS (SELECT DISTINCT l_orderkey AS media_id, l_linenumber AS k FROM lineitem WHERE l_orderkey % 4 <> 1) SELECT o_orderkey AS media_id, o_orderkey % 3 = 0 AS has_embedding, o_orderkey % 4 <> 1 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has_shots,
+(SELECT count(*) FROM k WHERE media_id = o_orderkey) AS n_frames, (SELECT count(*) FROM k WHERE media_id = o_orderkey AND k.k % 2 = 1) AS n_frame_vectors FROM orders WHERE o_orderstatus <> 'P'""")
+def processing_flags(c: Catalogue) -> DataFrame:
+    frames = c.table("lineitem").where("l_orderkey % 4 != 1").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("keyframe_id"), F.col("l_orderkey").alias("video_id"), "l_linenumber").distinct()
+    vectors = frames.where("l_linenumber % 2 = 1").select("keyframe_id")
+    found = ingest.processing_flags(c.media(), c.media().where("media_id % 3 = 0").select("media_id"), frames.select("video_id"), frames.select("keyframe_id", "video_id"), vectors)
+    return found.select("media_id", "has_embedding", "has_shots", "n_frames", "n_frame_vectors")
+
+
+@query(SCAN + """SELECT s.rel_path FROM snapshot s JOIN state o USING (source_name, rel_path) JOIN med m ON m.media_id = o.media_id WHERE o.size_bytes = s.size_bytes AND o.mtime_ns = s.mtime_ns AND deleted = 0 AND ascii(m.media_id[2]) % 2 = 0""")
+def free_skips(c: Catalogue) -> DataFrame:
+    snapshot, state, media = _scan(c)
+    done = (F.ascii(F.substring("media_id", 2, 1)) % 2 == 0).cast("int")
+    flags = media.withColumns({"mime": F.lit("image/jpeg"), "has_embedding": F.lit(True), "embeddings_version": F.lit("v2"), "face_detection_done": done, "object_detection_done": F.lit(1), "n_frames": F.lit(0), "n_frame_vectors": F.lit(0)})
+    return ingest.free_skips(ingest.needs_hash(snapshot.drop("media_id"), state), ingest.work_needed(flags, "v2")).select("rel_path")
 
 
 @query(SCAN + ", lost AS (SELECT DISTINCT o.media_id FROM snapshot s JOIN state o USING (source_name, rel_path) WHERE o.media_id <> s.media_id AND NOT (o.size_bytes = s.size_bytes AND o.mtime_ns = s.mtime_ns)) SELECT media_id FROM lost JOIN med USING (media_id) WHERE deleted = 0 AND media_id NOT IN (SELECT CASE WHEN o.size_bytes = s.size_bytes AND o.mtime_ns = s.mtime_ns THEN o.media_id ELSE s.media_id END FROM snapshot s LEFT JOIN state o USING (source_name, rel_path))")
@@ -610,22 +757,67 @@ def commit_groups(c: Catalogue) -> DataFrame:
     return ingest.commit_groups(c.files().where("source_name is not null"), 20).select("rel_path", "batch")
 
 
-@query("""WITH g AS (SELECT n_name AS name, (n_nationkey * 7) % 120 - 60 + 0.37 AS plat, (n_nationkey * 29) % 360 - 180 + 0.53 AS plon FROM nation), p AS (SELECT c_custkey AS id, (c_custkey * 13) % 120 - 60 + 0.11 AS lat, (c_custkey * 31) % 360 - 180 + 0.29 AS lon FROM customer),
-j AS (SELECT id, name || ', x, yy' AS place, round(2 * 6371.0 * asin(sqrt(power(sin(radians(plat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * power(sin(radians(plon - lon) / 2), 2))), 6) AS km
-FROM p JOIN g ON abs(floor(plat / 20) - floor(lat / 20)) <= 1 AND (abs(floor(plon / 20) - floor(lon / 20)) <= 1 OR abs(floor(plon / 20) - floor(lon / 20)) = 17))
-SELECT p.id, (SELECT place FROM j WHERE j.id = p.id ORDER BY km, place LIMIT 1) AS place FROM p""")
+@query("""WITH g AS (SELECT n_name AS name, (n_nationkey * 7) % 178 - 89 + 0.37 AS plat, (n_nationkey * 29) % 360 - 180 + 0.53 AS plon FROM nation), p AS (SELECT c_custkey AS id, (c_custkey * 13) % 180 - 90 + 0.11 AS lat, (c_custkey * 31) % 360 - 180 + 0.29 AS lon FROM customer)
+SELECT id, arg_min(name || ', x, yy', (round(2 * 6371.0 * asin(sqrt(power(sin(radians(plat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * power(sin(radians(plon - lon) / 2), 2))), 6), name)) AS place FROM p, g GROUP BY id""")
 def nearest_place(c: Catalogue) -> DataFrame:
     at = lambda k, a, b, o, d: ((F.col(k) * a) % b - o + d).cast("double")
-    gazetteer = c.table("nation").select(F.col("n_name").alias("name"), F.lit("x").alias("admin1"), F.lit("yy").alias("cc"), at("n_nationkey", 7, 120, 60, 0.37).alias("lat"), at("n_nationkey", 29, 360, 180, 0.53).alias("lon"))
-    points = c.table("customer").select(F.col("c_custkey").alias("id"), at("c_custkey", 13, 120, 60, 0.11).alias("lat"), at("c_custkey", 31, 360, 180, 0.29).alias("lon"))
-    return tracks.nearest_place(points, gazetteer, 20.0).select("id", "place")
+    gazetteer = c.table("nation").select(F.col("n_name").alias("name"), F.lit("x").alias("admin1"), F.lit("yy").alias("cc"), at("n_nationkey", 7, 178, 89, 0.37).alias("lat"), at("n_nationkey", 29, 360, 180, 0.53).alias("lon"))
+    points = c.table("customer").select(F.col("c_custkey").alias("id"), at("c_custkey", 13, 180, 90, 0.11).alias("lat"), at("c_custkey", 31, 360, 180, 0.29).alias("lon"))
+    return tracks.nearest_place(points, gazetteer).select("id", "place")
 
 
-@query("SELECT o_orderkey AS id, round(sum(o_totalprice) OVER w / count(*) OVER w * (100000 - count(*) OVER w), 2) AS eta FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w <= 3")
+@query("SELECT o_orderkey AS id, CAST(floor(CAST(sum(c) OVER w AS DOUBLE) / count(*) OVER w * (1000000 - count(*) OVER w)) AS BIGINT) AS eta FROM (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS c FROM orders) WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def running_eta(c: Catalogue) -> DataFrame:
-    steps = c.table("orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority", "o_totalprice", F.lit(100000).alias("total"))
-    first = steps.withColumn("n", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("id"))).where("n <= 3")
-    return reports.running_eta(first, ["o_orderpriority"], "id", "o_totalprice", "total").select("id", F.round("eta", 2).alias("eta"))
+    steps = c.table("orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority", F.round("o_totalprice").cast("long").alias("seconds"), F.lit(1000000).alias("total"))
+    return reports.running_eta(steps, ["o_orderpriority"], "id", "seconds", "total").select("id", F.floor("eta").alias("eta"))
+
+
+@query("SELECT 'missing' AS kind, count(*) AS n, (SELECT string_agg(k, '|' ORDER BY k) FROM (SELECT CAST(doc_id AS VARCHAR) AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY k LIMIT 10)) AS samples FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'orphan', count(*), '' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def vector_gaps(c: Catalogue) -> DataFrame:
+    found = reports.vector_gaps(c.table("documents").select("doc_id"), c.table("labels").select("doc_id"), "doc_id")
+    return found.select("kind", "n", F.array_join("samples", "|").alias("samples"))
+
+
+@query(with_roles("faces", "people") + " SELECT media_id, face_id, row_number() OVER (PARTITION BY media_id ORDER BY person_id IS NULL, confidence DESC, face_id) AS rank FROM faces")
+def media_faces_labelled_first(c: Catalogue) -> DataFrame:
+    return browse.media_faces(c.faces(), c.people(), labeled_first=True).select("media_id", "face_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(with_roles("media") + " SELECT media_id FROM media WHERE deleted = 0 AND media_id % 3 = 0 AND media_id % 7 <> 0 AND media_id % 5 <> 0")
+def needs_place(c: Catalogue) -> DataFrame:
+    k = F.col("media_id")
+    return filters.needs_place(c.media().withColumns({"gps_lat": F.when(k % 3 == 0, 1.0), "gps_lon": F.when(k % 7 != 0, 2.0), "place": F.when(k % 5 == 0, "here").when(k % 2 == 0, "")})).select("media_id")
+
+
+@query(with_roles("faces") + " SELECT face_id FROM faces WHERE confidence >= 20000 AND length(face_id) % 9 >= 3 AND length(face_id) % 7 >= 3")
+def usable_faces(c: Catalogue) -> DataFrame:
+    n = F.length("face_id")
+    return filters.usable_faces(c.faces().withColumns({"w": n % 9, "h": n % 7}), 20000.0, 3).select("face_id")
+
+
+@query("SELECT round(sum(l_tax) / sum(l_quantity), 6) AS per_image, round(sum(l_discount) / sum(l_linenumber), 6) AS per_video, round(sum(l_discount) / sum(l_quantity), 6) AS per_minute, round(sum(l_suppkey) / sum(l_linenumber), 6) AS shots_per_video FROM lineitem")
+def run_averages(c: Catalogue) -> DataFrame:
+    runs = c.table("lineitem").select(F.col("l_tax").alias("image_seconds"), F.col("l_quantity").alias("images"), F.col("l_discount").alias("video_seconds"), F.col("l_linenumber").alias("videos"), F.col("l_quantity").alias("video_minutes"), F.col("l_suppkey").alias("shots"))
+    return reports.averages(runs).select(*(F.round(x, 6).alias(x) for x in ("per_image", "per_video", "per_minute", "shots_per_video")))
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE label * 4 >= 15")
+def results_shown(c: Catalogue) -> DataFrame:
+    return filters.shown(c.table("embeddings").select(F.col("vec_id").alias("id"), (F.col("label") / 25).alias("score")), 15.0).select("id")
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type <> 'click' OR event_id % 50 BETWEEN 10 AND 30 AND (event_id % 4 = 0 OR event_id % 9 BETWEEN 2 AND 5)")
+def video_limits(c: Catalogue) -> DataFrame:
+    k = F.col("event_id")
+    ok = filters.video_only(F.when(F.col("event_type") == "click", "video"), (k % 50).cast("double"), F.when(k % 4 != 0, 0.0), (k % 9).cast("double"), (10.0, 30.0), 2.0, 5.0)
+    return c.table("events").where(ok).select(k.alias("id"))
+
+
+@query(with_roles("media", "media_tags") + " SELECT media_id FROM media m WHERE EXISTS (SELECT 1 FROM media_tags t WHERE t.media_id = m.media_id AND lower(tag) IN (SELECT lower(p_type) FROM part WHERE p_partkey <= 3)) AND (ends_with(path, '.mp4'))")
+def filters_any_case(c: Catalogue) -> DataFrame:
+    some = [r[0].lower() for r in c.table("part").where("p_partkey <= 3").select("p_type").distinct().collect()]
+    rows = browse.tag_lists(c.media(), c.media_tags())
+    return rows.where(filters.any_of(F.col("tags"), some) & filters.kind_by_name(F.col("path"), "video")).select("media_id")
 
 
 @query(with_roles("media") + " SELECT count(*) FILTER (mime LIKE 'image/%') AS images, count(*) FILTER (mime LIKE 'video/%') AS videos, round(count(*) FILTER (mime LIKE 'image/%') + greatest(count(*) FILTER (mime LIKE 'video/%') * 30.0, sum(duration) FILTER (mime LIKE 'video/%') / 60 * 5.0), 2) AS seconds FROM media")
@@ -640,6 +832,14 @@ def similarity_pairs_over_threshold(c: Catalogue) -> DataFrame:
     return knn.within(v, v.where("id % 20 = 0"), 0.3).where("query_id != id")
 
 
+@query()
+def knn_index_top10(c: Catalogue) -> DataFrame:
+    """Neighbours through the index; no SQL, its lists are learned. Its recall is measured in the tests."""
+    v = c.vectors()
+    centres = knn.fit_lists(v, 32)
+    return knn.search_index(knn.indexed(v, centres), centres, v.where("id % 20 = 0"), 10, 16)
+
+
 @query()
 def learned_rerank(c: Catalogue) -> DataFrame:
     """A model's order of each query's neighbours; no SQL, the model is a Python function."""

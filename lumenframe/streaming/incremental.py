@@ -47,7 +47,10 @@ class DeletionSweep(StatefulProcessor):
                 gone, action = True, "delete"
             if action:
                 out.append((key[0], key[1], int(scan), action))
-        self.place.update((missing, gone))
+        if missing is None and not gone:
+            self.place.clear()  # as if it had never been missed: only places that are have state
+        else:
+            self.place.update((missing, gone))
         yield pd.DataFrame(out, columns=["source_name", "rel_path", "scan_id", "action"])
 
     def close(self) -> None:

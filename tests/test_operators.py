@@ -1,12 +1,13 @@
 """Operators on hand-written rows."""
 
+import time
 from datetime import date
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.functions import ids, media, query_text, vector
+from lumenframe.functions import ids, media, models, query_text, vector
 from lumenframe.operators import browse, cdc, filters, ingest, knn, ranking, reports, tables, tracks
 
 
@@ -98,10 +99,28 @@ def test_people_lift_scores(spark):
 FRAMES = [("a", 10.0, 0.80, 1), ("a", 12.0, 0.85, 2), ("a", 25.5, 0.70, 3), ("b", 11.0, 0.60, 4), ("c", 0.0, 0.1, 5), ("c", 4.0, 0.2, 6), ("c", 8.0, 0.3, 7), ("d", 0.0, 0.3, 8), ("d", 4.0, 0.2, 9), ("d", 8.0, 0.1, 10), ("e", None, 0.1, 11), ("e", None, 0.2, 12)]
 
 
-@pytest.mark.parametrize("max_rows", [100_000, 1])
-def test_clusters_move_with_their_frame(spark, max_rows):
-    frames = spark.createDataFrame(FRAMES, "path string, timestamp double, score double, id long")
-    assert sorted(r["id"] for r in ranking.cluster_in_time(frames, 5.0, max_rows).collect()) == [2, 3, 4, 7, 8, 10, 12]
+@pytest.mark.parametrize("chunk", [256, 1, 2])
+def test_clusters_move_with_their_frame(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ranking, "CHUNK", chunk)
+    frames = spark.createDataFrame([*FRAMES, (None, 1.0, 0.5, 13), (None, 2.0, 0.6, 14)], "path string, timestamp double, score double, id long")
+    assert sorted(r["id"] for r in ranking.cluster_in_time(frames, 5.0).collect()) == [2, 3, 4, 7, 8, 10, 12, 14]
+
+
+def test_long_paths_and_tracks_take_time_in_proportion(spark):
+    """100,000 rows of one path, and of one track, without a gap; quadratic plans took minutes."""
+    began = time.perf_counter()
+    rows = spark.range(100_000).select(F.lit("p").alias("path"), (F.col("id") * 1.0).alias("timestamp"), (F.xxhash64("id") % 1000 / 1000.0).alias("score"), "id")
+    last, want = None, 0
+    for t, s in rows.orderBy("timestamp").select("timestamp", "score").collect():
+        if last and abs(t - last[0]) <= 5.0:
+            last = (t, s) if s > last[1] else last
+        else:
+            last, want = (t, s), want + 1
+    assert ranking.cluster_in_time(rows, 5.0).count() == want
+    samples = spark.range(100_000).select(F.lit("t").alias("track"), (F.col("id") * 2.0).alias("t"), (F.col("id") * 2.0).alias("gps_lat"), F.lit(0.0).alias("gps_lon"), F.lit(None).cast("double").alias("gps_alt"), F.lit("").alias("gps_datetime_utc"), F.lit(3).alias("gps_fix"))
+    targets = spark.range(50_000).select(F.lit("t").alias("track"), F.col("id").alias("target_id"), (F.col("id") * 4.0 + 1).alias("t"))
+    assert tracks.sample_at(targets, samples, 1.0, 2.0).where("abs(gps_lat - t) > 1e-6 or gps_source != 'interpolated'").count() == 0
+    assert time.perf_counter() - began < 120
 
 
 @pytest.mark.parametrize(("model", "order"), [(lambda r: r["f"], [2, 3, 1]), (lambda r: r["f"] * np.nan, [1, 2, 3]), (lambda r: r["f"][:1], [1, 2, 3]), (lambda r: 1 / 0, [1, 2, 3])])
@@ -163,9 +182,66 @@ def test_position_at(spark, samples, t, lat, source):
 
 
 def test_nearest_place(spark):
-    g = spark.createDataFrame([("A", "a", "X", 10.0, 179.9), ("B", "b", "Y", 10.5, -179.2), ("C", "c", "Z", 60.0, 0.0)], "name string, admin1 string, cc string, lat double, lon double")
-    p = spark.createDataFrame([(1, 10.0, -179.95), (2, 59.9, 0.4), (3, -40.0, 0.0), (4, None, 1.0)], "id int, lat double, lon double")
-    assert {r["id"]: r["place"] for r in tracks.nearest_place(p, g).collect()} == {1: "A, a, X", 2: "C, c, Z", 3: None, 4: None}
+    rng = np.random.default_rng(3)
+    where = lambda n: np.column_stack([np.degrees(np.arcsin(rng.uniform(-1, 1, n))), rng.uniform(-180, 180, n)]).round(3)
+    gazetteer = [*where(150).tolist(), [89.9, 10.0], [-89.5, 170.0], [10.5, -179.9], [0.0, 0.0], [0.0, 0.0]] + (where(40) / 50 + [45, 7]).round(3).tolist()
+    points = [*where(300).tolist(), [90.0, 0.0], [-90.0, 5.0], [10.4, 179.99], [0.0, 180.0], [89.95, -170.0], [None, 1.0]]
+    g = spark.createDataFrame([(f"p{k:03}", "a", "X", a, o) for k, (a, o) in enumerate(gazetteer)], "name string, admin1 string, cc string, lat double, lon double")
+    p = spark.createDataFrame([(k, a, o) for k, (a, o) in enumerate(points)], "id int, lat double, lon double")
+    got = {r["id"]: r["place"] for r in tracks.nearest_place(p, g).collect()}
+
+    def km(a, o, b, q):
+        x = np.sin(np.radians(b - a) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(b)) * np.sin(np.radians(q - o) / 2) ** 2
+        return round(2 * 6371.0 * np.arcsin(np.sqrt(min(1.0, x))), 6)
+
+    want = {k: None if a is None else min((km(a, o, b, q), f"p{n:03}, a, X") for n, (b, q) in enumerate(gazetteer))[1] for k, (a, o) in enumerate(points)}
+    assert got == want
+    assert {r["place"] for r in tracks.nearest_place(p, g.limit(0)).collect()} == {None}
+
+
+def test_index_recalls_what_is_near(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    rows = [(k, (centres[k % 40] + 0.4 * rng.normal(size=16)).tolist()) for k in range(4000)]
+    v = spark.createDataFrame([*rows, (9000, None), (9001, [1.0])], "id long, vector array<double>")
+    lists = knn.fit_lists(v, 32, 1000)
+    index = knn.indexed(v, lists)
+    assert index.count() == 4000
+    asked = v.where("id % 20 = 0 and size(vector) = 16")
+    exact = knn.search(v, asked, 10)
+    assert knn.recall(knn.search_index(index, lists, asked, 10, 8), exact).first()[0] >= 0.9
+    assert knn.recall(knn.search_index(index, lists, asked, 10, 32), exact).first()[0] == 1.0
+
+
+def test_one_answer_whatever_the_blocks(spark, monkeypatch):
+    rows = [(k, [float(k % 7), float(k % 5), 1.0]) for k in range(300)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    want = sorted(map(tuple, knn.search(v, v.where("id < 40"), 4).collect()))
+    near = sorted(map(tuple, knn.within(v, v.where("id < 40"), 0.99).collect()))
+    monkeypatch.setattr(knn, "BLOCK", 7)
+    monkeypatch.setattr(knn, "ROWS", 11)
+    monkeypatch.setattr(knn, "SHIPPED", 400)
+    assert sorted(map(tuple, knn.search(v, v.where("id < 40"), 4).collect())) == want and len(want) == 160
+    assert sorted(map(tuple, knn.within(v, v.where("id < 40"), 0.99).collect())) == near
+
+
+def test_principal_components(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5))
+    got = np.array([r["components"] for r in knn.principal_components(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, vector array<double>"), 2).orderBy("id").collect()])
+    _, vectors = np.linalg.eigh(np.cov(x.T))
+    want = x @ vectors[:, ::-1][:, :2]
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_shots_and_export_of_videos_by_name(spark):
+    rows = spark.createDataFrame([("v", b"ab"), ("w", b"")], "media_id string, content binary")
+    got = models.detected_shots(rows, lambda: lambda content: [(2.0, 5.0), (0.0, 2.0), (5.0, 5.0)] if content else []).collect()
+    assert [tuple(r) for r in got] == [("v", 0, 0.0, 2.0), ("v", 1, 2.0, 5.0)]
+    media_rows = spark.createDataFrame([("aaaaaaaa", "/x.MP4", None, 0), ("bbbbbbbb", "/x", None, 0), ("cccccccc", "/y.jpg", "image/jpeg", 1), ("dddddddd", "/z.jpg", "image/jpeg", 0)], "media_id string, path string, mime string, deleted int").selectExpr("*", "'p' place", "cast(null as string) ts_utc", "'t' added_at")
+    vectors = media_rows.selectExpr("media_id", "array(1f) embedding", "5L updated_seq")
+    tags = spark.createDataFrame([("dddddddd", "b"), ("dddddddd", "a")], "media_id string, tag string")
+    assert sorted((r["media_id"], tuple(r["payload"]["tags"])) for r in cdc.image_points(media_rows, vectors, tags).collect()) == [("bbbbbbbb", ()), ("dddddddd", ("a", "b"))]
 
 
 # --- tables, ingest, export ---
@@ -227,8 +303,9 @@ def test_stamps_and_export(spark):
     assert cdc.highest_stamp(e, e.limit(0)).first()[0] == 9 and cdc.is_dirty(8, e) and not cdc.is_dirty(9, e)
     assert [cdc.export_mode(*a) for a in [(False, False, False, 3, 1, False), (False, True, False, 3, 1, False), (False, True, False, 0, 1, False), (True, False, False, 3, 1, False), (False, False, False, None, 1, False), (False, False, True, 3, 1, True)]] == ["none", "delta", "full", "full", "full", "full"]
     done = []
-    assert not cdc.export([lambda: done.append(1), lambda: 1 / 0, lambda: done.append(2)], lambda: done.append("w")) and done == [1, 2]
-    assert cdc.export([lambda: 0], lambda: done.append("w")) and done[-1] == "w"
+    got = cdc.export({"images": lambda: done.append(1), "videos": lambda: 1 / 0, "faces": lambda: done.append(2)}, lambda: done.append("w"))
+    assert isinstance(got["videos"], ZeroDivisionError) and done == [1, 2]
+    assert cdc.export({"images": lambda: 7}, lambda: done.append("w")) == {"images": 7} and done[-1] == "w"
 
 
 def test_percentiles_by_index(spark):
