@@ -12,9 +12,10 @@ lies in a window of one of the two kinds inside the run, and equal contents have
 windows that stood before, by (doc_id, line), cover each repeated run up to both of its ends. The
 lines of all but the first occurrence are deleted.
 
-A large group of copies of a passage costs a row per window and copy: each is compared with the
-first only, and the joins' right sides are stored, so that Spark can split a large key. What repeats
-grows with the corpus, so nothing is broadcast by hand, and texts are shuffled once. Occurrences may
+Stored is a row for each selected line, with the windows that selected it. A large group of copies of a
+passage costs a row per window and copy: each is compared with the first only, and the joins' right
+sides are stored, so that Spark can split a large key. The fingerprints that repeat are broadcast while
+they are few (``components.FEW``), else joined by shuffle; texts are shuffled once. Occurrences may
 overlap. Null texts stay null, texts without a long enough run stay as they are, and a text may become
 empty, but no row goes; an empty table stays empty. Rows without a doc_id come last in the order. Rows
 with equal doc_id and text are one document and get the same result. ``n_chars``, where there is one,
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lumenframe.llm import storage
+from lumenframe.llm.components import small
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,12 +64,18 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.where(F.col("words") >= min_words).select("__lf_id", "__lf_text", "first", "last", F.col("low.h").alias("fingerprint"), F.col("low.line").alias("at"), "w1", "w2")
 
 
+def positions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row per selected line: id, text_hash, fingerprint, its line (at), and the windows that selected it."""
+    window = F.struct("first", "last", "w1", "w2")
+    return windows(docs, min_words).groupBy("__lf_id", "__lf_text", "fingerprint", "at").agg(F.collect_list(window).alias("windows"))
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(__lf_id, __lf_text, __lf_runs): the line ranges of each document that repeat an earlier run; disjoint, in order."""
-    every = storage.written(windows(docs, min_words))
+    every = storage.written(positions(docs, min_words))
     place = F.struct("__lf_id", "__lf_text", "at")
-    again = every.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fingerprint")
-    near = every.join(storage.cut(again), "fingerprint", "left_semi")
+    again = storage.cut(every.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fingerprint"))
+    near = every.join(small(again), "fingerprint", "left_semi").select("__lf_id", "__lf_text", F.explode("windows").alias("w")).select("__lf_id", "__lf_text", "w.*")
     spot = F.struct("__lf_id", "__lf_text", "first")
     firsts = near.groupBy("w1", "w2").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a != b").select("w1", "w2", "a")
     later = near.join(storage.cut(firsts), ["w1", "w2"]).where(spot != F.col("a"))
