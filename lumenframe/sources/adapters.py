@@ -15,13 +15,17 @@ class Catalogue:
     """Tables of one folder, in their roles."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._schemas = spark, sf_dir, {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table, whose file footers are read for its schema once."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     def media(self) -> DataFrame:
-        places = self.table("customer").join(F.broadcast(self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))), F.col("c_nationkey") == F.col("n_nationkey"))
+        places = self.table("customer").join(self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
         places = places.select("c_custkey", F.concat_ws(", ", "n_name", "r_name").alias("place"))
         video = F.col("o_orderstatus") == "O"
         media = self.table("orders").select(
