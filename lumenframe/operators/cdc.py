@@ -103,6 +103,35 @@ def tombstoned_points(media: DataFrame, faces: DataFrame, frames: DataFrame, sin
     return images.unionByName(frame).unionByName(face)
 
 
+def pending(t: dict[str, DataFrame], since: int | None = None) -> dict[str, DataFrame]:
+    """What an export puts into each collection, and ``gone``, the points it takes out; all of it, or what changed after ``since``.
+
+    ``t``: media, media_tags, faces, people, frames, and image_vectors, frame_vectors, face_vectors with their stamps.
+    """
+    named = t["faces"].join(t["people"], "person_id").select("media_id", "name")
+    out = {
+        "image": image_points(t["media"], t["image_vectors"], t["media_tags"], since),
+        "video": frame_points(t["media"], t["frames"], t["frame_vectors"], t["media_tags"], named, since),
+        "face": face_points(t["media"], t["faces"], t["people"], t["face_vectors"], since),
+    }
+    return out | {"gone": tombstoned_points(t["media"], t["faces"], t["frames"], -1 if since is None else since)}
+
+
+def exported(collections: dict[str, DataFrame], changes: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The collections after an export: points put in by id, deleted ones taken out."""
+    gone = lambda name: changes["gone"].where(F.col("collection") == name).select("point_id")
+    return {name: remove_points(upsert_points(points, changes[name].select(*points.columns)), gone(name)) for name, points in collections.items()}
+
+
+def dry_run(changes: dict[str, DataFrame]) -> DataFrame:
+    """How many points an export would write to or delete from each collection: collection, action, n."""
+    out = changes["gone"].groupBy("collection").agg(F.lit("delete").alias("action"), F.count("*").alias("n"))
+    for name, rows in changes.items():
+        if name != "gone":
+            out = out.unionByName(rows.agg(F.lit(name).alias("collection"), F.lit("write").alias("action"), F.count("*").alias("n")))
+    return out
+
+
 def export_mode(forced: bool, changed: bool, dirty: bool, exported: int | None, migrated: int, created: bool) -> str:
     """none, full or delta: a delta needs an earlier export that isn't older than the last migration, into collections that were there."""
     if not (forced or changed or dirty or exported is None):

@@ -556,6 +556,33 @@ def keyframe_point_ids(c: Catalogue) -> DataFrame:
     return c.table("documents").where("text is not null").select("doc_id", ids.keyframe_point_id(ids.content_id(F.col("text")), F.col("doc_id"), F.col("doc_id") * 7).alias("point_id"))
 
 
+def _export_tables(c: Catalogue) -> dict[str, DataFrame]:
+    media = c.media().withColumns({"added_at": F.lit(""), "deleted_seq": F.col("updated_seq")})
+    faces = c.faces().dropDuplicates(["face_id"])
+    frames = c.table("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("keyframe_id"), F.col("l_orderkey").alias("video_id"), F.lit(0).alias("shot_index"), F.col("l_linenumber").alias("kf_index")).distinct()
+    frames = frames.withColumns({"timestamp": F.lit(0.0), "shot_start": F.lit(0.0), "shot_end": F.lit(1.0), "tags": F.lit("[]"), "place": F.lit("")})
+    vector, stamp = F.array().cast("array<float>").alias("embedding"), lambda key: (F.col(key) % 50).alias("updated_seq")
+    vectors = {"image_vectors": media.select("media_id", vector, "updated_seq"), "frame_vectors": frames.select("keyframe_id", vector, stamp("video_id")), "face_vectors": faces.select("face_id", vector, stamp("media_id"))}
+    return {"media": media.drop("updated_seq"), "media_tags": c.media_tags(), "faces": faces, "people": c.people(), "frames": frames} | vectors
+
+
+@query(with_roles("media", "faces") + """, k AS (SELECT DISTINCT l_orderkey AS media_id, l_linenumber FROM lineitem)
+SELECT 'image' AS collection, 'write' AS action, count(*) AS n FROM media WHERE deleted = 0 AND mime LIKE 'image/%' AND updated_seq > 30 UNION ALL SELECT 'video', 'write', count(*) FROM k JOIN media USING (media_id) WHERE deleted = 0 AND updated_seq > 30
+UNION ALL SELECT 'face', 'write', count(DISTINCT face_id) FROM faces JOIN media USING (media_id) WHERE deleted = 0 AND updated_seq > 30 UNION ALL SELECT 'image', 'delete', count(*) FROM media WHERE deleted = 1 AND updated_seq > 30
+UNION ALL SELECT 'video', 'delete', count(*) FROM k JOIN media USING (media_id) WHERE deleted = 1 AND updated_seq > 30 UNION ALL SELECT 'face', 'delete', count(DISTINCT face_id) FROM faces JOIN media USING (media_id) WHERE deleted = 1 AND updated_seq > 30""")
+def export_dry_run(c: Catalogue) -> DataFrame:
+    return cdc.dry_run(cdc.pending(_export_tables(c), 30))
+
+
+@query(with_roles("media") + " SELECT o_orderkey AS media_id, CASE WHEN deleted = 0 AND mime LIKE 'image/%' AND updated_seq > 30 THEN path ELSE 'old' END AS path FROM orders JOIN media ON media_id = o_orderkey WHERE NOT (deleted = 1 AND updated_seq > 30)")
+def export_round(c: Catalogue) -> DataFrame:
+    """The image collection, one old point for every medium, after a delta export."""
+    old = c.media().select(ids.image_point_id(F.col("media_id").cast("string")).alias("point_id"), "media_id", F.lit("old").alias("path"))
+    changes = cdc.pending(_export_tables(c), 30)
+    changes["image"] = changes["image"].select("point_id", "media_id", F.col("payload.path").alias("path"))
+    return cdc.exported({"image": old}, changes)["image"].select("media_id", "path")
+
+
 # --- reports ------------------------------------------------------------------------------------
 
 
