@@ -48,7 +48,7 @@ class DeletionSweep(StatefulProcessor):
             if action:
                 out.append((key[0], key[1], int(scan), action))
         if missing is None and not gone:
-            self.place.clear()  # as if it had never been missed: only places that are have state
+            self.place.clear()  # as if it had never been missed: only missed places have state
         else:
             self.place.update((missing, gone))
         yield pd.DataFrame(out, columns=["source_name", "rel_path", "scan_id", "action"])

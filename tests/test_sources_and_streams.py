@@ -84,6 +84,9 @@ class Handle:
         def update(self, v):
             self.value = v
 
+        def clear(self):
+            self.value = None
+
     def getValueState(self, *_):
         return self.Value()
 
