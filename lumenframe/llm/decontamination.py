@@ -5,9 +5,9 @@ window). The join asks for containment 1, so of the words of a window, ordered b
 corpus, a prefix of one is necessary: a document that holds the window holds its rarest word. The
 steps:
 
-1. count, in one pass over all documents, how often words occur (their rarity), in a table of
-   ``2**BITS`` places by a hash of the word; words that share a place share a count, which changes
-   the order of words and no result, and bounds the table whatever the vocabulary;
+1. count, in one pass over all documents, how often the benchmark's words occur (their rarity), in a
+   table of ``2**BITS`` places by a hash of the word; words that share a place share a count, which
+   changes the order of words and no result, and bounds the table whatever the vocabulary;
 2. index each distinct window under its rarest word, with that word's offset in it (the positional
    bound: the window can start only so many words before) and its number of words (the length
    bound: it must end inside the document);
@@ -113,16 +113,31 @@ class WindowIndex:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """How often words occur in all of ``docs``, by ``place_of``; tasks send the places they met, at most ``2**BITS``."""
+def places(items: DataFrame) -> np.ndarray:
+    """Which places the words of ``items`` (item_text) have; at most ``2**BITS`` rows reach the driver."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            known = {place_of(w) for t in batch.column(0).to_pylist() for w in words(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(known), pa.int64())], names=["place"])
+
+    found = items.select("item_text").mapInArrow(work, "place long").distinct().toArrow()
+    out = np.zeros(1 << BITS, bool)
+    out[found.column("place").to_numpy()] = True
+    return out
+
+
+def rarity(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
+    """How often words of the ``wanted`` places occur in all of ``docs``, by place; tasks send a row for each place they met."""
+    shipped = docs.sparkSession.sparkContext.broadcast(wanted)  # 1 MB
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, wanted = np.zeros(1 << BITS, np.int64), shipped.value
         for batch in batches:
             for part in storage.by_size(batch, "text"):
                 counts = Counter(w for t in part.column("text").to_pylist() for w in words(t))
                 np.add.at(total, [place_of(w) for w in counts], list(counts.values()))
-        some = np.flatnonzero(total)
+        some = np.flatnonzero(total * wanted)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "n"])
 
     sums = storage.in_small_batches(docs.select("text")).mapInArrow(work, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
@@ -186,7 +201,7 @@ def _write_index(docs: DataFrame, benchmark: DataFrame, window: int, block_chars
     n = -(-total // block_chars)
     if not n:
         return []
-    folder, often = storage.new_folder(docs.sparkSession, "windows"), rarity(docs)
+    folder, often = storage.new_folder(docs.sparkSession, "windows"), rarity(docs, places(items))
     shipped = docs.sparkSession.sparkContext.broadcast(often)  # 8 MB
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
