@@ -14,11 +14,12 @@ starts, each block's parse is followed into the next block until both start a ph
 and from there on the next block's own parse counts. The result is that of one parse from the text's
 first letter to its last.
 
-Automata are built in tasks, a language each, from a bounded sample of labelled rows: of each language
-the ``sample_docs`` different texts of lowest hash, whole; a language with fewer texts gives all, so
-each labelled language is learned. Transitions lie in one array a language (row displacement), 8
-bytes for each and about as many for the gaps: 32 texts of 2.5 KB take about 2 MB, so 200 such
-languages take 0.4 GB in each Python worker, in proportion to ``sample_docs``.
+Automata are built in tasks, a language each, from a bounded sample of labelled rows: of each language's
+different texts of at most ``max_chars`` characters, in order of their hash, up to ``sample_docs`` whole
+texts of ``sample_chars`` characters together, one at least; a language with longer texts only gives its
+shortest. So each labelled language is learned. Transitions lie in one array a language (row
+displacement), 8 bytes for each and a third more for the gaps: 32 texts of 2.5 KB take about 2 MB, so 200
+such languages take 0.4 GB in each Python worker, and 1 GB if all are of ``sample_chars``.
 
 Null texts and texts without a letter are ``und`` with score 0; without training rows so are all.
 Repeated rows each get their result, further columns are ignored, an empty table gives no rows. A
@@ -266,7 +267,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, sample_docs: int = 32) -> tuple[DataFrame, dict[str, int]]:
+def sample(docs: DataFrame, sample_docs: int = 32, max_chars: int = 50_000) -> tuple[DataFrame, dict[str, int]]:
     """Training texts (lang, h, t) of each language, and its training rows.
 
     Equal texts are one text of the sample. All texts up to a hash that about twice ``sample_docs``
@@ -274,22 +275,40 @@ def sample(docs: DataFrame, sample_docs: int = 32) -> tuple[DataFrame, dict[str,
     reaches the driver.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"), F.col("text").alias("t"))
-    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"), F.min("h").alias("low")).collect()
-    share = F.lit(-1)
+    rows = rows.select("lang", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"), F.col("text").alias("t"), F.length("text").alias("size"))
+    short = F.when(F.col("size") <= max_chars, F.col("h"))
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(short).alias("texts"), F.min(short).alias("low"), F.min(F.struct("size", "h")).alias("least")).collect()
+    most, wanted = F.lit(-1), F.lit(-1)
     for r in sums:
-        limit = (2**63 - 1) if r["texts"] <= 2 * sample_docs else max(r["low"], (2**63 - 1) // r["texts"] * 2 * sample_docs)
-        share = F.when(F.col("lang") == r["lang"], F.lit(limit)).otherwise(share)
-    return rows.where(F.col("h") <= share).groupBy("lang", "h").agg(F.min("t").alias("t")), {r["lang"]: r["n"] for r in sums}
-
-
-def learn(docs: DataFrame, sample_docs: int = 32) -> tuple[str, dict[str, int]]:
+        if r["low"] is None:
+            limit = r["least"]["h"]
+        else:
+            limit = (2**63 - 1) if r["texts"] <= 2 * sample_docs else max(r["low"], (2**63 - 1) // r["texts"] * 2 * sample_docs)
+        own = F.col("lang") == r["lang"]
+        wanted = F.when(own, F.lit(limit)).otherwise(wanted)
+        most = F.when(own, F.lit(max_chars if r["low"] is not None else r["least"]["size"])).otherwise(most)
+    picked = rows.where((F.col("h") <= wanted) & (F.col("size") <= most))
+    return picked.groupBy("lang", "h").agg(F.min("t").alias("t")), {r["lang"]: r["n"] for r in sums}
+
+
+def fitting(texts: list[str], sample_docs: int, sample_chars: int) -> list[str]:
+    """The first of ``texts``, and those after it while both bounds hold."""
+    out, size = [], 0
+    for t in texts[:sample_docs]:
+        size += len(t)
+        if out and size > sample_chars:
+            break
+        out.append(t)
+    return out
+
+
+def learn(docs: DataFrame, sample_docs: int = 32, sample_chars: int = 200_000, max_chars: int = 50_000) -> tuple[str, dict[str, int]]:
     """The stored automata of all languages, and the languages' training rows. A task builds a language's from its sample."""
-    texts, rows = sample(docs, sample_docs)
+    texts, rows = sample(docs, sample_docs, max_chars)
     folder = storage.new_folder(docs.sparkSession, "languages")
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        some = group.sort_values(["h", "t"])["t"].tolist()[:sample_docs]
+        some = fitting(group.sort_values(["h", "t"])["t"].tolist(), sample_docs, sample_chars)
         storage.put(f"{folder}/{key[0].encode().hex()}", pickle.dumps(Automaton(encode(" ".join(some))[0])))
         return pd.DataFrame({"lang": [key[0]]})
 
@@ -328,6 +347,6 @@ def predict(docs: DataFrame, learned: tuple[str, dict[str, int]]) -> DataFrame:
     return storage.in_small_batches(docs.select(doc_id.alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")).mapInArrow(work, RESULT)
 
 
-def identify(docs: DataFrame, sample_docs: int = 32) -> DataFrame:
+def identify(docs: DataFrame, sample_docs: int = 32, sample_chars: int = 200_000, max_chars: int = 50_000) -> DataFrame:
     """Learn from the training rows of ``docs`` and predict every row."""
-    return predict(docs, learn(docs, sample_docs))
+    return predict(docs, learn(docs, sample_docs, sample_chars, max_chars))

@@ -138,6 +138,14 @@ def test_no_language_is_lost(spark):
     assert {tuple(r) for r in got} == {("la", 300), ("de", 2000), ("el", 2)}
 
 
+def test_the_sample_is_bounded_by_whole_texts(spark):
+    assert L.fitting(["aaaa", "bb", "ccc"], 9, 6) == ["aaaa", "bb"] and L.fitting(["aaaa", "bb"], 1, 9) == ["aaaa"] and L.fitting(["aaaa", "b"], 9, 2) == ["aaaa"]
+    rows = [(k, "kurz " * n, "de") for k, n in enumerate((3, 4, 900))] + [(k, "longus " * n, "la") for k, n in ((10, 800), (11, 500))] + [(20, "x y", None)]
+    texts, counts = L.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("crc32(cast(doc_id as string)) % 4 != 2"), max_chars=100)
+    assert {(r["lang"], len(r["t"])) for r in texts.collect()} <= {("de", 15), ("de", 20), ("la", 3500), ("la", 5600)} and set(counts) == {"de", "la"}
+    assert sum(r["lang"] == "la" for r in texts.collect()) == 1
+
+
 def test_large_alphabets_stay_apart(spark):
     rng = random.Random(7)
     sets = {"one": range(0x4E00, 0x53DC), "two": range(0x6000, 0x65DC)}  # 1,500 letters each
