@@ -342,12 +342,12 @@ def person_expansion(c: Catalogue) -> DataFrame:
     return ranking.expand_people(media, c.faces(), c.people(), [n.upper() for n in _two(c)]).select("id", "ts_utc", F.array_join("people", "|").alias("people"))
 
 
-@query(with_roles("media", "faces", "people") + """, n AS (SELECT media_id, count(DISTINCT name) FILTER (person_id <= 20) AS hit FROM faces JOIN people USING (person_id) GROUP BY media_id)
+@query(with_roles("media", "faces", "people") + """, n AS (SELECT media_id, count(DISTINCT name) FILTER (person_id < 20) AS hit FROM faces JOIN people USING (person_id) GROUP BY media_id)
 SELECT media_id AS id, round(0.1 * (media_id % 7), 6) AS f_total, round(coalesce(hit, 0) / 20, 6) AS f_people, CASE WHEN ts_utc >= '1995-01-01' AND ts_utc <= '1996-12-31' THEN 1.0::DOUBLE ELSE 0.0 END AS f_in_dates,
 CASE WHEN contains(lower(place), 'asia') THEN 1.0::DOUBLE ELSE 0.0 END AS f_in_place, round(date_diff('day', CAST(substr(ts_utc, 1, 10) AS DATE), DATE '2000-01-01') / 365.25, 4) AS f_age FROM media LEFT JOIN n USING (media_id)""")
 def rerank_features(c: Catalogue) -> DataFrame:
     people = c.faces().join(c.people(), "person_id").groupBy("media_id").agg(F.collect_set("name").alias("people"))
-    wanted = [r["name"] for r in c.people().where("person_id <= 20").collect()]
+    wanted = [r["name"] for r in c.people().where("person_id < 20").collect()]
     rows = c.media().join(people, "media_id", "left").select(F.col("media_id").alias("id"), (F.col("media_id") % 7 * 0.1).alias("total_score"), F.lit(0.0).alias("similarity_score"), "people", F.array().cast("array<string>").alias("tags"), F.col("ts_utc").alias("date"), "place")
     found = ranking.features(rows, wanted + [f"nobody {k}" for k in range(20 - len(wanted))], [], "1995-01-01", "1996-12-31", "ASIA", "2000-01-01")
     return found.select("id", *(F.round(x, 6).alias(x) for x in ("f_total", "f_people")), "f_in_dates", "f_in_place", F.round("f_age", 4).alias("f_age"))
