@@ -41,11 +41,10 @@ def path_of(url: Column) -> Column:
 
 def node_of(url: Column) -> Column:
     """The url under the name that its equivalents share."""
-    at = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
-    scheme, host = F.lower(F.regexp_extract(url, at, 1)), F.lower(F.regexp_extract(url, at, 2))
-    bare = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_extract(url, at, 3)
-    return F.when(scheme == "", url).otherwise(F.concat(scheme, F.lit("://"), bare, F.when(path == "", "/").otherwise(path), F.regexp_extract(url, at, 4)))
+    head = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    bare = F.regexp_replace(F.lower(head), "^(http://.*):80$|^(https://.*):443$", "$1$2")
+    rest = F.regexp_replace(F.substring(url, F.length(head) + 1, F.length(url)), "(?s)#.*$", "")
+    return F.when(head == "", url).otherwise(F.concat(bare, F.regexp_replace(rest, r"^(?!/)", "/")))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -64,19 +63,19 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.array_max(F.transform(fit, lambda r: F.struct(F.length(r["rule"]).alias("size"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
 
 
-def _absolute(base: Column, link: Column) -> Column:
-    """``link`` as found in the page ``base``, resolved."""
-    link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.concat(root, F.regexp_extract(base, r"://[^/?#]*((?:/[^?#]*)?/)", 1))
+def _absolute(edges: DataFrame) -> DataFrame:
+    """(u, v) of (u, link): links as found in the page ``u``, resolved. Stored before and after, as Spark would put all steps into one function, too large to compile."""
+    u, link, root = F.col("u"), F.col("link"), F.col("root")
+    clean = edges.select("u", F.replace(F.trim(link), F.lit("&amp;"), F.lit("&")).alias("link")).where("u is not null and link != ''").distinct()
+    parts = clean.withColumns({"root": F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), "folder": F.regexp_extract(u, r"://[^/?#]*((?:/[^?#]*)?/)", 1), "own": link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")})
     there = (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1), link))
+        F.when(F.col("own"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1), link))
         .when(link.startswith("/"), F.concat(root, link))
-        .when(folder == root, F.concat(root, F.lit("/"), link))
-        .otherwise(F.concat(folder, link))
+        .when(F.col("folder") == "", F.concat(root, F.lit("/"), link))
+        .otherwise(F.concat(root, "folder", link))
     )
-    return F.when(link != "", there)
+    return parts.select("u", there.alias("v"))
 
 
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -85,11 +84,11 @@ def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
     told = source.where(F.lower("html").rlike("canonical|refresh"))
     canonical = F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1)
     refresh = F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1)
-    edges = told.select(F.col("url").alias("u"), F.explode(F.array(canonical, refresh)).alias("link")).select("u", _absolute(F.col("u"), F.col("link")).alias("v"))
+    edges = told.select(F.col("url").alias("u"), F.explode(F.array(canonical, refresh)).alias("link"))
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(F.col("url").alias("u"), _absolute(F.col("url"), F.col("target")).alias("v")))
-    edges = edges.where("u is not null").where(F.col("v").rlike("^[Hh][Tt][Tt][Pp][Ss]?://"))
-    return edges.select(node_of(F.col("u")).alias("u"), node_of(F.col("v")).alias("v")).where("u != v")
+        edges = edges.unionByName(redirects.select(F.col("url").alias("u"), F.col("target").alias("link")))
+    found = storage.cut(_absolute(storage.cut(edges.where("u is not null and link != ''"))).where(F.col("v").rlike("^[Hh][Tt][Tt][Pp][Ss]?://")))
+    return found.select(node_of(F.col("u")).alias("u"), node_of(F.col("v")).alias("v")).where("u != v")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
