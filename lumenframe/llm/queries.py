@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontamination, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, storage, token_files, url_filter, warc
+from lumenframe.llm import decontamination, filter_audit, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, storage, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
@@ -90,8 +94,9 @@ def queries() -> dict:
         "op9_line_dedup": op9_line_dedup,
         "op9_short_runs": op9_short_runs,
         "op10_packing": op10_packing,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL, "op4_warc": warc.SQL, "op5_url_filter": url_filter.SQL, "op5_redirects": url_filter.SQL_REDIRECTS, "op8_quality_rules": quality_rules.SQL_DOCUMENTS, "op8_host_verdicts": quality_rules.SQL_HOSTS, "op9_line_dedup": line_dedup.sql(), "op9_short_runs": line_dedup.sql(30)}
+    return {"op1_decontamination": decontamination.SQL, "op4_warc": warc.SQL, "op5_url_filter": url_filter.SQL, "op5_redirects": url_filter.SQL_REDIRECTS, "op8_quality_rules": quality_rules.SQL_DOCUMENTS, "op8_host_verdicts": quality_rules.SQL_HOSTS, "op9_line_dedup": line_dedup.sql(), "op9_short_runs": line_dedup.sql(30), "op11_filter_audit": filter_audit.SQL}
