@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontamination, filter_audit, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, storage, token_files, url_filter, warc
+from lumenframe.llm import decontamination, filter_audit, language_id, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, simhash, storage, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which a tenth of the documents, by a hash of their ids, repeat a stretch of their words from some word on."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    split = rows.withColumn("w", F.when(F.col("h") % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), "")))
+    drawn = split.withColumn("n", F.coalesce(F.size("w"), F.lit(0)).cast("long")).withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.array_join(F.expr("transform(sequence(0L, n - 1), i -> w[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS int)])"), " ")
+    return drawn.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(planted(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
@@ -95,6 +108,7 @@ def queries() -> dict:
         "op9_short_runs": op9_short_runs,
         "op10_packing": op10_packing,
         "op11_filter_audit": op11_filter_audit,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
