@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontamination, filter_audit, language_id, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, simhash, storage, token_files, url_filter, warc
+from lumenframe.llm import decontamination, filter_audit, language_id, line_dedup, packing, periodic_runs, quality_classifier, quality_rules, simhash, storage, suffix_dedup, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find(planted(table(spark, sf_dir, "documents"))))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.find(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
@@ -109,6 +113,7 @@ def queries() -> dict:
         "op10_packing": op10_packing,
         "op11_filter_audit": op11_filter_audit,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_suffix_dedup": op13_suffix_dedup,
     }
 
 
