@@ -65,11 +65,11 @@ def _bounded(rows: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(rows) if bound <= FEW else rows
 
 
-def retrieve(collections: dict[str, DataFrame | Callable[[], DataFrame]], queries: DataFrame, request: Request) -> tuple[DataFrame, int]:
+def retrieve(collections: dict[str, DataFrame | Callable[[], DataFrame] | tuple], queries: DataFrame, request: Request) -> tuple[DataFrame, int]:
     """Hits of all collections there are: query_id, id, source, source_order, score, rank and ``PAYLOAD``.
 
     ``collections``: name -> (id, vector, media_id and what there is of ``PAYLOAD``), or a function
-    that opens it; ``queries``: (id, vector). Tags are asked for in their own case before the search.
+    that opens it, or either with its ``VectorIndex``, which is then searched instead; ``queries``: (id, vector). Tags are asked for in their own case before the search.
     A collection that is missing or can't be opened gives no hits; the latter warns. Also: how many
     rows that are at most.
     """
@@ -80,10 +80,16 @@ def retrieve(collections: dict[str, DataFrame | Callable[[], DataFrame]], querie
         if name not in collections:
             continue
         try:
-            points = collections[name] if isinstance(collections[name], DataFrame) else collections[name]()
-            if request.tags:
-                points = points.where(F.arrays_overlap("tags", F.array(*(F.lit(t) for t in request.tags))))
-            found = knn.search(points.select("id", "vector"), asked, request.retrieve)
+            points, index = collections[name], None
+            if isinstance(points, tuple):
+                points, index = points
+            points = points if isinstance(points, DataFrame) else points()
+            if index is not None:
+                found = index.search(asked, request.retrieve, request.tags)
+            else:
+                if request.tags:
+                    points = points.where(F.arrays_overlap("tags", F.array(*(F.lit(t) for t in request.tags))))
+                found = knn.search(points.select("id", "vector"), asked, request.retrieve)
         except PySparkException as error:
             warnings.warn(f"collection {name} is left out of the search: {error}", stacklevel=2)
             continue
