@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators import running
+
 PLACE = ["source_name", "rel_path"]
 
 
@@ -167,6 +169,6 @@ def scan_run(scan_id: int, started_at: str, completed_at: str | None, found: Dat
 
 
 def commit_groups(files: DataFrame, every: int = 200) -> DataFrame:
-    """Files of a source in groups of ``every``, by path, for batched commits."""
-    n = F.row_number().over(Window.partitionBy("source_name").orderBy("rel_path"))
-    return files.withColumn("batch", F.floor((n - 1) / every).cast("long"))
+    """Files of a source in groups of ``every``, by path, for batched commits; a source's paths differ."""
+    counted = running.running(files, ["source_name"], ["rel_path"], {"__n": F.lit(1)})
+    return counted.withColumn("batch", F.floor((F.col("__n") - 1) / every).cast("long")).drop("__n")

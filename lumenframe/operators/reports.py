@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.media import duration_band, size_band
+from lumenframe.operators import running
 from lumenframe.operators.filters import live
 
 
@@ -36,42 +37,26 @@ def time_estimate(media: DataFrame, per_image: float = 1.0, per_video: float = 3
     return media.agg(images.alias("images"), videos.alias("videos"), F.round(images * per_image + F.greatest(videos * per_video, minutes * per_minute), 2).alias("seconds"))
 
 
-BINS = 1024
-
-
 def latency(values: DataFrame, groups: list[str], value: str) -> DataFrame:
     """n, p50 (element n div 2), p95 (element floor(0.95 n), at most the last) and max, from 0 in ascending order; exact.
 
-    Values are counted in ``BINS`` bins between a group's ends, and only those of the bins that hold
-    a wanted place are ranked, so a group isn't sorted in one task. A group is named by non-null
-    ``groups``.
+    Places are found among running counts of different values, in pieces (``running.at_places``), so
+    neither a large group nor an outlier nor a frequent value is one task's.
     """
-    rows = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("v"))
-    ends = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    bin_of = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("low")) * BINS / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)).cast("int"))
-    binned = rows.join(ends, groups).withColumn("bin", bin_of)
-    order = Window.partitionBy(*groups).orderBy("bin")
-    counts = binned.groupBy(*groups, "bin").agg(F.count("*").alias("here"), F.first("n").alias("n"))
-    counts = counts.withColumn("before", F.sum("here").over(order) - F.col("here"))
     places = {"p50": F.floor(F.col("n") / 2), "p95": F.least(F.col("n") - 1, F.floor(F.col("n") * 95 / 100))}
-    inside = {k: (p >= F.col("before")) & (p < F.col("before") + F.col("here")) for k, p in places.items()}
-    some = binned.drop("n", "low", "high").join(counts.where(inside["p50"] | inside["p95"]), [*groups, "bin"])
-    own = Window.partitionBy(*groups, "bin").orderBy("v")
-    ranked = some.withColumn("k", F.row_number().over(own) - 1 + F.col("before"))
-    found = ranked.groupBy(*groups).agg(*(F.max(F.when(F.col("k") == p, F.col("v"))).alias(k) for k, p in places.items()))
-    return ends.join(found, groups).select(*groups, "n", "p50", "p95", F.col("high").alias("longest"))
+    found = running.at_places(values, groups, value, places)
+    return found.select(*groups, "n", "p50", "p95", F.col("high").alias("longest"))
 
 
-def gaps(events: DataFrame, groups: list[str], t: str) -> DataFrame:
-    own = Window.partitionBy(*groups).orderBy(t)
-    return events.withColumn("gap", F.col(t) - F.lag(t).over(own))
+def gaps(events: DataFrame, groups: list[str], t: str, tie: list[str] = ()) -> DataFrame:
+    """Events with their distance from the one before in ``t``; ``tie``: what tells events of one time apart."""
+    return running.previous(events, groups, [t, *tie], t, "__before").withColumn("gap", F.col(t) - F.col("__before")).drop("__before")
 
 
 def running_eta(steps: DataFrame, groups: list[str], order: str, seconds: str, total: str) -> DataFrame:
     """After each step: mean seconds so far times the steps still to come."""
-    own = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    done = F.count("*").over(own)
-    return steps.withColumn("eta", F.sum(seconds).over(own) / done * (F.col(total) - done))
+    summed = running.running(steps, groups, [order], {"__done": F.lit(1), "__took": F.col(seconds)})
+    return summed.withColumn("eta", F.col("__took") / F.col("__done") * (F.col(total) - F.col("__done"))).drop("__done", "__took")
 
 
 def missing_vectors(rows: DataFrame, embeddings: DataFrame, key: str) -> DataFrame:

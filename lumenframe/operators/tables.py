@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators import running
+
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
     """``table`` with ``rows`` inserted by ``keys``, or their ``update`` columns (default: all they have) taken over.
@@ -94,8 +96,8 @@ def patch_payload(points: DataFrame, patch: DataFrame, key: str = "point_id") ->
 
 def ledger_positions(results: DataFrame) -> DataFrame:
     """Impressions: results (search_id, media_id, score) with their 0-based position."""
-    order = Window.partitionBy("search_id").orderBy(F.desc("score"), "media_id")
-    return results.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    ordered = running.running(results.withColumn("__falling", F.coalesce(-F.col("score").cast("double"), F.lit(float("inf")))), ["search_id"], ["__falling", "media_id"], {"__n": F.lit(1)})
+    return ordered.withColumn("position", (F.col("__n") - 1).cast("long")).drop("__n", "__falling")
 
 
 def opened(impressions: DataFrame, opens: DataFrame) -> DataFrame:

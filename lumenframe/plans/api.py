@@ -11,14 +11,29 @@ from pyspark.sql import functions as F
 from lumenframe.functions import query_text
 from lumenframe.functions.models import text_vectors
 from lumenframe.operators import browse, filters, knn, ranking, tables
+from lumenframe.operators.versioned import KeyedTable
 from lumenframe.plans import search as plan
 
 
 class Library:
-    """Tables: media, faces (face_id, media_id, person_id, confidence), people (person_id, name), media_tags (media_id, tag)."""
+    """Tables: media, faces (face_id, media_id, person_id, confidence), people (person_id, name), media_tags (media_id, tag).
 
-    def __init__(self, tables_: dict[str, DataFrame], collections: dict[str, DataFrame] | None = None):
-        self.t, self.collections = tables_, collections or {}
+    ``stored``: tables of these names that outlive the session; changes are then committed to them, and
+    the next call reads files instead of a plan that grows with every change.
+    """
+
+    def __init__(self, tables_: dict[str, DataFrame], collections: dict[str, DataFrame] | None = None, stored: dict[str, KeyedTable] | None = None):
+        self.t, self.collections, self.stored = dict(tables_), collections or {}, dict(stored or {})
+        for name, table in self.stored.items():
+            self.t[name] = table.read()
+
+    def _changed(self, name: str, rows: DataFrame, whole: DataFrame) -> None:
+        """A table after a change: ``rows`` of it are new, which makes it ``whole``."""
+        if name not in self.stored:
+            self.t[name] = whole
+            return
+        self.stored[name] = self.stored[name].upsert(rows)
+        self.t[name] = self.stored[name].read()
 
     def known_people(self) -> DataFrame:
         """Names that aren't blank, in order of any case."""
@@ -90,7 +105,8 @@ class Library:
 
     def label(self, labels: DataFrame) -> DataFrame:
         """Takes over labels (face_id, person_id); the faces that changed."""
-        self.t["faces"], changed = tables.label_faces(self.t["faces"], labels)
+        whole, changed = tables.label_faces(self.t["faces"], labels)
+        self._changed("faces", changed, whole)
         return changed
 
     def unlabel(self, face_ids: DataFrame) -> DataFrame:
@@ -99,17 +115,26 @@ class Library:
         return self.label(face_ids.select("face_id", F.lit(None).cast(kind).alias("person_id")))
 
     def create_people(self, new: DataFrame) -> None:
-        self.t["people"] = tables.create_people(self.t["people"], new)
+        whole = tables.create_people(self.t["people"], new)
+        self._changed("people", whole.join(self.t["people"].select("person_id"), "person_id", "left_anti"), whole)
 
     def rename(self, person_id, name: str) -> None:
-        self.t["people"] = tables.rename_person(self.t["people"], person_id, name)
+        whole = tables.rename_person(self.t["people"], person_id, name)
+        self._changed("people", whole.where(F.col("person_id") == person_id), whole)
 
     def points(self, collection: str, ids: DataFrame) -> DataFrame:
         """A collection's points by id (id)."""
         return knn.retrieved(self.collections[collection], ids)
 
     def merge(self, source, target) -> None:
-        self.t["people"], self.t["faces"] = tables.merge_people(self.t["people"], self.t["faces"], source, target)
+        people, faces = tables.merge_people(self.t["people"], self.t["faces"], source, target)
+        moved = self.t["faces"].where(F.col("person_id") == source).withColumn("person_id", F.lit(target).cast(faces.schema["person_id"].dataType))
+        self._changed("faces", moved, faces)
+        if "people" in self.stored:
+            gone = self.t["people"].where(F.col("person_id") == source).select(*self.stored["people"].version.keys)
+            self.stored["people"] = self.stored["people"].delete(gone)
+            people = self.stored["people"].read()
+        self.t["people"] = people
 
     def visible(self, results: DataFrame, least_percent: float = 15.0) -> DataFrame:
         return filters.shown(results, least_percent)

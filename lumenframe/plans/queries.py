@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lumenframe.functions import ids, query_text
 from lumenframe.functions.media import duration_seconds, exif_time, extension, file_kind, iso6709, size_text
 from lumenframe.functions.vector import dot
-from lumenframe.operators import browse, cdc, filters, ingest, knn, ranking, reports, tables, tracks
+from lumenframe.operators import browse, cdc, filters, ingest, knn, ranking, reports, running, tables, tracks, versioned
 from lumenframe.operators.vector_index import VectorIndex
 from lumenframe.plans import search as search_plan
+from lumenframe.sources import store
 from lumenframe.sources.adapters import Catalogue, with_roles
 
 QUERIES: dict = {}
@@ -636,6 +637,53 @@ def keyed_upsert(c: Catalogue) -> DataFrame:
     return tables.upsert(table, rows, ["person_id"])
 
 
+def _stored(c: Catalogue, kind: str, rows: DataFrame, keys: list[str], buckets: int = 16) -> versioned.KeyedTable:
+    table, _ = versioned.KeyedTable.ensure(c.spark, store.shared_folder(c.spark, kind), rows.schema, keys, buckets)
+    return table.upsert(rows)
+
+
+@query("SELECT coalesce(s.s_suppkey, n.k) AS person_id, CASE WHEN n.k IS NOT NULL THEN n.name ELSE s.s_name END AS name, s.s_acctbal AS balance FROM supplier s FULL JOIN (SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 3 <> 0) n ON s.s_suppkey = n.k WHERE coalesce(s.s_suppkey, n.k) % 5 <> 0")
+def stored_upsert(c: Catalogue) -> DataFrame:
+    """Suppliers stored, customers put in, some keys deleted, and read back from the last version's files."""
+    table = _stored(c, "people", c.table("supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")), ["person_id"])
+    table = table.upsert(c.table("customer").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name")))
+    table = table.delete(table.read().where("person_id % 5 = 0").select("person_id"))
+    return versioned.KeyedTable.open(c.spark, table.folder).read()
+
+
+@query("SELECT 1 AS rewritten, true AS older_version_stays, true AS lost_writer_told, true AS created, false AS created_again, count(*) AS n FROM orders")
+def stored_one_bucket(c: Catalogue) -> DataFrame:
+    """How many buckets the change of one order rewrites, and what becomes of other versions and writers."""
+    orders = c.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
+    folder = store.shared_folder(c.spark, "orders")
+    first, created = versioned.KeyedTable.ensure(c.spark, folder, orders.schema, ["k"], 32)
+    first = first.upsert(orders)
+    _, again = versioned.KeyedTable.ensure(c.spark, folder, orders.schema, ["k"], 32)
+    one = orders.orderBy("k").limit(1).withColumn("status", F.lit("!"))
+    later = first.upsert(one)
+    rewritten = sum(first.version.folders.get(b) != p for b, p in later.version.folders.items())
+    older = versioned.KeyedTable.open(c.spark, folder, first.version.number).read().where("status = '!'").isEmpty()
+    try:
+        first.upsert(one)
+        told = False
+    except versioned.Conflict:
+        told = True
+    return later.read().agg(F.lit(rewritten).alias("rewritten"), F.lit(older).alias("older_version_stays"), F.lit(told).alias("lost_writer_told"), F.lit(created).alias("created"), F.lit(again).alias("created_again"), F.count("*").alias("n"))
+
+
+@query("SELECT 49 AS exported, 30 AS exported_before, count(*) AS n, count(*) FILTER (vec_id % 50 > 30) AS rewritten FROM embeddings WHERE vec_id % 50 < 45 OR vec_id % 50 > 47")
+def stored_export(c: Catalogue) -> DataFrame:
+    """Points exported up to a stamp, then those of later stamps with deletions and the watermark in one version; a writer that dies in between leaves the first."""
+    points = c.table("embeddings").select(F.col("vec_id").cast("long").alias("point_id"), (F.col("vec_id") % 50).cast("long").alias("stamp"), F.lit(1).alias("round"))
+    target, _ = versioned.KeyedTable.ensure(c.spark, store.shared_folder(c.spark, "points"), points.schema, ["point_id"], 16)
+    first = versioned.export_into(target, points, points.where("false"), 30)
+    points.withColumn("round", F.lit(9)).write.parquet(f"{target.folder}/data/never-committed")
+    opened = versioned.KeyedTable.open(c.spark, target.folder)
+    versioned.export_into(opened, cdc.changed_since(points.withColumnRenamed("stamp", "updated_seq"), 30).withColumnRenamed("updated_seq", "stamp").withColumn("round", F.lit(2)), points.where("stamp between 45 and 47"), 49)
+    last = versioned.KeyedTable.open(c.spark, target.folder)
+    return last.read().agg(F.lit(last.marks["exported"]).alias("exported"), F.lit(opened.marks["exported"]).alias("exported_before"), F.count("*").alias("n"), F.count_if(F.col("round") == 2).alias("rewritten"))
+
+
 VALUES = ["photo.JPG", "clip.mp4", "noext", "a.b.webm", "2023:06:15 10:00:00", "350ms", "2.5s/min", "+37.7749-122.4194/", "3m", "x"]
 
 
@@ -800,6 +848,28 @@ def running_eta(c: Catalogue) -> DataFrame:
     return reports.running_eta(steps, ["o_orderpriority"], "id", "seconds", "total").select("id", F.floor("eta").alias("eta"))
 
 
+@query("""WITH l AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS o, CAST(round(l_extendedprice) AS BIGINT) AS seconds FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice, l_partkey, l_suppkey) = 1)
+SELECT id, CAST(floor(CAST(sum(seconds) OVER w AS DOUBLE) / count(*) OVER w * (10000000 - count(*) OVER w)) AS BIGINT) AS eta, o - lag(o) OVER w AS gap, (row_number() OVER w - 1) // 200 AS batch FROM l WINDOW w AS (ORDER BY id)""")
+def running_one_group(c: Catalogue) -> DataFrame:
+    """All lines of orders as one group: remaining time, gaps and commit groups in pieces of 5,000 rows."""
+    first = c.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_extendedprice", "l_partkey", "l_suppkey")).alias("l"))
+    steps = first.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("o"), F.round("l.l_extendedprice").cast("long").alias("seconds"))
+    summed = running.running(steps, [], ["id"], {"done": F.lit(1), "took": F.col("seconds")}, 5000)
+    before = running.previous(summed, [], ["id"], "o", "last", 5000)
+    return before.select("id", F.floor(F.col("took") / F.col("done") * (10000000 - F.col("done"))).alias("eta"), (F.col("o") - F.col("last")).alias("gap"), F.floor((F.col("done") - 1) / 200).cast("long").alias("batch"))
+
+
+@query("""WITH v AS (SELECT l_returnflag AS g, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'N', 1e12::DOUBLE UNION ALL SELECT 'N', 7.0::DOUBLE FROM lineitem),
+r AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM v)
+SELECT g, max(n) AS n, max(v) FILTER (k = n // 2) AS p50, max(v) FILTER (k = least(n - 1, n * 95 // 100)) AS p95, max(v) AS longest FROM r GROUP BY g""")
+def percentiles_with_outlier(c: Catalogue) -> DataFrame:
+    """Percentiles of prices, one of them far off and one value on half of the rows."""
+    prices = c.table("lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("v"))
+    odd = c.table("region").limit(1).select(F.lit("N").alias("g"), F.lit(1e12).alias("v"))
+    often = c.table("lineitem").select(F.lit("N").alias("g"), F.lit(7.0).alias("v"))
+    return reports.latency(prices.unionByName(odd).unionByName(often), ["g"], "v")
+
+
 @query("SELECT 'missing' AS kind, count(*) AS n, (SELECT string_agg(k, '|' ORDER BY k) FROM (SELECT CAST(doc_id AS VARCHAR) AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY k LIMIT 10)) AS samples FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'orphan', count(*), '' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def vector_gaps(c: Catalogue) -> DataFrame:
     found = reports.vector_gaps(c.table("documents").select("doc_id"), c.table("labels").select("doc_id"), "doc_id")

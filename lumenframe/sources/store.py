@@ -60,3 +60,8 @@ def _plain_rename(spark: SparkSession):
     """No options: an array of Hadoop's rename options without any."""
     kind = spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
     return spark._jvm.java.lang.reflect.Array.newInstance(kind, 0)
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    files, path = _path(spark, uri)
+    files.delete(path, True)
