@@ -259,14 +259,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8_000_000, keep: int = 2, buffer_words: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, all columns kept; rows don't leave their partition."""
-    blocks = _write_index(docs, benchmark, window, block_chars)
+    blocks = _write_index(docs.select("doc_id", "text"), benchmark, window, block_chars)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, blocks, keep, buffer_words):
             clean = [not s for s in _results(part, blocks, keep).column("spans").to_pylist()]
             yield part.filter(pa.array(clean, pa.bool_()))
 
-    return storage.in_small_batches(docs).mapInArrow(work, docs.schema)
+    return storage.with_safe_names(docs, ["doc_id", "text"], lambda d: storage.in_small_batches(d).mapInArrow(work, d.schema))
 
 
 #: The same as ``digest(hits(documents, benchmark))`` by comparing all windows as texts; one row a doc_id and item_id.

@@ -267,28 +267,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, sample_docs: int = 32, max_chars: int = 50_000) -> tuple[DataFrame, dict[str, int]]:
+def sample(docs: DataFrame, sample_docs: int = 32, max_chars: int = 50_000, most_languages: int = 256) -> tuple[DataFrame, dict[str, int]]:
     """Training texts (lang, h, t) of each language, and its training rows.
 
     Equal texts are one text of the sample. All texts up to a hash that about twice ``sample_docs``
-    of a language have are picked, and that of its lowest hash in any case; a row a language
-    reaches the driver.
+    of a language have are picked, and that of its lowest hash in any case. Texts of over ``max_chars``
+    characters don't train unless a language has no shorter one. Of more than ``most_languages`` labels
+    those with most training rows are learned, as every worker holds all automata; a row for each
+    of them reaches the driver, and the limits are joined as a table of so many rows.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"), F.col("text").alias("t"), F.length("text").alias("size"))
     short = F.when(F.col("size") <= max_chars, F.col("h"))
-    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(short).alias("texts"), F.min(short).alias("low"), F.min(F.struct("size", "h")).alias("least")).collect()
-    most, wanted = F.lit(-1), F.lit(-1)
-    for r in sums:
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(short).alias("texts"), F.min(short).alias("low"), F.min(F.struct("size", "h")).alias("least"))
+    limits, known = [], {}
+    for r in sums.orderBy(F.desc("n"), "lang").limit(most_languages).collect():
+        known[r["lang"]] = r["n"]
         if r["low"] is None:
-            limit = r["least"]["h"]
+            limits.append((r["lang"], r["least"]["h"], r["least"]["size"]))
         else:
             limit = (2**63 - 1) if r["texts"] <= 2 * sample_docs else max(r["low"], (2**63 - 1) // r["texts"] * 2 * sample_docs)
-        own = F.col("lang") == r["lang"]
-        wanted = F.when(own, F.lit(limit)).otherwise(wanted)
-        most = F.when(own, F.lit(max_chars if r["low"] is not None else r["least"]["size"])).otherwise(most)
-    picked = rows.where((F.col("h") <= wanted) & (F.col("size") <= most))
-    return picked.groupBy("lang", "h").agg(F.min("t").alias("t")), {r["lang"]: r["n"] for r in sums}
+            limits.append((r["lang"], limit, max_chars))
+    table = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, wanted long, most int"))
+    picked = rows.join(table, "lang").where("h <= wanted AND size <= most")
+    return picked.groupBy("lang", "h").agg(F.min("t").alias("t")), known
 
 
 def fitting(texts: list[str], sample_docs: int, sample_chars: int) -> list[str]:
@@ -302,9 +304,9 @@ def fitting(texts: list[str], sample_docs: int, sample_chars: int) -> list[str]:
     return out
 
 
-def learn(docs: DataFrame, sample_docs: int = 32, sample_chars: int = 200_000, max_chars: int = 50_000) -> tuple[str, dict[str, int]]:
+def learn(docs: DataFrame, sample_docs: int = 32, sample_chars: int = 200_000, max_chars: int = 50_000, most_languages: int = 256) -> tuple[str, dict[str, int]]:
     """The stored automata of all languages, and the languages' training rows. A task builds a language's from its sample."""
-    texts, rows = sample(docs, sample_docs, max_chars)
+    texts, rows = sample(docs, sample_docs, max_chars, most_languages)
     folder = storage.new_folder(docs.sparkSession, "languages")
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -347,6 +349,6 @@ def predict(docs: DataFrame, learned: tuple[str, dict[str, int]]) -> DataFrame:
     return storage.in_small_batches(docs.select(doc_id.alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")).mapInArrow(work, RESULT)
 
 
-def identify(docs: DataFrame, sample_docs: int = 32, sample_chars: int = 200_000, max_chars: int = 50_000) -> DataFrame:
+def identify(docs: DataFrame, sample_docs: int = 32, sample_chars: int = 200_000, max_chars: int = 50_000, most_languages: int = 256) -> DataFrame:
     """Learn from the training rows of ``docs`` and predict every row."""
-    return predict(docs, learn(docs, sample_docs, sample_chars, max_chars))
+    return predict(docs, learn(docs, sample_docs, sample_chars, max_chars, most_languages))

@@ -89,7 +89,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, count_column: str | None = None) -> DataFrame:
     """``docs`` with repeated runs deleted from ``text``; ``count_column``: also say how many lines went."""
     runs = storage.cut(repeated_runs(docs, min_words))
-    packed = _keyed(docs.select("doc_id", "text", F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("__lf_row")))
+    packed = _keyed(docs.select("doc_id", "text", F.struct(*(F.col(storage.quoted(c)) for c in docs.columns if c != "text")).alias("__lf_row")))
     joined = packed.drop("doc_id").join(runs, ["__lf_id", "__lf_text"], "left")
     none = F.col("__lf_runs").isNull()
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT exists(__lf_runs, r -> i BETWEEN r.first AND r.last)), '\\n')")

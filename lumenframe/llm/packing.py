@@ -6,7 +6,8 @@ windows of long documents are sequences of their own. What is left of each docum
 index: the longest waiting piece seeds a window, and the waiting pieces that score best for it fill
 the window one after another, in order of score. The last is cut where the window ends, and its rest waits on;
 pieces that share no term with the seed come last, by doc_id. What can't fill a window any more
-passes into the next shard, so only the last sequence of a partition has padding.
+passes into the next shard, so only the last sequence of a partition has padding; partitions have
+``PART_BYTES`` of text or more, some 200 sequences, so that is a fraction of a percent.
 
 A task holds one shard at a time, of ``shard_tokens`` tokens or one document, whichever is more. Null
 texts are empty documents (the end id alone). Rows that repeat a doc_id are documents of their own, and
@@ -29,6 +30,8 @@ from lumenframe.llm import storage, tokens
 
 WINDOW = 2048
 K1, B = 1.2, 0.75
+#: Text of a partition, at least, where the session asks for more partitions than that leaves: its last sequence pads half a window.
+PART_BYTES = 2 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
@@ -151,7 +154,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, shard_tokens: int =
         packer.pack(True)
         yield packer.flush()
 
-    dealt = storage.numbered(docs).repartition(storage.parts_for(docs), F.xxhash64("doc_id", "row_no"))
+    dealt = storage.numbered(docs).repartition(storage.parts_for(docs, least_bytes=PART_BYTES), F.xxhash64("doc_id", "row_no"))
     ordered = dealt.sortWithinPartitions("doc_id", "text_hash", "row_no").select("doc_id", "text")
     return storage.in_small_batches(ordered).mapInArrow(work, PIECES)
 

@@ -135,21 +135,27 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5, with_tex
     result, rather than shuffled or stored; without, the measures are stored and read twice. Hosts
     are looked up by broadcast while they are few, else by a join.
     """
-    plain = docs.drop(*(v for v in VERDICTS if v != host))
-    measured = measure(plain) if with_text else storage.written(measure(plain, with_text=False))
+    plain = docs.drop(*(c for c in [*MEASURES, *VERDICTS] if c != host))
+    place = f"__lf_c{plain.columns.index(host)}"
+    return storage.with_safe_names(plain, ["text"], lambda d: _judged(d.withColumn("__lf_host", F.col(place)), max_rate, with_text).drop("__lf_host"))
+
+
+def _judged(docs: DataFrame, max_rate: float, with_text: bool) -> DataFrame:
+    host = "__lf_host"
+    measured = measure(docs) if with_text else storage.written(measure(docs, with_text=False))
     hosts = host_verdicts(measure(docs.select("text", host), with_text=False) if with_text else measured, host, max_rate)
     few = hosts.count() <= 200_000
-    right = hosts.select(F.col("host").alias("__lf_host"), "host_rate", "host_rule", "host_rejected")
-    found = measured.join(F.broadcast(right) if few else right, F.col(host) == F.col("__lf_host"), "left").drop("__lf_host")
+    right = hosts.select(F.col("host").alias("__lf_name"), "host_rate", "host_rule", "host_rejected")
+    found = measured.join(F.broadcast(right) if few else right, F.col(host) == F.col("__lf_name"), "left").drop("__lf_name")
     rejected = F.coalesce(F.col("host_rejected"), F.lit(False))
     return found.withColumn("host_rejected", rejected).withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
 def kept_rows(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever those are named."""
-    own = {c: f"__lf_{c}" if c in [*MEASURES, *VERDICTS] else c for c in docs.columns}
-    renamed = docs.select(*(F.col(c).alias(name) for c, name in own.items()))
-    return judge(renamed, own[host], max_rate).where("kept").select(*(F.col(name).alias(c) for c, name in own.items()))
+    own = {c: c if c == "text" else f"__lf_c{k}" for k, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col(storage.quoted(c)).alias(name) for c, name in own.items()), F.col(storage.quoted(host)).alias("__lf_host"))
+    return _judged(renamed, max_rate, True).where("kept").select(*(F.col(name).alias(c) for c, name in own.items()))
 
 
 #: Measures and verdicts by comparing all windows as texts; one row a doc_id.

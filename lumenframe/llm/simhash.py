@@ -136,11 +136,11 @@ def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     first = storage.cut(rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.sum("n").alias("n")).where("n > 1").select("component", "first"))
     named = storage.cut(rows.join(first, "component").select(F.col("doc_id").alias("__lf_id"), F.col("text_hash").alias("__lf_hash"), "n", (F.struct("doc_id", "text_hash") == F.col("first")).alias("stays")))
     gone, twice = (storage.cut(named.where(x).select("__lf_id", "__lf_hash")) for x in ("not stays", "stays and n > 1"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("__lf_doc"), F.xxhash64("text").alias("__lf_text"), F.struct(*docs.columns).alias("__lf_row"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("__lf_doc"), F.xxhash64("text").alias("__lf_text"), F.struct(*(F.col(storage.quoted(c)) for c in docs.columns)).alias("__lf_row"))
     same = (F.col("__lf_doc") == F.col("__lf_id")) & (F.col("__lf_text") == F.col("__lf_hash"))
     kept = whole.join(small(gone), same, "left_anti")
     if not twice.isEmpty():
-        plain = [f"__lf_row.`{f.name}`" for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+        plain = [f"__lf_row.{storage.quoted(f.name)}" for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
         one = kept.join(small(twice), same, "left_semi").groupBy("__lf_doc", "__lf_text").agg(F.min_by("__lf_row", F.xxhash64(*plain)).alias("__lf_row"))
         kept = kept.join(small(twice), same, "left_anti").select("__lf_row").unionByName(one.select("__lf_row"))
     return kept.select(*(F.col("__lf_row")[c].alias(c) for c in docs.columns))

@@ -7,7 +7,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -73,11 +73,27 @@ def put(uri: str, data) -> None:
     store.move(part, path)
 
 
-def parts_for(df: DataFrame, part_bytes: int = 128 << 20) -> int:
-    """Partitions for a shuffle of ``df``: as many as the session asks for, and more where its files make parts of over ``part_bytes``."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return least if size >= 1 << 60 else max(least, -(-size // part_bytes))  # unknown sizes count as endless
+def parts_for(docs: DataFrame, most_bytes: int = 256 << 20, least_bytes: int = 0) -> int:
+    """Partitions for a shuffle of ``docs``, from the bytes of their texts as counted: as many as the session asks for,
+    more where those would hold over ``most_bytes``, fewer where they would hold under ``least_bytes``."""
+    wanted = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    parts = max(wanted, -(-size // most_bytes))
+    return max(1, min(parts, size // least_bytes)) if least_bytes else parts
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it whole, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_safe_names(docs: DataFrame, needed: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs`` whose columns but ``needed`` are numbered meanwhile, so that no name of theirs clashes with
+    one of an operator's or has to be quoted; in its result they have their own names again."""
+    numbered_ = {c: f"__lf_c{k}" for k, c in enumerate(docs.columns) if c not in needed}
+    own = {v: c for c, v in numbered_.items()}
+    done = work(docs.select(*(F.col(quoted(c)).alias(numbered_.get(c, c)) for c in docs.columns)))
+    return done.select(*(F.col(c).alias(own.get(c, c)) for c in done.columns))
 
 
 def numbered(docs: DataFrame) -> DataFrame:

@@ -98,12 +98,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: Dat
     ruled = storage.cut(nodes.withColumn("own", own))
     blocking = storage.cut(ruled.where("own = 'block'").select("component").distinct())
     blocked = storage.cut(ruled.join(small(blocking), "component", "left_semi").select(F.col("node").alias("__lf_url"), F.lit(True).alias("__lf_blocked")))
-    names = ["host", "path", "rule", "verdict"]
-    found = pages.select(*(c for c in pages.columns if c not in names), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    found = found.withColumn("__lf_rule", rule_of(F.col("host"), F.col("path"), rules))
-    found = found.join(small(blocked), node_of(F.col("url")) == F.col("__lf_url"), "left")
-    spread = F.when(F.col("__lf_blocked"), "block").otherwise("allow")
-    return found.withColumns({"rule": F.col("__lf_rule.rule"), "verdict": F.coalesce(F.col("__lf_rule.verdict"), spread)}).drop("__lf_rule", "__lf_url", "__lf_blocked")
+
+    def told(rows: DataFrame) -> DataFrame:
+        found = rows.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+        found = found.withColumn("__lf_rule", rule_of(F.col("host"), F.col("path"), rules))
+        found = found.join(small(blocked), node_of(F.col("url")) == F.col("__lf_url"), "left")
+        spread = F.when(F.col("__lf_blocked"), "block").otherwise("allow")
+        return found.withColumns({"rule": F.col("__lf_rule.rule"), "verdict": F.coalesce(F.col("__lf_rule.verdict"), spread)}).drop("__lf_rule", "__lf_url", "__lf_blocked")
+
+    return storage.with_safe_names(pages.drop("host", "path", "rule", "verdict"), ["url"], told)
 
 
 
