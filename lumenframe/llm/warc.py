@@ -3,9 +3,10 @@
 A file starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself a
 Zstandard frame; every record is one further frame, so any record can be read by its offset. A file's
 first record is its warcinfo; each page is an HTTP response, of which a revisit has the headers only.
-The dictionary is trained on a bounded sample of the records that are archived: the ``sample`` pages of
-lowest hash, and of each the first ``SAMPLE_BYTES``, which bounds the driver's part and decides
-nothing but the compression. Too few records to train on serve as a raw dictionary.
+The dictionary is trained on a bounded sample of the records as they are archived, headers and all: those
+of the ``sample`` pages of lowest hash, of each up to ``sample_bytes``. Both are parameters that bound
+the driver's part and decide nothing but the compression. Too few records to train on serve as a raw
+dictionary.
 
 Of the records of equal payloads of at least ``min_bytes`` bytes, the one of the largest page_id is
 a response, the others revisit it. Rows that repeat the largest page_id are responses all. Null html
@@ -32,7 +33,6 @@ from lumenframe.llm.components import small
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 64 * 1024
-SAMPLE_BYTES = 16 * 1024
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs (RFC 9562)
 
@@ -146,21 +146,23 @@ def records_of(source) -> Iterator[dict]:
             yield row
 
 
-def _sample(source: DataFrame, size: int) -> list[bytes]:
-    """The first ``SAMPLE_BYTES`` of ``size`` pages of lowest hash. Tasks send about twice as many in all, four times at most."""
+def _sample(source: DataFrame, size: int, most_bytes: int, captured: str) -> list[bytes]:
+    """The records of ``size`` pages of lowest hash, cut at ``most_bytes``. Tasks send about twice as many in all, four times at most."""
     n = source.count()
     share = (2**63 - 1) * min(n, 2 * size) // max(n, 1)
     h = F.shiftrightunsigned(F.xxhash64("page_id", "url"), 1)
-    rows = source.where(h <= F.lit(share)).select(h.alias("h"), F.substring("html", 1, SAMPLE_BYTES).alias("t")).limit(4 * size).collect()
-    return [r["t"].encode()[:SAMPLE_BYTES] for r in sorted(rows, key=lambda r: (r["h"], r["t"]))[:size]]
+    rows = source.where(h <= F.lit(share)).select(h.alias("h"), "page_id", "url", F.substring(F.col("html").cast("binary"), 1, most_bytes).alias("t"), "sha1").limit(4 * size).collect()
+    some = sorted(rows, key=lambda r: (r["h"], bytes(r["t"])))[:size]
+    return [record(r["page_id"], r["url"], bytes(r["t"]), base64.b32encode(r["sha1"]).decode(), None, captured)[:most_bytes] for r in some]
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0, sample: int = 500, file_bytes: int = 256 << 20, captured: str = "2024-01-01T00:00:00Z") -> list[dict]:
+def write(pages: DataFrame, folder: str, min_bytes: int = 0, sample: int = 500, file_bytes: int = 256 << 20, captured: str = "2024-01-01T00:00:00Z", sample_bytes: int = 32 << 10) -> list[dict]:
     """Archive ``pages`` (page_id, url, html) below ``folder``; a row per file: path, records.
 
     First the digests of payloads that occur more than once are found, from digests alone. The
     pages themselves stay in their partitions while those are few, else are joined with them. Files
-    are named by partition and number and put in place whole, so a repeated task leaves the same.
+    are named by partition and number, hold its records by page_id and are put in place whole, so a
+    repeated task leaves the same.
     """
     import zstandard
 
@@ -170,7 +172,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, sample: int = 500,
     large = F.octet_length("html") >= min_bytes
     repeated = source.where(large).groupBy("sha1").agg(F.max(known).alias("last"), F.count("*").alias("n")).where("n > 1")
     winners = storage.cut(repeated.select("sha1", F.col("last.page_id").alias("winner"), F.col("last.url").alias("winner_url")))
-    dictionary = train(_sample(source, sample)).as_bytes()
+    dictionary = train(_sample(source, sample, sample_bytes, captured)).as_bytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
@@ -197,6 +199,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, sample: int = 500,
 
     joined = source.join(small(winners), (source["sha1"] == winners["sha1"]) & large, "left")
     rows = joined.select("page_id", "url", F.col("html").cast("binary").alias("html"), source["sha1"].alias("sha1"), "winner", "winner_url")
+    rows = rows.sortWithinPartitions("page_id", "url", "sha1")  # a task that runs again after a shuffle cuts its files alike
     out = storage.in_small_batches(rows).mapInArrow(work, "path string, records long")
     return [r.asDict() for r in out.collect()]
 
