@@ -13,7 +13,7 @@ from lumenframe.functions.vector import dot
 from lumenframe.operators import browse, cdc, filters, ingest, knn, ranking, reports, running, tables, tracks, versioned
 from lumenframe.operators.vector_index import VectorIndex
 from lumenframe.plans import search as search_plan
-from lumenframe.sources import store
+from lumenframe.sources import media_source, store
 from lumenframe.sources.adapters import Catalogue, with_roles
 
 QUERIES: dict = {}
@@ -41,6 +41,35 @@ def _two(c: Catalogue) -> list[str]:
     return [r["name"] for r in c.people().where(F.col("person_id").isin(1, 2)).orderBy("person_id").collect()]
 
 
+def _as_files(c: Catalogue) -> str:
+    """The documents as files of their sources' folders; every seventh isn't a picture by name."""
+    root = store.shared_folder(c.spark, "media")
+    docs = c.table("documents").select("source", "doc_id", "text")
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".txt").when(F.col("doc_id") % 2 == 0, ".JPG").otherwise(".mp4"))
+    media_source.write_files(docs.where("source is not null").select(F.concat_ws("/", "source", F.concat(F.lit("d"), F.col("doc_id") % 3), name).alias("rel_path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), root)
+    return root
+
+
+@query("""SELECT source AS source_name, 'd' || (doc_id % 3) || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.JPG' ELSE '.mp4' END AS rel_path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes, CASE WHEN doc_id % 2 = 0 THEN 'image' ELSE 'video' END AS kind, sha256(coalesce(text, '')) AS media_id, CAST(NULL AS VARCHAR) AS error
+FROM documents WHERE source IS NOT NULL AND doc_id % 7 <> 0""")
+def scan_files(c: Catalogue) -> DataFrame:
+    """Every document as a file, walked as a source a folder and hashed block by block."""
+    root = _as_files(c)
+    names = [r["source"] for r in c.table("documents").where("source is not null").select("source").distinct().collect()]
+    files = media_source.hashed(media_source.scan(c.spark, {n: f"{root}/{n}" for n in names}), block=4096)
+    return files.select("source_name", "rel_path", "size_bytes", "kind", "media_id", "error")
+
+
+@query("SELECT source AS source_name, count(*) FILTER (doc_id % 7 <> 0) AS n_files, 0 AS n_errors, true AS sound FROM documents WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT 'absent', 0, 1, false")
+def scan_errors(c: Catalogue) -> DataFrame:
+    """Files and errors by source, one of which isn't there, and which of them a sweep may take from."""
+    root = _as_files(c)
+    sources = {r["source"]: f"{root}/{r['source']}" for r in c.table("documents").where("source is not null").select("source").distinct().collect()} | {"absent": f"{root}/absent"}
+    counts = media_source.error_counts(media_source.hashed(media_source.scan(c.spark, sources)), sources)
+    sound = media_source.sound_sources(counts).withColumn("sound", F.lit(True))
+    return counts.join(sound, "source_name", "left").fillna(False, ["sound"]).withColumns({"n_errors": F.col("n_errors").cast("int")})
+
+
 @query(with_roles("media") + " SELECT media_id, path, ts_utc, row_number() OVER (ORDER BY ts_utc DESC, media_id DESC) AS rank FROM (SELECT * FROM media WHERE deleted = 0 ORDER BY ts_utc DESC, media_id DESC LIMIT 48 OFFSET 96) ORDER BY rank")
 def browse_page_date_desc(c: Catalogue) -> DataFrame:
     page = browse.page(browse.select_media(c.media()), "date", "desc", 48, 96).select("media_id", "path", "ts_utc")
