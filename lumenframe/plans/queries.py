@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date
+import struct
+from datetime import date, datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from lumenframe.functions.vector import dot
 from lumenframe.operators import browse, cdc, filters, ingest, knn, ranking, reports, running, tables, tracks, versioned
 from lumenframe.operators.vector_index import VectorIndex
 from lumenframe.plans import search as search_plan
-from lumenframe.sources import media_source, store
+from lumenframe.sources import media_bytes, media_source, metadata, store
 from lumenframe.sources.adapters import Catalogue, with_roles
 
 QUERIES: dict = {}
@@ -60,6 +62,59 @@ def scan_files(c: Catalogue) -> DataFrame:
     return files.select("source_name", "rel_path", "size_bytes", "kind", "media_id", "error")
 
 
+def _picture(key: int, nation: int, segment: str) -> bytes:
+    taken = (datetime(2020, 1, 1) + timedelta(hours=key)).strftime("%Y:%m:%d %H:%M:%S").encode() + b"\0"
+    gps = {1: (2, b"S\0" if key % 2 else b"N\0"), 2: (5, [key % 90, 1, key % 60, 1, nation * 10, 10]), 3: (2, b"W\0" if key % 3 else b"E\0"), 4: (5, [key % 180, 1, 0, 1, 0, 1])}
+    block = media_bytes.made_directory({0x0110: (2, segment.encode() + b"\0")}, "<" if key % 4 < 2 else ">", {0x9003: (2, taken), 0xA434: (2, f"L{nation}\0".encode())}, gps)
+    return media_bytes.made_jpeg(block, 100 + key % 900, 50 + nation)
+
+
+def _film(key: int, nation: int) -> bytes:
+    """Ten seconds with a position a half second, moving north."""
+    scale = (10**7, 10**7, 1000, 1000, 100)
+    samples = []
+    for second in range(10):
+        rows = b"".join(struct.pack(">5i", round((key % 80 + (second + half) * 0.01) * scale[0]), nation * scale[1], 1000 * key, 0, 0) for half in (0, 0.5))
+        strm = media_bytes.made_values(b"GPSF", "L", 4, struct.pack(">I", 3)) + media_bytes.made_values(b"SCAL", "l", 4, struct.pack(">5i", *scale)) + media_bytes.made_values(b"GPS5", "l", 20, rows)
+        samples.append(media_bytes.made_values(b"DEVC", "", 0, media_bytes.made_values(b"STRM", "", 0, strm)))
+    return media_bytes.made_video(10.0 + key, 640 + nation, 480, f"{key % 80:+.4f}{nation:+.4f}/", samples)
+
+
+def _made_files(c: Catalogue, rows: DataFrame, make, suffix: str) -> DataFrame:
+    """(media_id, path) of a file for each of ``rows``, whose first column names it, with the bytes that ``make`` gives."""
+
+    def work(batches):
+        for batch in batches:
+            given = [col.to_pylist() for col in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{r[0] % 50}/{r[0]}{suffix}" for r in zip(*given, strict=True)]), pa.array([make(*r) for r in zip(*given, strict=True)], pa.binary())], names=["rel_path", "content"])
+
+    root = store.shared_folder(c.spark, "made")
+    media_source.write_files(rows.mapInArrow(work, "rel_path string, content binary"), root)
+    files = media_source.scan(c.spark, {"made": root})
+    return files.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("media_id"), "path")
+
+
+@query("""SELECT c_custkey AS media_id, strftime(TIMESTAMP '2020-01-01 00:00:00' + to_hours(CAST(c_custkey AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS ts_utc, c_mktsegment AS camera, 'L' || c_nationkey AS lens, CAST(100 + c_custkey % 900 AS INTEGER) AS width, CAST(50 + c_nationkey AS INTEGER) AS height,
+round(CASE WHEN c_custkey % 2 = 1 THEN -1 ELSE 1 END * (c_custkey % 90 + (c_custkey % 60) / 60.0 + c_nationkey / 3600.0), 6) + 0.0 AS gps_lat, CASE WHEN c_custkey % 3 <> 0 THEN -1.0 ELSE 1.0 END * (c_custkey % 180) + 0.0 AS gps_lon FROM customer""")
+def picture_facts(c: Catalogue) -> DataFrame:
+    """A picture file for every customer, of both byte orders, walked, read by segments and directories, and its facts as columns."""
+    files = _made_files(c, c.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), _picture, ".jpg")
+    facts = metadata.image_facts(media_bytes.read_picture_tags(files))
+    return facts.withColumns({"gps_lat": F.round("gps_lat", 6) + 0.0, "gps_lon": F.col("gps_lon") + 0.0})
+
+
+@query("SELECT s_suppkey AS media_id, 10.0::DOUBLE + s_suppkey AS duration, CAST(640 + s_nationkey AS INTEGER) AS width, 480 AS height, CAST(s_suppkey % 80 AS DOUBLE) AS gps_lat, CAST(s_nationkey AS DOUBLE) AS gps_lon, 20 AS n_samples, round(s_suppkey % 80 + 0.0325, 6) AS lat_at, s_suppkey * 1.0 AS alt_at, 'interpolated' AS gps_source FROM supplier")
+def video_facts(c: Catalogue) -> DataFrame:
+    """A video file for every supplier: its boxes as columns, and its telemetry interpolated at 3.25 seconds."""
+    films = _made_files(c, c.table("supplier").select("s_suppkey", "s_nationkey"), _film, ".mp4")
+    facts = metadata.video_facts(media_bytes.read_video_tags(films), ["tags"])
+    track = media_bytes.read_telemetry(films).select(F.col("video_id").alias("track"), F.col("t_offset_sec").alias("t"), "gps_lat", "gps_lon", "gps_alt", F.col("gps_datetime").alias("gps_datetime_utc"), "gps_fix")
+    at = tracks.sample_at(films.select(F.col("media_id").alias("track"), F.lit(1).alias("target_id"), F.lit(3.25).alias("t")), track)
+    counted = track.groupBy(F.col("track").alias("media_id")).agg(F.count("*").cast("int").alias("n_samples"))
+    there = at.select(F.col("track").alias("media_id"), F.round("gps_lat", 6).alias("lat_at"), F.round("gps_alt", 6).alias("alt_at"), "gps_source")
+    return facts.withColumns({"gps_lat": F.col("gps_lat"), "gps_lon": F.col("gps_lon")}).join(counted, "media_id").join(there, "media_id")
+
+
 @query("SELECT source AS source_name, count(*) FILTER (doc_id % 7 <> 0) AS n_files, 0 AS n_errors, true AS sound FROM documents WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT 'absent', 0, 1, false")
 def scan_errors(c: Catalogue) -> DataFrame:
     """Files and errors by source, one of which isn't there, and which of them a sweep may take from."""
