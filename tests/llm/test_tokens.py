@@ -89,7 +89,8 @@ def test_other_vocabularies_go_whole_to_the_library(tmp_path):
     assert encoder.encode(["A dog's 2 Houses"])[0].tolist() == [*want, 1]
 
 
-def test_repeats_of_a_row_are_dealt_out(spark):
+def test_repeats_of_a_row_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", 10_000)  # as many partitions as a large table has
     docs = spark.createDataFrame([(7, "the same few words", "x")] * 4000, "doc_id long, text string, sequence_id string")
     manifest = token_files.write(docs, storage.new_folder(spark, "t"))
     assert len({m["part"] for m in manifest}) > 2 and sum(m["n_docs"] for m in manifest) == 4000
