@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import ids, query_text
 from lumenframe.functions.media import duration_seconds, exif_time, extension, file_kind, iso6709, size_text
 from lumenframe.functions.vector import dot
-from lumenframe.operators import browse, cdc, filters, ingest, knn, ranking, reports, running, tables, tracks, versioned
+from lumenframe.operators import browse, cdc, filters, ingest, knn, names, ranking, reports, running, tables, tracks, versioned
 from lumenframe.operators.vector_index import VectorIndex
 from lumenframe.plans import search as search_plan
 from lumenframe.sources import media_bytes, media_source, metadata, store
@@ -439,31 +439,39 @@ def rerank_features(c: Catalogue) -> DataFrame:
     return found.select("id", *(F.round(x, 6).alias(x) for x in ("f_total", "f_people")), "f_in_dates", "f_in_place", F.round("f_age", 4).alias("f_age"))
 
 
-TEXTS = ["beach photos from 2016", "Rajeev in Hawaii last year", "trip 10 years ago with John", "2015 or 2016", "", "walking on beach with John", "John Smith in Hawaii", "Rajeev", "  the of  ", "john's dog 1999"]
-NAMES = ["John", "John Smith", "Rajeev"]
-TEXT_ROWS = "t(id, q) AS (VALUES " + ", ".join(f"({k}, '{t.replace(chr(39), chr(39) * 2)}')" for k, t in enumerate(TEXTS)) + ")"
+ASKED = """t AS (SELECT 'c' AS kind, conv_id AS id, turn, text FROM conversations UNION ALL SELECT 'd', doc_id, 0, text FROM documents),
+asked AS (SELECT kind, id, turn, trim(coalesce(text, '') || CASE (id + turn) % 6 WHEN 0 THEN ' from 2016' WHEN 1 THEN ' Last Year' WHEN 2 THEN ' 7  years ago with x' WHEN 3 THEN ' 2015 or 2016' WHEN 4 THEN ' in 1999 and 20161' ELSE '' END) AS s FROM t)"""
 
 
-def _texts(c: Catalogue) -> DataFrame:
-    return c.spark.createDataFrame(list(enumerate(TEXTS)), "id int, q string")
+def _dated(c: Catalogue) -> DataFrame:
+    """Every turn and every document as a query; five of six name a time."""
+    turns = c.table("conversations").select(F.lit("c").alias("kind"), F.col("conv_id").alias("id"), "turn", "text")
+    rows = turns.unionByName(c.table("documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text"))
+    said = [" from 2016", " Last Year", " 7  years ago with x", " 2015 or 2016", " in 1999 and 20161", ""]
+    return rows.select("kind", "id", "turn", F.concat(F.coalesce("text", F.lit("")), F.array(*(F.lit(x) for x in said))[((F.col("id") + F.col("turn")) % 6).cast("int")]).alias("q"))
 
 
-@query("WITH " + TEXT_ROWS + r""", y AS (SELECT *, trim(q) AS s, regexp_extract(q, '(?i)\b(\d{1,2})\s+years\s+ago\b', 1) AS ago, regexp_extract_all(q, '\b(?:19|20)\d{2}\b') AS years FROM t),
+@query("WITH " + ASKED + r""", y AS (SELECT *, regexp_extract(s, '(?i)\b(\d{1,2})\s+years\s+ago\b', 1) AS ago, regexp_extract_all(s, '\b(?:19|20)\d{2}\b') AS years FROM asked),
 z AS (SELECT *, CASE WHEN regexp_matches(s, '(?i)\blast year\b') THEN 2025 WHEN ago <> '' THEN 2026 - CAST(ago AS INTEGER) WHEN len(years) = 1 THEN CAST(years[1] AS INTEGER) END AS year,
 CASE WHEN regexp_matches(s, '(?i)\blast year\b') THEN regexp_replace(s, '(?i)\blast year\b', ' ', 'g') WHEN ago <> '' THEN regexp_replace(s, '(?i)\b\d{1,2}\s+years\s+ago\b', ' ', 'g') WHEN len(years) = 1 THEN regexp_replace(s, '\b(?:19|20)\d{2}\b', ' ', 'g') ELSE s END AS rest FROM y)
-SELECT id, trim(regexp_replace(rest, '\s+', ' ', 'g')) AS visual_query, year || '-01-01' AS date_from, year || '-12-31' AS date_to FROM z""")
+SELECT kind, id, turn, trim(regexp_replace(rest, '\s+', ' ', 'g')) AS visual_query, year || '-01-01' AS date_from, year || '-12-31' AS date_to FROM z""")
 def date_intent(c: Catalogue) -> DataFrame:
     found = query_text.date_intent(F.col("q"), date(2026, 3, 30))
-    return _texts(c).select("id", found.alias("d")).select("id", "d.visual_query", "d.date_from", "d.date_to")
+    return _dated(c).select("kind", "id", "turn", found.alias("d")).select("kind", "id", "turn", "d.visual_query", "d.date_from", "d.date_to")
 
 
-@query("WITH " + TEXT_ROWS + r""", a AS (SELECT id, trim(q) AS s, regexp_matches(q, '(?i)\bJohn Smith\b') AS js, regexp_replace(trim(q), '(?i)\bJohn Smith\b', ' ', 'g') AS r1 FROM t),
-b AS (SELECT *, regexp_matches(r1, '(?i)\bRajeev\b') AS ra, regexp_replace(r1, '(?i)\bRajeev\b', ' ', 'g') AS r2 FROM a), d AS (SELECT *, regexp_matches(r2, '(?i)\bJohn\b') AS jo, regexp_replace(r2, '(?i)\bJohn\b', ' ', 'g') AS r3 FROM b),
-w AS (SELECT *, list_filter(regexp_extract_all(lower(r3), '[a-z0-9'']+'), lambda x: x NOT IN ('a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'near', 'of', 'on', 'the', 'to', 'with')) AS words FROM d)
-SELECT id, CASE WHEN len(words) > 0 THEN array_to_string(words, ' ') ELSE s END AS visual_query, concat_ws(', ', CASE WHEN js THEN 'John Smith' END, CASE WHEN ra THEN 'Rajeev' END, CASE WHEN jo THEN 'John' END) AS people FROM w""")
+@query(r"""WITH t AS (SELECT conv_id, turn, trim(coalesce(text, '') || coalesce(' with ' || upper(s_name) || ', ' || s_name || '.', '') || ' near ' || n_name || ' or Supplier#900000000') AS s, s_name, n_name
+FROM conversations LEFT JOIN supplier ON s_suppkey = (conv_id * 7 + turn) % 20 JOIN nation ON n_nationkey = turn % 25),
+w AS (SELECT *, list_filter(regexp_extract_all(lower(regexp_replace(s, '(?i)\b(Supplier#0\d{8}|Supplier|NATION_\d+)\b', ' ', 'g')), '[a-z0-9'']+'), lambda x: x NOT IN ('a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'near', 'of', 'on', 'the', 'to', 'with')) AS words FROM t)
+SELECT conv_id, turn, array_to_string(words, ' ') AS visual_query, concat_ws(', ', s_name, CASE WHEN length(n_name) > 8 THEN n_name || ', Supplier' ELSE concat_ws(', ', n_name, 'Supplier') END) AS people FROM w""")
 def query_decompose(c: Catalogue) -> DataFrame:
-    found = query_text.decompose(F.col("q"), F.array(*(F.lit(n) for n in NAMES)))
-    return _texts(c).select("id", found.alias("d")).select("id", "d.visual_query", F.array_join("d.people", ", ").alias("people"))
+    """Every turn with names that it mentions, against all suppliers, nations and regions, and the word that all suppliers' names begin with."""
+    suppliers, nations = c.table("supplier"), c.table("nation")
+    known = [suppliers.select(F.col("s_name").alias("name")), nations.select(F.col("n_name").alias("name")), c.table("region").select(F.col("r_name").alias("name")), suppliers.select(F.regexp_extract("s_name", "^([A-Za-z]+)", 1).alias("name"))]
+    turns = c.table("conversations").join(suppliers.select("s_suppkey", "s_name"), F.col("s_suppkey") == (F.col("conv_id") * 7 + F.col("turn")) % 20, "left").join(nations.select("n_nationkey", "n_name"), F.col("n_nationkey") == F.col("turn") % 25)
+    mention = F.coalesce(F.concat(F.lit(" with "), F.upper("s_name"), F.lit(", "), "s_name", F.lit(".")), F.lit(""))
+    asked = turns.select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), mention, F.lit(" near "), "n_name", F.lit(" or Supplier#900000000")).alias("q"))
+    return names.decomposed(asked, known[0].unionByName(known[1]).unionByName(known[2]).unionByName(known[3])).select("conv_id", "turn", "visual_query", F.array_join("people", ", ").alias("people"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS n_tokens, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda x: x NOT IN ('a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'near', 'of', 'on', 'the', 'to', 'with'))) AS n_visual FROM documents WHERE text IS NOT NULL")
@@ -768,15 +776,17 @@ def stored_export(c: Catalogue) -> DataFrame:
     return last.read().agg(F.lit(last.marks["exported"]).alias("exported"), F.lit(opened.marks["exported"]).alias("exported_before"), F.count("*").alias("n"), F.count_if(F.col("round") == 2).alias("rewritten"))
 
 
-VALUES = ["photo.JPG", "clip.mp4", "noext", "a.b.webm", "2023:06:15 10:00:00", "350ms", "2.5s/min", "+37.7749-122.4194/", "3m", "x"]
-
-
-@query("WITH v(s) AS (VALUES " + ", ".join(f"('{x}')" for x in VALUES) + r""") SELECT s, lower(regexp_extract(s, '\.([^./\\]+)$', 1)) AS ext, CASE WHEN lower(regexp_extract(s, '\.([^./\\]+)$', 1)) IN ('jpg') THEN 'image' WHEN lower(regexp_extract(s, '\.([^./\\]+)$', 1)) IN ('mp4', 'webm') THEN 'video' END AS kind,
-strftime(try_strptime(s, '%Y:%m:%d %H:%M:%S'), '%Y-%m-%dT%H:%M:%S') AS taken, CASE s WHEN '350ms' THEN 0.35::DOUBLE WHEN '2.5s/min' THEN 2.5::DOUBLE WHEN '3m' THEN 180.0::DOUBLE END AS seconds, CASE WHEN s LIKE '+37%' THEN 37.7749::DOUBLE END AS lat FROM v""")
+@query(r"""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 AS k, o_custkey AS c, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders),
+v AS (SELECT *, CASE k WHEN 0 THEN 'photo' || c || '.JPG' WHEN 1 THEN 'a.b' || c || '.webm' WHEN 2 THEN strftime(d, '%Y:%m:%d') || ' 10:00:00' WHEN 3 THEN c || 'ms' WHEN 4 THEN (c % 90) || '.5s/min' WHEN 5 THEN '+' || lpad(CAST(c % 90 AS VARCHAR), 2, '0') || '.25-' || lpad(CAST(c % 180 AS VARCHAR), 3, '0') || '.5/' ELSE c || 'm' END AS s FROM o)
+SELECT id, s, lower(regexp_extract(s, '\.([^./\\]+)$', 1)) AS ext, CASE k WHEN 0 THEN 'image' WHEN 1 THEN 'video' END AS kind, CASE WHEN k = 2 THEN strftime(d, '%Y-%m-%d') || 'T10:00:00' END AS taken,
+CASE k WHEN 3 THEN round(c / 1000.0::DOUBLE, 6) WHEN 4 THEN c % 90 + 0.5::DOUBLE WHEN 6 THEN c * 60.0::DOUBLE END AS seconds, CASE WHEN k = 5 THEN c % 90 + 0.25::DOUBLE END AS lat, CASE WHEN k = 5 THEN -(c % 180 + 0.5::DOUBLE) END AS lon FROM v""")
 def scalar_parsers(c: Catalogue) -> DataFrame:
-    s = F.col("s")
-    rows = c.spark.createDataFrame([(v,) for v in VALUES], "s string")
-    return rows.select("s", extension(s).alias("ext"), file_kind(s).alias("kind"), exif_time(s).alias("taken"), F.round(duration_seconds(s), 6).alias("seconds"), iso6709(s)["lat"].alias("lat"))
+    """File names, times, durations and positions made of every order."""
+    k, s, who = F.col("o_orderkey") % 7, F.col("s"), F.col("o_custkey")
+    digits = lambda n, of: F.lpad((who % of).cast("string"), n, "0")
+    made = [F.concat(F.lit("photo"), who, F.lit(".JPG")), F.concat(F.lit("a.b"), who, F.lit(".webm")), F.concat(F.date_format("o_orderdate", "yyyy:MM:dd"), F.lit(" 10:00:00")), F.concat(who, F.lit("ms")), F.concat(who % 90, F.lit(".5s/min")), F.concat(F.lit("+"), digits(2, 90), F.lit(".25-"), digits(3, 180), F.lit(".5/")), F.concat(who, F.lit("m"))]
+    rows = c.table("orders").select(F.col("o_orderkey").alias("id"), F.array(*made)[k.cast("int")].alias("s"))
+    return rows.select("id", "s", extension(s).alias("ext"), file_kind(s).alias("kind"), exif_time(s).alias("taken"), F.round(duration_seconds(s), 6).alias("seconds"), iso6709(s)["lat"].alias("lat"), iso6709(s)["lon"].alias("lon"))
 
 
 @query(with_roles("media") + """, b AS (SELECT media_id AS id, CASE WHEN media_id % 3 = 0 THEN size_bytes // 100000 WHEN media_id % 3 = 1 THEN size_bytes ELSE size_bytes * 100 END AS b FROM media),
