@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions.query_text import face_names
+from lumenframe.operators import running
 
 
 def merge(hits: DataFrame, fill: list[str] = (), partition: list[str] = ()) -> DataFrame:
@@ -89,14 +93,154 @@ def ranked(candidates: DataFrame, asked: list[str], limit: int = 50, digits: int
     return scored.withColumn("__place", place).where(F.col("__place") <= limit).drop("__place")
 
 
-def cluster_in_time(frames: DataFrame, window: float = 5.0, keys: list[str] = ("path",), carry: list[str] = ()) -> DataFrame:
+def cluster_in_time(frames: DataFrame, window: float = 5.0, keys: list[str] = ("path",), carry: list[str] = (), piece_rows: int | None = None) -> DataFrame:
     """The best frame of each greedy cluster of one path: ``keys``, timestamp, score, id and the ``carry`` columns.
 
-    In order of time, a frame joins the latest cluster if it is within ``window`` of its frame, and
-    takes its place if it scores strictly more (so the cluster moves with it), else opens another.
-    A missing time counts as 0; a null path is one path. Where two successive frames lie more than
-    ``window`` apart no cluster goes on, so each such stretch folds on its own, in chunks of
-    ``CHUNK`` frames: a fold's cost is in proportion to its frames.
+    In order of time (then score, the best first, then id), a frame joins the latest cluster if it is
+    within ``window`` of its frame, and takes its place if it scores strictly more (so the cluster moves
+    with it), else opens another. A missing time counts as 0; a missing score is no more than any, and
+    nothing is more than it; a null path is one path.
+
+    What comes after a cluster's frame depends on that frame only. So a path of more than ``piece_rows``
+    frames is cut into pieces (``running.in_pieces``) that fold apart, from every frame in one pass
+    backwards: as folds from neighbouring frames soon meet, a few rows say with which frame a piece is left,
+    given the one it is entered with. These are followed from piece to piece, and each piece folds once more.
+    """
+    keys, carry = list(keys), list(carry)
+    clean = frames.select(*(F.col(f"`{k}`").alias(f"k{n}") for n, k in enumerate(keys)), F.coalesce("timestamp", F.lit(0.0)).cast("double").alias("t"), (-F.col("score")).cast("double").alias("m"), F.col("id").alias("i"), *(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(carry)))
+    group, most = [f"k{n}" for n in range(len(keys))], piece_rows or running.PIECE_ROWS
+    keyed = clean.withColumn("path", F.struct(*group, F.lit(0).alias("g")))
+    large = keyed.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > most).select("path")
+    short = keyed.join(large, "path", "left_anti")
+    plain = short.select(*group, F.col("t").alias("timestamp"), (-F.col("m")).alias("score"), F.col("i").alias("id"), *(f"c{n}" for n in range(len(carry))))
+    done = cluster_bounded(plain, window, group, [f"c{n}" for n in range(len(carry))])
+    whole = done.unionByName(_by_pieces(keyed.join(large, "path", "left_semi").drop("path"), window, group, most))
+    return whole.select(*(F.col(f"k{n}").alias(k) for n, k in enumerate(keys)), "timestamp", "score", "id", *(F.col(f"c{n}").alias(c) for n, c in enumerate(carry)))
+
+
+def _by_pieces(clean: DataFrame, window: float, group: list[str], most: int) -> DataFrame:
+    """The clusters' frames of paths of any length."""
+    frame = [c for c in clean.columns if c not in group]
+    cut = running.in_pieces(clean, group, ["t", "m", "i"], most)
+    packed = cut.select(F.col(running.KEY).alias("path"), F.col(running.PIECE).alias("piece"), "t", "m", "i", F.struct(*frame).alias("frame"))
+    field = packed.schema.fields
+    named = {f.name: T.StructField(f.name, f.dataType) for f in field}
+    summed = packed.groupBy("path", "piece").applyInArrow(lambda table: _piece_summary(table, window), T.StructType([named["path"], named["piece"], T.StructField("no", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("best", T.DoubleType()), named["frame"]]))
+    carried = summed.groupBy("path").applyInArrow(lambda table: _carried(table, window), T.StructType([named["path"], named["piece"], named["frame"]]))
+    both = packed.withColumn("held", F.lit(False)).unionByName(carried.withColumn("held", F.lit(True)), allowMissingColumns=True)
+    kept = both.groupBy("path", "piece").applyInArrow(lambda table: _piece_kept(table, window), T.StructType([named["path"], named["frame"]]))
+    carry = [c for c in frame if c not in ("t", "m", "i")]
+    return kept.select(*(F.col("path")[f"g{n}"].alias(g) for n, g in enumerate(group)), F.col("frame.t").alias("timestamp"), (-F.col("frame.m")).alias("score"), F.col("frame.i").alias("id"), *(F.col("frame")[c].alias(c) for c in carry))
+
+
+def _levels(minus: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Scores downwards as challengers and as those challenged: a missing one beats none and isn't beaten, one that isn't a number beats none."""
+    none = np.asarray(minus.is_null())
+    plain = np.asarray(minus.to_numpy(zero_copy_only=False), float) if isinstance(minus, pa.Array) else np.asarray(minus.to_numpy(), float)
+    new = np.where(np.isnan(plain), np.inf, plain)
+    return new, np.where(none, -np.inf, new)
+
+
+def _sorted_frames(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A piece's frames in their order, their times, and their levels."""
+    minus = table.column("m").combine_chunks()
+    by_id = pc.rank(table.column("i"), sort_keys="ascending", null_placement="at_start", tiebreaker="min").to_numpy()
+    table = table.take(pa.array(np.lexsort((by_id, minus.to_numpy(zero_copy_only=False), np.asarray(minus.is_valid()), table.column("t").to_numpy()))))
+    return table, table.column("t").to_numpy(), *_levels(table.column("m").combine_chunks())
+
+
+def _follow(t: np.ndarray, new: np.ndarray, held: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each frame the next that takes its place or opens a cluster (their number if none does), and whether it opens one."""
+    n = len(t)
+    times, first, which = np.unique(t, return_index=True, return_inverse=True)
+    sure = np.isfinite(times)
+    at = np.searchsorted(times, times + window, side="right")
+    with np.errstate(invalid="ignore"):
+        while (late := sure & (at > 0) & ~(times[np.maximum(at - 1, 0)] - times <= window)).any():
+            at[late] -= 1
+        while (early := sure & (at < len(times)) & (times[np.minimum(at, len(times) - 1)] - times <= window)).any():
+            at[early] += 1
+    at[~sure] = 0
+    opens = np.maximum(np.append(first, n)[at][which], np.arange(n) + 1)
+    better = np.full(n, n)
+    stack: list[int] = []
+    for k in range(n):  # those that wait have ever higher levels, so the last is beaten first
+        while stack and new[k] < held[stack[-1]]:
+            better[stack.pop()] = k
+        if held[k] > -np.inf:
+            stack.append(k)
+    return np.minimum(opens, better), opens <= better
+
+
+def _ends(follow: np.ndarray) -> np.ndarray:
+    """The frame that each frame's fold leaves the piece with."""
+    end, after = list(range(len(follow))), follow.tolist()
+    for k in range(len(end) - 1, -1, -1):
+        if after[k] < len(end):
+            end[k] = end[after[k]]
+    return np.array(end)
+
+
+def _piece_summary(table: pa.Table, window: float) -> pa.Table:
+    """A row for each stretch of frames from which a piece is left with the same one, with the last time and the best level before it; the last row for a frame held all through."""
+    table, t, new, held = _sorted_frames(table)
+    end = _ends(_follow(t, new, held, window)[0])
+    first = np.flatnonzero(np.diff(end, prepend=-1))
+    best = np.minimum.accumulate(new)
+    before = lambda x: pa.array([None if k == 0 else float(x[k - 1]) for k in first] + [float(x[-1])], pa.float64())
+    same = pa.array([0] * (len(first) + 1))
+    frame = table.column("frame").take(pa.array([*end[first].tolist(), None], pa.int64()))
+    return pa.table({"path": table.column("path").take(same), "piece": table.column("piece").take(same), "no": pa.array(range(len(same)), pa.int64()), "t": before(t), "best": before(best), "frame": frame})
+
+
+def _carried(table: pa.Table, window: float) -> pa.Table:
+    """The frame that each piece is entered with, null for a path's first; piece -1 is entered with the path's last."""
+    table = table.sort_by([("piece", "ascending"), ("no", "ascending")])
+    piece, t, best = (table.column(c).to_pylist() for c in ("piece", "t", "best"))
+    frames = table.column("frame").combine_chunks()
+    through = np.asarray(frames.is_null())
+    times, held = pc.struct_field(frames, "t").to_numpy(zero_copy_only=False), _levels(pc.struct_field(frames, "m"))[1]
+    at, pieces, taken = None, [], []
+    for p, rows in groupby(range(len(piece)), key=piece.__getitem__):
+        pieces.append(p)
+        taken.append(at)
+        into = next(rows)
+        for r in rows:  # a stretch is entered if no frame before it ends or beats the held one
+            if at is not None and t[r] - times[at] <= window and not best[r] < held[at]:
+                into = r
+        at = at if through[into] else into
+    path = table.column("path").take(pa.array([0] * (len(pieces) + 1)))
+    return pa.table({"path": path, "piece": pa.array([*pieces, -1], table.schema.field("piece").type), "frame": frames.take(pa.array([*taken, at], pa.int64()))})
+
+
+def _piece_kept(table: pa.Table, window: float) -> pa.Table:
+    """The frames whose cluster ends in a piece as another opens there; all of piece -1."""
+    carried, own = table.filter(table.column("held")).select(["path", "frame"]), table.filter(pc.invert(table.column("held")))
+    if not own.num_rows:
+        return carried
+    own, t, new, held = _sorted_frames(own)
+    follow, opens = _follow(t, new, held, window)
+    kept, at, out = [], 0, []
+    if carried.column("frame").null_count == 0:
+        frame = pa.array(carried.column("frame").to_pylist(), carried.schema.field("frame").type)
+        with np.errstate(invalid="ignore"):
+            late, more = np.flatnonzero(~(t - frame[0].as_py()["t"] <= window)), np.flatnonzero(new < _levels(pc.struct_field(frame, "m"))[1][0])
+        opened, beaten = (int(x[0]) if len(x) else len(t) for x in (late, more))
+        at = min(opened, beaten)
+        if opened <= beaten and opened < len(t):
+            out.append(carried)
+    while at < len(t):
+        if opens[at] and follow[at] < len(t):
+            kept.append(at)
+        at = int(follow[at])
+    return pa.concat_tables([own.take(pa.array(kept, pa.int64())).select(["path", "frame"]), *out])
+
+
+def cluster_bounded(frames: DataFrame, window: float = 5.0, keys: list[str] = ("path",), carry: list[str] = ()) -> DataFrame:
+    """``cluster_in_time`` where a path has a bounded number of frames, as among the hits of a search.
+
+    Where two successive frames lie more than ``window`` apart no cluster goes on, so each such stretch
+    folds on its own, as one array, in chunks of ``CHUNK`` frames: a fold's cost is in proportion to its frames.
     """
     keys = list(keys)
     clean = frames.select(*keys, F.coalesce("timestamp", F.lit(0.0)).alias("timestamp"), (-F.col("score")).alias("minus"), "id", *carry)

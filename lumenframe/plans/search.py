@@ -133,7 +133,7 @@ def search(collections: dict, queries: DataFrame, media: DataFrame, faces: DataF
     alone = F.when(F.col("kind") == "video", F.coalesce("path", F.lit(""))).otherwise(F.concat(F.lit("="), F.col("id").cast("string")))
     shown = ["source", "parts", "path", "place", "date", "kind", "timestamp", "gps_lat", "gps_lon", "tags", "people"]
     frames = top.select("query_id", alone.alias("__path"), F.coalesce("timestamp", F.lit(0.0)).alias("timestamp"), F.col("total_score").alias("score"), "id", F.struct(*shown).alias("shown"))
-    best = ranking.cluster_in_time(frames, request.window, ["query_id", "__path"], ["shown"])
+    best = ranking.cluster_bounded(frames, request.window, ["query_id", "__path"], ["shown"])
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     result = best.withColumn("rank", order).select("query_id", "rank", "id", F.col("score").alias("total_score"), *(F.col("shown")[c].alias(c) for c in shown))
     why = F.concat(F.lit("similarity "), F.format_string("%.3f", F.col("parts.similarity_score")))
