@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import ids, query_text
 from lumenframe.functions.media import duration_seconds, exif_time, extension, file_kind, iso6709, size_text
 from lumenframe.functions.vector import dot
-from lumenframe.operators import browse, cdc, filters, ingest, knn, names, ranking, reports, running, tables, tracks, versioned
+from lumenframe.operators import browse, cdc, filters, ingest, knn, names, ranking, reports, running, shots, similarity_join, tables, tracks, versioned
 from lumenframe.operators.vector_index import VectorIndex
 from lumenframe.plans import search as search_plan
 from lumenframe.sources import media_bytes, media_source, metadata, store
@@ -776,6 +776,27 @@ def stored_export(c: Catalogue) -> DataFrame:
     return last.read().agg(F.lit(last.marks["exported"]).alias("exported"), F.lit(opened.marks["exported"]).alias("exported_before"), F.count("*").alias("n"), F.count_if(F.col("round") == 2).alias("rewritten"))
 
 
+LETTERS = "aeioutns"
+
+
+@query("WITH f AS (SELECT source AS video_id, doc_id AS frame, doc_id * 0.04::DOUBLE AS t, ["
++ ", ".join(f"CAST(length(text) - length(replace(text, '{x}', '')) AS DOUBLE)" for x in LETTERS)
++ """] AS h FROM documents WHERE source IS NOT NULL),
+p AS (SELECT *, lag(h) OVER (PARTITION BY video_id ORDER BY frame) AS h0 FROM f),
+d AS (SELECT video_id, frame, t, CASE WHEN list_sum(h) > 0 AND list_sum(h0) > 0 THEN CAST(round(list_sum(list_transform(range(1, len(h) + 1), lambda k: abs(h[k] / list_sum(h) - h0[k] / list_sum(h0)))) / 2 * 1000000) AS BIGINT) END AS difference FROM p),
+n AS (SELECT *, sum(difference) OVER w - difference AS others, count(difference) OVER w - 1 AS n FROM d WINDOW w AS (PARTITION BY video_id ORDER BY frame RANGE BETWEEN 8 PRECEDING AND 8 FOLLOWING)),
+a AS (SELECT *, CASE WHEN difference >= 100000 AND difference * n >= 1.5::DOUBLE * others THEN difference END AS able FROM n),
+c AS (SELECT * FROM a x WHERE able IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a y WHERE y.video_id = x.video_id AND y.frame BETWEEN x.frame - 11 AND x.frame + 11 AND (y.able > x.able OR y.able = x.able AND y.frame < x.frame))),
+e AS (SELECT video_id, min(frame) AS a, max(frame) AS z FROM f GROUP BY video_id),
+s AS (SELECT video_id, frame, t FROM c JOIN e USING (video_id) WHERE frame - a >= 12 AND z + 1 - frame >= 12 UNION ALL SELECT f.video_id, f.frame, f.t FROM f JOIN e ON e.video_id = f.video_id AND frame = a)
+SELECT s.video_id, row_number() OVER v - 1 AS shot_index, s.frame AS first_frame, t AS t_start, coalesce(lead(t) OVER v, z * 0.04::DOUBLE) AS t_end FROM s JOIN e USING (video_id) WINDOW v AS (PARTITION BY video_id ORDER BY frame)""")
+def histogram_shots(c: Catalogue) -> DataFrame:
+    """Shots of the documents of a source as one video's frames; a text's counts of letters are its histogram."""
+    counts = F.array(*(F.length("text") - F.length(F.replace("text", F.lit(x), F.lit(""))) for x in LETTERS))
+    frames = c.table("documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("frame"), (F.col("doc_id") * F.lit(0.04)).alias("t"), counts.alias("histogram"))
+    return shots.shots(frames, 1.5, 0.1, 8, 12)
+
+
 @query(r"""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 AS k, o_custkey AS c, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders),
 v AS (SELECT *, CASE k WHEN 0 THEN 'photo' || c || '.JPG' WHEN 1 THEN 'a.b' || c || '.webm' WHEN 2 THEN strftime(d, '%Y:%m:%d') || ' 10:00:00' WHEN 3 THEN c || 'ms' WHEN 4 THEN (c % 90) || '.5s/min' WHEN 5 THEN '+' || lpad(CAST(c % 90 AS VARCHAR), 2, '0') || '.25-' || lpad(CAST(c % 180 AS VARCHAR), 3, '0') || '.5/' ELSE c || 'm' END AS s FROM o)
 SELECT id, s, lower(regexp_extract(s, '\.([^./\\]+)$', 1)) AS ext, CASE k WHEN 0 THEN 'image' WHEN 1 THEN 'video' END AS kind, CASE WHEN k = 2 THEN strftime(d, '%Y-%m-%d') || 'T10:00:00' END AS taken,
@@ -1024,6 +1045,12 @@ def similarity_pairs_over_threshold(c: Catalogue) -> DataFrame:
     return knn.within(v, v.where("id % 20 = 0"), 0.3).where("query_id != id")
 
 
+@query(with_roles("vectors") + " SELECT * FROM (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.vector, b.vector), 6) AS score FROM vectors a JOIN vectors b ON a.id < b.id) WHERE score >= 0.3")
+def similar_pairs(c: Catalogue) -> DataFrame:
+    """All pairs of the collection over a similarity, by products of tiles."""
+    return similarity_join.similar_pairs(c.vectors(), 0.3)
+
+
 INDEXES: dict = {}
 
 
