@@ -1,8 +1,8 @@
 """Running values and order statistics over groups of any size, in pieces of bounded rows.
 
-A group's rows are cut into pieces by their order: a sample of the rows, chosen by a hash of what orders
-them, gives a group's cuts. Values run within each piece; the totals or last rows of the pieces, a few a
-group, run over the pieces and are joined back. No window holds a group, only a piece or a group's pieces.
+Rows are dealt out by range of their group and order, and each range is cut into pieces of so many rows, once,
+in a stored table. Values run within each piece; the totals or last rows of the pieces, a few a group, run over
+the pieces and are joined back. No window, join or row holds a group or its cuts, only a piece or a group's pieces.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.sources import store
+
 PIECE_ROWS = 200_000
-#: Rows of the sample for each cut, which bounds how uneven pieces are.
-DRAWN = 20
 PIECE, KEY = "__piece", "__key"
+#: Bits of a row's number below its partition's in ``monotonically_increasing_id``.
+BITS = 33
 
 
 def _group(groups: list[str]) -> Column:
@@ -22,54 +24,49 @@ def _group(groups: list[str]) -> Column:
 
 
 def in_pieces(rows: DataFrame, groups: list[str], order: list[str], piece_rows: int | None = None) -> DataFrame:
-    """``rows`` with their group's key and the number of their piece; pieces follow each other in ``order``, whose equal rows share one.
+    """``rows`` with their group's key and the number of their piece, stored; a group's pieces follow each other in ``order``.
 
-    Rows of an unequalled order are at most about ``piece_rows`` a piece.
+    A piece has at most ``piece_rows`` rows. Of rows of equal order some may be in the next piece.
+    """
+    spark, most = rows.sparkSession, piece_rows or PIECE_ROWS
+    by = [F.col(f"`{c}`") for c in (*groups, *order)]
+    number = F.monotonically_increasing_id()
+    within = F.floor(number.bitwiseAND(F.lit((1 << BITS) - 1)) / most)
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    cut = ranged.select("*", _group(groups).alias(KEY), F.shiftleft(F.shiftrightunsigned(number, BITS), BITS).bitwiseOR(within).alias(PIECE))
+    folder = store.shared_folder(spark, "pieces")
+    cut.write.parquet(folder)  # a range is drawn anew in each run, so that rows keep their pieces only where they are stored
+    return spark.read.schema(cut.schema).parquet(folder)
+
+
+def along(rows: DataFrame, groups: list[str], order: list[str], sums: dict[str, Column | str], before: dict[str, str], piece_rows: int | None = None) -> DataFrame:
+    """``rows`` with running sums, each up to and with its row, and values of the row before, null in a group's first.
+
+    ``sums``: name of a new column and what it adds up; ``before``: name of a new column and that whose value it takes.
+    ``order`` must tell a group's rows apart.
     """
-    most = piece_rows or PIECE_ROWS
+    names, kept = [F.col(f"`{c}`") for c in rows.columns], [F.struct(F.lit(0).alias("o"), *(F.col(f"`{c}`").alias(f"v{k}") for k, c in enumerate(before.values()))).alias("__row")]
+    cut = in_pieces(rows, groups, order, piece_rows).select(*names, KEY, PIECE, *kept, *((F.expr(v) if isinstance(v, str) else v).alias(f"__v{k}") for k, v in enumerate(sums.values())))
     place = F.struct(*(F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(order)))
-    keyed = rows.withColumn(KEY, _group(groups))
-    counts = keyed.groupBy(KEY).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
-    large = counts.select(KEY, F.ceil(F.col("__n") / most).cast("int").alias("__pieces"), F.greatest(F.lit(1), F.floor(F.lit(most) / DRAWN)).cast("long").alias("__every"))
-    drawn = keyed.select(KEY, place.alias("__o")).join(large, KEY).where(F.pmod(F.xxhash64("__o"), F.col("__every")) == 0)
-    sample = drawn.groupBy(KEY).agg(F.first("__pieces").alias("__pieces"), F.array_sort(F.collect_set("__o")).alias("__s"))
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("__pieces") - 1)), lambda k: F.col("__s")[F.floor(k * F.size("__s") / F.col("__pieces")).cast("int")])
-    cuts = sample.where(F.size("__s") > 0).select(KEY, F.array_distinct(at).alias("__cuts"))
-    joined = keyed.join(cuts, KEY, "left")
-    return joined.withColumn(PIECE, F.coalesce(F.size(F.filter("__cuts", lambda c: c <= place)), F.lit(0))).drop("__cuts")
-
-
-def _over_pieces(groups: list[str] = ()) -> tuple:
-    return Window.partitionBy(KEY, PIECE), Window.partitionBy(KEY).orderBy(PIECE)
+    ends = cut.groupBy(KEY, PIECE).agg(F.max_by("__row", place).alias("__last"), *(F.sum(f"__v{k}").alias(f"__t{k}") for k in range(len(sums))))
+    over = Window.partitionBy(KEY).orderBy(PIECE)
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(KEY, PIECE, F.lag("__last").over(over).alias("__carried"), *(F.coalesce(F.sum(f"__t{k}").over(earlier), F.lit(0)).alias(f"__b{k}") for k in range(len(sums))))
+    inside = Window.partitionBy(KEY, PIECE).orderBy(*(F.col(f"`{c}`") for c in order))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    found = cut.select(*names, KEY, PIECE, F.lag("__row").over(inside).alias("__own"), *(F.sum(f"__v{k}").over(upto).alias(f"__i{k}") for k in range(len(sums))))
+    joined, last = found.join(carried, [KEY, PIECE]), F.coalesce("__own", "__carried")
+    return joined.select(*names, *((F.coalesce(f"__i{k}", F.lit(0)) + F.col(f"__b{k}")).alias(n) for k, n in enumerate(sums)), *(last[f"v{k}"].alias(n) for k, n in enumerate(before)))
 
 
 def running(rows: DataFrame, groups: list[str], order: list[str], sums: dict[str, Column | str], piece_rows: int | None = None) -> DataFrame:
-    """``rows`` with running sums, each up to and with its row; ``order`` must tell a group's rows apart.
-
-    ``sums``: name of a new column and what it adds up.
-    """
-    cut = in_pieces(rows, groups, order, piece_rows).withColumns({f"__v{k}": F.expr(v) if isinstance(v, str) else v for k, v in enumerate(sums.values())})
-    piece, over = _over_pieces()
-    inside = piece.orderBy(*(F.col(f"`{c}`") for c in order)).rowsBetween(Window.unboundedPreceding, 0)
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(KEY, PIECE).agg(*(F.sum(f"__v{k}").alias(f"__t{k}") for k in range(len(sums))))
-    offsets = totals.select(KEY, PIECE, *(F.coalesce(F.sum(f"__t{k}").over(before), F.lit(0)).alias(f"__b{k}") for k in range(len(sums))))
-    summed = cut.select(*(F.col(f"`{c}`") for c in rows.columns), KEY, PIECE, *(F.sum(f"__v{k}").over(inside).alias(f"__i{k}") for k in range(len(sums))))
-    joined = summed.join(offsets, [KEY, PIECE])
-    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), *((F.coalesce(f"__i{k}", F.lit(0)) + F.col(f"__b{k}")).alias(name) for k, name in enumerate(sums)))
+    """``rows`` with running sums, as ``along``."""
+    return along(rows, groups, order, sums, {}, piece_rows)
 
 
 def previous(rows: DataFrame, groups: list[str], order: list[str], column: str, name: str, piece_rows: int | None = None) -> DataFrame:
-    """``rows`` with ``name``: what ``column`` is in the row before, null in a group's first; ``order`` must tell a group's rows apart."""
-    cut = in_pieces(rows, groups, order, piece_rows)
-    piece, over = _over_pieces()
-    inside = piece.orderBy(*(F.col(f"`{c}`") for c in order))
-    place = F.struct(*(F.col(f"`{c}`").alias(f"o{k}") for k, c in enumerate(order)))
-    last = cut.groupBy(KEY, PIECE).agg(F.max_by(F.struct(F.col(f"`{column}`").alias("v")), place).alias("__last"))
-    carried = last.select(KEY, PIECE, F.lag("__last").over(over).alias("__carried"))
-    found = cut.select(*(F.col(f"`{c}`") for c in rows.columns), KEY, PIECE, F.lag(F.struct(F.col(f"`{column}`").alias("v"))).over(inside).alias("__own"))
-    joined = found.join(carried, [KEY, PIECE])
-    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce("__own", "__carried")["v"].alias(name))
+    """``rows`` with ``name``: what ``column`` is in the row before, as ``along``."""
+    return along(rows, groups, order, {}, {name: column}, piece_rows)
 
 
 def at_places(rows: DataFrame, groups: list[str], value: str, places: dict[str, Column], piece_rows: int | None = None) -> DataFrame:

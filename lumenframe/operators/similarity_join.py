@@ -59,12 +59,12 @@ def tiles(vectors: DataFrame, tile_rows: int = TILE_ROWS, pivots: int = PIVOTS)
     def pack(table: pa.Table) -> pa.Table:
         angles = np.array(table.column("angles").to_pylist())
         row = {"size": table.column("size")[0].as_py(), "pivot": table.column("pivot")[0].as_py(), "piece": table.column(running.PIECE)[0].as_py(), "low": angles.min(axis=0).tolist(), "high": angles.max(axis=0).tolist(), "ids": table.column("id").to_numpy().tobytes(), "units": b"".join(table.column("unit").to_pylist())}
-        return pa.Table.from_pylist([row], pa.schema([("size", pa.int32()), ("pivot", pa.int32()), ("piece", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.binary()), ("units", pa.binary())]))
+        return pa.Table.from_pylist([row], pa.schema([("size", pa.int32()), ("pivot", pa.int32()), ("piece", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.binary()), ("units", pa.binary())]))
 
-    packed = cut.groupBy("size", "pivot", running.PIECE).applyInArrow(pack, "size int, pivot int, piece int, low array<double>, high array<double>, ids binary, units binary")
+    packed = cut.groupBy("size", "pivot", running.PIECE).applyInArrow(pack, "size int, pivot int, piece long, low array<double>, high array<double>, ids binary, units binary")
     folder = store.shared_folder(spark, "tiles")
     packed.select(F.struct("size", "pivot", "piece").alias("no"), "size", "low", "high", "ids", "units").write.parquet(folder)
-    return spark.read.schema("no struct<size: int, pivot: int, piece: int>, size int, low array<double>, high array<double>, ids binary, units binary").parquet(folder)
+    return spark.read.schema("no struct<size: int, pivot: int, piece: bigint>, size int, low array<double>, high array<double>, ids binary, units binary").parquet(folder)
 
 
 def tile_pairs(tiled: DataFrame, min_score: float, digits: int = 6) -> DataFrame:

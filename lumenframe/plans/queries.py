@@ -969,8 +969,7 @@ def running_one_group(c: Catalogue) -> DataFrame:
     """All lines of orders as one group: remaining time, gaps and commit groups in pieces of 5,000 rows."""
     first = c.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_extendedprice", "l_partkey", "l_suppkey")).alias("l"))
     steps = first.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("o"), F.round("l.l_extendedprice").cast("long").alias("seconds"))
-    summed = running.running(steps, [], ["id"], {"done": F.lit(1), "took": F.col("seconds")}, 5000)
-    before = running.previous(summed, [], ["id"], "o", "last", 5000)
+    before = running.along(steps, [], ["id"], {"done": F.lit(1), "took": F.col("seconds")}, {"last": "o"}, 5000)
     return before.select("id", F.floor(F.col("took") / F.col("done") * (10000000 - F.col("done"))).alias("eta"), (F.col("o") - F.col("last")).alias("gap"), F.floor((F.col("done") - 1) / 200).cast("long").alias("batch"))
 
 

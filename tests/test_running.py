@@ -38,6 +38,14 @@ def test_pieces_are_bounded(spark):
     assert sum(sizes) == 50_000 and len(sizes) >= 40 and max(sizes) <= 4000
 
 
+def test_no_piece_has_more_rows_than_asked_for(spark):
+    df = spark.range(50_000).select(F.lit("one").alias("g"), "id")
+    cut = running.in_pieces(df.repartition(7), ["g"], ["id"], 700)
+    pieces = cut.groupBy(running.PIECE).agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("z")).orderBy("a").collect()
+    assert max(r["n"] for r in pieces) <= 700 and [r[running.PIECE] for r in pieces] == sorted(r[running.PIECE] for r in pieces)
+    assert all(x["z"] < y["a"] for x, y in zip(pieces, pieces[1:], strict=False))
+
+
 @pytest.mark.parametrize("piece", [1, 20, 10**6])
 def test_places(spark, monkeypatch, piece):
     monkeypatch.setattr(running, "PIECE_ROWS", piece)
