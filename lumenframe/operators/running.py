@@ -73,13 +73,20 @@ def at_places(rows: DataFrame, groups: list[str], value: str, places: dict[str,
     """A row per group: ``groups``, n, low, high and the values at ``places`` (from 0, in ascending order, over column n); null values don't count.
 
     Equal values are counted first, so one value of any number of rows is one row, and outliers change
-    nothing: the running counts of different values say where a place lies.
+    nothing: the counts of the pieces say in which piece a place lies, and only such pieces are read again.
     """
     own = rows.where(F.col(f"`{value}`").isNotNull()).select(*(F.col(f"`{g}`") for g in groups), F.col(f"`{value}`").alias("__value"))
     counts = own.groupBy(*(F.col(f"`{g}`") for g in groups), "__value").agg(F.count("*").alias("__here"))
-    upto = running(counts, groups, ["__value"], {"__upto": "__here"}, piece_rows).withColumn(KEY, _group(groups))
-    ends = counts.groupBy(_group(groups).alias(KEY)).agg(F.sum("__here").alias("n"), F.min("__value").alias("low"), F.max("__value").alias("high"))
-    joined = upto.join(ends, KEY)
-    hit = lambda p: (p >= F.col("__upto") - F.col("__here")) & (p < F.col("__upto"))
-    found = joined.groupBy(KEY).agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), *(F.max(F.when(hit(p), F.col("__value"))).alias(name) for name, p in places.items()))
-    return found.select(*(F.col(KEY)[f"g{k}"].alias(g) for k, g in enumerate(groups)), "n", "low", "high", *places)
+    cut = in_pieces(counts, groups, ["__value"], piece_rows).select(KEY, PIECE, "__value", "__here")
+    sizes = cut.groupBy(KEY, PIECE).agg(F.sum("__here").alias("__sum"), F.min("__value").alias("low"), F.max("__value").alias("high"))
+    group = Window.partitionBy(KEY)
+    earlier = group.orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    known = sizes.select(KEY, PIECE, "__sum", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"), F.sum("__sum").over(group).alias("n"))
+    inside = lambda p, first, rows: (p >= first) & (p < first + rows)
+    wanted = known.where(F.exists(F.array(*(inside(p, F.col("__before"), F.col("__sum")) for p in places.values())), lambda x: x)) if places else known.where("false")
+    upto = F.sum("__here").over(Window.partitionBy(KEY, PIECE).orderBy("__value").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.col("__before") + F.col("__upto") - F.col("__here")
+    at = cut.join(wanted.select(KEY, PIECE, "__before", "n"), [KEY, PIECE]).withColumn("__upto", upto)
+    found = at.groupBy(KEY).agg(F.lit(0).alias("__found"), *(F.max(F.when(inside(p, first, F.col("__here")), F.col("__value"))).alias(name) for name, p in places.items()))
+    ends = sizes.groupBy(KEY).agg(F.sum("__sum").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return ends.join(found, KEY, "left").select(*(F.col(KEY)[f"g{k}"].alias(g) for k, g in enumerate(groups)), "n", "low", "high", *places)

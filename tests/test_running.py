@@ -46,6 +46,13 @@ def test_no_piece_has_more_rows_than_asked_for(spark):
     assert all(x["z"] < y["a"] for x, y in zip(pieces, pieces[1:], strict=False))
 
 
+def test_only_pieces_with_a_place_are_read_again(spark):
+    df = spark.range(2000).select(F.lit("one").alias("g"), "id")
+    found = running.at_places(df, ["g"], "id", {"p": F.floor(F.col("n") / 2)}, 10)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert joins and all(running.PIECE in x for x in joins) and found.first()["p"] == 1000
+
+
 @pytest.mark.parametrize("piece", [1, 20, 10**6])
 def test_places(spark, monkeypatch, piece):
     monkeypatch.setattr(running, "PIECE_ROWS", piece)
