@@ -4,12 +4,12 @@ Every vector belongs to the list of its nearest centre. What is left of it there
 each part is stored as the number of the nearest of up to 256 code words, so a block of a list holds a few
 bytes a vector. A block also has a bitmap of its rows for every tag. Blocks and whole vectors lie in
 tables partitioned by list: a search reads the blocks of the lists near its queries, scores their rows
-from tables of products with the code words, leaves out rows without the wanted tags by the bitmaps, and
+by their code words, leaves out rows without the wanted tags by the bitmaps, and
 fetches the whole vectors of its best rows to score them exactly.
 
 Centres and code words are learned from a bounded sample (a parameter); every comparable row is indexed.
-How many lists a query reads is measured on the same sample: as many as give ``RECALL`` of its true
-neighbours. ``VectorIndex.search`` then counts, from stored counts by list and tag, how many rows these
+How many lists a query reads, and how many rows by their codes it scores exactly, is measured on the same
+sample: as many as give ``RECALL`` and ``KEPT`` of its true neighbours. ``VectorIndex.search`` then counts, from stored counts by list and tag, how many rows these
 lists offer, takes more lists until they are enough, and scans all rows exactly where that reads less.
 """
 
@@ -31,6 +31,9 @@ LIST_ROWS = 1_000_000  # of one list in a task
 BLOCKS = "list int, n int, ids array<long>, codes binary, tags map<string,binary>"
 FEW = 200_000
 RECALL, NEIGHBOURS, MEASURED = 0.96, 10, 500
+KEPT = 0.98
+#: Queries that a task looks up at a time, whose best rows it holds.
+GROUP = 512
 
 
 def lists_needed(points: np.ndarray, centres: np.ndarray, own: np.ndarray) -> int:
@@ -49,6 +52,31 @@ def lists_needed(points: np.ndarray, centres: np.ndarray, own: np.ndarray) -> in
     return int(np.argmax([(reached < p).mean() >= RECALL for p in range(1, len(centres) + 1)])) + 1
 
 
+def rows_needed(points: np.ndarray, centres: np.ndarray, own: np.ndarray, books: np.ndarray, n: int) -> int:
+    """How many times ``k`` rows by their codes a search must score exactly, so that ``KEPT`` of the true neighbours are among them.
+
+    The codes' order is measured on the sample. There stand for the ``NEIGHBOURS`` of ``n`` rows as many fewer, and
+    for a place in the codes' order as many more rows, as the sample is smaller. Never under 10.
+    """
+    asked = np.linspace(0, len(points) - 1, min(MEASURED, len(points))).astype(int)
+    if len(points) < 2:
+        return 10
+    parts, _, size = books.shape
+    rest = points - centres[own]
+    coded = centres[own] + np.concatenate([books[p][nearest(rest[:, p * size : (p + 1) * size], books[p])] for p in range(parts)], axis=1)
+    scale = max(1.0, n / len(points))
+    k = min(max(1, round(NEIGHBOURS / scale)), len(points) - 1)
+    places = []
+    for a in range(0, len(asked), 100):
+        q = asked[a : a + 100]
+        score, again = points[q] @ points.T, points[q] @ coded.T
+        for m in (score, again):
+            m[np.arange(len(q)), q] = -np.inf
+        for best in np.argpartition(-score, k - 1, axis=1)[:, :k].T:
+            places.append((again > np.take_along_axis(again, best[:, None], 1)).sum(axis=1) + 1)
+    return max(10, int(np.ceil(np.quantile(np.concatenate(places), KEPT) * scale / NEIGHBOURS)))
+
+
 def code_words(residuals: np.ndarray, parts: int, words: int = 256, rounds: int = 8) -> np.ndarray:
     """(parts, words, size of a part): k-means in each part of the residuals."""
     size = residuals.shape[1] // parts
@@ -80,6 +108,7 @@ class VectorIndex:
     centres: np.ndarray
     books: np.ndarray
     probes: int = 1
+    refine: int = 10
 
     @staticmethod
     def build(collection: DataFrame, folder: str | None = None, lists: int = 64, parts: int = 16, sample: int = 20_000) -> VectorIndex:
@@ -98,9 +127,10 @@ class VectorIndex:
         own = (points @ centres.T).argmax(axis=1) if len(points) else np.zeros(0, int)
         books = code_words(points - centres[own], parts) if len(points) else np.zeros((1, 1, max(1, size)))
         probes = lists_needed(points, centres, own)
-        model = [("probes", probes, 0, []), *(("centre", k, 0, c.tolist()) for k, c in enumerate(centres)), *(("word", w, p, books[p, w].tolist()) for p in range(books.shape[0]) for w in range(books.shape[1]))]
+        refine = rows_needed(points, centres, own, books, plain.count()) if len(points) else 10
+        model = [("probes", probes, 0, []), ("refine", refine, 0, []), *(("centre", k, 0, c.tolist()) for k, c in enumerate(centres)), *(("word", w, p, books[p, w].tolist()) for p in range(books.shape[0]) for w in range(books.shape[1]))]
         spark.createDataFrame(model, "kind string, no int, part int, vector array<double>").coalesce(1).write.parquet(f"{folder}/model")
-        index = VectorIndex(spark, folder, centres, books, probes)
+        index = VectorIndex(spark, folder, centres, books, probes, refine)
         index._write(plain)
         return index
 
@@ -110,7 +140,7 @@ class VectorIndex:
         centres = np.array([r["vector"] for r in rows if r["kind"] == "centre"])
         words = [r for r in rows if r["kind"] == "word"]
         parts = max(r["part"] for r in words) + 1
-        return VectorIndex(spark, folder, centres.reshape(len(centres), -1), np.array([r["vector"] for r in words]).reshape(parts, len(words) // parts, -1), next(r["no"] for r in rows if r["kind"] == "probes"))
+        return VectorIndex(spark, folder, centres.reshape(len(centres), -1), np.array([r["vector"] for r in words]).reshape(parts, len(words) // parts, -1), *(next((r["no"] for r in rows if r["kind"] == kind), least) for kind, least in (("probes", 1), ("refine", 10))))
 
     def _write(self, plain: DataFrame) -> None:
         centres, books = self.centres, self.books
@@ -174,12 +204,13 @@ class VectorIndex:
     def blocks(self) -> DataFrame:
         return self.spark.read.schema("n int, ids array<long>, codes binary, tags map<string,binary>, list int").parquet(f"{self.folder}/blocks")
 
-    def planned(self, matrix: np.ndarray, k: int, tags: list[str] | None = None, probes: int | None = None, refine: int = 10, depth: int = 8, always: bool = False) -> np.ndarray | None:
+    def planned(self, matrix: np.ndarray, k: int, tags: list[str] | None = None, probes: int | None = None, refine: int | None = None, depth: int = 8, always: bool = False) -> np.ndarray | None:
         """Which lists each query reads (queries, lists); None where an exact scan reads fewer bytes.
 
         At least ``probes`` lists (default: those measured), and on until they are expected to hold
         ``depth * k`` rows with the tags. ``always``: lists whatever they cost.
         """
+        refine = refine or self.refine
         n, every = np.zeros(len(self.centres)), np.zeros(len(self.centres))
         for counts, rows in ((n, self._counts(tags)), (every, self._counts(None))):
             for r in rows.collect():  # a row a list
@@ -194,9 +225,9 @@ class VectorIndex:
         cost = rows * (len(self.books) + 8) + min(len(matrix) * refine * k, rows) * whole
         return None if cost >= every.sum() * whole and not always else reads
 
-    def search(self, queries: DataFrame | list, k: int, tags: list[str] | None = None, probes: int | None = None, refine: int = 10, digits: int = 6, always: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame | list, k: int, tags: list[str] | None = None, probes: int | None = None, refine: int | None = None, digits: int = 6, always: bool = False) -> DataFrame:
         """query_id, id, score, rank as ``knn.search``; only rows with any of the ``tags``, if some are given."""
-        wanted = [t for t in tags or []]
+        wanted, refine = [t for t in tags or []], refine or self.refine
         hits = None
         for ids, matrix in queries if isinstance(queries, list) else knn.shipments(queries):
             reads = self.planned(matrix, k, wanted, probes, refine, always=always) if matrix.shape[1] == self.centres.shape[1] else np.zeros((len(matrix), 0), bool)
@@ -219,9 +250,18 @@ class VectorIndex:
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix, reads, centres, books = shipped.value
             parts, words, size = books.shape
-            held = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(ids)
+            group, held = -1, {}
+
+            def flush() -> pa.RecordBatch:
+                sizes = [len(h[0]) for h in held.values()]
+                return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[list(held)], sizes)), *(pa.array(np.concatenate([h[c] for h in held.values()])) for c in (1, 0, 2))], names=["query_id", "id", "score", "list"])
+
             for batch in batches:
-                for n, row, codes, bits, own in zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "codes", "tags", "list")), strict=True):
+                for n, row, codes, bits, own, g in zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "codes", "tags", "list", "g")), strict=True):
+                    if g != group:
+                        if held:
+                            yield flush()
+                        group, held = g, {}
                     some = np.arange(n)
                     if tags:
                         maps = [np.frombuffer(b, np.uint8) for t, b in bits if t in tags]
@@ -229,20 +269,19 @@ class VectorIndex:
                             continue
                         some = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(maps), count=n))
                     code = np.frombuffer(codes, np.uint8).reshape(n, parts)[some]
-                    here, who = np.array(row)[some], np.flatnonzero(reads[:, own])
-                    for a in range(0, len(who), 512):
-                        q = matrix[who[a : a + 512]]
-                        products = np.einsum("qps,pws->qpw", q.reshape(len(q), parts, size), books)
-                        score = (q @ centres[own])[:, None] + sum(products[:, p, :][:, code[:, p]] for p in range(parts))
-                        top, found = knn._best(score, np.broadcast_to(here, score.shape), most)
-                        for w, s, i in zip(who[a : a + 512].tolist(), top, found, strict=True):
-                            old = held[w]
-                            scores, known, of = np.concatenate([old[0], s]), np.concatenate([old[1], i]), np.concatenate([old[2], np.full(len(i), own, np.int32)])
-                            order = np.lexsort((known, -scores))[:most]
-                            held[w] = scores[order], known[order], of[order]
-            sizes = [len(h[0]) for h in held]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([h[1] for h in held])), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[2] for h in held]))], names=["query_id", "id", "score", "list"])
+                    coded = centres[own] + np.concatenate([books[p][code[:, p]] for p in range(parts)], axis=1)
+                    here, who = np.array(row)[some], g * GROUP + np.flatnonzero(reads[g * GROUP : (g + 1) * GROUP, own])
+                    if not len(who):
+                        continue
+                    score = matrix[who] @ coded.T
+                    top, found = knn._best(score, np.broadcast_to(here, score.shape), most)
+                    for w, s, i in zip(who.tolist(), top, found, strict=True):
+                        old = held.get(w, (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)))
+                        scores, known, of = np.concatenate([old[0], s]), np.concatenate([old[1], i]), np.concatenate([old[2], np.full(len(i), own, np.int32)])
+                        order = np.lexsort((known, -scores))[:most]
+                        held[w] = scores[order], known[order], of[order]
+            if held:
+                yield flush()
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shipped.value[:2]
@@ -256,7 +295,11 @@ class VectorIndex:
         blocks = self.blocks().where(F.col("list").isin(lists))
         if tags:  # blocks without any of them aren't sent to Python
             blocks = blocks.where(F.exists(F.array(*(F.lit(t) for t in tags)), lambda t: F.map_contains_key(F.col("tags"), t)))
-        close = blocks.select("n", "ids", "codes", "tags", "list").mapInArrow(near, knn.HITS + ", list int")
+        groups = -(-len(ids) // GROUP)
+        blocks = blocks.select("n", "ids", "codes", "tags", "list", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+        if groups > 1:  # a task has all blocks of some groups, one after the other, and sends on a query's best rows only once
+            blocks = blocks.repartition(groups, "g").sortWithinPartitions("g")
+        close = blocks.mapInArrow(near, knn.HITS + ", list int")
         close = knn._ranked(close, most).select("query_id", "id", "list")
         rows = self.vectors().where(F.col("list").isin(lists)).select("list", "id", "vector")
         joined = rows.join(F.broadcast(close) if len(ids) * most <= FEW else close, ["list", "id"])

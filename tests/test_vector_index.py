@@ -103,3 +103,13 @@ def test_search_plan_uses_it(spark, library):
     found = through.select("query_id", "id").join(exact.select("query_id", "id"), ["query_id", "id"]).count()
     assert found >= 0.9 * exact.count() > 0
     assert through.columns == exact.columns
+
+
+def test_recall_of_coarse_codes(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(3).normal(size=(6000, 16)))]
+    v = spark.createDataFrame(rows, "id long, vector array<float>")
+    index = V.VectorIndex.build(v, lists=8, parts=2, sample=1500)
+    asked = v.where("id % 10 = 0")  # more than a group of queries
+    assert index.refine > 10 and V.VectorIndex.open(spark, index.folder).refine == index.refine
+    exact = knn.search(v, asked, 10)
+    assert knn.recall(index.search(asked, 10, always=True), exact).first()[0] >= 0.9
