@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096  # queries that are multiplied at a time
+BLOCK = 512  # queries that are multiplied at a time, so that a product and what picks from it take some 50 MB
 ROWS = 2000  # and rows of the collection
 SHIPPED = 256 << 20  # bytes of queries that tasks hold
 HITS = "query_id long, id long, score double"

@@ -312,3 +312,13 @@ def test_percentiles_by_index(spark):
     v = spark.createDataFrame([("g", float(k)) for k in range(10)] + [("h", 4.0), ("h", None)], "g string, v double")
     got = {r["g"]: (r["n"], r["p50"], r["p95"], r["longest"]) for r in reports.latency(v, ["g"], "v").collect()}
     assert got == {"g": (10, 5.0, 9.0, 9.0), "h": (1, 4.0, 4.0, 4.0)}
+
+
+def test_many_queries_are_multiplied_in_small_blocks(spark):
+    assert knn.BLOCK * knn.ROWS * 8 <= 16 << 20  # bytes of a block's products, of which a task holds some copies
+    x = np.random.default_rng(4).normal(size=(knn.BLOCK + 300, 4))
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, vector array<double>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in knn.search(v, v, 2).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), (len(x), len(x))), -np.round(unit @ unit.T, 6)), axis=1)[:, :2]
+    assert got == {(q, k + 1): order[q, k] for q in range(len(x)) for k in range(2)}
