@@ -122,7 +122,7 @@ class VectorIndex:
         plain = rows.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"), tags.cast("array<string>").alias("tags"))
         centres = knn.fit_lists(plain, lists, sample) if size else np.zeros((0, 0))
         parts = next((p for p in range(min(parts, size), 0, -1) if size % p == 0), 1)
-        drawn = plain.select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).collect()
+        drawn = knn.lowest(plain.select("vector", F.xxhash64("id").alias("h")), sample).collect()
         points = knn._unit([r["vector"] for r in drawn]) if drawn else np.zeros((0, size))
         own = (points @ centres.T).argmax(axis=1) if len(points) else np.zeros(0, int)
         books = code_words(points - centres[own], parts) if len(points) else np.zeros((1, 1, max(1, size)))

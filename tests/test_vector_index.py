@@ -113,3 +113,10 @@ def test_recall_of_coarse_codes(spark):
     assert index.refine > 10 and V.VectorIndex.open(spark, index.folder).refine == index.refine
     exact = knn.search(v, asked, 10)
     assert knn.recall(index.search(asked, 10, always=True), exact).first()[0] >= 0.9
+
+
+def test_sample_is_that_of_lowest_hash(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    assert {r["id"] for r in knn.lowest(rows, 500).collect()} == {r["id"] for r in rows.orderBy("h").limit(500).collect()}
+    bound = [x for x in knn.lowest(rows, 500)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert bound and knn.lowest(rows.limit(30), 500).count() == 30
