@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators import running
@@ -21,6 +21,8 @@ from lumenframe.sources import store
 TILE_ROWS, PIVOTS = 1024, 32
 #: Tiles that a task compares with each other when pairs of tiles are chosen.
 DEALT = 256
+#: Tiles of a block. A tile is sent once to each pair of blocks in which it meets another, not to each tile that it meets.
+SHARED = 32
 #: An angle that rounding can't reach.
 SLACK = 1e-6
 PLACED = "size int, pivot int, near double, id long, unit binary, angles array<double>"
@@ -88,22 +90,38 @@ def similar_pairs(vectors: DataFrame, min_score: float, digits: int = 6, tile_ro
     """
     tiled = tiles(vectors, tile_rows, pivots)
     kept = tile_pairs(tiled, min_score, digits).where("kept").select("a", "b")
-    side = lambda x: tiled.select(F.col("no").alias(x), *([F.col("size")] if x == "a" else []), F.col("ids").alias(f"ids_{x}"), F.col("units").alias(f"units_{x}"))
-    joined = kept.join(side("a"), "a").join(side("b"), "b").select((F.col("a") == F.col("b")).alias("same"), "size", "ids_a", "units_a", "ids_b", "units_b")
+    own = Window.partitionBy("no.size", "no.pivot").orderBy("no.piece")
+    block = F.struct("no.size", "no.pivot", F.floor((F.row_number().over(own) - 1) / SHARED).alias("part"))
+    named = tiled.select("no", block.alias("block"))
+    # a cell is two blocks; each tile of its right block comes once, and after these each of its left block with those it meets
+    cells = kept.join(named.select(F.col("no").alias("a"), F.col("block").alias("left")), "a").join(named.select(F.col("no").alias("b"), F.col("block").alias("right")), "b")
+    cells = store.written(cells.select(F.struct("left", "right").alias("cell"), "a", "b"))
+    right = cells.select("cell", F.col("b").alias("no")).distinct().withColumn("others", F.lit(None).cast("array<string>"))
+    left = cells.groupBy("cell", F.col("a").alias("no")).agg(F.collect_list(F.to_json("b")).alias("others"))
+    sides = right.unionByName(left).join(tiled.select("no", "size", "ids", "units"), "no")
+    dealt = sides.select("size", F.to_json("cell").alias("cell"), F.to_json("no").alias("no"), "others", "ids", "units").repartition("cell").sortWithinPartitions("cell", F.col("others").isNotNull())
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
-                same, size, ids_a, units_a, ids_b, units_b = (batch.column(c)[k].as_py() for c in range(6))
-                a, b = np.frombuffer(ids_a, np.int64), np.frombuffer(ids_b, np.int64)
-                score = np.round(np.frombuffer(units_a).reshape(-1, size) @ np.frombuffer(units_b).reshape(-1, size).T, digits)
-                near = score >= min_score
-                x, y = np.nonzero(np.triu(near, 1) if same else near)
-                x, y, found = a[x], b[y], score[x, y]
-                other = x != y
-                low, high, found = np.minimum(x, y)[other], np.maximum(x, y)[other], found[other]
-                for at in range(0, len(low), 65536):
-                    cut = slice(at, at + 65536)
-                    yield pa.RecordBatch.from_arrays([pa.array(low[cut]), pa.array(high[cut]), pa.array(found[cut])], names=["a", "b", "score"])
-
-    return joined.mapInArrow(multiply, PAIRS)
+                size, cell, a_no, others, own, units = (batch.column(c)[k].as_py() for c in range(6))
+                if cell != now:
+                    now, held = cell, {}
+                a, unit_a = np.frombuffer(own, np.int64), np.frombuffer(units).reshape(-1, size)
+                if others is None:
+                    held[a_no] = a, unit_a
+                    continue
+                for b_no in others:
+                    b, unit_b = held[b_no]
+                    score = np.round(unit_a @ unit_b.T, digits)
+                    near = score >= min_score
+                    x, y = np.nonzero(np.triu(near, 1) if a_no == b_no else near)
+                    x, y, found = a[x], b[y], score[x, y]
+                    other = x != y
+                    low, high, found = np.minimum(x, y)[other], np.maximum(x, y)[other], found[other]
+                    for at in range(0, len(low), 65536):
+                        cut = slice(at, at + 65536)
+                        yield pa.RecordBatch.from_arrays([pa.array(low[cut]), pa.array(high[cut]), pa.array(found[cut])], names=["a", "b", "score"])
+
+    return dealt.mapInArrow(multiply, PAIRS)

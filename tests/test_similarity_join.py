@@ -39,3 +39,14 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "id long, vector array<double>")
     assert sorted(map(tuple, join.similar_pairs(df, 0.9, tile_rows=1).collect())) == [(1, 2, 1.0), (1, 2, 1.0), (6, 7, 1.0)]
     assert join.similar_pairs(df.limit(0), 0.9).count() == 0
+
+
+def test_a_tile_is_not_sent_to_each_other_tile(spark):
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(clustered(400, 6))], "id long, vector array<double>")
+    found = join.similar_pairs(df, -1.0, tile_rows=8, pivots=2)
+    assert found.count() == 400 * 399 // 2
+    sent = found._jdf.queryExecution().optimizedPlan()
+    while "MapInArrow" in sent.nodeName():
+        sent = sent.children().head()
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sent).count()
+    assert rows < 50 * 50 / 4  # 50 tiles or more, all of which meet
