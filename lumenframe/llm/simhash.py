@@ -78,6 +78,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) that connect distinct fingerprints ``fp`` as their links do; see above. ``distinct`` is stored."""
+    edges, points = linked(distinct)
+    return edges if points is None else edges.unionByName(points.select(F.col("fp").alias("u"), F.col("point").alias("v")))
+
+
+def linked(distinct: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (u, v) of linked fingerprints; where buckets are large, also their members (fp, point) at each point where balls meet, or None."""
     halves = distinct.select("fp", F.expr("shiftrightunsigned(fp, 32)").alias("high"), F.expr("fp & 4294967295").alias("low"))
     own = halves.select("fp", F.expr("inline(array(struct(0 AS seg, high AS value), struct(1 AS seg, low AS value)))"))
     # a pair that differs in a bit is found by the one that has 0 there
@@ -93,7 +99,7 @@ def links(distinct: DataFrame) -> DataFrame:
     pairs = found.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS))
     edges = pairs.select(F.col("fp").alias("u"), F.col("other").alias("v"))
     if inside is None:
-        return edges
+        return edges, None
     # members (own value) give the ball around the other segment, those one bit off the bucket's value only their own
     member = "CASE WHEN seg = 0 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295 END = value"
     shift = "CASE WHEN seg = 0 THEN 0 ELSE 32 END"
@@ -101,7 +107,7 @@ def links(distinct: DataFrame) -> DataFrame:
     here = "CASE WHEN seg = 0 THEN shiftleft(value, 32) | (fp & 4294967295) ELSE fp END"
     points = inside.select("fp", F.expr(f"explode(CASE WHEN {member} THEN concat(array(fp), {moved}) ELSE array({here}) END)").alias("point")).distinct()
     met = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("point")
-    return edges.unionByName(points.join(storage.cut(met), "point").select(F.col("fp").alias("u"), F.col("point").alias("v")))
+    return edges, points.join(storage.cut(met), "point")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -47,10 +48,23 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is computed here removes its shuffle files when it is done; otherwise they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -134,5 +148,6 @@ def by_size(batch: pa.RecordBatch, column: str, size: int = 500_000) -> Iterator
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, for what is wide or read more than once."""
     folder = new_folder(df.sparkSession, "table")
-    df.write.parquet(folder)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
