@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,30 @@ def text_vectors(text: Column, build: Callable[[], TextModel] = hashing_text_mod
     return _iterated(build, "array<float>", lambda m, b: pd.Series(list(m(b.fillna("").tolist()))))(text)
 
 
+def embedded(rows: DataFrame, build: Callable[[], TextModel] = hashing_text_model, size: int = 1_000_000) -> DataFrame:
+    """(id, vector) of (id, text): as ``text_vectors``, each text once, whatever reads the vectors, and some ``size`` bytes of texts at a time.
+
+    The session's Arrow batches are set to at most 1,000 rows from here on, so that a worker holds some MB of texts.
+    """
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = build()
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+                part = batch.slice(at, end - at)
+                vectors = model(["" if t is None else t for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(np.asarray(vectors, np.float32)), pa.list_(pa.float32()))], names=["id", "vector"])
+                at = end
+
+    return rows.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(work, "id long, vector array<float>")
+
+
 def image_vectors(content: Column, build: Callable[[], ImageModel]) -> Column:
     return _iterated(build, "array<float>", lambda m, b: pd.Series([np.asarray(v, np.float32) for v in m(b.tolist())]))(content)
 

@@ -1102,8 +1102,8 @@ def vector_components(c: Catalogue) -> DataFrame:
 @query()
 def text_search(c: Catalogue) -> DataFrame:
     """Documents nearest to a text by the default text model; no SQL, the model is a Python function."""
-    from lumenframe.functions.models import text_vectors
+    from lumenframe.functions.models import embedded, text_vectors
 
-    docs = c.table("documents").where("text is not null").select(F.col("doc_id").alias("id"), text_vectors(F.col("text")).alias("vector"))
+    docs = embedded(c.table("documents").where("text is not null").select(F.col("doc_id").alias("id"), "text"))
     asked = c.spark.createDataFrame([(0, "licensed under the apache license")], "id long, q string").select("id", text_vectors(F.col("q")).alias("vector"))
     return knn.search(docs, asked, 10)

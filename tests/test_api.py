@@ -83,3 +83,29 @@ def test_metadata(spark):
     assert tuple(metadata.video_facts(video, ["one", "two"]).first()) == ("v", 12.5, None, None, 10.5, -20.25)
     entries = spark.createDataFrame([("b", False), ("Z", True), ("a", False), ("c", False)], "name string, is_folder boolean")
     assert [r["name"] for r in metadata.folder_listing(entries, 2).collect()] == ["Z", "a", "b"]
+
+
+def test_texts_are_embedded_once_and_some_at_a_time(spark):
+    def strict():
+        encode = models.hashing_text_model(16)
+
+        def some(texts):
+            assert len(texts) == 1 or sum(map(len, texts)) <= 50_000
+            return encode(texts)
+
+        return some
+
+    rows = spark.createDataFrame([(k, None if k == 7 else f"w{k} x{k % 5} " * (1 + 40 * k)) for k in range(200)], "id long, text string").coalesce(1)
+    want = {r["id"]: r["vector"] for r in rows.select("id", models.text_vectors(F.col("text"), lambda: models.hashing_text_model(16)).alias("vector")).collect()}
+    found = models.embedded(rows, strict, size=50_000)
+    assert {r["id"]: r["vector"] for r in found.collect()} == want
+    plan = found.where((F.size("vector") == 16) & ~F.exists("vector", F.isnull))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_text_search_embeds_each_document_once(spark):
+    from lumenframe.plans.queries import QUERIES
+
+    found = QUERIES["text_search"](spark, "/root/testdata/sf0.001")
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 10
