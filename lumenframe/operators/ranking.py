@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.functions import numbers
 from lumenframe.functions.query_text import face_names
 from lumenframe.operators import running
 
@@ -86,7 +87,7 @@ def ranked(candidates: DataFrame, asked: list[str], limit: int = 50, digits: int
     expanded = (F.col("source") == "person_expand") | F.coalesce(F.map_contains_key("source_scores", "person_expand"), F.lit(False))
     on = F.transform(F.coalesce("people", F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))) if "people" in candidates.columns else face_names(F.col("faces"))
     parts = score_breakdown(F.col("score"), on, names, expanded)
-    scored = candidates.withColumn("parts", parts).withColumn("total_score", F.round("parts.total_score", digits))
+    scored = candidates.withColumn("parts", parts).withColumn("total_score", numbers.rounded(F.col("parts.total_score"), digits))
     if not partition:
         return scored.orderBy(F.desc("total_score"), "id").limit(limit)
     place = F.row_number().over(Window.partitionBy(*partition).orderBy(F.desc("total_score"), "id"))

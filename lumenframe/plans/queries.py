@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions import ids, query_text
+from lumenframe.functions import ids, numbers, query_text
 from lumenframe.functions.media import duration_seconds, exif_time, extension, file_kind, iso6709, size_text
 from lumenframe.functions.vector import dot
 from lumenframe.operators import browse, cdc, filters, ingest, knn, names, ranking, reports, running, shots, similarity_join, tables, tracks, versioned
@@ -355,7 +355,7 @@ def _search(c: Catalogue, asked: DataFrame) -> DataFrame:
     known = c.people().where("person_id <= 70").orderBy("person_id").collect()
     request = search_plan.Request(people=[r["name"] for r in known if r["person_id"] in (1, 2)], only_people=[r["name"] for r in known], tags=["t0", "t1"], places=["Asia", "america"], date_from="1992-06-01", retrieve=100)
     found = search_plan.search(_collections(c), asked, media, c.faces(), c.people(), request)
-    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "source", "score", "total_score", F.round("person_boost", 6).alias("person_boost"), "path", "place", "date", "timestamp", F.array_join("tags", "|").alias("tags"), F.array_join("people", "|").alias("people"), "why")
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "source", "score", "total_score", numbers.rounded(F.col("person_boost"), 6).alias("person_boost"), "path", "place", "date", "timestamp", F.array_join("tags", "|").alias("tags"), F.array_join("people", "|").alias("people"), "why")
 
 
 @query(SEARCHED)

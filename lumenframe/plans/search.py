@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions import numbers
 from lumenframe.operators import filters, knn, ranking
 
 SOURCES = ["image", "video", "caption", "speech"]  # ties of scores go to the earlier one
@@ -136,7 +137,7 @@ def search(collections: dict, queries: DataFrame, media: DataFrame, faces: DataF
     best = ranking.cluster_bounded(frames, request.window, ["query_id", "__path"], ["shown"])
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     result = best.withColumn("rank", order).select("query_id", "rank", "id", F.col("score").alias("total_score"), *(F.col("shown")[c].alias(c) for c in shown))
-    why = F.concat(F.lit("similarity "), F.format_string("%.3f", F.col("parts.similarity_score")))
+    why = F.concat(F.lit("similarity "), numbers.fixed(F.col("parts.similarity_score"), 3))
     result = result.select("query_id", "rank", "id", "source", F.col("parts.similarity_score").alias("score"), "total_score", *(F.col("parts")[p].alias(p) for p in ranking.PARTS if p != "total_score"), "path", "place", "gps_lat", "gps_lon", "date", "kind", "timestamp", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("people", F.array().cast("array<string>")).alias("people"), why.alias("why"))
     if request.model is None:
         return result.withColumns({"heuristic_score": F.col("total_score"), "model_score": F.lit(None).cast("double")})
