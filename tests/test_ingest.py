@@ -92,3 +92,18 @@ def test_counters_look_up_media_places_once(spark, tmp_path):
     assert reads(counters) <= 13
     plan = counters._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter, ((canon_source") == 1
+
+
+def test_superseded_reads_files_prints_and_media_once(spark, tmp_path):
+    """Lost and held ids come from one reading, without the joins that only decisions need."""
+    snapshot, state, media = stored(spark, tmp_path)
+    found = ingest.superseded(ingest.classify(snapshot, state, media), media)
+    assert reads(found) == 3 and "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_superseded_of_odd_decisions(spark):
+    rows = [("N", True, "C"), ("N", True, "C"), ("N", None, "B"), ("A", False, "N"), (None, True, "D"), ("D", False, None), ("E", True, None), ("M", True, "A"), ("M", True, "X"), ("M", True, "P"), ("M", True, "Q")]
+    decisions = spark.createDataFrame(rows, "media_id string, replaced boolean, old_id string")
+    media = spark.createDataFrame([("C", 0), ("C", 0), ("B", 0), ("A", 0), ("D", 0), ("N", 0), ("P", 1), ("Q", None), (None, 0)], "media_id string, deleted int")
+    assert [r[0] for r in ingest.superseded(decisions, media).collect()] == ["C"]  # A and D are held, X isn't known, P and Q aren't live
+    assert ingest.superseded(decisions.where("false"), media).isEmpty()
